@@ -92,7 +92,7 @@ def term_block(coefs: DataFrame, prefix: str, key: str, value: str, key_type: st
                ) -> DataFrame:
     """Terms ``<prefix>_<key>`` as a (species_code, key, value) lookup."""
     k = F.substring("term", len(prefix) + 2, 1 << 20)
-    k = k.cast(key_type) if key_type != "string" else k
+    k = k.try_cast(key_type) if key_type != "string" else k
     return (coefs.where(F.col("term").startswith(prefix + "_"))
             .select("species_code", k.alias(key), F.col("value").alias(value)))
 
@@ -107,7 +107,7 @@ def scalar_terms(coefs: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
 
 def model_meta(coefs: DataFrame, hotspots: DataFrame) -> DataFrame:
     """Counts, modelled weeks and hours, and the covered box, as one row."""
-    number = F.try_element_at(F.split("term", "_"), F.lit(2)).cast("int")
+    number = F.try_element_at(F.split("term", "_"), F.lit(2)).try_cast("int")
     c = coefs.where(F.col("term").startswith("week_") | F.col("term").startswith("hour_")
                     | (F.col("term") == "intercept"))
     of = lambda p: F.sort_array(F.collect_set(

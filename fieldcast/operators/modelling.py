@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from fieldcast import params as P
 from fieldcast.operators.evaluation import eval_metrics, group_holdout
-from fieldcast.session import cut_lineage
+from fieldcast.session import stored
 
 
 @dataclass(frozen=True)
@@ -230,7 +230,7 @@ def evaluate(table: DataFrame, species: Sequence[str], by: str, design: Design =
     "date" (a known place on a new day)."""
     group = {"site": "loc_id", "date": "obs_date"}[by]
     scored = holdout_scores(table, species, group, design, seed=seed, parallel=parallel)
-    return (eval_metrics(cut_lineage(scored), ["species_code"])
+    return (eval_metrics(stored(scored, "scores"), ["species_code"])
             .withColumn("split", F.lit(f"by_{by}")))
 
 

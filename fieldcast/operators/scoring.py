@@ -25,6 +25,11 @@ from fieldcast.operators.labels import species_array
 WEATHER = ("wind_max", "temp_mean", "precip_sum", "cloud_mean")
 
 
+def by_probability(column: str = "probability") -> Column:
+    """Ranking value: nine digits, so ranks do not hang on summation order."""
+    return F.round(column, 9)
+
+
 @dataclass(frozen=True)
 class Outing:
     """What the user plans: hours, kilometres, people, and whether on the move."""
@@ -209,7 +214,7 @@ def best_hotspots(grid: DataFrame, slice_by: Sequence[str] = ("species_code", "d
                   k: int = 12) -> DataFrame:
     """Top sites per slice with the slice's range and a 0-1 intensity."""
     live = grid.where(F.col("probability").isNotNull())
-    best = top_by(live, slice_by, [F.col("probability").desc(), F.col("loc_id")], k, "rank")
+    best = top_by(live, slice_by, [by_probability().desc(), F.col("loc_id")], k, "rank")
     return (best.join(slice_range(grid, slice_by), list(slice_by), "inner")
             .withColumn("t", intensity(F.col("probability"), F.col("lo"), F.col("hi"))))
 
@@ -228,7 +233,7 @@ def best_window(grid: DataFrame, keys: Sequence[str] = ("species_code", "loc_id"
 
     A plain max over a struct, so it combines map-side at any group size.
     """
-    order = F.struct(F.col("probability").alias("p"), (-F.unix_date("day")).alias("d"),
+    order = F.struct(by_probability().alias("p"), (-F.unix_date("day")).alias("d"),
                      (-F.col("hour")).alias("h"))
     return (grid.where(F.col("probability").isNotNull()).groupBy(*keys)
             .agg(F.max(F.struct(order.alias("o"), "day", "hour", "probability", *carry)).alias("b"))
@@ -240,7 +245,7 @@ def species_shortlist(grid: DataFrame, k: int = 24,
                       keys: Sequence[str] = ("loc_id", "day", "hour")) -> DataFrame:
     """Likeliest species at a site, day and hour."""
     return top_by(grid.where(F.col("probability").isNotNull()), keys,
-                  [F.col("probability").desc(), F.col("species_code")], k, "rank")
+                  [by_probability().desc(), F.col("species_code")], k, "rank")
 
 
 def weather_effect(coefs: DataFrame, best: DataFrame, outing: Outing = Outing()) -> DataFrame:
@@ -261,7 +266,7 @@ def weather_effect(coefs: DataFrame, best: DataFrame, outing: Outing = Outing())
 
 def modelled_weeks(coefs: DataFrame) -> DataFrame:
     """Sorted array of modelled weeks per species (empty when none)."""
-    week = F.when(F.col("term").startswith("week_"), F.substring("term", 6, 2).cast("int"))
+    week = F.when(F.col("term").startswith("week_"), F.substring("term", 6, 2).try_cast("int"))
     return coefs.groupBy("species_code").agg(F.sort_array(F.collect_set(week)).alias("weeks"))
 
 

@@ -85,7 +85,7 @@ def nearby_ranked(points: DataFrame, hotspots: DataFrame, best: DataFrame, k: in
         "point_id", "species_code", "loc_id", "distance_km")
     ranked = near.join(best, ["species_code", "loc_id"], "inner")
     return top_by(ranked, ["point_id"],
-                  [F.col("best_probability").desc_nulls_last(), F.col("loc_id")], k, "position")
+                  [F.round("best_probability", 9).desc_nulls_last(), F.col("loc_id")], k, "position")
 
 
 def recent_nearby(sightings: DataFrame, as_of: str, back_days: int = 14, decimals: int = 1

@@ -20,6 +20,7 @@ from fieldcast.functions import clock_hour, hour_bucket, week_of
 from fieldcast.operators import labels, outings, scoring
 from fieldcast.operators.evaluation import group_holdout
 from fieldcast.plans.features import model_table
+from fieldcast.session import stored
 
 
 def _day(text: str) -> Column:
@@ -119,10 +120,11 @@ class Domain:
         code = F.col("species_code")
         return (self.observations.where(outings.is_species(code))
                 .groupBy("species_code").agg(F.count(F.lit(1)).alias("detections"))
-                .withColumn("sno", F.substring(code, 3, 9).cast("int")))
+                .withColumn("sno", F.substring(code, 3, 9).try_cast("int")))
 
     @cached_property
     def coefs(self) -> DataFrame:
+        """The published term table, written and read back as its users would."""
         sno = F.col("sno")
         sp = self.species
         names = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(i + 1).alias("tno"))
@@ -148,7 +150,7 @@ class Domain:
                         _fixture(sno, F.col("w"), 19).alias("value")))
         packed = sp.select(F.collect_list(F.struct("species_code", "sno"))).scalar()
         site = (self.locations.where("is_hotspot")
-                .select("loc_id", F.substring("loc_id", 2, 20).cast("long").alias("hno"),
+                .select("loc_id", F.substring("loc_id", 2, 20).try_cast("long").alias("hno"),
                         F.inline(packed))
                 .where((F.col("hno") + sno) % 7 != 0)
                 .select("species_code", F.concat(F.lit("site_"), "loc_id").alias("term"),
@@ -167,7 +169,7 @@ class Domain:
         out = scalars
         for block in (hour, support, week, site, pooled, found, metric):
             out = out.unionByName(block)
-        return out
+        return stored(out, "coefs")
 
     @cached_property
     def models(self) -> DataFrame:
@@ -177,7 +179,7 @@ class Domain:
         def block(prefix: str, number: bool = True) -> Column:
             key = F.substring(t, len(prefix) + 2, 99)
             # documents use bare numbers as keys
-            key = key.cast("int").cast("string") if number else key
+            key = key.try_cast("int").cast("string") if number else key
             is_in = t.startswith(prefix + "_")
             return F.map_from_entries(F.collect_list(F.when(is_in, F.struct(
                 F.when(is_in, key).alias("k"), v.alias("x")))))
@@ -195,7 +197,7 @@ class Domain:
     @cached_property
     def refit(self) -> DataFrame:
         """A second fit: half the species, shifted by one, without hour terms."""
-        half = F.substring("species_code", 3, 9).cast("int") % 2 == 0
+        half = F.substring("species_code", 3, 9).try_cast("int") % 2 == 0
         return (self.coefs.where(half & ~F.col("term").startswith("hour_"))
                 .withColumn("value", F.col("value") + F.lit(1.0)))
 
@@ -219,16 +221,14 @@ class Domain:
 
     @cached_property
     def grid(self) -> DataFrame:
-        g = scoring.score_grid(self.coefs, self.spans(), self.hotspots, ["clat", "clon"])
-        # nine digits, so that ranking does not hang on the last bit of exp()
-        return g.withColumn("probability", F.round("probability", 9))
+        return scoring.score_grid(self.coefs, self.spans(), self.hotspots, ["clat", "clon"])
 
     # -- deterministic out-of-sample scores -----------------------------------
     @cached_property
     def scored(self) -> DataFrame:
-        k = F.substring("sub_id", 2, 20).cast("long")
-        sno = F.substring("species_code", 3, 9).cast("int")
-        table = self.model.select("sub_id", "loc_id", "obs_date", "seen")
+        k = F.substring("sub_id", 2, 20).try_cast("long")
+        sno = F.substring("species_code", 3, 9).try_cast("int")
+        table = stored(self.model.select("sub_id", "loc_id", "obs_date", "seen"), "model")
         rows = (labels.presence_absence(table, labels.species_floor(self.observations))
                 .withColumn("p", ((k * 37 + sno * 101) % 1000 + F.lit(0.5)) / F.lit(1000.0)))
 
@@ -237,7 +237,7 @@ class Domain:
             return rows.join(test, group, "left_semi").select(
                 F.lit(name).alias("split"), "species_code", "p", "y")
 
-        return held("loc_id", "by_site").unionByName(held("obs_date", "by_date"))
+        return stored(held("loc_id", "by_site").unionByName(held("obs_date", "by_date")), "scored")
 
     # -- photos, points, logs -------------------------------------------------
     @cached_property
@@ -432,16 +432,16 @@ SQL = {
  LEFT JOIN coefs own ON own.species_code = b.species_code AND own.term = 'site_'||s.loc_id
  LEFT JOIN coefs pool ON pool.species_code = b.species_code AND pool.term = 'site_PERSONAL'""",
     "grid": """
- SELECT *, CASE WHEN reason IS NULL THEN round(1 / (1 + exp(-(b0 + coalesce(hour_term, 0) + week_term
+ SELECT *, CASE WHEN reason IS NULL THEN 1 / (1 + exp(-(b0 + coalesce(hour_term, 0) + week_term
    + b_dur * ln(1.0::DOUBLE) + b_dist * ln(2.0::DOUBLE) + b_obs + b_trav + b_wind * wind_max
-   + b_temp * temp_mean + b_rain * precip_sum + b_cloud * cloud_mean + site_effect))), 9) END AS probability
+   + b_temp * temp_mean + b_rain * precip_sum + b_cloud * cloud_mean + site_effect))) END AS probability
  FROM (SELECT *, CASE WHEN n_hours = 0 THEN 'forecast' WHEN coalesce(support, 0) < 50 THEN 'hour'
    WHEN week_term IS NULL THEN 'week' END AS reason FROM cells)""",
     "best": """
  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY species_code, loc_id
-  ORDER BY probability DESC, day, hour) AS rn FROM grid WHERE probability IS NOT NULL) WHERE rn = 1""",
+  ORDER BY round(probability, 9) DESC, day, hour) AS rn FROM grid WHERE probability IS NOT NULL) WHERE rn = 1""",
     "ranked_sites": """
- SELECT *, row_number() OVER (PARTITION BY species_code, day, hour ORDER BY probability DESC, loc_id) AS rank,
+ SELECT *, row_number() OVER (PARTITION BY species_code, day, hour ORDER BY round(probability, 9) DESC, loc_id) AS rank,
   min(probability) OVER s AS lo, max(probability) OVER s AS hi, count(*) OVER s AS n_scored
  FROM grid WHERE probability IS NOT NULL WINDOW s AS (PARTITION BY species_code, day, hour)""",
     "site_test": """
@@ -456,14 +456,14 @@ SQL = {
  FROM (SELECT 'by_site' AS split, l.* FROM labels_long l JOIN site_test USING (loc_id) WHERE is_test
   UNION ALL SELECT 'by_date', l.* FROM labels_long l JOIN date_test USING (obs_date) WHERE is_test)""",
     "edges": """
- SELECT split, species_code, list_sort(list_distinct(list_transform(range(0, 11), k ->
+ SELECT split, species_code, list_sort(list_distinct([
   CASE WHEN ((n - 1) * k) % 10 = 0 THEN ps[((n - 1) * k) // 10 + 1]
   ELSE ps[((n - 1) * k) // 10 + 1] + (ps[((n - 1) * k) // 10 + 2] - ps[((n - 1) * k) // 10 + 1])
-   * (CAST(((n - 1) * k) % 10 AS DOUBLE) / 10.0::DOUBLE) END))) AS e
+   * (CAST(((n - 1) * k) % 10 AS DOUBLE) / 10.0::DOUBLE) END FOR k IN range(0, 11)])) AS e
  FROM (SELECT split, species_code, list_sort(list(p)) AS ps, count(*) AS n FROM scored GROUP BY 1, 2)""",
     "calibration": """
  SELECT split, species_code, bin, avg(p) AS pred, avg(CAST(y AS DOUBLE)) AS obs, count(*) AS n
- FROM (SELECT s.*, greatest(len(list_filter(e, x -> x < s.p)), 1) - 1 AS bin
+ FROM (SELECT s.*, greatest(len([x FOR x IN e IF x < s.p]), 1) - 1 AS bin
   FROM scored s JOIN edges USING (split, species_code) WHERE len(e) > 1) GROUP BY 1, 2, 3""",
     "cal_mae": """
  SELECT split, species_code, avg(abs(obs - pred)) AS cal_mae FROM calibration GROUP BY 1, 2""",

@@ -74,7 +74,7 @@ _PHOTO_NAMES = """(SELECT species_code, 'photo name '||sno AS photo_name, EXISTS
   WHERE p.taxon_id = sno - 3 AND is_curated AND licence IS NOT NULL) AS has_main FROM species WHERE sno % 3 = 0)"""
 _FEED = """(SELECT c.okey, c.obs_date, c.observer, l.loc_id, l.lat + (okey % 3) / 1000.0::DOUBLE AS lat, l.lon,
  CASE WHEN okey % 5 <> 0 THEN is_hotspot ELSE false END AS is_hotspot FROM checklists c JOIN locations l USING (loc_id))"""
-_BINOMIAL = r"list_reduce(list_slice(string_split(trim(regexp_replace(nm, '\s+', ' ', 'g')), ' '), 1, 2), (a, b) -> a||' '||b)"
+_BINOMIAL = r"array_to_string(list_slice(string_split(trim(regexp_replace(nm, '\s+', ' ', 'g')), ' '), 1, 2), ' ')"
 
 BODIES: dict[str, str] = {
     "eligible_outings": f"""SELECT sub_id, loc_id, {day('obs_date')}, obs_time, {r('duration_hrs', 'distance_km')},
@@ -211,7 +211,7 @@ BODIES: dict[str, str] = {
     "best_hotspots": f"""SELECT species_code, {day('day')}, hour, rank, loc_id, {r('probability', 'lo', 'hi')}, n_scored,
  round(CASE WHEN hi = lo THEN 0.5 ELSE (probability - lo) / nullif(hi - lo, 0) END, 6) AS t FROM ranked_sites WHERE rank <= 12""",
     "species_shortlist": f"""SELECT loc_id, {day('day')}, hour, rank, species_code, {r('probability')} FROM (SELECT *, row_number()
- OVER (PARTITION BY loc_id, day, hour ORDER BY probability DESC, species_code) AS rank FROM grid
+ OVER (PARTITION BY loc_id, day, hour ORDER BY round(probability, 9) DESC, species_code) AS rank FROM grid
  WHERE probability IS NOT NULL) WHERE rank <= 24""",
     "weather_effect": f"""SELECT species_code, {day('day')}, hour, loc_id, {r('probability', 'at_median')},
  round((probability - at_median) * 100, 6) + 0.0 AS points FROM (SELECT *, {SIG.format(
@@ -225,7 +225,7 @@ BODIES: dict[str, str] = {
  WHERE NOT EXISTS (SELECT 1 FROM {_WEEKS} y WHERE y.species_code = x.species_code AND y.w = week)) WHERE rank <= 3""",
     "group_holdout": "SELECT loc_id, is_test FROM site_test",
     "eval_metrics": f"SELECT split, species_code, n, n_pos, {r('brier', 'auc', 'avg_precision', 'cal_mae')} FROM metrics",
-    "calibration_table": f"""SELECT split, species_code, bin, {r('pred', 'obs')}, n, round(obs - pred, 6) + 0.0 AS gap
+    "calibration_table": f"""SELECT split, species_code, bin, round(pred, 9) AS pred, round(obs, 9) AS obs, n, round(obs - pred, 9) + 0.0 AS gap
  FROM calibration""",
     "calibration_mae": f"""SELECT split, species_code, {r('cal_mae')}, CASE WHEN cal_mae < 0.03 THEN 'good'
  WHEN cal_mae > 0.08 THEN 'bad' ELSE 'fair' END AS verdict FROM cal_mae""",
@@ -235,7 +235,7 @@ BODIES: dict[str, str] = {
     "snap_hotspot": f"""SELECT point_id, n.loc_id, {r('distance_km')} FROM pins LEFT JOIN (SELECT * FROM near
  WHERE rank = 1 AND distance_km <= 0.2) n USING (point_id)""",
     "nearby_ranked": f"""SELECT * FROM (SELECT point_id, species_code, loc_id, {r('distance_km', 'best_probability')}, has_site_effect,
- row_number() OVER (PARTITION BY point_id ORDER BY b.best_probability DESC NULLS LAST, loc_id) AS position
+ row_number() OVER (PARTITION BY point_id ORDER BY round(b.best_probability, 9) DESC NULLS LAST, loc_id) AS position
  FROM near n JOIN pins p USING (point_id) JOIN (SELECT species_code, loc_id, max(probability) AS best_probability,
   bool_or(has_site_effect) AS has_site_effect FROM grid GROUP BY 1, 2) b USING (species_code, loc_id)
  WHERE n.rank <= 10 AND n.distance_km <= 25)""",

@@ -52,7 +52,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: written once, read back by every later job."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write once to the shared folder, read back as a columnar table.
+
+    Cuts the lineage: a lost executor costs a re-read, not a recompute. Unlike
+    a checkpoint, the table has exact size statistics, so the planner knows
+    whether it may broadcast it.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
