@@ -21,7 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldcast import params as P
+from fieldcast.functions import sigmoid
+from fieldcast.operators.coefficients import scalar_terms, term_block
+from fieldcast.operators.dedup import salted_join
 from fieldcast.operators.evaluation import eval_metrics, group_holdout
+from fieldcast.operators.labels import species_array
 from fieldcast.session import stored
 
 
@@ -114,7 +118,7 @@ def _ridge(n: int, c: float) -> LogisticRegression:
     its penalty is 1 / (c n). The intercept is free."""
     return LogisticRegression(featuresCol="features", labelCol="label", regParam=1.0 / (c * n),
                               elasticNetParam=0.0, standardization=False, fitIntercept=True,
-                              maxIter=1000, tol=1e-9)
+                              maxIter=1000, tol=1e-8)
 
 
 def fit_each(features: DataFrame, species: Sequence[str], n: int, c: float = P.RIDGE_C,
@@ -176,20 +180,34 @@ def support_terms(species: DataFrame, support: DataFrame) -> DataFrame:
     return species.select("species_code", F.inline(packed))
 
 
-def predict_each(features: DataFrame, models: dict[str, LogisticRegressionModel]) -> DataFrame:
-    """(species_code, p, y) for all models in one pass over the rows."""
-    df = features
-    for s, m in models.items():
-        m = m.copy()
-        m.setPredictionCol("")
-        m.setRawPredictionCol("")
-        m.setProbabilityCol(f"p_{s}")
-        df = m.transform(df)
-    rows = F.array(*[F.struct(
-        F.lit(s).alias("species_code"),
-        vector_to_array(F.col(f"p_{s}")).getItem(1).alias("p"),
-        F.array_contains("seen", s).cast("int").alias("y")) for s in models])
-    return df.select(F.inline(rows))
+def predict(rows: DataFrame, coefs: DataFrame, design: Design = Design(), salts: int = 8
+            ) -> DataFrame:
+    """(species_code, p, y) of every model on every row, from long coefficients.
+
+    A level without a term adds nothing, as an unknown level should. Site
+    effects of all species come as one map per site, joined at the size of the
+    rows and salted, since the pooled site holds about half of them. The rows x
+    species product is an in-stage explode; hour and week terms are bounded
+    lookups.
+    """
+    total = F.col("b_intercept")
+    for c in design.numeric:
+        total = total + F.col(f"b_{c}") * F.col(c)
+    if "site" in design.categorical:
+        effects = (term_block(coefs, "site", "site", "e").groupBy("site")
+                   .agg(F.map_from_entries(F.collect_list(F.struct("species_code", "e")))
+                        .alias("site_effects")))
+        rows = salted_join(rows, effects, ["site"], "left", F.col("sub_id"), salts)
+        total = total + F.coalesce(F.try_element_at("site_effects", F.col("species_code")),
+                                   F.lit(0.0))
+    long = rows.withColumn("species_code", F.explode(species_array(coefs)))
+    for c, prefix in (("hr", "hour"), ("week", "week")):
+        long = long.join(term_block(coefs, prefix, c, f"{c}_term", "int"), ["species_code", c], "left")
+        total = total + F.coalesce(f"{c}_term", F.lit(0.0))
+    extra = [c for c in design.numeric if c not in P.NUMERIC]
+    long = long.join(scalar_terms(coefs, extra), "species_code", "inner")
+    return long.select("species_code", sigmoid(total).alias("p"),
+                       F.array_contains("seen", F.col("species_code")).cast("int").alias("y"))
 
 
 def holdout_scores(table: DataFrame, species: Sequence[str], group: str,
@@ -197,30 +215,33 @@ def holdout_scores(table: DataFrame, species: Sequence[str], group: str,
                    parallel: int = 8) -> DataFrame:
     """Out-of-sample (species_code, p, y): whole groups held out."""
     split = table.join(group_holdout(table, group, share, seed), group, "inner")
-    train, test = split.where(~F.col("is_test")), split.where("is_test")
-    prep = prepare(train, design)
-    fitted = encode(train, prep, ["seen"]).persist()
+    coefs = fit_coefficients(split.where(~F.col("is_test")), species, design, parallel)
+    return predict(split.where("is_test"), coefs, design)
+
+
+def fit_coefficients(table: DataFrame, species: Sequence[str], design: Design = Design(),
+                     parallel: int = 8, rows_per_task: int = 20_000) -> DataFrame:
+    """Fit every species on the table; long coefficients without support.
+
+    Each solver step is one job over all partitions, so a small table is put
+    in few of them. A large table keeps the partitions it has.
+    """
+    prep = prepare(table, design)
+    n = table.count()
+    tasks = max(1, -(-n // rows_per_task))
+    fitted = encode(table, prep, ["seen"]).coalesce(tasks).persist()
     try:
-        n = fitted.count()
         models = fit_each(fitted, species, n, design.c, parallel)
     finally:
         fitted.unpersist()
-    return predict_each(encode(test, prep, ["seen"]), models)
+    return coefficient_frame(table.sparkSession, models, prep)
 
 
 def fit_ridge(table: DataFrame, species: Sequence[str], support: DataFrame,
               design: Design = Design(), parallel: int = 8) -> DataFrame:
     """All species on the whole table, as long coefficients with support terms."""
-    spark = table.sparkSession
-    prep = prepare(table, design)
-    fitted = encode(table, prep, ["seen"]).persist()
-    try:
-        n = fitted.count()
-        models = fit_each(fitted, species, n, design.c, parallel)
-    finally:
-        fitted.unpersist()
-    coefs = coefficient_frame(spark, models, prep)
-    codes = spark.createDataFrame([(s,) for s in species], "species_code string")
+    coefs = fit_coefficients(table, species, design, parallel)
+    codes = table.sparkSession.createDataFrame([(s,) for s in species], "species_code string")
     return coefs.unionByName(support_terms(codes, support))
 
 

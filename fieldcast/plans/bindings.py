@@ -41,9 +41,12 @@ class Domain:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        self._read: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        if name not in self._read:
+            self._read[name] = self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        return self._read[name]
 
     @cached_property
     def checklists(self) -> DataFrame:
@@ -126,49 +129,44 @@ class Domain:
     def coefs(self) -> DataFrame:
         """The published term table, written and read back as its users would."""
         sno = F.col("sno")
-        sp = self.species
-        names = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(i + 1).alias("tno"))
-                          for i, t in enumerate(P.SCALAR_TERMS)])
-        scalars = sp.select("species_code", "sno", F.inline(names)).select(
-            "species_code", "term", F.when(F.col("tno") >= 6, _fixture(sno, F.col("tno"), 17, 1e4))
-            .otherwise(_fixture(sno, F.col("tno"), 17)).alias("value"))
         clocked = self.checklists.select(
             hour_bucket(clock_hour(F.col("obs_time"))).alias("hr"), "obs_date")
         hours = (clocked.where(F.col("hr").isNotNull()).groupBy("hr").agg(F.count(F.lit(1)).alias("n"))
                  .select(F.collect_list(F.struct("hr", "n"))).scalar())
-        by_hour = sp.select("species_code", "sno", F.inline(hours))
-        hour = by_hour.select("species_code", F.format_string("hour_%02d", "hr").alias("term"),
-                              _fixture(sno, F.col("hr"), 13).alias("value"))
-        support = by_hour.select(
-            "species_code", F.format_string("support_%02d", "hr").alias("term"),
-            F.when(F.col("hr") == sno % 15 + 6, F.lit(10)).otherwise(F.col("n"))
-            .cast("double").alias("value"))
         weeks = clocked.select(F.collect_set(week_of(F.col("obs_date")))).scalar()
-        week = (sp.select("species_code", "sno", F.explode(weeks).alias("w"))
-                .where(F.col("w") != sno % 5)
-                .select("species_code", F.format_string("week_%02d", "w").alias("term"),
-                        _fixture(sno, F.col("w"), 19).alias("value")))
-        packed = sp.select(F.collect_list(F.struct("species_code", "sno"))).scalar()
+        sp = self.species.withColumn("hours", hours).withColumn("weeks", weeks)
+
+        def row(term: Column, value: Column) -> Column:
+            return F.struct(term.alias("term"), value.cast("double").alias("value"))
+
+        scalars = F.array(*[
+            row(F.lit(t), _fixture(sno, F.lit(i), 17, 1e4 if i >= 6 else 100.0))
+            for i, t in enumerate(P.SCALAR_TERMS, 1)])
+        hour = F.transform("hours", lambda h: row(
+            F.format_string("hour_%02d", h["hr"]), _fixture(sno, h["hr"], 13)))
+        support = F.transform("hours", lambda h: row(
+            F.format_string("support_%02d", h["hr"]),
+            F.when(h["hr"] == sno % 15 + 6, F.lit(10)).otherwise(h["n"])))
+        week = F.transform(F.filter("weeks", lambda w: w != sno % 5), lambda w: row(
+            F.format_string("week_%02d", w), _fixture(sno, w, 19)))
+        pooled = row(F.lit("site_PERSONAL"), _ratio(sno % 10, 10.0))
+        found = row(F.lit("meta_detections"), F.col("detections"))
+        marks = [("meta_by_date_auc", 50, 0), ("meta_by_date_brier", 7, 0),
+                 ("meta_by_date_cal_mae", 3, 0), ("meta_by_site_auc", 40, 9),
+                 ("meta_by_site_brier", 9, 9), ("meta_by_site_cal_mae", 5, 9)]
+        metric = F.array_compact(F.array(*[
+            F.when(F.lit(m == 0) | (sno % 9 != 0), row(F.lit(t), _ratio(F.lit(a) + sno % 40, 100.0)))
+            for t, a, m in marks]))
+        per_species = sp.select("species_code", F.inline(F.concat(
+            scalars, hour, support, week, F.array(pooled, found), metric)))
+        packed = self.species.select(F.collect_list(F.struct("species_code", "sno"))).scalar()
         site = (self.locations.where("is_hotspot")
                 .select("loc_id", F.substring("loc_id", 2, 20).try_cast("long").alias("hno"),
                         F.inline(packed))
                 .where((F.col("hno") + sno) % 7 != 0)
                 .select("species_code", F.concat(F.lit("site_"), "loc_id").alias("term"),
                         _fixture(sno, F.col("hno"), 17).alias("value")))
-        pooled = sp.select("species_code", F.lit("site_PERSONAL").alias("term"),
-                           _ratio(sno % 10, 10.0).alias("value"))
-        found = sp.select("species_code", F.lit("meta_detections").alias("term"),
-                          F.col("detections").cast("double").alias("value"))
-        marks = [("meta_by_date_auc", 50, 0), ("meta_by_date_brier", 7, 0),
-                 ("meta_by_date_cal_mae", 3, 0), ("meta_by_site_auc", 40, 9),
-                 ("meta_by_site_brier", 9, 9), ("meta_by_site_cal_mae", 5, 9)]
-        metric = sp.select("species_code", "sno", F.inline(F.array(*[
-            F.struct(F.lit(t).alias("term"), F.lit(a).alias("a"), F.lit(m).alias("m"))
-            for t, a, m in marks]))).where((F.col("m") == 0) | (sno % 9 != 0)).select(
-            "species_code", "term", _ratio(F.col("a") + sno % 40, 100.0).alias("value"))
-        out = scalars
-        for block in (hour, support, week, site, pooled, found, metric):
-            out = out.unionByName(block)
+        out = per_species.unionByName(site)
         return stored(out, "coefs")
 
     @cached_property

@@ -21,7 +21,7 @@ from fieldcast.streaming import ingest
 QUERIES: dict[str, Callable[[Domain], DataFrame]] = {}
 DIGITS = 6
 # sums of thousandths over 80 rows end in a tie at six digits
-FINER = {"calibration_table": 9}
+FINER = dict.fromkeys(("calibration_table", "calibration_mae", "eval_metrics", "eval_summary"), 9)
 
 
 def query(fn: Callable[[Domain], DataFrame]) -> Callable[[Domain], DataFrame]:

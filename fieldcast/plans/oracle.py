@@ -9,8 +9,8 @@ from __future__ import annotations
 from fieldcast.plans.bindings import with_tables
 
 
-def r(*names: str) -> str:
-    return ", ".join(f"round({n}, 6) + 0.0 AS {n}" for n in names)
+def r(*names: str, digits: int = 6) -> str:
+    return ", ".join(f"round({n}, {digits}) + 0.0 AS {n}" for n in names)
 
 
 def day(*names: str) -> str:
@@ -224,12 +224,12 @@ BODIES: dict[str, str] = {
  FROM {_WEEKS} x CROSS JOIN (SELECT unnest(range(0, 53)) AS week)
  WHERE NOT EXISTS (SELECT 1 FROM {_WEEKS} y WHERE y.species_code = x.species_code AND y.w = week)) WHERE rank <= 3""",
     "group_holdout": "SELECT loc_id, is_test FROM site_test",
-    "eval_metrics": f"SELECT split, species_code, n, n_pos, {r('brier', 'auc', 'avg_precision', 'cal_mae')} FROM metrics",
+    "eval_metrics": f"SELECT split, species_code, n, n_pos, {r('brier', 'auc', 'avg_precision', 'cal_mae', digits=9)} FROM metrics",
     "calibration_table": f"""SELECT split, species_code, bin, round(pred, 9) AS pred, round(obs, 9) AS obs, n, round(obs - pred, 9) + 0.0 AS gap
  FROM calibration""",
-    "calibration_mae": f"""SELECT split, species_code, {r('cal_mae')}, CASE WHEN cal_mae < 0.03 THEN 'good'
+    "calibration_mae": f"""SELECT split, species_code, {r('cal_mae', digits=9)}, CASE WHEN cal_mae < 0.03 THEN 'good'
  WHEN cal_mae > 0.08 THEN 'bad' ELSE 'fair' END AS verdict FROM cal_mae""",
-    "eval_summary": f"""SELECT split, n_species, {r('mean_cal_mae', 'median_cal_mae', 'mean_auc', 'median_auc', 'mean_brier')}
+    "eval_summary": f"""SELECT split, n_species, {r('mean_cal_mae', 'median_cal_mae', 'mean_auc', 'median_auc', 'mean_brier', digits=9)}
  FROM (SELECT split, count(*) AS n_species, avg(cal_mae) AS mean_cal_mae, median(cal_mae) AS median_cal_mae,
  avg(auc) AS mean_auc, median(auc) AS median_auc, avg(brier) AS mean_brier FROM metrics GROUP BY 1)""",
     "snap_hotspot": f"""SELECT point_id, n.loc_id, {r('distance_km')} FROM pins LEFT JOIN (SELECT * FROM near

@@ -17,6 +17,8 @@ def build_session(app: str = "fieldcast", master: str | None = None,
     """
     b = (SparkSession.builder.appName(app)
          .config("spark.sql.session.timeZone", "UTC")
+         # no Python call site per column: plans here hold hundreds of columns
+         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          # split a hot partition even where that costs one more exchange
