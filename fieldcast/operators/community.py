@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldcast import params as P
-from fieldcast.functions import sigmoid
+from fieldcast.functions import clock_hour, sigmoid
 from fieldcast.operators.coefficients import scalar_terms
 from fieldcast.operators.dedup import salted_join, top_by
-from fieldcast.operators.labels import species_array
+from fieldcast.operators.ranks import running_totals
 from fieldcast.operators.scoring import (effort_logit, reason, site_effects, weather_logit,
                                          with_terms)
 
@@ -17,19 +17,18 @@ from fieldcast.operators.scoring import (effort_logit, reason, site_effects, wea
 def user_lists(checklists: DataFrame, observations: DataFrame) -> DataFrame:
     """Each user's lists with their species count, numbered newest first.
 
-    Lists per user are numbered by a window over the user's own lists; a user
-    has far fewer lists than a task can sort.
+    The number is a running count with one bucket per day, so the lists of a
+    very busy user are sorted day by day and not in one task.
     """
-    n = (observations.groupBy("sub_id").agg(F.countDistinct("species_code").alias("n_species")))
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("observer").orderBy(F.col("obs_date").desc(),
-                                               F.col("obs_time").desc_nulls_last(), "sub_id")
-    return (checklists.select("observer", "sub_id", "loc_id", "obs_date", "obs_time",
-                              "duration_hrs")
-            .join(n, "sub_id", "left")
-            .withColumn("n_species", F.coalesce("n_species", F.lit(0)))
-            .withColumn("position", F.row_number().over(w)))
+    n = observations.groupBy("sub_id").agg(F.countDistinct("species_code").alias("n_species"))
+    newest = F.struct((-F.unix_date("obs_date")).alias("day"),
+                      F.coalesce(-clock_hour(F.col("obs_time")), F.lit(1.0)).alias("time"),
+                      F.col("sub_id").alias("id"))
+    rows = (checklists.select("observer", "sub_id", "loc_id", "obs_date", "obs_time", "duration_hrs")
+            .withColumn("newest", newest).withColumn("one", F.lit(1)))
+    numbered = running_totals(rows, ["observer"], "newest", F.col("newest.day"), {"one": "position"})
+    return (numbered.drop("newest", "one", "position_all").join(n, "sub_id", "left")
+            .withColumn("n_species", F.coalesce("n_species", F.lit(0))))
 
 
 def user_summary(checklists: DataFrame, observations: DataFrame) -> DataFrame:
@@ -85,8 +84,6 @@ def expected_species(table: DataFrame, coefs: DataFrame, min_support: float = P.
 def leaderboard(table: DataFrame, coefs: DataFrame, min_support: float = P.MIN_PER_HOUR
                 ) -> DataFrame:
     """Users per month by species found over species expected for their effort."""
-    from pyspark.sql.window import Window
-
     month = F.date_format("obs_date", "yyyy-MM")
     scored = expected_species(table, coefs, min_support)
     found = scored.groupBy("observer", month.alias("month")).agg(

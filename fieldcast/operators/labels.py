@@ -10,10 +10,15 @@ from fieldcast.operators.outings import is_species
 
 
 def species_floor(observations: DataFrame, min_detections: int = P.MIN_DETECTIONS) -> DataFrame:
-    """Species with enough detections over all recorded outings."""
-    pairs = (observations.where(is_species(F.col("species_code")))
-             .select("sub_id", "species_code").distinct())
-    return (pairs.groupBy("species_code").agg(F.count(F.lit(1)).alias("detections"))
+    """Species with enough detections over all recorded outings.
+
+    Distinct (outing, species) pairs come as one set per outing: the exchange
+    then carries each outing id once instead of once per species.
+    """
+    sets = (observations.where(is_species(F.col("species_code")))
+            .groupBy("sub_id").agg(F.collect_set("species_code").alias("seen")))
+    return (sets.select(F.explode("seen").alias("species_code"))
+            .groupBy("species_code").agg(F.count(F.lit(1)).alias("detections"))
             .where(F.col("detections") >= min_detections))
 
 

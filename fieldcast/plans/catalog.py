@@ -666,10 +666,10 @@ def stream_ingest(d: Domain) -> DataFrame:
         part.select("json").write.mode("append").text(f"{root}/landing")
     ingest.ingest(d.spark, f"{root}/landing", f"{root}/store", f"{root}/checkpoint", "R1",
                   files_per_trigger=8).awaitTermination()
-    stored = tables.read_table(d.spark, f"{root}/store/checklists", tables.CHECKLISTS)
+    lists = tables.read_table(d.spark, f"{root}/store/checklists", tables.CHECKLISTS)
     seen = tables.read_table(d.spark, f"{root}/store/observations", tables.OBSERVATIONS)
     per = seen.groupBy("sub_id").agg(F.count(F.lit(1)).alias("n_obs"))
-    return (stored.join(per, "sub_id", "left")
+    return (lists.join(per, "sub_id", "left")
             .select("sub_id", "loc_id", "obs_date", "richness",
                     F.coalesce("n_obs", F.lit(0)).alias("n_obs")))
 
