@@ -97,12 +97,31 @@ def term_block(coefs: DataFrame, prefix: str, key: str, value: str, key_type: st
             .select("species_code", k.alias(key), F.col("value").alias(value)))
 
 
-def scalar_terms(coefs: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-    """One row per species with its scalar terms as columns, missing ones 0."""
+def heads(coefs: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """One row per species with everything but its own site effects.
+
+    Scalar terms as columns ``b_<term>`` (0 when missing), and hour, support
+    and week terms as arrays by number (null when missing). A scoring plan then
+    needs one lookup by species, which the species list bounds, and finds the
+    rest by position.
+    """
     names = [*P.SCALAR_TERMS, *extra]
-    return (coefs.where(F.col("term").isin(*names)).groupBy("species_code")
-            .agg(*[F.coalesce(F.max(F.when(F.col("term") == n, F.col("value"))), F.lit(0.0))
-                   .alias(f"b_{n}") for n in names]))
+    term, value = F.col("term"), F.col("value")
+    number = F.substring_index("term", "_", -1).try_cast("int")
+
+    def block(prefix: str, size: int) -> tuple[Column, Column]:
+        entries = F.collect_list(F.when(term.startswith(prefix + "_") & number.isNotNull(),
+                                        F.struct(number.alias("k"), value.alias("v"))))
+        at = F.transform(F.sequence(F.lit(0), F.lit(size - 1)),
+                         lambda i: F.try_element_at(F.col(f"_{prefix}"), i))
+        return F.map_from_entries(entries).alias(f"_{prefix}"), at.alias(f"{prefix}_terms")
+
+    blocks = [block("hour", 25), block("support", 25), block("week", P.WEEKS_IN_YEAR)]
+    scalars = [F.coalesce(F.max(F.when(term == n, value)), F.lit(0.0)).alias(f"b_{n}")
+               for n in names]
+    return (coefs.where(~term.startswith("site_") & ~term.startswith("meta_"))
+            .groupBy("species_code").agg(*scalars, *[m for m, _ in blocks])
+            .select("species_code", *[f"b_{n}" for n in names], *[at for _, at in blocks]))
 
 
 def model_meta(coefs: DataFrame, hotspots: DataFrame) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from fieldcast import params as P
 from fieldcast.functions import clock_hour, sigmoid
-from fieldcast.operators.coefficients import scalar_terms
 from fieldcast.operators.dedup import salted_join, top_by
 from fieldcast.operators.ranks import running_totals
 from fieldcast.operators.scoring import (effort_logit, reason, site_effects, weather_logit,
@@ -68,9 +67,8 @@ def expected_species(table: DataFrame, coefs: DataFrame, min_support: float = P.
             "cloud_mean"]
     wide = salted_join(table.select(*keep), packed, ["site"], "inner", F.col("sub_id"), salts)
     long = wide.select(*[c for c in keep if c != "site"], F.inline("effects"))
-    cells = with_terms(long.withColumnRenamed("hr", "hour"), coefs)
-    scored = (cells.where(reason(min_support).isNull())
-              .join(scalar_terms(coefs), "species_code", "inner"))
+    cells = with_terms(long.withColumnRenamed("hr", "hour"), coefs, "inner")
+    scored = cells.where(reason(min_support).isNull())
     total = (F.col("b_intercept") + F.coalesce("hour_term", F.lit(0.0)) + F.col("week_term")
              + F.col("site_effect")
              + effort_logit(F.col("duration_hrs"), F.coalesce("distance_km", F.lit(0.0)),

@@ -22,10 +22,11 @@ from pyspark.sql import functions as F
 
 from fieldcast import params as P
 from fieldcast.functions import sigmoid
-from fieldcast.operators.coefficients import scalar_terms, term_block
+from fieldcast.operators.coefficients import term_block
 from fieldcast.operators.dedup import salted_join
 from fieldcast.operators.evaluation import eval_metrics, group_holdout
 from fieldcast.operators.labels import species_array
+from fieldcast.operators.scoring import with_terms
 from fieldcast.session import stored
 
 
@@ -187,8 +188,7 @@ def predict(rows: DataFrame, coefs: DataFrame, design: Design = Design(), salts:
     A level without a term adds nothing, as an unknown level should. Site
     effects of all species come as one map per site, joined at the size of the
     rows and salted, since the pooled site holds about half of them. The rows x
-    species product is an in-stage explode; hour and week terms are bounded
-    lookups.
+    species product is an in-stage explode; all other terms come by species.
     """
     total = F.col("b_intercept")
     for c in design.numeric:
@@ -200,12 +200,10 @@ def predict(rows: DataFrame, coefs: DataFrame, design: Design = Design(), salts:
         rows = salted_join(rows, effects, ["site"], "left", F.col("sub_id"), salts)
         total = total + F.coalesce(F.try_element_at("site_effects", F.col("species_code")),
                                    F.lit(0.0))
-    long = rows.withColumn("species_code", F.explode(species_array(coefs)))
-    for c, prefix in (("hr", "hour"), ("week", "week")):
-        long = long.join(term_block(coefs, prefix, c, f"{c}_term", "int"), ["species_code", c], "left")
-        total = total + F.coalesce(f"{c}_term", F.lit(0.0))
     extra = [c for c in design.numeric if c not in P.NUMERIC]
-    long = long.join(scalar_terms(coefs, extra), "species_code", "inner")
+    long = with_terms(rows.withColumn("species_code", F.explode(species_array(coefs)))
+                      .withColumn("hour", F.col("hr")), coefs, "inner", extra)
+    total = total + F.coalesce("hour_term", F.lit(0.0)) + F.coalesce("week_term", F.lit(0.0))
     return long.select("species_code", sigmoid(total).alias("p"),
                        F.array_contains("seen", F.col("species_code")).cast("int").alias("y"))
 

@@ -14,12 +14,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from fieldcast import params as P
 from fieldcast.functions import round_half_up_int, sigmoid, week_of
-from fieldcast.operators.coefficients import scalar_terms, term_block
-from fieldcast.operators.dedup import keep_first, top_by
+from fieldcast.operators.coefficients import heads, term_block
+from fieldcast.operators.dedup import top_by
 from fieldcast.operators.labels import species_array
 
 WEATHER = ("wind_max", "temp_mean", "precip_sum", "cloud_mean")
@@ -82,22 +81,20 @@ def reason(min_support: float, has_weather: Column | None = None) -> Column:
     return r if has_weather is None else F.when(~has_weather, "forecast").otherwise(r)
 
 
-def with_terms(cells: DataFrame, coefs: DataFrame) -> DataFrame:
-    """Attach hour, week and support terms to cells that have species_code,
-    hour and week. Lookups are bounded by species x 24 and species x 53."""
-    hours = (term_block(coefs, "hour", "hour", "hour_term", "int")
-             .join(term_block(coefs, "support", "hour", "support", "int"),
-                   ["species_code", "hour"], "full_outer"))
-    weeks = term_block(coefs, "week", "week", "week_term", "int")
-    return (cells.join(hours, ["species_code", "hour"], "left")
-            .join(weeks, ["species_code", "week"], "left"))
+def with_terms(cells: DataFrame, coefs: DataFrame, how: str = "left",
+               extra: Sequence[str] = ()) -> DataFrame:
+    """Attach a species' terms to cells that have species_code, hour and week."""
+    return (cells.join(heads(coefs, extra), "species_code", how)
+            .withColumn("hour_term", F.get("hour_terms", F.col("hour")))
+            .withColumn("support", F.get("support_terms", F.col("hour")))
+            .withColumn("week_term", F.get("week_terms", F.col("week"))))
 
 
 def unavailable(cells: DataFrame, coefs: DataFrame, min_support: float = P.MIN_PER_HOUR
                 ) -> DataFrame:
     """Reason per (species, day, hour) cell; the hour is checked before the week."""
     return (with_terms(cells, coefs).withColumn("reason", reason(min_support))
-            .drop("hour_term", "week_term", "support"))
+            .select(*cells.columns, "reason"))
 
 
 def effort_logit(duration: Column, distance: Column, observers: Column, traveling: Column) -> Column:
@@ -142,8 +139,8 @@ def area_slots(coefs: DataFrame, spans: DataFrame, area: Sequence[str], outing:
     """All site-free parts of the sum per (species, area), packed in an array."""
     cells = (spans.withColumn("week", week_of(F.col("day")))
              .withColumn("species_code", F.explode(species_array(coefs))))
-    scored = (with_terms(cells, coefs).join(scalar_terms(coefs), "species_code", "left")
-              .withColumn("reason", reason(min_support, F.col("n_hours") > 0)))
+    scored = with_terms(cells, coefs).withColumn(
+        "reason", reason(min_support, F.col("n_hours") > 0))
     part = (F.coalesce("b_intercept", F.lit(0.0)) + F.coalesce("hour_term", F.lit(0.0))
             + F.coalesce("week_term", F.lit(0.0)) + _outing_columns(outing) + weather_logit())
     slot = F.struct("day", "hour", "reason",
@@ -174,12 +171,10 @@ def drivers(coefs: DataFrame, cells: DataFrame, outing: Outing = Outing()) -> Da
     support floor does not apply. Points need not add up to the total, and a
     week without a term gives null throughout.
     """
-    terms = with_terms(cells.withColumn("week", week_of(F.col("day"))), coefs)
-    ref = (term_block(coefs, "hour", "ref_hour", "ref_hour_term", "int")
-           .where(F.col("ref_hour") == P.REFERENCE_HOUR).drop("ref_hour"))
-    df = (terms.join(ref, "species_code", "left").join(scalar_terms(coefs), "species_code", "left"))
+    df = with_terms(cells.withColumn("week", week_of(F.col("day"))), coefs)
     zero = F.lit(0.0)
-    hour_now, hour_ref = F.coalesce("hour_term", zero), F.coalesce("ref_hour_term", zero)
+    hour_now = F.coalesce("hour_term", zero)
+    hour_ref = F.coalesce(F.get("hour_terms", F.lit(P.REFERENCE_HOUR)), zero)
     now, brief = _outing_columns(outing), _outing_columns(outing, P.REFERENCE_DURATION_HRS)
     wx_now, wx_ref = weather_logit(), weather_logit({"wind_max": F.lit(P.REFERENCE_WIND)})
     fixed = F.coalesce("b_intercept", zero) + F.col("week_term") + F.col("site_effect")
@@ -254,8 +249,7 @@ def weather_effect(coefs: DataFrame, best: DataFrame, outing: Outing = Outing())
     ``best`` is the first site per slice with site_effect and probability.
     """
     median = {k: F.lit(v) for k, v in P.MEDIAN_WEATHER.items()}
-    df = (with_terms(best.withColumn("week", week_of(F.col("day"))), coefs)
-          .join(scalar_terms(coefs), "species_code", "left"))
+    df = with_terms(best.withColumn("week", week_of(F.col("day"))), coefs)
     at_median = sigmoid(F.coalesce("b_intercept", F.lit(0.0)) + F.coalesce("hour_term", F.lit(0.0))
                         + F.col("week_term") + F.col("site_effect") + _outing_columns(outing)
                         + weather_logit(median))
