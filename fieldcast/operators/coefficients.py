@@ -131,11 +131,9 @@ def model_meta(coefs: DataFrame, hotspots: DataFrame) -> DataFrame:
                     | (F.col("term") == "intercept"))
     of = lambda p: F.sort_array(F.collect_set(
         F.when(F.col("term").startswith(p), number)))
-    one = F.lit(1).alias("_one")
-    m = c.agg(F.countDistinct("species_code").alias("species"),
-              of("week_").alias("modelled_weeks"), of("hour_").alias("modelled_hours"))
-    h = hotspots.agg(F.count(F.lit(1)).alias("hotspots"))
-    return (m.withColumn("_one", one).join(h.withColumn("_one", one), "_one").drop("_one")
+    return (c.agg(F.countDistinct("species_code").alias("species"),
+                  of("week_").alias("modelled_weeks"), of("hour_").alias("modelled_hours"))
+            .withColumn("hotspots", hotspots.agg(F.count(F.lit(1))).scalar())
             .withColumns({k: F.lit(v) for k, v in P.EXTENT.items()}))
 
 

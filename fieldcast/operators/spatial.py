@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldcast import params as P
-from fieldcast.functions import haversine_km, week_of
+from fieldcast.functions import haversine_km
 from fieldcast.functions.place import cube
 from fieldcast.operators.dedup import top_by
 
@@ -88,34 +88,48 @@ def nearby_ranked(points: DataFrame, hotspots: DataFrame, best: DataFrame, k: in
                   [F.round("best_probability", 9).desc_nulls_last(), F.col("loc_id")], k, "position")
 
 
+def _rounded(column: str, decimals: int) -> Column:
+    scale = F.lit(float(10 ** decimals))
+    return F.rint(F.col(column) * scale) / scale
+
+
+def _recent(sightings: DataFrame, as_of: str, back_days: int) -> DataFrame:
+    end = F.lit(as_of).cast("date")
+    return sightings.where(F.col("obs_date").between(F.date_sub(end, back_days), end))
+
+
 def recent_nearby(sightings: DataFrame, as_of: str, back_days: int = 14, decimals: int = 1
                   ) -> DataFrame:
     """Species seen lately per rounded coordinate bucket, with the last date.
 
-    ``sightings`` has sub_id, species_code, lat, lon, obs_date. The bucket is
-    the cache key that lets near users share one answer.
+    ``sightings`` has sub_id, species_code, lat, lon, obs_date.
     """
-    end = F.lit(as_of).cast("date")
-    scale = 10 ** decimals
-    b = lambda c: F.rint(F.col(c) * F.lit(float(scale))) / F.lit(float(scale))
-    return (sightings.where(F.col("obs_date").between(F.date_sub(end, back_days), end))
-            .groupBy(b("lat").alias("blat"), b("lon").alias("blon"), "species_code")
+    return (_recent(sightings, as_of, back_days)
+            .groupBy(_rounded("lat", decimals).alias("blat"),
+                     _rounded("lon", decimals).alias("blon"), "species_code")
             .agg(F.max("obs_date").alias("last_seen"), F.count(F.lit(1)).alias("n_lists")))
 
 
-def within_radius(sightings: DataFrame, points: DataFrame, radius_km: float) -> DataFrame:
-    """Species seen within a radius of each point.
+def recent_around(sightings: DataFrame, points: DataFrame, as_of: str,
+                  radius_km: float = P.NEARBY_KM, back_days: int = 14, decimals: int = 1
+                  ) -> DataFrame:
+    """Species seen lately within a radius of each point's rounded coordinates.
 
-    Sightings are first combined per exact coordinate and species, so a busy
-    site meets a point once per species.
+    Points that round to the same place share one answer, so the search runs
+    once per place however many points it has. Sightings are first combined per
+    exact coordinate and species: a busy site meets a place once per species.
     """
-    combined = (sightings.groupBy("lat", "lon", "species_code")
-                .agg(F.max("obs_date").alias("last_seen"), F.count(F.lit(1)).alias("n_lists"))
-                .select(F.col("lat").alias("latitude"), F.col("lon").alias("longitude"),
-                        "species_code", "last_seen", "n_lists")
-                .withColumn("cube", cube(F.col("latitude"), F.col("longitude"), radius_km)))
-    p = points.withColumn("cube", F.explode(_around(cube(F.col("lat"), F.col("lon"), radius_km))))
-    d = haversine_km(F.col("lat"), F.col("lon"), F.col("latitude"), F.col("longitude"))
-    return (p.join(combined, "cube", "inner").where(d <= radius_km)
-            .groupBy("point_id", "species_code")
-            .agg(F.max("last_seen").alias("last_seen"), F.sum("n_lists").alias("n_lists")))
+    seen = (_recent(sightings, as_of, back_days).groupBy("lat", "lon", "species_code")
+            .agg(F.max("obs_date").alias("last_seen"), F.count(F.lit(1)).alias("n_lists"))
+            .withColumn("cube", cube(F.col("lat"), F.col("lon"), radius_km)))
+    points = (points.withColumn("blat", _rounded("lat", decimals))
+              .withColumn("blon", _rounded("lon", decimals)))
+    places = points.select("blat", "blon").where(
+        F.col("blat").isNotNull() & F.col("blon").isNotNull()).distinct().withColumn(
+        "cube", F.explode(_around(cube(F.col("blat"), F.col("blon"), radius_km))))
+    d = haversine_km(F.col("blat"), F.col("blon"), F.col("lat"), F.col("lon"))
+    answers = (places.join(seen, "cube", "inner").where(d <= radius_km)
+               .groupBy("blat", "blon", "species_code")
+               .agg(F.max("last_seen").alias("last_seen"), F.sum("n_lists").alias("n_lists")))
+    return (points.select("point_id", "blat", "blon").join(answers, ["blat", "blon"], "inner")
+            .drop("blat", "blon"))

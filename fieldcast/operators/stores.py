@@ -93,8 +93,8 @@ def site_census(checklists: DataFrame, locations: DataFrame) -> DataFrame:
     needed = checklists.select("loc_id").distinct()
     known = locations.select("loc_id").distinct()
     need = needed.join(known.withColumn("_known", F.lit(True)), "loc_id", "left").agg(
-        F.count(F.lit(1)).alias("n_needed"),
-        F.count_if(F.col("_known").isNull()).alias("n_missing"))
+        F.struct(F.count(F.lit(1)).alias("n_needed"),
+                 F.count_if(F.col("_known").isNull()).alias("n_missing"))).scalar()
     placed = F.col("lat").isNotNull()
     have = locations.agg(
         F.count(F.lit(1)).alias("n_sites"),
@@ -104,8 +104,7 @@ def site_census(checklists: DataFrame, locations: DataFrame) -> DataFrame:
         F.min(F.when(placed, F.col("lon"))).alias("lon_min"),
         F.max(F.when(placed, F.col("lon"))).alias("lon_max"))
     span = (F.col("lat_max") - F.col("lat_min")) * F.lit(111.0)
-    one = F.lit(1).alias("_one")
-    return (have.withColumn("_one", one).join(need.withColumn("_one", one), "_one").drop("_one")
+    return (have.withColumn("need", need).select("*", "need.n_needed", "need.n_missing").drop("need")
             .withColumn("hotspot_share",
                         F.try_divide(F.col("n_hotspots").cast("double"), F.col("n_sites")))
             .withColumn("span_km", span)

@@ -20,8 +20,9 @@ from fieldcast.streaming import ingest
 
 QUERIES: dict[str, Callable[[Domain], DataFrame]] = {}
 DIGITS = 6
-# sums of thousandths over 80 rows end in a tie at six digits
-FINER = dict.fromkeys(("calibration_table", "calibration_mae", "eval_metrics", "eval_summary"), 9)
+# means of short decimals can end in a tie at six digits
+FINER = dict.fromkeys(("calibration_table", "calibration_mae", "eval_metrics", "eval_summary",
+                       "weather_span", "weather_dedup", "weather_unzip", "forecast_span"), 9)
 
 
 def query(fn: Callable[[Domain], DataFrame]) -> Callable[[Domain], DataFrame]:
@@ -582,9 +583,7 @@ def recent_nearby(d: Domain) -> DataFrame:
 
 @query
 def recent_radius(d: Domain) -> DataFrame:
-    end = F.lit("2024-01-29").cast("date")
-    recent = d.sightings.where(F.col("obs_date").between(F.date_sub(end, 14), end))
-    return spatial.within_radius(recent, d.pins.select("point_id", "lat", "lon"), 2.0)
+    return spatial.recent_around(d.sightings, d.pins.select("point_id", "lat", "lon"), "2024-01-29")
 
 
 @query
@@ -677,7 +676,8 @@ def stream_ingest(d: Domain) -> DataFrame:
 @query
 def model_wide(d: Domain) -> DataFrame:
     """The wide model table, one 0/1 column per qualifying species."""
-    floor = labels.species_floor(d.observations)
+    floor = labels.species_floor(d.observations, 100)
+    # the column list: bounded by the species list
     codes = sorted(r["species_code"] for r in floor.select("species_code").collect())
     t = model_table(d.checklists, d.locations, d.observations, d.weather)
     return labels.wide_labels(t.select("sub_id", "richness", "hr", "week", "site", "seen"), codes)

@@ -106,12 +106,12 @@ BODIES: dict[str, str] = {
  CASE WHEN (distance_km IS NULL AND protocol = 'traveling') OR distance_km < 0 THEN 'distance_km' END,
  CASE WHEN (party_size IS NULL AND protocol <> 'incidental') OR party_size NOT BETWEEN 1 AND 50 THEN 'party_size' END)
  AS problems FROM logged)""",
-    "weather_span": f"""SELECT sub_id, clat, clon, {r('hour', 'wind_max', 'precip_sum', 'temp_mean', 'cloud_mean', 'humid_mean')},
+    "weather_span": f"""SELECT sub_id, clat, clon, {r('hour', 'wind_max', 'precip_sum', 'temp_mean', 'cloud_mean', 'humid_mean', digits=9)},
  n_wx_hours FROM model""",
     "weather_gap": f"SELECT clat, clon, {day('date')} FROM {GAPPED}",
     "weather_gap_ranges": f"""SELECT clat, clon, CAST(min(date) AS VARCHAR) AS from_date,
  CAST(max(date) AS VARCHAR) AS to_date, count(*) AS n_days FROM {GAPPED} GROUP BY 1, 2""",
-    "weather_dedup": f"""SELECT clat, clon, {TS.format('ts')} AS ts, {r('wind', 'precip', 'temp', 'cloud', 'humid')}
+    "weather_dedup": f"""SELECT clat, clon, {TS.format('ts')} AS ts, {r('wind', 'precip', 'temp', 'cloud', 'humid', digits=9)}
  FROM (SELECT *, row_number() OVER (PARTITION BY clat, clon, ts ORDER BY batch DESC) AS rn FROM (
   SELECT 0 AS batch, * FROM weather UNION ALL
   SELECT 1, 40.25::DOUBLE + 0.25::DOUBLE * (user_id % 3) AS clat,
@@ -124,7 +124,7 @@ BODIES: dict[str, str] = {
  FROM (SELECT 'wind_max' AS variable, wind_max AS x FROM model UNION ALL SELECT 'temp_mean', temp_mean FROM model
  UNION ALL SELECT 'precip_sum', precip_sum FROM model UNION ALL SELECT 'cloud_mean', cloud_mean FROM model)
  WHERE x IS NOT NULL GROUP BY 1)""",
-    "weather_unzip": f"""SELECT clat, clon, {TS.format('ts')} AS ts, {r('temp', 'precip', 'wind', 'cloud', 'humid')},
+    "weather_unzip": f"""SELECT clat, clon, {TS.format('ts')} AS ts, {r('temp', 'precip', 'wind', 'cloud', 'humid', digits=9)},
  CAST(NULL AS DOUBLE) AS pressure FROM weather""",
     "presence_absence": "SELECT sub_id, species_code, y FROM labels_long",
     "species_floor": "SELECT * FROM floor_species",
@@ -139,7 +139,9 @@ BODIES: dict[str, str] = {
     "model_census": f"""SELECT count(*) AS n_rows, count(DISTINCT obs_date) AS n_days,
  count(DISTINCT loc_id) FILTER (is_hotspot) AS n_hotspots, count(DISTINCT loc_id) FILTER (NOT is_hotspot) AS n_personal
  FROM model WHERE {ELIGIBLE_ON}""",
-    "model_wide": "",
+    "model_wide": f"""SELECT m.sub_id, m.richness, m.hr, m.week, m.site, {", ".join(
+ f"CAST(count(*) FILTER (species_code = 'sp{i:02d}') > 0 AS INTEGER) AS y_sp{i:02d}" for i in range(3, 40))}
+ FROM model m LEFT JOIN observations o USING (sub_id) GROUP BY ALL""",
     "flatten_checklists": f"""SELECT sub_id, loc_id, 'R1' AS region, concat_ws(' ', CAST(obs_date AS VARCHAR), obs_time) AS obs_dt,
  {day('obs_date')}, obs_time, {r('duration_hrs', 'distance_km')}, n_observers, protocol_id, all_reported,
  coalesce(n, 0) AS richness, observer FROM checklists
@@ -198,7 +200,7 @@ BODIES: dict[str, str] = {
  (SELECT array_to_string(list_sort(list(DISTINCT CAST(substr(term, 6) AS INTEGER))), ',') FROM coefs WHERE term LIKE 'hour_%') AS modelled_hours,
  (SELECT count(*) FROM site_names) AS hotspots, 40.19::DOUBLE AS lat_min, 40.68::DOUBLE AS lat_max,
  -80.34::DOUBLE AS lon_min, -79.69::DOUBLE AS lon_max""",
-    "forecast_span": f"""SELECT clat, clon, {day('day')}, hour, {r('wind_max', 'temp_mean', 'precip_sum', 'cloud_mean')},
+    "forecast_span": f"""SELECT clat, clon, {day('day')}, hour, {r('wind_max', 'temp_mean', 'precip_sum', 'cloud_mean', digits=9)},
  n_hours FROM spans3""",
     "unavailable": """SELECT b.species_code, CAST(day AS VARCHAR) AS day, hour, CASE WHEN coalesce(su.value, 0) < 50 THEN 'hour'
  WHEN wk.value IS NULL THEN 'week' END AS reason FROM scal b CROSS JOIN (SELECT DISTINCT day FROM fdays)
@@ -242,12 +244,15 @@ BODIES: dict[str, str] = {
     "recent_nearby": """SELECT round(round_even(lat * 10, 0) / 10, 6) AS blat, round(round_even(lon * 10, 0) / 10, 6) AS blon,
  species_code, CAST(max(obs_date) AS VARCHAR) AS last_seen, count(*) AS n_lists FROM sightings
  WHERE obs_date BETWEEN DATE '2024-01-15' AND DATE '2024-01-29' GROUP BY 1, 2, 3""",
-    "recent_radius": """SELECT point_id, species_code, CAST(max(last_seen) AS VARCHAR) AS last_seen, CAST(sum(n) AS BIGINT) AS n_lists
- FROM (SELECT p.point_id, s.*, 2 * 6371.0088::DOUBLE * asin(sqrt(pow(sin(radians(s.lat - p.lat) / 2), 2)
-   + cos(radians(p.lat)) * cos(radians(s.lat)) * pow(sin(radians(s.lon - p.lon) / 2), 2))) AS d
-  FROM (SELECT point_id, lat, lon FROM pins) p JOIN (SELECT lat, lon, species_code, max(obs_date) AS last_seen, count(*) AS n FROM sightings
-   WHERE obs_date BETWEEN DATE '2024-01-15' AND DATE '2024-01-29' GROUP BY 1, 2, 3) s
-  ON abs(s.lat - p.lat) < 0.03 AND abs(s.lon - p.lon) < 0.04) WHERE d <= 2 GROUP BY 1, 2""",
+    "recent_radius": """SELECT point_id, species_code, CAST(last_seen AS VARCHAR) AS last_seen, n_lists
+ FROM (SELECT point_id, round_even(lat * 10, 0) / 10 AS blat, round_even(lon * 10, 0) / 10 AS blon FROM pins)
+ JOIN (SELECT blat, blon, species_code, max(last_seen) AS last_seen, CAST(sum(n) AS BIGINT) AS n_lists FROM (
+  SELECT p.*, s.*, 2 * 6371.0088::DOUBLE * asin(sqrt(pow(sin(radians(s.lat - blat) / 2), 2)
+   + cos(radians(blat)) * cos(radians(s.lat)) * pow(sin(radians(s.lon - blon) / 2), 2))) AS d
+  FROM (SELECT DISTINCT round_even(lat * 10, 0) / 10 AS blat, round_even(lon * 10, 0) / 10 AS blon FROM pins) p
+  CROSS JOIN (SELECT lat, lon, species_code, max(obs_date) AS last_seen, count(*) AS n FROM sightings
+   WHERE obs_date BETWEEN DATE '2024-01-15' AND DATE '2024-01-29' GROUP BY 1, 2, 3) s) WHERE d <= 25
+  GROUP BY 1, 2, 3) USING (blat, blon)""",
     "user_lists": f"""SELECT observer, sub_id, loc_id, {day('obs_date')}, obs_time, {r('duration_hrs')}, coalesce(n, 0) AS n_species,
  row_number() OVER (PARTITION BY observer ORDER BY c.obs_date DESC, obs_time DESC NULLS LAST, sub_id) AS position
  FROM checklists c LEFT JOIN (SELECT sub_id, count(DISTINCT species_code) AS n FROM observations GROUP BY 1) USING (sub_id)""",
@@ -277,4 +282,4 @@ BODIES: dict[str, str] = {
 
 
 def statements() -> dict[str, str]:
-    return {k: with_tables(v) for k, v in BODIES.items() if v}
+    return {k: with_tables(v) for k, v in BODIES.items()}

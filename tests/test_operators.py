@@ -40,6 +40,22 @@ def test_eligibility(spark):
     assert sorted(r["sub_id"] for r in got.collect()) == ["edge", "ok"]
 
 
+def test_eligibility_rules_reach_the_scan(spark):
+    path = scratch_path(spark, "lists")
+    spark.createDataFrame([outing()], SCHEMA).write.parquet(path)
+    sites = spark.createDataFrame([("L", 40.4, -80.0, True)], tables.LOCATIONS)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    df = outings.eligible_outings(spark.read.parquet(path), sites)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = next(x for x in plan.splitlines() if "all_reported" in x and "PushedFilters" in x)
+    pushed = pushed[pushed.index("PushedFilters"):]
+    for part in ("EqualTo(all_reported,true)", "In(protocol_id", "GreaterThanOrEqual(duration_hrs",
+                 "IsNotNull(obs_time)"):
+        assert part in pushed
+    assert df.count() == 1
+
+
 def hourly(spark, hours, day=D(2024, 1, 1)):
     base = dt.datetime.combine(day, dt.time())
     return spark.createDataFrame(
