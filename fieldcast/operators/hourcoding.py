@@ -58,8 +58,8 @@ def dummy_columns(hours: Sequence[int], reference: int = REFERENCE) -> dict[str,
     return {f"hour_{h:02d}": (F.col("hr") == h).cast("double") for h in hours if h != reference}
 
 
-def fit_logit(table: DataFrame, species: str, columns: dict[str, Column]
-              ) -> GeneralizedLinearRegressionModel:
+def fit_unpenalised(table: DataFrame, species: str, columns: dict[str, Column]
+                    ) -> GeneralizedLinearRegressionModel:
     """Unpenalised logistic fit with standard errors."""
     df = table.select(F.array_contains("seen", species).cast("double").alias("label"),
                       *[c.cast("double").alias(k) for k, c in columns.items()])
@@ -88,7 +88,7 @@ def hour_coding(table: DataFrame, species: str, min_per_hour: int = P.MIN_PER_HO
         spline = {f"hour_s{i + 1}": c for i, c in enumerate(spline_columns(rows, "hour", 4))}
         out = []
         for name, extra in (("spline", spline), ("dummy", dummy_columns(hours))):
-            s = fit_logit(rows, species, {**base, **extra}).summary
+            s = fit_unpenalised(rows, species, {**base, **extra}).summary
             out.append((name, n, len(base) + len(extra), float(s.aic),
                         1.0 - float(s.deviance) / float(s.nullDeviance)))
         return spark.createDataFrame(out, schema)
@@ -104,7 +104,7 @@ def odds_ratios(table: DataFrame, species: str, min_per_hour: int = P.MIN_PER_HO
         found = []
         if hours:
             columns = {**base_columns(rows), **dummy_columns(hours)}
-            model = fit_logit(rows, species, columns)
+            model = fit_unpenalised(rows, species, columns)
             names, pv = list(columns), model.summary.pValues
             found = [(int(k[5:]), float(math.exp(model.coefficients[i])), float(pv[i]),
                       bool(pv[i] < 0.05))
@@ -135,7 +135,7 @@ def worked_example(table: DataFrame, species: str, hours: Sequence[int] = EXAMPL
         if not fitted:
             return spark.createDataFrame([], schema)
         columns = {**base_columns(rows), **dummy_columns(fitted)}
-        model = fit_logit(rows, species, columns)
+        model = fit_unpenalised(rows, species, columns)
         ends = rows.agg(F.min("doy"), F.max("doy")).first()
     finally:
         rows.unpersist()
