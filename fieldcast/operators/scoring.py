@@ -134,18 +134,24 @@ def site_effects(coefs: DataFrame, sites: DataFrame) -> DataFrame:
             .drop("own_effect", "pooled"))
 
 
-def area_slots(coefs: DataFrame, spans: DataFrame, area: Sequence[str], outing: Outing,
-               min_support: float = P.MIN_PER_HOUR) -> DataFrame:
-    """All site-free parts of the sum per (species, area), packed in an array."""
+def site_free_sums(coefs: DataFrame, spans: DataFrame, outing: Outing,
+                   min_support: float = P.MIN_PER_HOUR) -> DataFrame:
+    """The reason, or all parts of the sum but the site's, per species and span."""
     cells = (spans.withColumn("week", week_of(F.col("day")))
              .withColumn("species_code", F.explode(species_array(coefs))))
     scored = with_terms(cells, coefs).withColumn(
         "reason", reason(min_support, F.col("n_hours") > 0))
     part = (F.coalesce("b_intercept", F.lit(0.0)) + F.coalesce("hour_term", F.lit(0.0))
             + F.coalesce("week_term", F.lit(0.0)) + _outing_columns(outing) + weather_logit())
-    slot = F.struct("day", "hour", "reason",
-                    F.when(F.col("reason").isNull(), part).alias("part"), *WEATHER)
-    return scored.groupBy("species_code", *area).agg(F.collect_list(slot).alias("slots"))
+    return scored.withColumn("part", F.when(F.col("reason").isNull(), part))
+
+
+def area_slots(coefs: DataFrame, spans: DataFrame, area: Sequence[str], outing: Outing,
+               min_support: float = P.MIN_PER_HOUR) -> DataFrame:
+    """Site-free sums per (species, area), packed in one array of a week's slots."""
+    slot = F.struct("day", "hour", "reason", "part", *WEATHER)
+    return (site_free_sums(coefs, spans, outing, min_support)
+            .groupBy("species_code", *area).agg(F.collect_list(slot).alias("slots")))
 
 
 def score_grid(coefs: DataFrame, spans: DataFrame, sites: DataFrame, area: Sequence[str],
@@ -236,13 +242,43 @@ def best_window(grid: DataFrame, keys: Sequence[str] = ("species_code", "loc_id"
                     "b.probability", *[f"b.{c}" for c in carry]))
 
 
-def species_shortlist(grid: DataFrame, k: int = 24,
+def shortlist_of_grid(grid: DataFrame, k: int = 24,
                       keys: Sequence[str] = ("loc_id", "day", "hour")) -> DataFrame:
-    """Likeliest species at a site, day and hour."""
+    """Likeliest species at a site, day and hour, from a stored grid."""
     return top_by(grid.where(F.col("probability").isNotNull()), keys,
                   [by_probability().desc(), F.col("species_code")], k, "rank")
 
 
+def species_shortlist(coefs: DataFrame, spans: DataFrame, sites: DataFrame, area: Sequence[str],
+                      outing: Outing = Outing(), k: int = 24,
+                      min_support: float = P.MIN_PER_HOUR) -> DataFrame:
+    """Likeliest species at every site, day and hour, straight from the terms.
+
+    All species of a slot sit in one array, as do all effects of a site, both
+    bounded by the species list. They meet by area, and each row sorts its own
+    short array: the grid of species x sites x slots is never shuffled.
+    """
+    area = list(area)
+    parts = (site_free_sums(coefs, spans, outing, min_support).where(F.col("reason").isNull())
+             .groupBy(*area, "day", "hour")
+             .agg(F.collect_list(F.struct("species_code", "part")).alias("parts"))
+             .groupBy(*area).agg(F.collect_list(F.struct("day", "hour", "parts")).alias("slots")))
+    effects = (site_effects(coefs, sites.select("loc_id", *area)).groupBy("loc_id", *area)
+               .agg(F.map_from_entries(F.collect_list(F.struct("species_code", "site_effect")))
+                    .alias("effects")))
+    rows = effects.join(parts, area, "inner").select("loc_id", "effects", F.inline("slots"))
+
+    def scored(x: Column) -> Column:
+        p = sigmoid(x["part"] + F.try_element_at("effects", x["species_code"]))
+        return F.struct((-F.round(p, 9)).alias("order"), x["species_code"].alias("species_code"),
+                        p.alias("probability"))
+
+    best = F.slice(F.sort_array(F.transform("parts", scored)), 1, k)
+    return (rows.select("loc_id", "day", "hour", F.posexplode(best))
+            .select("loc_id", "day", "hour", (F.col("pos") + 1).alias("rank"),
+                    "col.species_code", "col.probability"))
+
+
 def weather_effect(coefs: DataFrame, best: DataFrame, outing: Outing = Outing()) -> DataFrame:
     """Points that the forecast adds at the best site against median weather.
 

@@ -438,8 +438,7 @@ def best_hotspots(d: Domain) -> DataFrame:
 
 @query
 def species_shortlist(d: Domain) -> DataFrame:
-    return scoring.species_shortlist(d.grid).select(
-        "loc_id", "day", "hour", "rank", "species_code", "probability")
+    return scoring.species_shortlist(d.coefs, d.spans(), d.hotspots, ["clat", "clon"])
 
 
 @query

@@ -290,6 +290,17 @@ def test_score_grid(spark):
     assert got["H1", 11]["reason"] == "hour"
 
 
+def test_shortlist_equals_that_of_the_grid(spark):
+    both = coefs(spark).unionByName(coefs(spark, intercept=0.2, site_H1=-2.0).withColumn(
+        "species_code", F.lit("sq")))
+    got = scoring.species_shortlist(both, spans(spark), sites(spark), ["area"], k=1)
+    want = scoring.shortlist_of_grid(
+        scoring.score_grid(both, spans(spark), sites(spark), ["area"]), k=1)
+    got, want = ({(r["loc_id"], r["hour"], r["rank"]): (r["species_code"], r["probability"])
+                  for r in x.collect()} for x in (got, want))
+    assert got == want and got["H1", 8, 1][0] == "sp" and got["H2", 8, 1][0] == "sq"
+
+
 def test_refusal_order(spark):
     def reasons(sp):
         g = scoring.score_grid(coefs(spark), sp, sites(spark), ["area"])
