@@ -255,25 +255,27 @@ def species_shortlist(coefs: DataFrame, spans: DataFrame, sites: DataFrame, area
     """Likeliest species at every site, day and hour, straight from the terms.
 
     All species of a slot sit in one array, as do all effects of a site, both
-    bounded by the species list. They meet by area, and each row sorts its own
-    short array: the grid of species x sites x slots is never shuffled.
+    bounded by the species list and in its order. They meet by area, and each
+    row sorts its own short array: the grid of species x sites x slots is never
+    shuffled.
     """
     area = list(area)
-    parts = (site_free_sums(coefs, spans, outing, min_support).where(F.col("reason").isNull())
+    parts = (site_free_sums(coefs, spans, outing, min_support)
              .groupBy(*area, "day", "hour")
-             .agg(F.collect_list(F.struct("species_code", "part")).alias("parts"))
+             .agg(F.sort_array(F.collect_list(F.struct("species_code", "part"))).alias("parts"))
              .groupBy(*area).agg(F.collect_list(F.struct("day", "hour", "parts")).alias("slots")))
     effects = (site_effects(coefs, sites.select("loc_id", *area)).groupBy("loc_id", *area)
-               .agg(F.map_from_entries(F.collect_list(F.struct("species_code", "site_effect")))
+               .agg(F.sort_array(F.collect_list(F.struct("species_code", "site_effect")))
                     .alias("effects")))
     rows = effects.join(parts, area, "inner").select("loc_id", "effects", F.inline("slots"))
 
-    def scored(x: Column) -> Column:
-        p = sigmoid(x["part"] + F.try_element_at("effects", x["species_code"]))
+    def scored(x: Column, e: Column) -> Column:
+        p = sigmoid(x["part"] + e["site_effect"])
         return F.struct((-F.round(p, 9)).alias("order"), x["species_code"].alias("species_code"),
                         p.alias("probability"))
 
-    best = F.slice(F.sort_array(F.transform("parts", scored)), 1, k)
+    live = F.filter(F.zip_with("parts", "effects", scored), lambda x: x["order"].isNotNull())
+    best = F.slice(F.sort_array(live), 1, k)
     return (rows.select("loc_id", "day", "hour", F.posexplode(best))
             .select("loc_id", "day", "hour", (F.col("pos") + 1).alias("rank"),
                     "col.species_code", "col.probability"))

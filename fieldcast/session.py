@@ -21,6 +21,9 @@ def build_session(app: str = "fieldcast", master: str | None = None,
          .config("spark.python.sql.dataFrameDebugging.enabled", "false")
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
+         # rows expand about a hundredfold after an exchange (a site's week of
+         # slots), so small shuffles must still keep every core busy
+         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
          # split a hot partition even where that costs one more exchange
          .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true"))
     if master:
