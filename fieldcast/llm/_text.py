@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,25 +42,9 @@ def hashes(items: Column) -> Column:
     return F.transform(items, lambda w: F.xxhash64(w))
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches, in order, with about ``limit`` bytes or items of a
-    list, string or binary ``column``; a longer row comes alone."""
-    for batch in batches:
-        col = batch.column(column)
-        if pa.types.is_list(col.type) or pa.types.is_large_list(col.type):
-            size = col.value_lengths()
-        else:
-            size = pa.compute.binary_length(col)
-        start = held = 0
-        for i, n in enumerate(size.fill_null(0).to_pylist()):
-            if held and held + n > limit:
-                yield batch.slice(start, i - start)
-                start, held = i, 0
-            held += n
-        if start < batch.num_rows:
-            yield batch.slice(start)
-
-
-def fits(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has ``rows`` rows at most; reads no more than it must."""
-    return df.limit(rows + 1).count() <= rows
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it a name that ``df`` has no column of."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from fieldcast.llm._bytes import (U64, _tables, byte_values, mix, powers, spans, text_bytes,
                                   text_chunks)
 from fieldcast.llm._ship import shipped
+from fieldcast.llm._text import free_name
 
 BUCKETS = 1 << 18
 PER_CLASS = 1500
@@ -126,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, **option
     return train(rows["text"].to_pylist(), rows["_y"].to_pylist(), **options)
 
 
-def with_scores(docs: DataFrame, model: Model, name: str = "_score") -> DataFrame:
+def with_scores(docs: DataFrame, model: Model, name: str) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,12 +141,13 @@ def with_scores(docs: DataFrame, model: Model, name: str = "_score") -> DataFram
 
 def report(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
-    return with_scores(docs.select("doc_id", "text"), fit(docs, labels, **options)).select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"),
-        F.when(F.col("_score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
+    rows = with_scores(docs.select("doc_id", "text"), fit(docs, labels, **options), "score")
+    return rows.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+        F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
 def good_only(docs: DataFrame, labels: DataFrame, at: float = 0.5, **options) -> DataFrame:
     """The rows of ``docs`` that the classifier calls good more likely than not."""
-    return with_scores(docs, fit(docs, labels, **options)).where(F.col("_score") >= at) \
-        .select(*docs.columns)
+    name = free_name(docs, "score")
+    return with_scores(docs, fit(docs, labels, **options), name).where(F.col(name) >= at).drop(name)

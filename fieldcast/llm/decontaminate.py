@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from fieldcast.llm._bytes import U64, mix, powers, text_chunks, word_hashes
 from fieldcast.llm._ship import shipped
+from fieldcast.llm._text import free_name
 
 MASKS = ("111010010111", "110110101011", "101111000111", "111100110101")
 OVERLAP = 13
@@ -126,7 +127,7 @@ def item_blocks(benchmark: DataFrame, masks: tuple[str, ...], block: int) -> lis
 
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, overlap: int = OVERLAP,
-              masks: tuple[str, ...] = MASKS, block: int = BLOCK) -> DataFrame:
+              masks: tuple[str, ...] = MASKS, block: int = BLOCK, name: str = "hits") -> DataFrame:
     """``docs`` with ``hits``: per row and item the best verified overlap."""
     blocks = item_blocks(benchmark, masks, block)
 
@@ -138,9 +139,9 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, overlap: int = OVERLAP,
                 for r, hit in b.value.hits(words, rows, overlap).items():
                     got[r] += hit
             yield pa.RecordBatch.from_arrays(
-                [*part.columns, pa.array(got, _HIT)], names=[*part.schema.names, "hits"])
+                [*part.columns, pa.array(got, _HIT)], names=[*part.schema.names, name])
 
-    return shipped(docs).mapInArrow(scan, docs.select("*", F.lit(None).cast(HITS).alias("hits")).schema)
+    return shipped(docs).mapInArrow(scan, docs.select("*", F.lit(None).cast(HITS).alias(name)).schema)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -153,6 +154,5 @@ def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 def clean_only(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that share no passage with the benchmark."""
-    plain = docs.withColumnRenamed("hits", "_own_hits") if "hits" in docs.columns else docs
-    out = with_hits(plain, benchmark, **options).where(F.size("hits") == 0).drop("hits")
-    return out.toDF(*docs.columns)
+    name = free_name(docs, "hits")
+    return with_hits(docs, benchmark, name=name, **options).where(F.size(name) == 0).drop(name)

@@ -101,44 +101,41 @@ def _kept_text(text: Column, gone: Column) -> Column:
 
 
 def with_removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Every row of ``docs`` with ``_gone`` (null: nothing), ``_shared`` and
-    ``_kept``, the text without its later copies."""
-    d, t = _row_key()
-    keyed = docs.withColumns({"_d": d, "_t": t})
-    out = keyed.join(removals(docs, min_words).withColumnsRenamed(
-        {"gone": "_gone", "shared": "_shared"}), _KEY, "left").drop(*_KEY)
-    return out.withColumn("_kept", F.when(F.size("_gone") > 0, _kept_text(
-        F.col("text"), F.col("_gone"))).otherwise(F.col("text")))
+    """row (all columns of ``docs``), gone (null: nothing), shared, and kept, the
+    text without its later copies, for every row of ``docs``."""
+    out = docs.select(F.struct("*").alias("row"), *_row_key()).join(
+        removals(docs, min_words), _KEY, "left").drop(*_KEY)
+    text = F.col("row.text")
+    return out.withColumn("kept", F.when(F.size("gone") > 0, _kept_text(text, F.col("gone")))
+                          .otherwise(text))
 
 
 def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with later copies deleted from ``text`` and ``n_chars`` counted
     anew; a document of which no word is left goes."""
     out = with_removals(docs, min_words)
-    cut = F.size("_gone") > 0
-    out = out.where(~F.coalesce(cut, F.lit(False)) | has_word(F.col("_kept")))
-    length = F.when(cut, F.length("_kept").cast("long"))
-    return out.select(*[
-        F.col("_kept").alias(c) if c == "text"
-        else F.coalesce(length, F.col(c)).alias(c) if c == "n_chars" else F.col(c)
-        for c in docs.columns])
+    cut = F.coalesce(F.size("gone") > 0, F.lit(False))
+    old = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    new = {"text": F.col("kept"), "n_chars": F.when(cut, F.length("kept").cast("long"))}
+    return out.where(~cut | has_word(F.col("kept"))).select(*[
+        (F.coalesce(new[c], old[c]) if c in new else old[c]).alias(c) for c in docs.columns])
 
 
 def report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Per document: lines with a word, deleted lines, maximal deleted runs, the
     longest of them, the longest shared doubling window and the kept text's digest."""
-    gone = F.coalesce("_gone", F.array().cast("array<int>"))
+    gone = F.coalesce("gone", F.array().cast("array<int>"))
     runs = let(gone, lambda g: let(
         F.transform(F.filter(F.transform(g, lambda v, k: F.struct(v.alias("v"), k.alias("k"))),
                              lambda e: ~F.get(g, e["k"] + 1).eqNullSafe(e["v"] + 1)),
                     lambda e: e["k"]),
         lambda e: F.transform(e, lambda v, k: v - F.coalesce(F.get(e, k - 1), F.lit(-1)))))
-    return with_removals(docs, min_words).select(
-        "doc_id",
-        F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), has_word))
+    return with_removals(docs.select("doc_id", "text"), min_words).select(
+        F.col("row.doc_id").alias("doc_id"),
+        F.size(F.filter(F.split(F.coalesce("row.text", F.lit("")), "\n"), has_word))
         .cast("long").alias("n_lines"),
         F.size(gone).cast("long").alias("n_removed"),
         F.size(runs).cast("long").alias("n_runs"),
         F.coalesce(F.array_max(runs), F.lit(0)).cast("long").alias("longest_run"),
-        F.coalesce("_shared", F.lit(0)).cast("long").alias("shared_lines"),
-        F.md5(F.coalesce("_kept", F.lit(""))).alias("kept_md5"))
+        F.coalesce("shared", F.lit(0)).cast("long").alias("shared_lines"),
+        F.md5(F.coalesce("kept", F.lit(""))).alias("kept_md5"))

@@ -35,7 +35,7 @@ from fieldcast.session import scratch_path
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 LIMIT, BLOCK, SEGMENT = 18, 1024, 1 << 20
-_MAGIC, _HEAD = b"HUF1", struct.Struct("<4sIQQQ")
+_MAGIC, _HEAD = b"HUF1", struct.Struct("<4sIIQQQ")
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -136,18 +136,18 @@ class Decoder:
 
 
 def segment(doc_ids: np.ndarray, known: np.ndarray, sizes: np.ndarray, codes: list[bytes],
-            marks: list[np.ndarray], first: int) -> bytes:
+            marks: list[np.ndarray], first: int, block: int = BLOCK) -> bytes:
     """One binary value for consecutive documents; ``first``: ids before them."""
     at = np.cumsum([0, *map(len, codes)])
     bits = np.concatenate([m + 8 * s for m, s in zip(marks, at.tolist())]) if marks else at[:0]
-    return b"".join([_HEAD.pack(_MAGIC, len(doc_ids), first, len(bits), int(at[-1])),
+    return b"".join([_HEAD.pack(_MAGIC, block, len(doc_ids), first, len(bits), int(at[-1])),
                      doc_ids.astype("<i8").tobytes(), known.astype("u1").tobytes(),
                      sizes.astype("<i8").tobytes(), bits.astype("<i8").tobytes(), *codes])
 
 
-def read_segment(blob: bytes, decoder: Decoder, block: int = BLOCK):
+def read_segment(blob: bytes, decoder: Decoder):
     """doc ids, whether they are known (not null), sizes, ids before the segment, ids."""
-    magic, n, first, n_blocks, size = _HEAD.unpack_from(blob)
+    magic, block, n, first, n_blocks, size = _HEAD.unpack_from(blob)
     if magic != _MAGIC:
         raise ValueError("not a segment")
     at = _HEAD.size
@@ -257,7 +257,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int =
             sizes = part.column("n").to_numpy()
             blob = segment(part.column("doc_id").fill_null(0).to_numpy(), known, sizes,
                            part.column("code").to_pylist(),
-                           [np.array(m) for m in part.column("marks").to_pylist()], first)
+                           [np.array(m) for m in part.column("marks").to_pylist()], first, block)
             at[b] = first + int(sizes.sum())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([b], pa.int32()), pa.array([number], pa.int32()),
@@ -268,7 +268,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int =
      .write.option("compression", "uncompressed").parquet(f"{path}/segments"))
 
 
-def read(spark: SparkSession, path: str, block: int = BLOCK, limit: int = LIMIT,
+def read(spark: SparkSession, path: str, limit: int = LIMIT,
          with_ids: bool = False) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 (and ids) of each document in the files."""
     rows = spark.read.schema("id bigint, bits bigint").parquet(f"{path}/lengths").toArrow()
@@ -281,7 +281,7 @@ def read(spark: SparkSession, path: str, block: int = BLOCK, limit: int = LIMIT,
         decoder = Decoder(sent.value, limit)
         for batch in batches:
             for blob in batch.column("segment"):
-                doc_ids, known, sizes, first, ids = read_segment(blob.as_py(), decoder, block)
+                doc_ids, known, sizes, first, ids = read_segment(blob.as_py(), decoder)
                 ends = np.cumsum(sizes)
                 raw = memoryview(ids.astype("<u4")).cast("B")
                 crc = [zlib.crc32(raw[4 * (e - n):4 * e])
