@@ -7,7 +7,8 @@ somewhere else. The work is cut so that equal strings always meet:
    ``gram``-byte grams with the least hash. The anchor depends on the window's
    bytes alone, so equal windows have equal anchors at equal places. Consecutive
    windows with one anchor form a segment; a segment whose anchor is met
-   nowhere else holds no repeat and goes no further.
+   nowhere else holds no repeat and goes no further. Segments of equal bytes are
+   repeats as a whole; one of them stands for all in the next step.
 2. Segments with one anchor are aligned at it and form a collection. Its
    suffix order is built column by column from the right: each round inserts one
    symbol of every segment, stably re-sorts the previous order by that symbol
@@ -18,9 +19,9 @@ somewhere else. The work is cut so that equal strings always meet:
    repeat. The sequential external files of the construction are Spark's own:
    segments arrive sorted by anchor from shuffle files, and only one batch of
    whole collections is in memory.
-3. An anchor met more than ``hot`` times would make a collection too large for
-   a task. Its windows take an exact way around step 2: a count of 128-bit
-   window digests, which combines before it shuffles.
+3. An anchor with more than ``hot`` different segments would make a collection
+   too large for a task. Its windows take an exact way around step 2: a count of
+   128-bit window digests, which combines before it shuffles.
 
 A null text is empty; texts shorter than ``length`` have no window; repeated
 rows are repeats of each other. One row per input row.
@@ -46,12 +47,18 @@ BATCH = 4096
 _ROW = ["doc_id", "_t"]
 
 
-def _rolled(raw: np.ndarray, n: int, seed: int) -> np.ndarray:
-    """Hash of the ``n`` bytes from each position on."""
+def _sums(raw: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of a polynomial in BASE, and the powers that shift it back."""
     total = np.zeros(len(raw) + 1, U64)
     np.cumsum(byte_values(seed)[raw] * powers(len(raw)), out=total[1:])
+    return total, powers(len(raw) + 1, pow(BASE, -1, 1 << 64))
+
+
+def _rolled(raw: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """Hash of the ``n`` bytes from each position on."""
+    total, back = _sums(raw, seed)
     m = max(len(raw) - n + 1, 0)
-    return mix((total[n:n + m] - total[:m]) * powers(len(raw) + 1, pow(BASE, -1, 1 << 64))[:m])
+    return mix((total[n:n + m] - total[:m]) * back[:m])
 
 
 def _least(x: np.ndarray, span: int) -> np.ndarray:
@@ -64,10 +71,11 @@ def _least(x: np.ndarray, span: int) -> np.ndarray:
 
 
 def anchored(raw: np.ndarray, at: np.ndarray, length: int, gram: int):
-    """Segments (start, windows, anchor, key); positions count from the first byte."""
+    """Segments: start, windows, anchor, anchor's hash and a hash of the segment's
+    bytes; positions count from the first byte."""
     none = np.empty(0, np.int64)
     if len(raw) < length:
-        return none, none, none, np.empty(0, U64)
+        return none, none, none, np.empty(0, U64), np.empty(0, U64)
     h = _rolled(raw, gram, 31)
     bits = U64(24 if len(raw) < 1 << 24 else 34)
     least = _least((h >> bits) << bits | np.arange(len(h), dtype=U64), length - gram + 1)
@@ -79,7 +87,10 @@ def anchored(raw: np.ndarray, at: np.ndarray, length: int, gram: int):
     begin = np.flatnonzero(new)
     n = np.diff(np.append(begin, len(use)))
     begin = use[begin]
-    return begin, n, anchor[begin], h[anchor[begin]]
+    total, back = _sums(raw, 47)
+    content = mix((total[begin + n + length - 1] - total[begin]) * back[begin])
+    content = mix(content + (n * 1024 + anchor[begin] - begin).astype(U64))
+    return begin, n, anchor[begin], h[anchor[begin]], content
 
 
 def order_columns(keys: np.ndarray, raw: np.ndarray, starts: np.ndarray, n: np.ndarray,
@@ -131,7 +142,7 @@ def _runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, first, np.nonzero(step == -1)[1] - first
 
 
-_META = "doc_id bigint, _t bigint, key bigint, start int, n int, anchor int"
+_META = "doc_id bigint, _t bigint, key bigint, content bigint, start int, n int, anchor int"
 
 
 def _meta(docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -139,14 +150,15 @@ def _meta(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_chunks(batches):
             raw, at = text_bytes(part.column("text"))
-            begin, n, anchor, key = anchored(raw, at, length, gram)
+            begin, n, anchor, key, content = anchored(raw, at, length, gram)
             row = np.searchsorted(at, begin, "right") - 1
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id").take(take), part.column("_t").take(take),
-                 pa.array(key.view(np.int64)), pa.array((begin - at[row]).astype(np.int32)),
-                 pa.array(n.astype(np.int32)), pa.array((anchor - begin).astype(np.int32))],
-                names=["doc_id", "_t", "key", "start", "n", "anchor"])
+                 pa.array(key.view(np.int64)), pa.array(content.view(np.int64)),
+                 pa.array((begin - at[row]).astype(np.int32)), pa.array(n.astype(np.int32)),
+                 pa.array((anchor - begin).astype(np.int32))],
+                names=["doc_id", "_t", "key", "content", "start", "n", "anchor"])
 
     return docs.where(F.octet_length("text") >= length).mapInArrow(find, _META)
 
@@ -244,18 +256,26 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     """Repeated spans (doc_id, _t, a, b) and the texts that may hold some."""
     keyed = shipped(docs).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("_t"), "text")
     meta = stored(_meta(keyed, length, gram), "segments")
-    again = meta.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    met = stored(meta.join(again, "key"), "met")
-    lists = met.groupBy(*_ROW).agg(F.collect_set(F.struct(
-        "start", (F.col("n") + length - 1).alias("size"), "anchor", "key",
-        (F.col("c") > hot).alias("hot"))).alias("segs"))
+    place = F.xxhash64("doc_id", "_t", "start")
+    kinds = meta.groupBy("key", "content").agg(F.count(F.lit(1)).alias("copies"),
+                                               F.min(place).alias("one"))
+    per = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum("copies").alias("all")) \
+        .where("all > 1").drop("all")
+    met = stored(meta.join(kinds.join(per, "key"), ["key", "content"]), "met")
+    end = F.col("start") + F.col("n") + length - 1
+    whole = met.where("copies > 1").select(*_ROW, F.col("start").alias("a"),
+                                           end.cast("int").alias("b"))
+    lists = met.groupBy(*_ROW).agg(F.collect_set(F.when(
+        (F.col("kinds") > 1) & (F.col("one") == place), F.struct(
+            "start", (F.col("n") + length - 1).alias("size"), "anchor", "key",
+            (F.col("kinds") > hot).alias("hot")))).alias("segs"))
     near = lambda x, y: x["doc_id"].eqNullSafe(y["doc_id"]) & (x["_t"] == y["_t"])
     texts = stored(keyed.join(lists.hint("shuffle_hash"), near(keyed, lists)).select(
         keyed["doc_id"], keyed["_t"], "text", "segs"), "texts")
     pick = lambda hot_ones: texts.select(*_ROW, "text", F.filter(
         "segs", lambda s: s["hot"] if hot_ones else ~s["hot"]).alias("segs")).where("size(segs) > 0")
-    found = _ordered(_cut(pick(False)), length, gram)
-    if met.where(F.col("c") > hot).limit(1).count():
+    found = _ordered(_cut(pick(False)), length, gram).unionByName(whole)
+    if met.where(F.col("kinds") > hot).limit(1).count():
         windows = stored(_windows(pick(True), length), "windows")
         twice = windows.groupBy("key", "check").count().where("count > 1").select("key", "check")
         found = found.unionByName(windows.join(twice, ["key", "check"]).select(
