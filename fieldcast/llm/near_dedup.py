@@ -8,12 +8,17 @@ so many independent tables would need. A pair meets in some table unless one
 collection has no equal group, so at similarity s it is missed with probability
 below ``2 * (1 - s ** depth) ** side``.
 
-Documents of equal shingle sets form one class, so copies are never paired.
-Within a key, classes are first checked against the key's smallest class, then
-against its largest class outside their component; in the end all pairs of a
-key whose classes are still in different components are checked. A hot key
-collapses into one component in the first rounds, so the last one is small, and
-no link that changes a component is lost. Every check is on the full sets.
+Documents of equal shingle sets form one class, so copies are never paired. A
+shingle that only one class has is in no intersection, which bounds every
+similarity from above: classes and pairs that cannot reach the threshold go
+before any set is compared. Within a key, classes are first checked against the
+key's class with the least share of its own, then against a class of the key's
+main component. What is still apart but shares keys forms families; in a
+family, every class outside its main component is checked against all others,
+in blocks of bounded size whose intersections are counted from posting lists. A
+hot key collapses into one component in the first rounds, so no pairs of a hot
+group are written out, and no link that changes a component is lost. Every
+check is on the full sets.
 
 Rows: one per input row. Texts without a word are linked with nothing. Rows
 that share a doc_id count as one document for links; a null doc_id joins the
@@ -29,13 +34,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldcast.llm._bytes import U64, mix, shingles, text_chunks, word_hashes
+from fieldcast.llm._bytes import (U64, list_values, mix, shingles, text_chunks,
+                                  word_hashes)
 from fieldcast.llm._graph import components
 from fieldcast.llm._ship import shipped
 from fieldcast.session import stored
 
 SIDE, DEPTH = 9, 2
 SHINGLE, PERCENT = 5, 80
+#: classes of one block in a family
+BLOCK = 1024
 
 
 def signatures(docs: DataFrame, k: int, side: int, depth: int) -> DataFrame:
@@ -95,12 +103,21 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _keys(classes: DataFrame) -> DataFrame:
-    """key, id, n for every table; documents that meet nobody are still in."""
+    """key, id, n of every class in every table."""
     left = classes.select("id", "n", "right", F.posexplode("left").alias("i", "x"))
     pairs = left.select("id", "n", "i", "x", F.posexplode("right").alias("j", "y"))
     return pairs.select(F.xxhash64("i", "j", "x", "y").alias("key"), "id", "n")
 
 
+def _shareable(sets: DataFrame) -> DataFrame:
+    """id, m: how many shingles of each set some other set has too."""
+    own = (sets.select("id", F.explode("items").alias("s")).groupBy("s")
+           .agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).where("c = 1")
+           .groupBy("id").agg(F.count(F.lit(1)).alias("own")))
+    return (sets.select("id", F.size("items").alias("n")).join(own, "id", "left")
+            .select("id", (F.col("n") - F.coalesce("own", F.lit(0))).alias("m")))
+
+
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose full sets are similar enough."""
     x = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
@@ -110,49 +127,106 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b"))
 
 
-def _sized(pairs: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs whose set sizes allow the similarity."""
-    return (pairs.where(f"a <> b and 100 * least(na, nb) >= {percent} * greatest(na, nb)")
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+def _possible(pairs: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs ``a, b`` that can still reach the similarity."""
+    most = F.least("ma", "mb")
+    return (pairs.where((F.col("a") != F.col("b")) & (100 * most >= percent * (
+        F.col("na") + F.col("nb") - most)))
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
+def _named(rows: DataFrame, side: str, *more: str) -> DataFrame:
+    return rows.select(*more, F.col("id").alias(side), F.col("n").alias(f"n{side}"),
+                       F.col("m").alias(f"m{side}"))
 
 
 def links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """Links between classes, enough to connect every component."""
     keys = _keys(classes.where("n > 0"))
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("low")) \
-        .where("c > 1").select("key", "low")
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     met = stored(keys.join(shared, "key"), "met")
-    ids = met.select("id").distinct()
-    sets = stored(shingle_sets(docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-                               .join(ids, "id", "left_semi"), k), "sets")
-    size = met.select(F.col("id").alias("low"), F.col("n").alias("nb")).distinct()
-    star = met.where("id <> low").select("id", "n", "low").distinct().join(size, "low")
-    found = stored(linked(_sized(star.select(
-        F.col("id").alias("a"), F.col("n").alias("na"), F.col("low").alias("b"), "nb"), percent),
-        sets, percent), "found")
-    for last in (False, True):
-        root = components(found)
-        seen = met.select("key", "id", "n").join(root, "id", "left").select(
-            "key", "id", "n", F.coalesce("root", "id").alias("root"))
-        seen = stored(seen, "seen")
-        span = seen.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")) \
-            .where("lo <> hi")
-        split = seen.join(span, "key")
-        if last:
-            one = split.select("key", F.col("id").alias("a"), F.col("n").alias("na"),
-                               F.col("root").alias("ra"))
-            two = split.select("key", F.col("id").alias("b"), F.col("n").alias("nb"),
-                               F.col("root").alias("rb"))
-            pairs = one.join(two, "key").where("ra < rb")
-        else:
-            # the largest class of the key's last component, for all others
-            top = split.where("root = hi").groupBy("key").agg(F.max("id").alias("b"))
-            size = split.select(F.col("id").alias("b"), F.col("n").alias("nb")).distinct()
-            pairs = (split.where("root <> hi").join(top, "key").join(size, "b")
-                     .select(F.col("id").alias("a"), F.col("n").alias("na"), "b", "nb"))
-        more = linked(_sized(pairs, percent), sets, percent)
-        found = stored(found.unionByName(more), "found")
-    return found
+    texts = (docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+             .join(met.select("id").distinct(), "id", "left_semi")
+             .groupBy("id").agg(F.min("text").alias("text")))
+    sets = stored(shingle_sets(texts, k), "sets")
+    met = stored(met.join(_shareable(sets), "id").where(100 * F.col("m") >= percent * F.col("n")),
+                 "met")
+    sizes = _named(met.select("id", "n", "m").distinct(), "b")
+    # the class with the least of its own is nearest to what the others share
+    low = (met.groupBy("key").agg(F.min(F.struct(1 - F.col("m") / F.col("n"), "id")).alias("x"),
+                                  F.count(F.lit(1)).alias("c"))
+           .where("c > 1").select("key", F.col("x.id").alias("b")))
+    star = _named(met, "a", "key").join(low, "key").drop("key").distinct().join(sizes, "b")
+    found = stored(linked(_possible(star, percent), sets, percent), "found")
+    seen, main = _split_keys(met, found)
+    pairs = (_named(seen.join(main, "key").where("root <> main"), "a", "key")
+             .join(main.select("key", F.col("top").alias("b")), "key").join(sizes, "b"))
+    found = stored(found.unionByName(linked(_possible(pairs, percent), sets, percent)), "found")
+    seen, main = _split_keys(met, found)
+    return stored(found.unionByName(_family_links(seen, main, sets, percent)), "found")
+
+
+def _split_keys(met: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``met`` with each class's root so far; of the keys that meet several roots,
+    the root with most classes there and one of its classes."""
+    seen = stored(met.join(components(found), "id", "left").select(
+        "key", "id", "n", "m", F.coalesce("root", "id").alias("root")), "seen")
+    roots = seen.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"), F.max("id").alias("top"))
+    main = (roots.groupBy("key").agg(F.count(F.lit(1)).alias("roots"),
+                                     F.max(F.struct("c", "root", "top")).alias("x"))
+            .where("roots > 1").select("key", F.col("x.root").alias("main"), "x.top"))
+    return seen, main
+
+
+def _family_links(seen: DataFrame, main: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """A link for every two roots of a family that have one."""
+    edges = seen.join(main, "key").where("root <> main").select(
+        F.col("root").alias("a"), F.col("main").alias("b")).distinct()
+    family = components(edges).select(F.col("id").alias("root"), F.col("root").alias("family"))
+    members = stored(seen.select("id", "root").distinct().join(family, "root"), "members")
+    size = members.groupBy("family", "root").agg(F.count(F.lit(1)).alias("c"))
+    size = size.groupBy("family").agg(F.sum("c").alias("n"), F.max(F.struct("c", "root")).alias("x"))
+    size = size.select("family", F.col("x.root").alias("main"),
+                       F.ceil(F.col("n") / BLOCK).alias("blocks"),
+                       F.ceil((F.col("n") - F.col("x.c")) / BLOCK).alias("chunks"))
+    rows = members.join(size, "family").join(sets, "id")
+    spread = F.xxhash64("id")
+    every = lambda c: F.explode(F.sequence(F.lit(0), c - 1))
+    own = lambda c: F.pmod(spread, c)
+    base = rows.select("family", "id", "root", "items", F.lit(False).alias("asks"),
+                       own(F.col("blocks")).alias("block"), every(F.col("chunks")).alias("chunk"))
+    asks = (rows.where("root <> main").select(
+        "family", "id", "root", "items", F.lit(True).alias("asks"),
+        every(F.col("blocks")).alias("block"), "chunks", spread.alias("h"))
+        .withColumn("chunk", F.pmod("h", "chunks")).drop("chunks", "h"))
+
+    def check(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        ids, roots = table["id"].to_numpy(), table["root"].to_numpy()
+        asking = table["asks"].to_numpy(zero_copy_only=False)
+        items, at = list_values(table["items"].combine_chunks())
+        n = np.diff(at)
+        owner = np.repeat(np.arange(len(n)), n)
+        kept = ~asking[owner]
+        order = np.argsort(items[kept], kind="stable")
+        posted, who = items[kept][order], owner[kept][order]
+        out = {}
+        for q in np.flatnonzero(asking).tolist():
+            mine = items[at[q]:at[q + 1]]
+            lo, hi = np.searchsorted(posted, mine, "left"), np.searchsorted(posted, mine, "right")
+            c = hi - lo
+            take = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(lo, c)
+            both = np.bincount(who[take], minlength=len(n))
+            near = np.flatnonzero((100 * both >= percent * (n + n[q] - both)) & (roots != roots[q])
+                                  & ~asking)
+            for r, first in zip(*np.unique(roots[near], return_index=True)):
+                out[min(r, roots[q]), max(r, roots[q])] = (ids[q], ids[near[first]])
+        found = list(out.values())
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()),
+                         "b": pa.array([y for _, y in found], pa.int64())})
+
+    return (base.unionByName(asks).groupBy("family", "block", "chunk")
+            .applyInArrow(check, "a bigint, b bigint"))
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, side: int = SIDE,
