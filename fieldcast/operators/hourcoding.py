@@ -58,14 +58,20 @@ def dummy_columns(hours: Sequence[int], reference: int = REFERENCE) -> dict[str,
     return {f"hour_{h:02d}": (F.col("hr") == h).cast("double") for h in hours if h != reference}
 
 
+MAX_ITER = 100
+
+
 def fit_unpenalised(table: DataFrame, species: str, columns: dict[str, Column]
                     ) -> GeneralizedLinearRegressionModel:
     """Unpenalised logistic fit with standard errors."""
     df = table.select(F.array_contains("seen", species).cast("double").alias("label"),
                       *[c.cast("double").alias(k) for k, c in columns.items()])
     df = VectorAssembler(inputCols=list(columns), outputCol="features").transform(df)
-    return GeneralizedLinearRegression(family="binomial", link="logit", maxIter=100, tol=1e-10
-                                       ).fit(df.select("label", "features"))
+    model = GeneralizedLinearRegression(family="binomial", link="logit", maxIter=MAX_ITER, tol=1e-10
+                                        ).fit(df.select("label", "features"))
+    if model.summary.numIterations >= MAX_ITER:
+        raise RuntimeError(f"the fit of {species} did not converge in {MAX_ITER} steps")
+    return model
 
 
 def _fits(table: DataFrame, species: str, min_per_hour: int):

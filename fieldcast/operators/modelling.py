@@ -114,12 +114,15 @@ def encode(df: DataFrame, prep: Prepared, keep: Sequence[str]) -> DataFrame:
     return prep.encoder.transform(scaled).select(*keep, "features")
 
 
+MAX_ITER = 1000
+
+
 def _ridge(n: int, c: float) -> LogisticRegression:
     """Ridge with inverse strength ``c``: MLlib averages the loss over rows, so
     its penalty is 1 / (c n). The intercept is free."""
     return LogisticRegression(featuresCol="features", labelCol="label", regParam=1.0 / (c * n),
                               elasticNetParam=0.0, standardization=False, fitIntercept=True,
-                              maxIter=1000, tol=1e-8)
+                              maxIter=MAX_ITER, tol=1e-8)
 
 
 def fit_each(features: DataFrame, species: Sequence[str], n: int, c: float = P.RIDGE_C,
@@ -133,7 +136,10 @@ def fit_each(features: DataFrame, species: Sequence[str], n: int, c: float = P.R
     def fit(code: str) -> LogisticRegressionModel:
         labelled = features.select(
             "features", F.array_contains("seen", code).cast("double").alias("label"))
-        return _ridge(n, c).fit(labelled)
+        model = _ridge(n, c).fit(labelled)
+        if model.summary.totalIterations >= MAX_ITER:
+            raise RuntimeError(f"the fit of {code} did not converge in {MAX_ITER} steps")
+        return model
 
     # a thread per fit only submits Spark jobs; each gets its own job group
     with ThreadPoolExecutor(max_workers=parallel) as pool:
@@ -218,16 +224,16 @@ def holdout_scores(table: DataFrame, species: Sequence[str], group: str,
 
 
 def fit_coefficients(table: DataFrame, species: Sequence[str], design: Design = Design(),
-                     parallel: int = 8, rows_per_task: int = 20_000) -> DataFrame:
+                     parallel: int = 8, partitions: int | None = None) -> DataFrame:
     """Fit every species on the table; long coefficients without support.
 
-    Each solver step is one job over all partitions, so a small table is put
-    in few of them. A large table keeps the partitions it has.
+    Each solver step is one job over all partitions: the table's own unless
+    ``partitions`` says fewer.
     """
     prep = prepare(table, design)
     n = table.count()
-    tasks = max(1, -(-n // rows_per_task))
-    fitted = encode(table, prep, ["seen"]).coalesce(tasks).persist()
+    fitted = encode(table, prep, ["seen"])
+    fitted = (fitted.coalesce(partitions) if partitions else fitted).persist()
     try:
         models = fit_each(fitted, species, n, design.c, parallel)
     finally:

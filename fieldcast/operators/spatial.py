@@ -79,11 +79,11 @@ def nearby_ranked(points: DataFrame, hotspots: DataFrame, best: DataFrame, k: in
     """The ``k`` nearest hotspots of each point, ranked by best probability.
 
     ``points`` names the species asked for. ``best`` has species_code, loc_id,
-    best_probability and has_site_effect.
+    best_probability and has_site_effect. A site without a score is listed last.
     """
     near = nearest_sites(points, hotspots, k, radius_km).select(
         "point_id", "species_code", "loc_id", "distance_km")
-    ranked = near.join(best, ["species_code", "loc_id"], "inner")
+    ranked = near.join(best, ["species_code", "loc_id"], "left")
     return top_by(ranked, ["point_id"],
                   [F.round("best_probability", 9).desc_nulls_last(), F.col("loc_id")], k, "position")
 

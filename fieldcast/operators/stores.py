@@ -12,13 +12,6 @@ from fieldcast import params as P
 from fieldcast.functions import week_of
 from fieldcast.operators.dedup import new_rows
 
-NATURAL_KEYS = {
-    "checklists": ("sub_id",),
-    "locations": ("loc_id",),
-    "observations": ("sub_id", "species_code"),
-}
-
-
 class ColumnMismatch(ValueError):
     """The two sides of a merge hold different columns."""
 
@@ -167,18 +160,22 @@ def settled_days(spark, as_of: str, lag_days: int = P.LAG_DAYS,
         "date", F.lit("daily").alias("kind"), F.lit(0.0).alias("wind_max"))
 
 
-def extreme_days(daily: DataFrame, last_month: int = 10) -> DataFrame:
+def extreme_days(daily: DataFrame, first: str | None = None, last: str | None = None) -> DataFrame:
     """One day per year and month: the windiest of odd months, the calmest of
     even ones.
 
     ``daily`` has date, wind_max, precip and temp_mean. Days without wind are
-    left out; the earlier day wins a tie.
+    left out; the earlier day wins a tie. ``first`` and ``last`` bound the dates.
     """
+    if first:
+        daily = daily.where(F.col("date") >= F.lit(first).cast("date"))
+    if last:
+        daily = daily.where(F.col("date") <= F.lit(last).cast("date"))
     month = F.month("date")
     odd = month % 2 == 1
     signed = F.when(odd, F.col("wind_max")).otherwise(-F.col("wind_max"))
     ranked = F.struct(signed.alias("w"), (-F.unix_date("date")).alias("d"))
-    return (daily.where(F.col("wind_max").isNotNull() & (month <= last_month))
+    return (daily.where(F.col("wind_max").isNotNull())
             .groupBy(F.year("date").alias("year"), month.alias("month"))
             .agg(F.max(F.struct(ranked.alias("r"), F.col("date"), F.col("wind_max"),
                                 F.col("precip"), F.col("temp_mean"))).alias("b"))

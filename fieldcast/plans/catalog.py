@@ -184,7 +184,7 @@ def species_floor(d: Domain) -> DataFrame:
 
 @query
 def fitted_species(d: Domain) -> DataFrame:
-    table, _ = fit_table(d.model)
+    table, _ = fit_table(d.model, drop_without_weather=True)
     return labels.fitted_species(table, labels.species_floor(d.observations), 50)
 
 
@@ -491,7 +491,8 @@ def _fit_inputs(d: Domain) -> tuple[DataFrame, DataFrame, list[str]]:
     """Checkpointed fit table, hour counts and the species to fit."""
     full = d.model.select("sub_id", "loc_id", "obs_date", "lat", "lon", "hour", "doy", "hr", "week",
                           "site", *P.NUMERIC, "seen", "n_wx_hours", "humid_mean")
-    table, support = fit_table(stored(full, "model"))
+    # the given events leave some outings without weather
+    table, support = fit_table(stored(full, "model"), drop_without_weather=True)
     listed = labels.fitted_species(table, labels.species_floor(d.observations))
     # bounded by the species list; commonest first
     codes = [r["species_code"] for r in
@@ -522,8 +523,7 @@ def calibrate_models(d: Domain) -> DataFrame:
     table, _, codes = _fit_inputs(d)
     if not codes:
         return evaluation.calibration_table(d.scored.limit(0), ["species_code"])
-    # the report covers four named species: here the four commonest
-    scores = modelling.holdout_scores(table, codes[:4], "loc_id", modelling.CALIBRATION_DESIGN)
+    scores = modelling.holdout_scores(table, codes, "loc_id", modelling.CALIBRATION_DESIGN)
     return evaluation.calibration_table(stored(scores, "scores"), ["species_code"])
 
 

@@ -177,7 +177,7 @@ BODIES: dict[str, str] = {
  (PARTITION BY year(date), month(date) ORDER BY CASE WHEN month(date) % 2 = 1 THEN -wind_max ELSE wind_max END, date) AS rn
  FROM (SELECT CAST(o_orderdate AS DATE) AS date, CASE WHEN count(*) % 5 <> 0 THEN round(max(o_totalprice) / 1000, 3) END AS wind_max,
   round(sum(o_totalprice) / 10000, 3) AS precip, round(avg(o_totalprice) / 10000, 3) AS temp_mean FROM orders GROUP BY 1)
- WHERE wind_max IS NOT NULL AND month(date) <= 10) WHERE rn = 1""",
+ WHERE wind_max IS NOT NULL) WHERE rn = 1""",
     "coef_long": f"SELECT species_code, term, {r('value')} FROM coefs",
     "coef_replace": f"""SELECT species_code, term, {r('value')} FROM refit UNION ALL
  SELECT species_code, term, {r('value')} FROM coefs WHERE species_code NOT IN (SELECT species_code FROM refit)""",
@@ -238,7 +238,7 @@ BODIES: dict[str, str] = {
  WHERE rank = 1 AND distance_km <= 0.2) n USING (point_id)""",
     "nearby_ranked": f"""SELECT * FROM (SELECT point_id, species_code, loc_id, {r('distance_km', 'best_probability')}, has_site_effect,
  row_number() OVER (PARTITION BY point_id ORDER BY round(b.best_probability, 9) DESC NULLS LAST, loc_id) AS position
- FROM near n JOIN pins p USING (point_id) JOIN (SELECT species_code, loc_id, max(probability) AS best_probability,
+ FROM near n JOIN pins p USING (point_id) LEFT JOIN (SELECT species_code, loc_id, max(probability) AS best_probability,
   bool_or(has_site_effect) AS has_site_effect FROM grid GROUP BY 1, 2) b USING (species_code, loc_id)
  WHERE n.rank <= 10 AND n.distance_km <= 25)""",
     "recent_nearby": """SELECT round(round_even(lat * 10, 0) / 10, 6) AS blat, round(round_even(lon * 10, 0) / 10, 6) AS blon,

@@ -34,7 +34,9 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     """The stored table, or an empty one when nothing was written yet."""
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 
@@ -42,11 +44,17 @@ def append_new(incoming: DataFrame, path: str, keys: Sequence[str],
                partition_by: Sequence[str] = ()) -> None:
     """Append the rows of ``incoming`` whose key the table at ``path`` lacks.
 
+    A null key fails the job: it would never match and be appended each time.
     Safe to repeat: the second run of the same batch appends nothing. Parquet
     appends commit all files of a job at the end, so a failed job leaves the
     table as it was.
     """
     stored = read_table(incoming.sparkSession, path, incoming.schema)
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    incoming = incoming.where(F.when(whole, True).otherwise(
+        F.raise_error(F.lit(f"null key among {', '.join(keys)}")).cast("boolean")))
     fresh = new_rows(stored, incoming, keys)
     if partition_by:
         # one writer per partition value and hash slice: neither many small

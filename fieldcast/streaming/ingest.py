@@ -4,37 +4,59 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from fieldcast import params as P
+from fieldcast.operators.dedup import keep_first
 from fieldcast.sources.documents import CHECKLIST_DOC, checklist_rows, observation_rows
-from fieldcast.sources.tables import append_new
+from fieldcast.sources.tables import CHECKLISTS, append_new, read_table
 
 
 def document_stream(spark: SparkSession, landing: str, files_per_trigger: int = 1000) -> DataFrame:
-    """Landed JSON-lines files as a stream with the document in ``doc``."""
-    return (spark.readStream.schema(CHECKLIST_DOC)
+    """Landed JSON-lines files as a stream with the document in ``doc``, what
+    could not be parsed in ``raw``, and when the file landed."""
+    schema = T.StructType([*CHECKLIST_DOC.fields, T.StructField("_raw", T.StringType())])
+    return (spark.readStream.schema(schema).option("columnNameOfCorruptRecord", "_raw")
             .option("maxFilesPerTrigger", files_per_trigger).json(landing)
-            .select(F.struct("*").alias("doc")))
+            .select(F.struct(*CHECKLIST_DOC.fieldNames()).alias("doc"), F.col("_raw").alias("raw"),
+                    F.col("_metadata.file_modification_time").alias("landed"),
+                    F.col("_metadata.file_path").alias("file")))
+
+
+def usable(batch: DataFrame) -> DataFrame:
+    """One document per outing, the first that landed."""
+    good = batch.where(F.col("raw").isNull() & F.col("doc.subId").isNotNull())
+    order = [F.col("landed"), F.col("file"), F.to_json("doc")]
+    return keep_first(good.withColumn("sub_id", F.col("doc.subId")), ["sub_id"], order)
+
+
+def rejects(batch: DataFrame) -> DataFrame:
+    """Documents that are broken or name no outing, as text."""
+    bad = batch.where(F.col("raw").isNotNull() | F.col("doc.subId").isNull())
+    return bad.select(F.coalesce("raw", F.to_json("doc")).alias("document"), "file")
 
 
 def ingest(spark: SparkSession, landing: str, store: str, checkpoint: str, region: str,
            files_per_trigger: int = 1000) -> StreamingQuery:
     """Run all landed files into ``store``, then stop. Call again to resume.
 
-    Overlapping days are read again freely: each micro-batch appends only new
-    keys. A batch replayed after a failure therefore adds nothing twice, and
+    Overlapping days are read again freely: a stored outing is skipped with all
+    its observations, however it was filed again. Broken documents go to
+    ``store/rejects``. A batch replayed after a failure therefore adds nothing twice, and
     the stream's checkpoint makes a long backfill resumable per batch.
     """
     def sink(batch: DataFrame, _epoch: int) -> None:
-        batch.persist()
+        known = read_table(spark, f"{store}/checklists", CHECKLISTS).select("sub_id")
+        docs = usable(batch).join(known, "sub_id", "left_anti").persist()
         try:
+            append_new(rejects(batch), f"{store}/rejects", ["document", "file"])
             # observations first: a stored outing always has its observations
-            append_new(observation_rows(batch), f"{store}/observations",
+            append_new(observation_rows(docs), f"{store}/observations",
                        ["sub_id", "species_code"])
-            append_new(checklist_rows(batch, region), f"{store}/checklists", ["sub_id"])
+            append_new(checklist_rows(docs, region), f"{store}/checklists", ["sub_id"])
         finally:
-            batch.unpersist()
+            docs.unpersist()
 
     return (document_stream(spark, landing, files_per_trigger).writeStream
             .foreachBatch(sink).option("checkpointLocation", checkpoint)

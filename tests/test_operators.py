@@ -227,7 +227,8 @@ def test_extreme_days(spark):
             (D(2025, 2, 2), 1.0), (D(2025, 3, 1), None), (D(2025, 11, 1), 3.0)]
     df = spark.createDataFrame([(d, w, 0.0, 1.0) for d, w in days],
                                "date date, wind_max double, precip double, temp_mean double")
-    got = stores.extreme_days(df)
+    assert stores.extreme_days(df).count() == 3
+    got = stores.extreme_days(df, last="2025-10-31")
     assert [(r["date"], r["kind"]) for r in got.orderBy("month").collect()] == [
         (D(2025, 1, 2), "windy"), (D(2025, 2, 2), "calm")]
 

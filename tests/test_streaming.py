@@ -1,6 +1,7 @@
 """Ingest as a stream gives what one batch gives."""
 
 import json
+import os
 
 from fieldcast.session import scratch_path
 from fieldcast.sources import documents, tables
@@ -53,3 +54,25 @@ def test_settled_days_come_out_once_the_watermark_passes(spark):
      .awaitTermination())
     got = {str(r["obs_date"]): r["n"] for r in spark.read.parquet(f"{root}/out").collect()}
     assert got == {"2024-01-01": 2, "2024-01-02": 1}
+
+
+def test_refiled_and_broken_documents(spark, tmp_path):
+    root = str(tmp_path)
+    os.makedirs(f"{root}/in")
+
+    def land(name, *lines):
+        with open(f"{root}/in/{name}", "w") as f:
+            f.write("\n".join(lines) + "\n")
+        ingest.ingest(spark, f"{root}/in", f"{root}/store", f"{root}/cp", "R", 1).awaitTermination()
+
+    doc = '{{"subId": {0}, "obsDt": "2024-01-05 07:00", "obs": [{1}]}}'
+    seen = lambda *codes: ", ".join('{"speciesCode": "%s"}' % c for c in codes)
+    land("a.json", doc.format('"s1"', seen("a")))
+    land("b.json", doc.format('"s1"', seen("a", "b")), doc.format('"s2"', seen("c")),
+         doc.format("null", seen("d")), "{broken")
+    land("c.json", "{broken", doc.format('"s2"', seen("x")))
+    rows = lambda t: spark.read.parquet(f"{root}/store/{t}")
+    assert {(r.sub_id, r.richness) for r in rows("checklists").collect()} == {("s1", 1), ("s2", 1)}
+    assert {(r.sub_id, r.species_code) for r in rows("observations").collect()} == {
+        ("s1", "a"), ("s2", "c")}
+    assert rows("rejects").count() == 3
