@@ -8,8 +8,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from fieldcast.plans import catalog, oracle
 
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
+QUERIES, SQL = catalog.registered(), oracle.statements()
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
 # fits need more rows than the smallest tables have
@@ -40,6 +41,8 @@ def duck(sf):
 
 
 def test_every_statement_has_its_query():
+    assert set(QUERIES) <= set(contract.queries()) and set(SQL) <= set(contract.oracle_sql())
+    assert set(contract.oracle_sql()) <= set(contract.queries())
     assert set(SQL) <= set(QUERIES)
     assert ROWS_ONLY == ["calibrate_models", "evaluate_models", "fit_ridge", "hour_coding",
                          "odds_ratios", "worked_example"]
