@@ -261,6 +261,11 @@ def test_near_dedup(spark, k, percent):
     assert len({top(d) for d in sets}) < len(sets)
 
 
+def test_families_in_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    test_near_dedup(spark, 3, 85)
+
+
 def test_one_of_each(spark):
     docs = clashing(documents(spark))
     out = near_dedup.one_of_each(docs)
