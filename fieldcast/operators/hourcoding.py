@@ -11,11 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldcast import params as P
+from fieldcast.functions import sigmoid
 from fieldcast.functions.splines import bspline, inner_probabilities
 from fieldcast.operators.labels import hour_support
 from fieldcast.operators.ranks import quantiles
 
 REFERENCE = 8
+# The published example's hours and outing.
 EXAMPLE_HOURS = (6, 7, 8, 10, 12, 14, 19)
 # a one-hour, one-kilometre walk in mid-May, wind 12, 18 degrees, dry
 EXAMPLE = {"log_dur": math.log(1.0), "log_dist": math.log1p(1.0), "doy": 134,
@@ -124,6 +126,52 @@ def odds_ratios(table: DataFrame, species: str, min_per_hour: int = P.MIN_PER_HO
         rows.unpersist()
 
 
+def hour_balance(table: DataFrame, species: str, min_per_hour: int = P.MIN_PER_HOUR) -> DataFrame:
+    """Fitted detections per hour of the dummy-coded fit.
+
+    Without a penalty these equal the detections of every hour that has its own
+    column, and of the reference hour through the intercept.
+    """
+    rows, _, hours = _fits(table, species, min_per_hour)
+    try:
+        columns = {**base_columns(rows), **dummy_columns(hours)} if hours else {}
+        if not columns:
+            return rows.select("hr", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("fitted"))
+        model = fit_unpenalised(rows, species, columns)
+        beta = dict(zip(columns, model.coefficients))
+        total = F.lit(float(model.intercept))
+        for k, c in columns.items():
+            total = total + c.cast("double") * F.lit(float(beta[k]))
+        return (rows.select("hr", sigmoid(total).alias("p")).groupBy("hr")
+                .agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("fitted")))
+    finally:
+        rows.unpersist()
+
+
+def hour_contrasts(table: DataFrame, species: str, min_per_hour: int = P.MIN_PER_HOUR
+                   ) -> DataFrame:
+    """Hours against the reference with no other predictor in the fit.
+
+    Odds ratio and standard error then follow from each hour's 2 x 2 counts.
+    Columns: hr, odds_ratio, std_error, aic (of the whole fit).
+    """
+    spark = table.sparkSession
+    schema = "hr int, odds_ratio double, std_error double, aic double"
+    rows, _, hours = _fits(table, species, min_per_hour)
+    try:
+        columns = dummy_columns(hours) if REFERENCE in hours else {}
+        if not columns:
+            return spark.createDataFrame([], schema)
+        model = fit_unpenalised(rows, species, columns)
+        s = model.summary
+        errors = list(s.coefficientStandardErrors)
+        return spark.createDataFrame(
+            [(int(k[5:]), math.exp(model.coefficients[i]), float(errors[i]), float(s.aic))
+             for i, k in enumerate(columns)], schema)
+    finally:
+        rows.unpersist()
+
+
 def worked_example(table: DataFrame, species: str, hours: Sequence[int] = EXAMPLE_HOURS,
                    min_per_hour: int = P.MIN_PER_HOUR) -> DataFrame:
     """A fixed outing at several hours: hour term, total and probability.

@@ -27,7 +27,7 @@ from fieldcast.operators.dedup import salted_join
 from fieldcast.operators.evaluation import eval_metrics, group_holdout
 from fieldcast.operators.labels import species_array
 from fieldcast.operators.scoring import with_terms
-from fieldcast.session import stored
+from fieldcast.session import scratch_path, stored
 
 
 @dataclass(frozen=True)
@@ -40,6 +40,8 @@ class Design:
     c: float = P.RIDGE_C
 
 
+TERMS = "species_code string, term string, value double"
+
 # The variant used to check calibration: no site effect, coordinates instead,
 # and the first level of each category as the baseline.
 CALIBRATION_DESIGN = Design(("hr", "week"), (*P.NUMERIC, "lat", "lon"), drop_first=True)
@@ -115,6 +117,7 @@ def encode(df: DataFrame, prep: Prepared, keep: Sequence[str]) -> DataFrame:
 
 
 MAX_ITER = 1000
+TOLERANCE = 1e-10
 
 
 def _ridge(n: int, c: float) -> LogisticRegression:
@@ -122,14 +125,15 @@ def _ridge(n: int, c: float) -> LogisticRegression:
     its penalty is 1 / (c n). The intercept is free."""
     return LogisticRegression(featuresCol="features", labelCol="label", regParam=1.0 / (c * n),
                               elasticNetParam=0.0, standardization=False, fitIntercept=True,
-                              maxIter=MAX_ITER, tol=1e-8)
+                              maxIter=MAX_ITER, tol=TOLERANCE)
 
 
 def fit_each(features: DataFrame, species: Sequence[str], n: int, c: float = P.RIDGE_C,
              parallel: int = 8) -> dict[str, LogisticRegressionModel]:
     """One fit per species over the same stored features.
 
-    ``features`` has the vector and ``seen``; it should be stored or persisted.
+    ``features`` has the vector and ``seen``; it should be a stored table. The
+    solver caches its own blocks of it, so ``parallel`` copies exist at a time.
     """
     spark = features.sparkSession
 
@@ -187,10 +191,12 @@ def support_terms(species: DataFrame, support: DataFrame) -> DataFrame:
     return species.select("species_code", F.inline(packed))
 
 
-def predict(rows: DataFrame, coefs: DataFrame, design: Design = Design(), salts: int = 8
-            ) -> DataFrame:
+def predict(rows: DataFrame, coefs: DataFrame, design: Design = Design(), salts: int = 8,
+            keep: Sequence[str] = ()) -> DataFrame:
     """(species_code, p, y) of every model on every row, from long coefficients.
 
+    ``keep`` names columns of the rows to carry along.
+
     A level without a term adds nothing, as an unknown level should. Site
     effects of all species come as one map per site, joined at the size of the
     rows and salted, since the pooled site holds about half of them. The rows x
@@ -210,15 +216,21 @@ def predict(rows: DataFrame, coefs: DataFrame, design: Design = Design(), salts:
     long = with_terms(rows.withColumn("species_code", F.explode(species_array(coefs)))
                       .withColumn("hour", F.col("hr")), coefs, "inner", extra)
     total = total + F.coalesce("hour_term", F.lit(0.0)) + F.coalesce("week_term", F.lit(0.0))
-    return long.select("species_code", sigmoid(total).alias("p"),
+    return long.select("species_code", *keep, sigmoid(total).alias("p"),
                        F.array_contains("seen", F.col("species_code")).cast("int").alias("y"))
 
 
+def holdout_split(table: DataFrame, group: str, share: float = P.TEST_SHARE,
+                  seed: int = P.SEED) -> DataFrame:
+    """The table with ``is_test``, whole groups held out; stored, as a fit reads it often."""
+    return stored(table.join(group_holdout(table, group, share, seed), group, "inner"), "split")
+
+
 def holdout_scores(table: DataFrame, species: Sequence[str], group: str,
                    design: Design = Design(), share: float = P.TEST_SHARE, seed: int = P.SEED,
                    parallel: int = 8) -> DataFrame:
     """Out-of-sample (species_code, p, y): whole groups held out."""
-    split = table.join(group_holdout(table, group, share, seed), group, "inner")
+    split = holdout_split(table, group, share, seed)
     coefs = fit_coefficients(split.where(~F.col("is_test")), species, design, parallel)
     return predict(split.where("is_test"), coefs, design)
 
@@ -228,17 +240,20 @@ def fit_coefficients(table: DataFrame, species: Sequence[str], design: Design =
     """Fit every species on the table; long coefficients without support.
 
     Each solver step is one job over all partitions: the table's own unless
-    ``partitions`` says fewer.
+    ``partitions`` says fewer. Species are fitted in waves of ``parallel``, and
+    a wave's terms are written before the next begins, so the driver never
+    holds more than one wave of coefficient vectors.
     """
+    spark = table.sparkSession
     prep = prepare(table, design)
-    n = table.count()
-    fitted = encode(table, prep, ["seen"])
-    fitted = (fitted.coalesce(partitions) if partitions else fitted).persist()
-    try:
-        models = fit_each(fitted, species, n, design.c, parallel)
-    finally:
-        fitted.unpersist()
-    return coefficient_frame(table.sparkSession, models, prep)
+    encoded = encode(table, prep, ["seen"])
+    encoded = stored(encoded.coalesce(partitions) if partitions else encoded, "encoded")
+    n = encoded.count()
+    path = scratch_path(spark, "terms")
+    for at in range(0, len(species), parallel):
+        models = fit_each(encoded, species[at:at + parallel], n, design.c, parallel)
+        coefficient_frame(spark, models, prep).write.mode("append").parquet(path)
+    return spark.read.schema(TERMS).parquet(path)
 
 
 def fit_ridge(table: DataFrame, species: Sequence[str], support: DataFrame,
@@ -251,14 +266,68 @@ def fit_ridge(table: DataFrame, species: Sequence[str], support: DataFrame,
 
 def evaluate(table: DataFrame, species: Sequence[str], by: str, design: Design = Design(),
              seed: int = P.SEED, parallel: int = 8) -> DataFrame:
-    """Hold-out metrics per species. ``by`` is "site" (a place never seen) or
-    "date" (a known place on a new day)."""
+    """Hold-out metrics per species; ``by`` picks the groups that are held out:
+    "site" for places, "date" for days."""
     group = {"site": "loc_id", "date": "obs_date"}[by]
     scored = holdout_scores(table, species, group, design, seed=seed, parallel=parallel)
     return (eval_metrics(stored(scored, "scores"), ["species_code"])
             .withColumn("split", F.lit(f"by_{by}")))
 
 
+def balance(table: DataFrame, coefs: DataFrame, design: Design = Design()) -> DataFrame:
+    """What each model gives back of the rows it was fitted on, per term.
+
+    At the optimum of a ridge fit the gradient is zero. Over the rows of a
+    level, the fitted probabilities plus coefficient / C then equal the
+    detections, and those of all rows equal all detections. For a numeric term
+    ``fitted`` is the gradient on the standardised values, zero at the optimum.
+
+    Columns: species_code, term, n_rows, fitted. Rows are summed per species
+    and level on the map side; only those sums move.
+    """
+    p = predict(table, coefs, design, keep=[*design.categorical, *design.numeric])
+    own = [F.concat(F.lit(_term(c, "")), _level(c)) for c in design.categorical]
+    total = (p.select("species_code", F.explode(F.array(F.lit("intercept"), *own)).alias("term"), "p")
+             .groupBy("species_code", "term")
+             .agg(F.count(F.lit(1)).alias("n_rows"), F.sum("p").alias("fitted")))
+    stats = table.agg(
+        *[F.avg(c).alias(f"m_{c}") for c in design.numeric],
+        *[F.stddev_pop(c).alias(f"s_{c}") for c in design.numeric]).first()
+    scale = {c: float(stats[f"s_{c}"]) or 1.0 for c in design.numeric}
+    rest = F.col("p") - F.col("y")
+    sums = p.groupBy("species_code").agg(F.count(F.lit(1)).alias("n_rows"), *[
+        F.sum(rest * (F.col(c) - F.lit(stats[f"m_{c}"])) / F.lit(scale[c])).alias(f"r_{c}")
+        for c in design.numeric])
+    numeric = sums.select("species_code", "n_rows", F.inline(F.array(*[
+        F.struct(F.lit(c).alias("term"), F.col(f"r_{c}").alias("fitted"), F.lit(scale[c]).alias("scale"))
+        for c in design.numeric])))
+    both = total.withColumn("scale", F.lit(1.0)).unionByName(numeric)
+    # the intercept bears no penalty
+    penalty = F.when(F.col("term") == "intercept", 0.0).otherwise(
+        F.coalesce("value", F.lit(0.0)) * F.col("scale") / F.lit(design.c))
+    return (both.join(coefs, ["species_code", "term"], "left")
+            .select("species_code", "term", "n_rows", (F.col("fitted") + penalty).alias("fitted")))
+
+
+def holdout_balance(table: DataFrame, species: Sequence[str], group: str,
+                    design: Design = Design(), share: float = P.TEST_SHARE, seed: int = P.SEED,
+                    parallel: int = 8) -> DataFrame:
+    """Both sides of a hold-out per species: rows and detections held out, and
+    what the fit gives back of the rows it was trained on.
+
+    Columns: species_code, n_test, pos_test, n_train, fitted_train.
+    """
+    split = holdout_split(table, group, share, seed)
+    train = split.where(~F.col("is_test"))
+    scored = predict(split, fit_coefficients(train, species, design, parallel), design,
+                     keep=["is_test"])
+    held = F.col("is_test")
+    return scored.groupBy("species_code").agg(
+        F.count_if(held).alias("n_test"), F.count_if(held & (F.col("y") == 1)).alias("pos_test"),
+        F.count_if(~held).alias("n_train"),
+        F.sum(F.when(~held, F.col("p"))).alias("fitted_train"))
+
+
 def metric_terms(metrics: DataFrame) -> DataFrame:
     """Metrics as published terms, ``meta_<split>_<metric>``."""
     rows = F.array(*[F.struct(F.concat(F.lit("meta_"), F.col("split"), F.lit(f"_{k}")).alias("term"),

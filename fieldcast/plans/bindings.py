@@ -448,6 +448,33 @@ SQL = {
     "date_test": """
  SELECT obs_date, row_number() OVER (ORDER BY md5(CAST(obs_date AS VARCHAR)||':0'))
   <= ceil(count(*) OVER () * 0.25) AS is_test FROM (SELECT DISTINCT obs_date FROM model)""",
+    "whole": """
+ SELECT * FROM model WHERE n_wx_hours > 0 AND wind_max IS NOT NULL AND temp_mean IS NOT NULL
+  AND cloud_mean IS NOT NULL AND humid_mean IS NOT NULL""",
+    "fit_rows": """
+ SELECT * FROM whole WHERE hr IN (SELECT hr FROM whole GROUP BY hr HAVING count(*) >= 50)""",
+    "fit_species": """
+ SELECT species_code FROM observations JOIN floor_species USING (species_code)
+ WHERE sub_id IN (SELECT sub_id FROM fit_rows) GROUP BY 1 HAVING count(*) >= 200""",
+    "fit_labels": """
+ SELECT m.*, f.species_code, CAST(o.sub_id IS NOT NULL AS INTEGER) AS y
+ FROM fit_rows m CROSS JOIN fit_species f
+ LEFT JOIN observations o ON o.sub_id = m.sub_id AND o.species_code = f.species_code""",
+    "fit_site_test": """
+ SELECT loc_id, row_number() OVER (ORDER BY md5(loc_id||':0')) <= ceil(count(*) OVER () * 0.25) AS is_test
+ FROM (SELECT DISTINCT loc_id FROM fit_rows)""",
+    "fit_date_test": """
+ SELECT obs_date, row_number() OVER (ORDER BY md5(CAST(obs_date AS VARCHAR)||':0'))
+  <= ceil(count(*) OVER () * 0.25) AS is_test FROM (SELECT DISTINCT obs_date FROM fit_rows)""",
+    "hour_labels": """
+ SELECT m.hr, CAST(o.sub_id IS NOT NULL AS INTEGER) AS y
+ FROM (SELECT * FROM whole WHERE hr IN (SELECT hr FROM whole WHERE hr BETWEEN 5 AND 20
+  GROUP BY hr HAVING count(*) >= 50)) m
+ LEFT JOIN observations o ON o.sub_id = m.sub_id AND o.species_code = (
+  SELECT species_code FROM observations JOIN whole USING (sub_id)
+  WHERE species_code NOT LIKE 'y00%' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)""",
+    "hour_counts": """
+ SELECT hr, CAST(sum(y) AS DOUBLE) AS a, CAST(sum(1 - y) AS DOUBLE) AS b FROM hour_labels GROUP BY 1""",
     "scored": """
  SELECT split, species_code, y, (CAST((okey * 37 + CAST(substr(species_code, 3) AS INTEGER) * 101) % 1000 AS DOUBLE)
    + 0.5::DOUBLE) / 1000.0::DOUBLE AS p

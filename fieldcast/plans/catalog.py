@@ -23,6 +23,8 @@ DIGITS = 6
 # means of short decimals can end in a tie at six digits
 FINER = dict.fromkeys(("calibration_table", "calibration_mae", "eval_metrics", "eval_summary",
                        "weather_span", "weather_dedup", "weather_unzip", "forecast_span"), 9)
+# sums over all rows of a fit, right to the solver's tolerance
+FINER |= dict.fromkeys(("fit_ridge_check", "holdout_check", "hour_coding_check"), 3)
 
 
 def query(fn: Callable[[Domain], DataFrame]) -> Callable[[Domain], DataFrame]:
@@ -527,6 +529,32 @@ def calibrate_models(d: Domain) -> DataFrame:
     return evaluation.calibration_table(stored(scores, "scores"), ["species_code"])
 
 
+@query
+def fit_ridge_check(d: Domain) -> DataFrame:
+    """Every ridge model's zero gradient, term by term, against plain counts."""
+    table, _, codes = _fit_inputs(d)
+    if not codes:
+        return d.coefs.limit(0).select("species_code", "term", F.lit(0).cast("long").alias("n_rows"),
+                                       F.col("value").alias("fitted"))
+    return modelling.balance(table, modelling.fit_coefficients(table, codes))
+
+
+@query
+def holdout_check(d: Domain) -> DataFrame:
+    """Held-out counts and the trained side's balance, for all three hold-outs."""
+    table, _, codes = _fit_inputs(d)
+    parts = [("by_site", "loc_id", modelling.Design()), ("by_date", "obs_date", modelling.Design()),
+             ("calibration", "loc_id", modelling.CALIBRATION_DESIGN)]
+    checks = [modelling.holdout_balance(table, codes, group, design).withColumn("split", F.lit(name))
+              for name, group, design in (parts if codes else [])]
+    if not checks:
+        n = F.lit(0).cast("long")
+        return d.coefs.limit(0).select("species_code", n.alias("n_test"), n.alias("pos_test"),
+                                       n.alias("n_train"), F.col("value").alias("fitted_train"),
+                                       F.lit("").alias("split"))
+    return checks[0].unionByName(checks[1]).unionByName(checks[2])
+
+
 def _commonest(d: Domain, table: DataFrame) -> str:
     r = (table.select(F.explode("seen").alias("s")).groupBy("s").count()
          .orderBy(F.col("count").desc(), "s").first())
@@ -551,6 +579,16 @@ def odds_ratios(d: Domain) -> DataFrame:
     return hourcoding.odds_ratios(*_hour_table(d))
 
 
+@query
+def hour_coding_check(d: Domain) -> DataFrame:
+    return hourcoding.hour_balance(*_hour_table(d))
+
+
+@query
+def hour_contrasts(d: Domain) -> DataFrame:
+    return hourcoding.hour_contrasts(*_hour_table(d))
+
+
 @query
 def worked_example(d: Domain) -> DataFrame:
     return hourcoding.worked_example(*_hour_table(d))

@@ -225,6 +225,22 @@ BODIES: dict[str, str] = {
  ORDER BY least(abs(w - week), 53 - abs(w - week)), w) AS rank, w AS nearest, least(abs(w - week), 53 - abs(w - week)) AS distance
  FROM {_WEEKS} x CROSS JOIN (SELECT unnest(range(0, 53)) AS week)
  WHERE NOT EXISTS (SELECT 1 FROM {_WEEKS} y WHERE y.species_code = x.species_code AND y.w = week)) WHERE rank <= 3""",
+    "fit_ridge_check": """SELECT species_code, term, count(*) AS n_rows, CAST(sum(y) AS DOUBLE) AS fitted FROM (
+  SELECT species_code, y, unnest(['intercept', 'hour_'||lpad(CAST(hr AS VARCHAR), 2, '0'),
+   'week_'||lpad(CAST(week AS VARCHAR), 2, '0'), 'site_'||site]) AS term FROM fit_labels) GROUP BY 1, 2
+ UNION ALL SELECT species_code, term, count(*), 0.0::DOUBLE FROM fit_labels CROSS JOIN (SELECT unnest(['log_dur',
+  'log_dist', 'n_observers', 'traveling', 'wind_max', 'temp_mean', 'precip_sum', 'cloud_mean']) AS term) GROUP BY 1, 2""",
+    "holdout_check": " UNION ALL ".join(f"""SELECT '{split}' AS split, species_code,
+ count(*) FILTER (is_test) AS n_test, count(*) FILTER (is_test AND y = 1) AS pos_test,
+ count(*) FILTER (NOT is_test) AS n_train, CAST(sum(y) FILTER (NOT is_test) AS DOUBLE) AS fitted_train
+ FROM fit_labels JOIN {test} USING ({key}) GROUP BY 2""" for split, key, test in (
+        ("by_site", "loc_id", "fit_site_test"), ("by_date", "obs_date", "fit_date_test"),
+        ("calibration", "loc_id", "fit_site_test"))),
+    "hour_coding_check": """SELECT hr, count(*) AS n, CAST(sum(y) AS DOUBLE) AS fitted FROM hour_labels GROUP BY 1""",
+    "hour_contrasts": f"""SELECT h.hr, {r('odds_ratio', 'std_error', 'aic')} FROM (
+ SELECT h.hr, h.a / h.b / (q.a / q.b) AS odds_ratio, sqrt(1 / h.a + 1 / h.b + 1 / q.a + 1 / q.b) AS std_error,
+  2 * count(*) OVER () - 2 * sum(h.a * ln(h.a / (h.a + h.b)) + h.b * ln(h.b / (h.a + h.b))) OVER () AS aic
+ FROM hour_counts h CROSS JOIN hour_counts q WHERE q.hr = 8) h WHERE h.hr <> 8""",
     "group_holdout": "SELECT loc_id, is_test FROM site_test",
     "eval_metrics": f"SELECT split, species_code, n, n_pos, {r('brier', 'auc', 'avg_precision', 'cal_mae', digits=9)} FROM metrics",
     "calibration_table": f"""SELECT split, species_code, bin, round(pred, 9) AS pred, round(obs, 9) AS obs, n, round(obs - pred, 9) + 0.0 AS gap
