@@ -255,19 +255,18 @@ def species_shortlist(coefs: DataFrame, spans: DataFrame, sites: DataFrame, area
     """Likeliest species at every site, day and hour, straight from the terms.
 
     All species of a slot sit in one array, as do all effects of a site, both
-    bounded by the species list and in its order. They meet by area, and each
-    row sorts its own short array: the grid of species x sites x slots is never
-    shuffled.
+    bounded by the species list and in its order. They meet by area, one row per
+    site and slot, and each row sorts its own short array: the grid of species x
+    sites x slots is never shuffled.
     """
     area = list(area)
     parts = (site_free_sums(coefs, spans, outing, min_support)
              .groupBy(*area, "day", "hour")
-             .agg(F.sort_array(F.collect_list(F.struct("species_code", "part"))).alias("parts"))
-             .groupBy(*area).agg(F.collect_list(F.struct("day", "hour", "parts")).alias("slots")))
+             .agg(F.sort_array(F.collect_list(F.struct("species_code", "part"))).alias("parts")))
     effects = (site_effects(coefs, sites.select("loc_id", *area)).groupBy("loc_id", *area)
                .agg(F.sort_array(F.collect_list(F.struct("species_code", "site_effect")))
                     .alias("effects")))
-    rows = effects.join(parts, area, "inner").select("loc_id", "effects", F.inline("slots"))
+    rows = effects.join(parts, area, "inner")
 
     def scored(x: Column, e: Column) -> Column:
         p = sigmoid(x["part"] + e["site_effect"])

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from fieldcast import params as P
 from fieldcast.functions import clock_hour, hour_bucket, snap, week_of
-from fieldcast.operators import (coefficients, community, evaluation, hourcoding, labels, modelling,
+from fieldcast.operators import (best, coefficients, community, evaluation, hourcoding, labels, modelling,
                                  outings, photos, scoring, spatial, stores, weather)
 from fieldcast.plans.bindings import Domain
 from fieldcast.plans.features import fit_table, model_table, outing_features
@@ -418,23 +418,24 @@ def score_grid(d: Domain) -> DataFrame:
                          "has_site_effect")
 
 
-def _best_cells(d: Domain) -> DataFrame:
-    return scoring.best_window(d.grid, carry=["site_effect", *scoring.WEATHER])
+def _asked(d: Domain) -> tuple:
+    return d.coefs, d.spans(), d.hotspots, ["clat", "clon"]
 
 
 @query
 def drivers(d: Domain) -> DataFrame:
-    return scoring.drivers(d.coefs, _best_cells(d))
+    return scoring.drivers(d.coefs, best.best_window(
+        *_asked(d), carry=["site_effect", *scoring.WEATHER]))
 
 
 @query
 def best_window(d: Domain) -> DataFrame:
-    return scoring.best_window(d.grid)
+    return best.best_window(*_asked(d))
 
 
 @query
 def best_hotspots(d: Domain) -> DataFrame:
-    return scoring.best_hotspots(d.grid).select(
+    return best.best_hotspots(*_asked(d)).select(
         "species_code", "day", "hour", "rank", "loc_id", "probability", "lo", "hi", "n_scored", "t")
 
 
@@ -445,8 +446,7 @@ def species_shortlist(d: Domain) -> DataFrame:
 
 @query
 def weather_effect(d: Domain) -> DataFrame:
-    best = scoring.best_hotspots(d.grid, k=1)
-    return scoring.weather_effect(d.coefs, best)
+    return scoring.weather_effect(d.coefs, best.best_hotspots(*_asked(d), k=1))
 
 
 @query
@@ -607,10 +607,7 @@ def snap_hotspot(d: Domain) -> DataFrame:
 
 @query
 def nearby_ranked(d: Domain) -> DataFrame:
-    best = d.grid.groupBy("species_code", "loc_id").agg(
-        F.max("probability").alias("best_probability"),
-        F.max("has_site_effect").alias("has_site_effect"))
-    return spatial.nearby_ranked(d.pins, _places(d), best)
+    return spatial.nearby_ranked(d.pins, _places(d), best.best_probability(*_asked(d)))
 
 
 @query
