@@ -52,7 +52,7 @@ def best_probability(coefs: DataFrame, spans: DataFrame, sites: DataFrame, area:
     top = (site_free_sums(coefs, spans, outing, min_support)
            .groupBy("species_code", *area).agg(F.max("part").alias("part")))
     pairs = site_effects(coefs, sites.select("loc_id", *area))
-    return pairs.join(top, ["species_code", *area], "inner").select(
+    return pairs.join(top, ["species_code", *area], "left").select(
         "species_code", "loc_id",
         sigmoid(F.col("part") + F.col("site_effect")).alias("best_probability"), "has_site_effect")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldcast import params as P
 from fieldcast.functions import clock_hour, sigmoid
+from fieldcast.operators.coefficients import modelled_sites
 from fieldcast.operators.dedup import salted_join, top_by
 from fieldcast.operators.ranks import running_totals
 from fieldcast.operators.scoring import (effort_logit, reason, site_effects, weather_logit,
@@ -48,47 +49,54 @@ def user_summary(checklists: DataFrame, observations: DataFrame) -> DataFrame:
 
 def expected_species(table: DataFrame, coefs: DataFrame, min_support: float = P.MIN_PER_HOUR,
                      salts: int = 8) -> DataFrame:
-    """Species found and species expected per outing, at its own effort.
-
-    Site effects of all species are packed into one array per site and joined
-    to outings by site, salted because the pooled site holds about half of all
-    outings. The outings x species rows come from an explode afterwards; they
-    meet only lookups bounded by the species list, and are summed per outing
-    before anything moves.
+    """One row per outing and species: seen (``y``) and expected (``p``) at its own effort.
+
+    ``p`` is null where the model gives a reason instead of a number, and
+    ``first`` marks one row of each outing. The effects of a site with its own
+    are packed into one array and joined by site; all other outings take the
+    pooled array, which the species list bounds. The join is salted, since the
+    pooled site holds about half of all outings. The outings x species rows come
+    from an explode afterwards and meet only lookups bounded by the species
+    list; callers sum them before anything moves.
     """
+    pair = F.sort_array(F.collect_list(F.struct("species_code", "site_effect")))
     one = F.lit(P.POOLED_SITE).alias("loc_id")
-    sites = table.where("is_hotspot").select("loc_id").distinct().unionByName(
-        coefs.sparkSession.range(1).select(one))
-    packed = (site_effects(coefs, sites)
-              .groupBy(F.col("loc_id").alias("site"))
-              .agg(F.collect_list(F.struct("species_code", "site_effect")).alias("effects")))
+    pooled = site_effects(coefs, coefs.sparkSession.range(1).select(one)).select(pair).scalar()
+    packed = (site_effects(coefs, modelled_sites(coefs))
+              .groupBy(F.col("loc_id").alias("site")).agg(pair.alias("own")))
     keep = ["sub_id", "observer", "obs_date", "duration_hrs", "distance_km", "n_observers",
             "traveling", "hr", "week", "site", "seen", "wind_max", "temp_mean", "precip_sum",
             "cloud_mean"]
-    wide = salted_join(table.select(*keep), packed, ["site"], "inner", F.col("sub_id"), salts)
-    long = wide.select(*[c for c in keep if c != "site"], F.inline("effects"))
-    cells = with_terms(long.withColumnRenamed("hr", "hour"), coefs, "inner")
-    scored = cells.where(reason(min_support).isNull())
+    wide = salted_join(table.select(*keep), packed, ["site"], "left", F.col("sub_id"), salts)
+    long = wide.select(*[c for c in keep if c != "site"],
+                       F.posexplode(F.coalesce("own", pooled)).alias("at", "e"))
+    long = long.select("*", "e.species_code", "e.site_effect").drop("e")
+    cells = with_terms(long.withColumnRenamed("hr", "hour"), coefs, "left")
     total = (F.col("b_intercept") + F.coalesce("hour_term", F.lit(0.0)) + F.col("week_term")
              + F.col("site_effect")
              + effort_logit(F.col("duration_hrs"), F.coalesce("distance_km", F.lit(0.0)),
                             F.col("n_observers").cast("double"), F.col("traveling").cast("double"))
              + weather_logit())
-    return scored.select(
-        "observer", "sub_id", "obs_date", "duration_hrs", sigmoid(total).alias("p"),
+    return cells.select(
+        "observer", "sub_id", "obs_date", "duration_hrs", (F.col("at") == 0).alias("first"),
+        F.when(reason(min_support).isNull(), sigmoid(total)).alias("p"),
         F.array_contains("seen", F.col("species_code")).cast("int").alias("y"))
 
 
 def leaderboard(table: DataFrame, coefs: DataFrame, min_support: float = P.MIN_PER_HOUR
                 ) -> DataFrame:
-    """Users per month by species found over species expected for their effort."""
-    month = F.date_format("obs_date", "yyyy-MM")
-    scored = expected_species(table, coefs, min_support)
-    found = scored.groupBy("observer", month.alias("month")).agg(
-        F.sum("y").alias("found"), F.sum("p").alias("expected"))
-    hours = (table.groupBy("observer", month.alias("month"))
-             .agg(F.sum("duration_hrs").alias("hours"), F.count(F.lit(1)).alias("n_lists")))
-    return (found.join(hours, ["observer", "month"], "inner")
+    """Users per month by species found over species expected for their effort.
+
+    One pass over the outings: sums per user and month, hours counted once per
+    outing. A month without a scored outing has no row.
+    """
+    live = F.col("p").isNotNull()
+    return (expected_species(table, coefs, min_support)
+            .groupBy("observer", F.date_format("obs_date", "yyyy-MM").alias("month"))
+            .agg(F.sum(F.when(live, F.col("y"))).alias("found"), F.sum("p").alias("expected"),
+                 F.sum(F.when(F.col("first"), F.col("duration_hrs"))).alias("hours"),
+                 F.count_if("first").alias("n_lists"))
+            .where(F.col("expected").isNotNull())
             .withColumn("efficiency", F.try_divide(F.col("found").cast("double"),
                                                    F.col("expected"))))
 

@@ -36,15 +36,16 @@ def unique_locations(locations: DataFrame) -> DataFrame:
     return keep_first(locations, ["loc_id"], order)
 
 
-def eligible_outings(checklists: DataFrame, locations: DataFrame, **rules) -> DataFrame:
-    """Eligible outings at sites with known coordinates.
+def eligible_outings(checklists: DataFrame, locations: DataFrame, carry: Sequence[str] = (),
+                     **rules) -> DataFrame:
+    """Eligible outings at sites with known coordinates; ``carry`` keeps more columns.
 
     The rules come before the join and reach the Parquet scan. The join is left
     to the planner: it broadcasts the sites when their measured size allows and
     splits hot sites at run time when not.
     """
     cols = ["sub_id", "loc_id", "obs_date", "obs_time", "duration_hrs", "distance_km",
-            "n_observers", "protocol_id"]
+            "n_observers", "protocol_id", *carry]
     sites = unique_locations(locations.select("loc_id", "lat", "lon", "is_hotspot"))
     return (checklists.where(is_eligible(**rules)).select(*cols)
             .join(sites, "loc_id", "inner"))

@@ -139,8 +139,10 @@ def site_free_sums(coefs: DataFrame, spans: DataFrame, outing: Outing,
     """The reason, or all parts of the sum but the site's, per species and span."""
     cells = (spans.withColumn("week", week_of(F.col("day")))
              .withColumn("species_code", F.explode(species_array(coefs))))
-    scored = with_terms(cells, coefs).withColumn(
-        "reason", reason(min_support, F.col("n_hours") > 0))
+    known = F.col("n_hours") > 0
+    for c in WEATHER:
+        known = known & F.col(c).isNotNull()
+    scored = with_terms(cells, coefs).withColumn("reason", reason(min_support, known))
     part = (F.coalesce("b_intercept", F.lit(0.0)) + F.coalesce("hour_term", F.lit(0.0))
             + F.coalesce("week_term", F.lit(0.0)) + _outing_columns(outing) + weather_logit())
     return scored.withColumn("part", F.when(F.col("reason").isNull(), part))
@@ -159,13 +161,16 @@ def score_grid(coefs: DataFrame, spans: DataFrame, sites: DataFrame, area: Seque
     """Probability or reason for every species, site, day and hour.
 
     ``spans`` is the output of :func:`forecast_span`; ``sites`` has loc_id and
-    the area columns.
+    the area columns. A site in an area without any forecast has one row per
+    species, with the reason and no day or hour.
     """
     slots = area_slots(coefs, spans, area, outing, min_support)
     pairs = site_effects(coefs, sites.select("loc_id", *area))
-    grid = pairs.join(slots, ["species_code", *area], "inner").select(
-        "species_code", "loc_id", "has_site_effect", "site_effect", F.inline("slots"))
-    return (grid.withColumn("probability", sigmoid(F.col("part") + F.col("site_effect")))
+    grid = pairs.join(slots, ["species_code", *area], "left").select(
+        "species_code", "loc_id", "has_site_effect", "site_effect", F.inline_outer("slots"))
+    return (grid.withColumn("reason", F.when(F.col("day").isNull(), "forecast")
+                            .otherwise(F.col("reason")))
+            .withColumn("probability", sigmoid(F.col("part") + F.col("site_effect")))
             .drop("part"))
 
 

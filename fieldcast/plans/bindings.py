@@ -114,8 +114,8 @@ class Domain:
 
     @cached_property
     def model(self) -> DataFrame:
-        return (model_table(self.checklists, self.locations, self.observations, self.weather)
-                .join(self.checklists.select("sub_id", "observer"), "sub_id", "inner"))
+        return model_table(self.checklists, self.locations, self.observations, self.weather,
+                           carry=["observer"])
 
     # -- a deterministic set of fitted terms ---------------------------------
     @cached_property
@@ -422,7 +422,7 @@ SQL = {
  SELECT b.*, s.loc_id, p.day, p.hour, p.wind_max, p.temp_mean, p.precip_sum, p.cloud_mean, p.n_hours,
   hr.value AS hour_term, ref.value AS ref_term, su.value AS support, wk.value AS week_term,
   own.value IS NOT NULL AS has_site_effect, coalesce(own.value, pool.value, 0) AS site_effect
- FROM scal b CROSS JOIN hotspots s JOIN spans p ON p.clat = s.clat AND p.clon = s.clon
+ FROM scal b CROSS JOIN hotspots s LEFT JOIN spans p ON p.clat = s.clat AND p.clon = s.clon
  LEFT JOIN coefs hr ON hr.species_code = b.species_code AND hr.term = 'hour_'||lpad(CAST(p.hour AS VARCHAR), 2, '0')
  LEFT JOIN coefs ref ON ref.species_code = b.species_code AND ref.term = 'hour_10'
  LEFT JOIN coefs su ON su.species_code = b.species_code AND su.term = 'support_'||lpad(CAST(p.hour AS VARCHAR), 2, '0')
@@ -433,7 +433,8 @@ SQL = {
  SELECT *, CASE WHEN reason IS NULL THEN 1 / (1 + exp(-(b0 + coalesce(hour_term, 0) + week_term
    + b_dur * ln(1.0::DOUBLE) + b_dist * ln(2.0::DOUBLE) + b_obs + b_trav + b_wind * wind_max
    + b_temp * temp_mean + b_rain * precip_sum + b_cloud * cloud_mean + site_effect))) END AS probability
- FROM (SELECT *, CASE WHEN n_hours = 0 THEN 'forecast' WHEN coalesce(support, 0) < 50 THEN 'hour'
+ FROM (SELECT *, CASE WHEN coalesce(n_hours, 0) = 0
+   OR wind_max IS NULL OR temp_mean IS NULL OR precip_sum IS NULL OR cloud_mean IS NULL THEN 'forecast' WHEN coalesce(support, 0) < 50 THEN 'hour'
    WHEN week_term IS NULL THEN 'week' END AS reason FROM cells)""",
     "best": """
  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY species_code, loc_id
