@@ -16,7 +16,8 @@ HEADLINE = [
     "eligible_outings", "weather_span", "presence_absence", "species_floor", "user_summary",
     "idempotent_append", "natural_key_merge", "flatten_observations", "coef_long", "score_grid",
     "best_hotspots", "species_shortlist", "eval_metrics", "leaderboard", "nearby_ranked",
-    "photo_top", "fit_ridge", "hour_coding", "stream_ingest",
+    "photo_top", "fit_ridge", "hour_coding", "stream_ingest", "evaluate_models",
+    "calibrate_models",
 ]
 
 

@@ -8,9 +8,11 @@ executors; fits of several species run at once from driver threads.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections import deque
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from itertools import batched
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
@@ -117,7 +119,7 @@ def encode(df: DataFrame, prep: Prepared, keep: Sequence[str]) -> DataFrame:
 
 
 MAX_ITER = 1000
-TOLERANCE = 1e-10
+TOLERANCE = 1e-9
 
 
 def _ridge(n: int, c: float) -> LogisticRegression:
@@ -129,11 +131,12 @@ def _ridge(n: int, c: float) -> LogisticRegression:
 
 
 def fit_each(features: DataFrame, species: Sequence[str], n: int, c: float = P.RIDGE_C,
-             parallel: int = 8) -> dict[str, LogisticRegressionModel]:
-    """One fit per species over the same stored features.
+             parallel: int = 8) -> Iterator[tuple[str, LogisticRegressionModel]]:
+    """One fit per species over the same stored features, in the order given.
 
     ``features`` has the vector and ``seen``; it should be a stored table. The
     solver caches its own blocks of it, so ``parallel`` copies exist at a time.
+    At most twice that many models wait to be taken.
     """
     spark = features.sparkSession
 
@@ -146,9 +149,17 @@ def fit_each(features: DataFrame, species: Sequence[str], n: int, c: float = P.R
         return model
 
     # a thread per fit only submits Spark jobs; each gets its own job group
+    run: Callable = inheritable_thread_target(spark)(fit)
+    waiting: deque = deque()
     with ThreadPoolExecutor(max_workers=parallel) as pool:
-        run: Callable = inheritable_thread_target(spark)(fit)
-        return dict(zip(species, pool.map(run, species)))
+        for code in species:
+            waiting.append((code, pool.submit(run, code)))
+            if len(waiting) == 2 * parallel:
+                done, model = waiting.popleft()
+                yield done, model.result()
+        while waiting:
+            done, model = waiting.popleft()
+            yield done, model.result()
 
 
 def coefficient_frame(spark, models: dict[str, LogisticRegressionModel], prep: Prepared
@@ -240,9 +251,9 @@ def fit_coefficients(table: DataFrame, species: Sequence[str], design: Design =
     """Fit every species on the table; long coefficients without support.
 
     Each solver step is one job over all partitions: the table's own unless
-    ``partitions`` says fewer. Species are fitted in waves of ``parallel``, and
-    a wave's terms are written before the next begins, so the driver never
-    holds more than one wave of coefficient vectors.
+    ``partitions`` says fewer. Terms are written ``parallel`` models at a time
+    while later fits go on, so the driver holds a few times ``parallel``
+    coefficient vectors however many species there are.
     """
     spark = table.sparkSession
     prep = prepare(table, design)
@@ -250,9 +261,8 @@ def fit_coefficients(table: DataFrame, species: Sequence[str], design: Design =
     encoded = stored(encoded.coalesce(partitions) if partitions else encoded, "encoded")
     n = encoded.count()
     path = scratch_path(spark, "terms")
-    for at in range(0, len(species), parallel):
-        models = fit_each(encoded, species[at:at + parallel], n, design.c, parallel)
-        coefficient_frame(spark, models, prep).write.mode("append").parquet(path)
+    for done in batched(fit_each(encoded, species, n, design.c, parallel), parallel):
+        coefficient_frame(spark, dict(done), prep).write.mode("append").parquet(path)
     return spark.read.schema(TERMS).parquet(path)
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldcast import params as P
-from fieldcast.operators import (coefficients, labels, outings, photos, scoring, spatial, stores,
+from fieldcast.operators import (best, coefficients, labels, outings, photos, scoring, spatial, stores,
                                  weather)
 from fieldcast.operators.dedup import keep_first, new_rows, salted_join
 from fieldcast.session import scratch_path
@@ -302,6 +302,39 @@ def test_shortlist_equals_that_of_the_grid(spark):
     assert got == want and got["H1", 8, 1][0] == "sp" and got["H2", 8, 1][0] == "sq"
 
 
+def test_best_equals_that_of_the_grid(spark):
+    both = coefs(spark).unionByName(coefs(spark, intercept=0.2, site_H1=-2.0).withColumn(
+        "species_code", F.lit("sq")))
+    more = spans(spark).unionByName(spans(spark, D(2024, 1, 3)))
+    asked = (both, more, sites(spark), ["area"])
+    g = scoring.score_grid(*asked)
+
+    def rows(df, columns):
+        return sorted(tuple(r) for r in df.select(*columns).collect())
+
+    cols = ["species_code", "loc_id", "day", "hour", "probability", "site_effect", "wind_max"]
+    carry = ["site_effect", "wind_max"]
+    got = rows(best.best_window(*asked, carry=carry), cols)
+    # equal slots on both days: the earlier wins
+    assert got == rows(scoring.best_window(g, carry=carry), cols) and len(got) == 4
+    cols = ["species_code", "day", "hour", "rank", "loc_id", "probability", "lo", "hi", "n_scored", "t"]
+    for k in (1, 12):
+        got = rows(best.best_hotspots(*asked, k=k), cols)
+        assert got and got == rows(scoring.best_hotspots(g, k=k), cols)
+
+
+def test_site_without_forecast_keeps_a_reason(spark):
+    far = spark.createDataFrame([("H9", 2)], "loc_id string, area int")
+    r = scoring.score_grid(coefs(spark), spans(spark), far, ["area"]).collect()
+    assert [(x["loc_id"], x["day"], x["probability"], x["reason"]) for x in r] == [
+        ("H9", None, None, "forecast")]
+    b = best.best_probability(coefs(spark), spans(spark), far, ["area"]).first()
+    assert (b["loc_id"], b["best_probability"], b["has_site_effect"]) == ("H9", None, False)
+    dry = spans(spark).withColumn("cloud_mean", F.lit(None).cast("double"))
+    g = scoring.score_grid(coefs(spark), dry, sites(spark), ["area"])
+    assert {x["reason"] for x in g.collect()} == {"forecast"}
+
+
 def test_refusal_order(spark):
     def reasons(sp):
         g = scoring.score_grid(coefs(spark), sp, sites(spark), ["area"])
