@@ -124,8 +124,10 @@ def heads(coefs: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
             .select("species_code", *[f"b_{n}" for n in names], *[at for _, at in blocks]))
 
 
-def model_meta(coefs: DataFrame, hotspots: DataFrame) -> DataFrame:
-    """Counts, modelled weeks and hours, and the covered box, as one row."""
+def model_meta(coefs: DataFrame, hotspots: DataFrame, fitted_at: str, region: str,
+               region_name: str) -> DataFrame:
+    """When and where a fit is for, counts, modelled weeks and hours, and the
+    covered box, as one row. ``hotspots`` is the finished dimension."""
     number = F.try_element_at(F.split("term", "_"), F.lit(2)).try_cast("int")
     c = coefs.where(F.col("term").startswith("week_") | F.col("term").startswith("hour_")
                     | (F.col("term") == "intercept"))
@@ -134,7 +136,9 @@ def model_meta(coefs: DataFrame, hotspots: DataFrame) -> DataFrame:
     return (c.agg(F.countDistinct("species_code").alias("species"),
                   of("week_").alias("modelled_weeks"), of("hour_").alias("modelled_hours"))
             .withColumn("hotspots", hotspots.agg(F.count(F.lit(1))).scalar())
-            .withColumns({k: F.lit(v) for k, v in P.EXTENT.items()}))
+            .withColumns({k: F.lit(v) for k, v in P.EXTENT.items()})
+            .withColumns({"fitted_at": F.lit(fitted_at).cast("timestamp"), "region": F.lit(region),
+                          "region_name": F.lit(region_name)}))
 
 
 def hotspot_dim(coefs: DataFrame, names: DataFrame, checklists: DataFrame) -> DataFrame:

@@ -338,6 +338,28 @@ def holdout_balance(table: DataFrame, species: Sequence[str], group: str,
         F.sum(F.when(~held, F.col("p"))).alias("fitted_train"))
 
 
+def verdicts(metrics: DataFrame, good: float = P.CAL_GOOD, bad: float = P.CAL_BAD) -> DataFrame:
+    """Metrics with the share of detections and a verdict on the mean gap."""
+    return (metrics.withColumn("prevalence", F.try_divide(F.col("n_pos").cast("double"), F.col("n")))
+            .withColumn("verdict", F.when(F.col("cal_mae") < good, "good")
+                        .when(F.col("cal_mae") > bad, "bad")
+                        .when(F.col("cal_mae").isNotNull(), "fair")))
+
+
+def refit(table: DataFrame, species: Sequence[str], support: DataFrame, parallel: int = 8
+          ) -> DataFrame:
+    """All terms a refit publishes: the fits, hour support, detections, and the
+    metrics of both hold-outs."""
+    metrics = evaluate(table, species, "site", parallel=parallel).unionByName(
+        evaluate(table, species, "date", parallel=parallel))
+    found = (table.select(F.explode("seen").alias("species_code"))
+             .where(F.col("species_code").isin(list(species))).groupBy("species_code")
+             .agg(F.count(F.lit(1)).cast("double").alias("value"))
+             .select("species_code", F.lit("meta_detections").alias("term"), "value"))
+    return (fit_ridge(table, species, support, parallel=parallel)
+            .unionByName(metric_terms(metrics)).unionByName(found))
+
+
 def metric_terms(metrics: DataFrame) -> DataFrame:
     """Metrics as published terms, ``meta_<split>_<metric>``."""
     rows = F.array(*[F.struct(F.concat(F.lit("meta_"), F.col("split"), F.lit(f"_{k}")).alias("term"),

@@ -9,6 +9,7 @@ in-stage explode, so its rows are never shuffled.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -31,12 +32,15 @@ def by_probability(column: str = "probability") -> Column:
 
 @dataclass(frozen=True)
 class Outing:
-    """What the user plans: hours, kilometres, people, and whether on the move."""
+    """What the user plans: hours, kilometres, people, and whether on the move.
 
-    duration_hrs: float = 1.0
-    distance_km: float = 1.0
-    observers: int = 1
-    traveling: bool = True
+    Each is one value for all rows, or a column of the rows scored.
+    """
+
+    duration_hrs: float | Column = 1.0
+    distance_km: float | Column = 1.0
+    observers: int | Column = 1
+    traveling: bool | Column = True
 
 
 def first_days(forecast: DataFrame, area: Sequence[str], days: int) -> DataFrame:
@@ -55,22 +59,37 @@ def forecast_span(forecast: DataFrame, area: Sequence[str], duration_hrs: float,
     the forecast lacks. A start hour without any forecast hour keeps its row
     with null weather and ``n_hours`` 0.
     """
-    import math
+    length = F.lit(max(1, math.ceil(duration_hrs)))
+    return _spans(forecast, first_days(forecast, area, days), list(area), length, hours)
+
 
-    n = max(1, math.ceil(duration_hrs))
+def spans_by_length(forecast: DataFrame, lengths: DataFrame, area: Sequence[str],
+                    hours: Sequence[int] = P.FORECAST_HOURS, days: int = P.FORECAST_DAYS
+                    ) -> DataFrame:
+    """:func:`forecast_span` for each (area, ``n_span``) of ``lengths``, in whole hours.
+
+    ``lengths`` holds distinct rows; an area's hours meet each of its lengths once.
+    """
     area = list(area)
+    wanted = first_days(forecast, area, days).join(lengths, area, "inner")
+    return _spans(forecast.join(lengths, area, "inner"), wanted, [*area, "n_span"],
+                  F.col("n_span"), hours)
+
+
+def _spans(forecast: DataFrame, wanted: DataFrame, keys: Sequence[str], length: Column,
+           hours: Sequence[int]) -> DataFrame:
     hour = F.hour("ts").cast("int")
     day_hours = F.array(*[F.lit(h) for h in hours])
-    wanted = first_days(forecast, area, days)
-    starts = F.filter(F.sequence(hour - (n - 1), hour), lambda h: F.array_contains(day_hours, h))
+    starts = F.filter(F.sequence(hour - (length - 1), hour),
+                      lambda h: F.array_contains(day_hours, h))
     agg = (forecast.withColumn("day", F.col("ts").cast("date"))
-           .select(*area, "day", "wind", "temp", "precip", "cloud", F.explode(starts).alias("hour"))
-           .groupBy(*area, "day", "hour")
+           .select(*keys, "day", "wind", "temp", "precip", "cloud", F.explode(starts).alias("hour"))
+           .groupBy(*keys, "day", "hour")
            .agg(F.max("wind").alias("wind_max"), F.avg("temp").alias("temp_mean"),
                 F.sum("precip").alias("precip_sum"), F.avg("cloud").alias("cloud_mean"),
                 F.count(F.lit(1)).alias("n_hours")))
     return (wanted.withColumn("hour", F.explode(day_hours))
-            .join(agg, [*area, "day", "hour"], "left")
+            .join(agg, [*keys, "day", "hour"], "left")
             .withColumn("n_hours", F.coalesce("n_hours", F.lit(0)).cast("long")))
 
 
@@ -84,8 +103,12 @@ def reason(min_support: float, has_weather: Column | None = None) -> Column:
 def with_terms(cells: DataFrame, coefs: DataFrame, how: str = "left",
                extra: Sequence[str] = ()) -> DataFrame:
     """Attach a species' terms to cells that have species_code, hour and week."""
-    return (cells.join(heads(coefs, extra), "species_code", how)
-            .withColumn("hour_term", F.get("hour_terms", F.col("hour")))
+    return terms_at(cells.join(heads(coefs, extra), "species_code", how))
+
+
+def terms_at(cells: DataFrame) -> DataFrame:
+    """The terms of a cell's hour and week, out of its species' arrays."""
+    return (cells.withColumn("hour_term", F.get("hour_terms", F.col("hour")))
             .withColumn("support", F.get("support_terms", F.col("hour")))
             .withColumn("week_term", F.get("week_terms", F.col("week"))))
 
@@ -110,10 +133,25 @@ def weather_logit(values: dict[str, Column] | None = None) -> Column:
     return total
 
 
-def _outing_columns(o: Outing, duration: float | None = None) -> Column:
+def outing_logit(o: Outing, duration: float | None = None) -> Column:
     d = o.duration_hrs if duration is None else duration
-    return effort_logit(F.lit(float(d)), F.lit(float(o.distance_km)),
-                        F.lit(float(o.observers)), F.lit(1.0 if o.traveling else 0.0))
+    return effort_logit(*[x.cast("double") if isinstance(x, Column) else F.lit(float(x))
+                          for x in (d, o.distance_km, o.observers, o.traveling)])
+
+
+def weather_known() -> Column:
+    """Whether a span has any forecast hour and no weather is missing."""
+    known = F.col("n_hours") > 0
+    for c in WEATHER:
+        known = known & F.col(c).isNotNull()
+    return known
+
+
+def site_free_logit(outing: Outing) -> Column:
+    """All parts of the sum but the site's, of a row with its terms and weather."""
+    zero = F.lit(0.0)
+    return (F.coalesce("b_intercept", zero) + F.coalesce("hour_term", zero)
+            + F.coalesce("week_term", zero) + outing_logit(outing) + weather_logit())
 
 
 def site_effects(coefs: DataFrame, sites: DataFrame) -> DataFrame:
@@ -139,13 +177,8 @@ def site_free_sums(coefs: DataFrame, spans: DataFrame, outing: Outing,
     """The reason, or all parts of the sum but the site's, per species and span."""
     cells = (spans.withColumn("week", week_of(F.col("day")))
              .withColumn("species_code", F.explode(species_array(coefs))))
-    known = F.col("n_hours") > 0
-    for c in WEATHER:
-        known = known & F.col(c).isNotNull()
-    scored = with_terms(cells, coefs).withColumn("reason", reason(min_support, known))
-    part = (F.coalesce("b_intercept", F.lit(0.0)) + F.coalesce("hour_term", F.lit(0.0))
-            + F.coalesce("week_term", F.lit(0.0)) + _outing_columns(outing) + weather_logit())
-    return scored.withColumn("part", F.when(F.col("reason").isNull(), part))
+    scored = with_terms(cells, coefs).withColumn("reason", reason(min_support, weather_known()))
+    return scored.withColumn("part", F.when(F.col("reason").isNull(), site_free_logit(outing)))
 
 
 def area_slots(coefs: DataFrame, spans: DataFrame, area: Sequence[str], outing: Outing,
@@ -174,19 +207,20 @@ def score_grid(coefs: DataFrame, spans: DataFrame, sites: DataFrame, area: Seque
             .drop("part"))
 
 
-def drivers(coefs: DataFrame, cells: DataFrame, outing: Outing = Outing()) -> DataFrame:
+def drivers(coefs: DataFrame, cells: DataFrame, outing: Outing = Outing(),
+            keys: Sequence[str] = ("species_code", "loc_id", "day", "hour")) -> DataFrame:
     """What time, duration and weather are worth, in points, per given cell.
 
     ``cells`` has species_code, loc_id, day, hour, site_effect and weather. Each
     is re-scored with one choice restored on top of a reference outing; the
     support floor does not apply. Points need not add up to the total, and a
-    week without a term gives null throughout.
+    week without a term gives null throughout. ``keys`` are carried along.
     """
     df = with_terms(cells.withColumn("week", week_of(F.col("day"))), coefs)
     zero = F.lit(0.0)
     hour_now = F.coalesce("hour_term", zero)
     hour_ref = F.coalesce(F.get("hour_terms", F.lit(P.REFERENCE_HOUR)), zero)
-    now, brief = _outing_columns(outing), _outing_columns(outing, P.REFERENCE_DURATION_HRS)
+    now, brief = outing_logit(outing), outing_logit(outing, P.REFERENCE_DURATION_HRS)
     wx_now, wx_ref = weather_logit(), weather_logit({"wind_max": F.lit(P.REFERENCE_WIND)})
     fixed = F.coalesce("b_intercept", zero) + F.col("week_term") + F.col("site_effect")
 
@@ -201,7 +235,7 @@ def drivers(coefs: DataFrame, cells: DataFrame, outing: Outing = Outing()) -> Da
     made = F.array(*[F.struct(F.lit(k).alias("label"),
                               round_half_up_int(v * F.lit(100.0)).alias("points"))
                      for k, v in rows])
-    return df.select("species_code", "loc_id", "day", "hour", F.inline(made))
+    return df.select(*keys, F.inline(made))
 
 
 def slice_range(grid: DataFrame, slice_by: Sequence[str]) -> DataFrame:
@@ -293,7 +327,7 @@ def weather_effect(coefs: DataFrame, best: DataFrame, outing: Outing = Outing())
     median = {k: F.lit(v) for k, v in P.MEDIAN_WEATHER.items()}
     df = with_terms(best.withColumn("week", week_of(F.col("day"))), coefs)
     at_median = sigmoid(F.coalesce("b_intercept", F.lit(0.0)) + F.coalesce("hour_term", F.lit(0.0))
-                        + F.col("week_term") + F.col("site_effect") + _outing_columns(outing)
+                        + F.col("week_term") + F.col("site_effect") + outing_logit(outing)
                         + weather_logit(median))
     return (df.withColumn("at_median", at_median)
             .withColumn("points", (F.col("probability") - F.col("at_median")) * F.lit(100.0))
@@ -321,17 +355,21 @@ def nearest_weeks(coefs: DataFrame, k: int = 3) -> DataFrame:
     Distance wraps around the year; the lower week wins a tie. All in-row: the
     candidates are an array of at most 53.
     """
-    year = P.WEEKS_IN_YEAR
     df = (modelled_weeks(coefs)
           .withColumn("week", F.explode(F.array_except(
-              F.sequence(F.lit(0), F.lit(year - 1)), F.col("weeks")))))
-    d = lambda w: F.abs(w - F.col("week"))
-    ranked = F.sort_array(F.transform("weeks", lambda w: F.struct(
-        F.least(d(w), F.lit(year) - d(w)).alias("distance"), w.alias("nearest"))))
-    return df.select("species_code", "week", F.posexplode(F.slice(ranked, 1, k))).select(
+              F.sequence(F.lit(0), F.lit(P.WEEKS_IN_YEAR - 1)), F.col("weeks")))))
+    ranked = closest_weeks(F.col("weeks"), F.col("week"), k)
+    return df.select("species_code", "week", F.posexplode(ranked)).select(
         "species_code", "week", (F.col("pos") + 1).alias("rank"), "col.nearest", "col.distance")
 
 
+def closest_weeks(weeks: Column, week: Column, k: int) -> Column:
+    """The ``k`` of ``weeks`` nearest to ``week`` around the year, as (distance, nearest)."""
+    d = lambda w: F.abs(w - week)
+    return F.slice(F.sort_array(F.transform(weeks, lambda w: F.struct(
+        F.least(d(w), F.lit(P.WEEKS_IN_YEAR) - d(w)).alias("distance"), w.alias("nearest")))), 1, k)
+
+
 def outside_area(points: DataFrame, lat: str = "lat", lon: str = "lon",
                  extent: dict[str, float] = P.EXTENT) -> DataFrame:
     """Refuse points outside the box before anything is scored."""

@@ -11,6 +11,12 @@ from pyspark.sql.window import Window
 from fieldcast import params as P
 from fieldcast.functions import week_of
 from fieldcast.operators.dedup import new_rows
+from fieldcast.sources.tables import append_new, read_table
+
+# The columns that identify a row of each stored table.
+TABLE_KEYS = {"checklists": ("sub_id",), "locations": ("loc_id",),
+              "observations": ("sub_id", "species_code")}
+
 
 class ColumnMismatch(ValueError):
     """The two sides of a merge hold different columns."""
@@ -52,6 +58,36 @@ def merge_report(name: str, local: DataFrame, incoming: DataFrame,
         F.count_if(F.col("_known").isNotNull()).alias("n_known"))
 
 
+def merge_stores(local: dict[str, DataFrame], incoming: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Each stored table with the rows that only the incoming store has.
+
+    A table that the incoming store lacks is left as it is.
+    """
+    return {t: merge_by_key(df, incoming[t], TABLE_KEYS[t], t) if t in incoming else df
+            for t, df in local.items()}
+
+
+def merge_stores_report(local: dict[str, DataFrame], incoming: dict[str, DataFrame]) -> DataFrame:
+    """One row per table of the incoming store: keys seen, added and known."""
+    reports = [merge_report(t, df, incoming[t], TABLE_KEYS[t]) for t, df in local.items()
+               if t in incoming]
+    out = reports[0]
+    for r in reports[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+def insert_sites(found: DataFrame, path: str) -> DataFrame:
+    """Append the sites that the table at ``path`` lacks; how many were new or known.
+
+    The report is taken before the rows land, so a replay reports nothing new.
+    """
+    known = read_table(found.sparkSession, path, found.schema)
+    row = merge_report("locations", known, found, ["loc_id"]).first()
+    append_new(found, path, ["loc_id"])
+    return found.sparkSession.createDataFrame([row])
+
+
 def table_census(checklists: DataFrame, observations: DataFrame) -> DataFrame:
     """Rows per table, distinct species and distinct sites, one row each."""
     def one(df: DataFrame, name: str, agg: Column) -> DataFrame:

@@ -273,6 +273,21 @@ class Domain:
             (F.lit(40.19) + _ratio(k % 50, 100.0) + _ratio(k % 7, 1e4)).alias("lat"),
             (F.lit(-80.34) + _ratio((k * 3) % 66, 100.0) + _ratio(k % 11, 1e4)).alias("lon"))
 
+    @cached_property
+    def requests(self) -> DataFrame:
+        """Forecasts users ask for at their pins; a quarter name a site."""
+        k = F.col("c_custkey")
+        asked = self.table("customer").select(
+            F.col("c_name").alias("request_id"),
+            F.concat(F.lit("sp"), F.lpad((k % 39 + 2).cast("string"), 2, "0")).alias("species_code"),
+            F.when(k % 4 == 0, F.concat(F.lit("H"), F.expr("cast(c_custkey div 15 as string)")))
+            .alias("loc_id"),
+            F.when(k % 31 != 0, _ratio(k % 6 + 1, 2.0)).alias("duration_hrs"),
+            _ratio(k % 5, 2.0).alias("distance_km"), (k % 4 + 1).cast("int").alias("n_observers"),
+            (k % 2 == 1).alias("traveling"))
+        pins = self.pins.select(F.col("point_id").alias("request_id"), "lat", "lon")
+        return outings.with_cell(asked.join(pins, "request_id"))
+
     @cached_property
     def logged(self) -> DataFrame:
         """User-logged outings, valid or not."""
@@ -540,6 +555,62 @@ SQL = {
   40.19::DOUBLE + CAST(c_custkey % 50 AS DOUBLE) / 100.0::DOUBLE + CAST(c_custkey % 7 AS DOUBLE) / 10000.0::DOUBLE AS lat,
   -80.34::DOUBLE + CAST((c_custkey * 3) % 66 AS DOUBLE) / 100.0::DOUBLE + CAST(c_custkey % 11 AS DOUBLE) / 10000.0::DOUBLE AS lon
  FROM customer""",
+    "requests": """
+ SELECT c_name AS request_id, 'sp'||lpad(CAST(c_custkey % 39 + 2 AS VARCHAR), 2, '0') AS species_code, lat, lon,
+  round_even(lat / 0.25::DOUBLE, 0) * 0.25::DOUBLE AS clat, round_even(lon / 0.25::DOUBLE, 0) * 0.25::DOUBLE AS clon,
+  CASE WHEN c_custkey % 4 = 0 THEN 'H'||(c_custkey // 15) END AS named,
+  CASE WHEN c_custkey % 31 <> 0 THEN CAST(c_custkey % 6 + 1 AS DOUBLE) / 2.0::DOUBLE END AS duration_hrs,
+  CAST(c_custkey % 5 AS DOUBLE) / 2.0::DOUBLE AS distance_km, c_custkey % 4 + 1 AS n_observers,
+  c_custkey % 2 AS traveling FROM customer JOIN pins ON point_id = c_name""",
+    "placed": """
+ SELECT r.*, b.* EXCLUDE (species_code), CASE WHEN refused IS NULL THEN coalesce(named, n.loc_id) ELSE named END AS loc_id,
+  coalesce(refused, CASE WHEN b.species_code IS NULL THEN 'species' END) AS refusal
+ FROM (SELECT *, CASE WHEN NOT (lat BETWEEN 40.19::DOUBLE AND 40.68::DOUBLE AND lon BETWEEN -80.34::DOUBLE AND -79.69::DOUBLE)
+   THEN 'area' WHEN duration_hrs IS NULL THEN 'outing' END AS refused FROM requests) r
+ LEFT JOIN (SELECT * FROM near WHERE rank = 1 AND distance_km <= 0.2) n ON n.point_id = r.request_id
+ LEFT JOIN scal b ON b.species_code = r.species_code""",
+    "spansn": """
+ SELECT d.clat, d.clon, d.day, h.hour, n, max(w.wind) AS wind_max, avg(w.temp) AS temp_mean,
+  sum(w.precip) AS precip_sum, avg(w.cloud) AS cloud_mean, count(w.ts) AS n_hours
+ FROM fdays d CROSS JOIN (SELECT unnest(range(6, 21)) AS hour) h CROSS JOIN (SELECT unnest(range(1, 4)) AS n)
+ LEFT JOIN weather w ON w.clat = d.clat AND w.clon = d.clon AND CAST(w.ts AS DATE) = d.day
+  AND hour(w.ts) BETWEEN h.hour AND h.hour + n - 1 GROUP BY ALL""",
+    "asked_cells": """
+ SELECT r.*, p.day, p.hour, p.wind_max, p.temp_mean, p.precip_sum, p.cloud_mean, hr.value AS hour_term,
+  ref.value AS ref_term, wk.value AS week_term, own.value IS NOT NULL AS has_site_effect,
+  coalesce(own.value, pool.value, 0) AS site_effect, coalesce(refusal, CASE WHEN coalesce(n_hours, 0) = 0
+   OR wind_max IS NULL OR temp_mean IS NULL OR precip_sum IS NULL OR cloud_mean IS NULL THEN 'forecast'
+   WHEN coalesce(su.value, 0) < 50 THEN 'hour' WHEN wk.value IS NULL THEN 'week' END) AS reason
+ FROM placed r LEFT JOIN spansn p ON refusal IS NULL AND p.clat = r.clat AND p.clon = r.clon AND p.n = ceil(r.duration_hrs)
+ LEFT JOIN coefs hr ON hr.species_code = r.species_code AND hr.term = 'hour_'||lpad(CAST(p.hour AS VARCHAR), 2, '0')
+ LEFT JOIN coefs ref ON ref.species_code = r.species_code AND ref.term = 'hour_10'
+ LEFT JOIN coefs su ON su.species_code = r.species_code AND su.term = 'support_'||lpad(CAST(p.hour AS VARCHAR), 2, '0')
+ LEFT JOIN coefs wk ON wk.species_code = r.species_code AND wk.term = 'week_'||lpad(CAST(dayofyear(p.day) // 7 AS VARCHAR), 2, '0')
+ LEFT JOIN coefs own ON own.species_code = r.species_code AND own.term = 'site_'||r.loc_id
+ LEFT JOIN coefs pool ON pool.species_code = r.species_code AND pool.term = 'site_PERSONAL'""",
+    "asked_grid": """
+ SELECT *, CASE WHEN reason IS NULL THEN 1 / (1 + exp(-(b0 + coalesce(hour_term, 0) + week_term
+   + b_dur * ln(duration_hrs) + b_dist * ln(1 + distance_km) + b_obs * n_observers + b_trav * traveling
+   + b_wind * wind_max + b_temp * temp_mean + b_rain * precip_sum + b_cloud * cloud_mean + site_effect))) END
+  AS probability FROM asked_cells""",
+    "asked_best": """
+ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id
+  ORDER BY round(probability, 9) DESC, day, hour) AS rn FROM asked_grid WHERE probability IS NOT NULL) WHERE rn = 1""",
+    "refit_counts": """
+ SELECT split, species_code, count(*) AS n, sum(y) AS pos FROM (
+  SELECT 'by_site' AS split, l.* FROM fit_labels l JOIN fit_site_test USING (loc_id) WHERE is_test
+  UNION ALL SELECT 'by_date', l.* FROM fit_labels l JOIN fit_date_test USING (obs_date) WHERE is_test) GROUP BY 1, 2""",
+    "published": """
+ SELECT species_code, term, CAST(NULL AS DOUBLE) AS value FROM (SELECT DISTINCT species_code, unnest(['intercept', 'log_dur',
+   'log_dist', 'n_observers', 'traveling', 'wind_max', 'temp_mean', 'precip_sum', 'cloud_mean',
+   'hour_'||lpad(CAST(hr AS VARCHAR), 2, '0'), 'week_'||lpad(CAST(week AS VARCHAR), 2, '0'), 'site_'||site]) AS term
+  FROM fit_labels)
+ UNION ALL SELECT species_code, 'support_'||lpad(CAST(hr AS VARCHAR), 2, '0'), CAST(count(*) AS DOUBLE)
+  FROM fit_labels GROUP BY species_code, hr
+ UNION ALL SELECT species_code, 'meta_detections', CAST(sum(y) AS DOUBLE) FROM fit_labels GROUP BY 1
+ UNION ALL SELECT species_code, 'meta_'||split||'_'||m, NULL FROM refit_counts, (SELECT unnest(['brier', 'auc', 'cal_mae']) AS m)
+  WHERE pos > 0 AND pos < n
+ UNION ALL SELECT species_code, term, value FROM coefs WHERE species_code NOT IN (SELECT species_code FROM fit_species)""",
     "logged": """
  SELECT 'A'||o_orderkey AS outing_id, CASE WHEN o_orderpriority = '5-LOW' THEN 'driving'
    WHEN o_orderstatus = 'O' THEN 'stationary' WHEN o_orderstatus = 'F' THEN 'traveling'

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from fieldcast import params as P
 from fieldcast.functions import clock_hour, hour_bucket, snap, week_of
 from fieldcast.operators import (best, coefficients, community, evaluation, hourcoding, labels, modelling,
-                                 outings, photos, scoring, spatial, stores, weather)
+                                 outings, photos, requests, scoring, spatial, stores, weather)
 from fieldcast.plans.bindings import Domain
 from fieldcast.plans.features import fit_table, model_table, outing_features
 from fieldcast.session import scratch_path, stored
@@ -228,7 +228,8 @@ def _parsed(d: Domain) -> DataFrame:
 
 @query
 def flatten_checklists(d: Domain) -> DataFrame:
-    return documents.checklist_rows(_parsed(d), "R1")
+    read = F.lit("2024-02-05 06:00:00").cast("timestamp")
+    return documents.checklist_rows(_parsed(d), "R1", read)
 
 
 @query
@@ -283,6 +284,42 @@ def merge_report(d: Domain) -> DataFrame:
     return stores.merge_report("checklists", a, b, ["sub_id"])
 
 
+def _two_stores(d: Domain) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """Two stores that share a third of their rows, columns in another order."""
+    loc, obs = [F.substring(c, 2, 20).try_cast("long") % 3 for c in ("loc_id", "sub_id")]
+    a, b = _two_batches(d)
+    locations, seen = d.locations, d.observations.select("sub_id", "species_code", "how_many")
+    local = {"checklists": a, "locations": locations.where(loc != 0), "observations": seen.where(obs != 0)}
+    other = {"checklists": b, "locations": locations.where(loc != 1), "observations": seen.where(obs != 1)}
+    return local, {k: v.select(*reversed(v.columns)) for k, v in other.items()}
+
+
+@query
+def store_merge(d: Domain) -> DataFrame:
+    """Rows of the merged stores as (table, key), with the values they carry."""
+    merged = stores.merge_stores(*_two_stores(d))
+    texts = [merged[t].select(F.lit(t).alias("table_name"), F.concat_ws("/", *keys).alias("key"),
+                              F.col(v).cast("double").alias("value"))
+             for t, keys, v in (("checklists", ["sub_id"], "duration_hrs"), ("locations", ["loc_id"], "lat"),
+                                ("observations", ["sub_id", "species_code"], "how_many"))]
+    return texts[0].unionByName(texts[1]).unionByName(texts[2])
+
+
+@query
+def store_merge_report(d: Domain) -> DataFrame:
+    return stores.merge_stores_report(*_two_stores(d))
+
+
+@query
+def insert_sites(d: Domain) -> DataFrame:
+    """Sites of the feeds go into a store that has the public ones already."""
+    path = scratch_path(d.spark, "sites")
+    d.locations.where("is_hotspot").write.parquet(path)
+    report = stores.insert_sites(QUERIES["feed_locations"](d), path)
+    return report.withColumn("n_stored", d.spark.read.parquet(path).agg(
+        F.countDistinct("loc_id")).scalar())
+
+
 @query
 def unresolved_days(d: Domain) -> DataFrame:
     return stores.unresolved_days(d.checklists, d.locations)
@@ -319,14 +356,29 @@ def table_census(d: Domain) -> DataFrame:
     return stores.require_rows(stores.table_census(d.checklists, d.observations))
 
 
-@query
-def extreme_days(d: Domain) -> DataFrame:
+def _daily(d: Domain) -> DataFrame:
     n = F.count(F.lit(1))
-    daily = d.table("orders").groupBy(F.col("o_orderdate").cast("date").alias("date")).agg(
+    return d.table("orders").groupBy(F.col("o_orderdate").cast("date").alias("date")).agg(
         F.when(n % 5 != 0, F.round(F.max("o_totalprice") / 1000, 3)).alias("wind_max"),
         F.round(F.sum("o_totalprice") / 10000, 3).alias("precip"),
         F.round(F.avg("o_totalprice") / 10000, 3).alias("temp_mean"))
-    return stores.extreme_days(daily)
+
+
+@query
+def extreme_days(d: Domain) -> DataFrame:
+    return stores.extreme_days(_daily(d))
+
+
+@query
+def extreme_days_documents(d: Domain) -> DataFrame:
+    """The same from landed documents, one a year."""
+    packed = F.sort_array(F.collect_list(F.struct("date", "wind_max", "precip", "temp_mean")))
+    block = F.struct(F.transform("a", lambda x: x["date"].cast("string")).alias("time"),
+                     *[F.col(f"a.{n}").alias(f) for f, n in documents.DAILY_FIELDS.items()])
+    docs = (_daily(d).groupBy(F.year("date").alias("of_year")).agg(packed.alias("a"))
+            .select("of_year", F.to_json(F.struct(block.alias("daily"))).alias("json")))
+    docs = documents.parse(docs, "json", documents.DAILY_DOC)
+    return stores.extreme_days(documents.weather_unzip(docs, ["of_year"], "daily"))
 
 
 # -- coefficients -------------------------------------------------------------
@@ -394,7 +446,10 @@ def species_list(d: Domain) -> DataFrame:
 
 @query
 def model_meta(d: Domain) -> DataFrame:
-    return coefficients.model_meta(d.coefs, d.site_names)
+    # the run's time and region are told, not taken from the clock
+    dim = coefficients.hotspot_dim(d.coefs, d.site_names, d.checklists)
+    return coefficients.model_meta(d.coefs, dim, fitted_at="2024-02-05 06:00:00", region="R1",
+                                   region_name="Region one")
 
 
 # -- forecast -----------------------------------------------------------------
@@ -459,6 +514,29 @@ def nearest_weeks(d: Domain) -> DataFrame:
     return scoring.nearest_weeks(d.coefs)
 
 
+# -- forecasts on request -----------------------------------------------------
+def _asked_grid(d: Domain) -> DataFrame:
+    places = d.hotspots.select("loc_id", F.col("lat").alias("latitude"),
+                               F.col("lon").alias("longitude"))
+    return requests.forecast_requests(d.requests, d.coefs, d.weather, places, ["clat", "clon"])
+
+
+@query
+def forecast_request(d: Domain) -> DataFrame:
+    return _asked_grid(d).select("request_id", "species_code", "loc_id", "has_site_effect", "day",
+                                 "hour", "reason", "probability")
+
+
+@query
+def request_summary(d: Domain) -> DataFrame:
+    return requests.request_summary(_asked_grid(d), d.coefs)
+
+
+@query
+def request_drivers(d: Domain) -> DataFrame:
+    return requests.request_drivers(_asked_grid(d), d.coefs)
+
+
 # -- evaluation ---------------------------------------------------------------
 GROUP = ["split", "species_code"]
 
@@ -529,6 +607,40 @@ def calibrate_models(d: Domain) -> DataFrame:
     return evaluation.calibration_table(stored(scores, "scores"), ["species_code"])
 
 
+@query
+def calibrate_metrics(d: Domain) -> DataFrame:
+    """Brier score, AUC, average precision and mean gap of the site-free variant."""
+    table, _, codes = _fit_inputs(d)
+    if not codes:
+        return modelling.verdicts(evaluation.eval_metrics(d.scored.limit(0), ["species_code"]))
+    scores = modelling.holdout_scores(table, codes, "loc_id", modelling.CALIBRATION_DESIGN)
+    return modelling.verdicts(evaluation.eval_metrics(stored(scores, "scores"), ["species_code"]))
+
+
+@query
+def refit_publish(d: Domain) -> DataFrame:
+    """Fit, both hold-outs, replace by species, then score with what is published.
+
+    Term names of all species, with the values that are counts or were kept
+    from before; and the slots per reason of the forecast from these terms.
+    """
+    table, support, codes = _fit_inputs(d)
+    path = scratch_path(d.spark, "published")
+    coefficients.write_by_species(d.coefs, path)
+    if codes:
+        coefficients.write_by_species(modelling.refit(table, codes, support), path)
+    published = d.spark.read.schema("species_code string, term string, value double").parquet(path)
+    told = (~F.col("species_code").isin(codes) | F.col("term").startswith("support_")
+            | (F.col("term") == "meta_detections"))
+    terms = published.select("species_code", "term", F.when(told, F.col("value")).alias("value"))
+    grid = scoring.score_grid(published, d.spans(), d.hotspots, ["clat", "clon"])
+    scored = F.col("reason").isNotNull() | F.col("probability").between(0, 1)
+    slots = (grid.where(scored).groupBy("species_code", F.concat(
+        F.lit("slots_"), F.coalesce("reason", F.lit("scored"))).alias("term"))
+        .agg(F.count(F.lit(1)).cast("double").alias("value")))
+    return terms.unionByName(slots)
+
+
 @query
 def fit_ridge_check(d: Domain) -> DataFrame:
     """Every ridge model's zero gradient, term by term, against plain counts."""
@@ -707,6 +819,27 @@ def stream_ingest(d: Domain) -> DataFrame:
                     F.coalesce("n_obs", F.lit(0)).alias("n_obs")))
 
 
+@query
+def ingest_rejects(d: Domain) -> DataFrame:
+    """Documents cut short or without an outing land among whole ones, twice."""
+    root = scratch_path(d.spark, "rejects")
+    sub_id = F.get_json_object("json", "$.subId")
+    docs = stored(_checklist_docs(d).select(
+        "json", sub_id.alias("sub_id"),
+        (F.substring(sub_id, 2, 20).try_cast("long") % 20).alias("k")), "docs")
+    sent = docs.select(F.when(F.col("k") == 0, F.concat(F.lit('{"subId":"'), "sub_id", F.lit('","loc')))
+                       .when(F.col("k") == 1, F.concat(F.lit('{"locId":"'), "sub_id", F.lit('"}')))
+                       .otherwise(F.col("json")).alias("json"))
+    for _ in range(2):
+        sent.write.mode("append").text(f"{root}/landing")
+        ingest.ingest(d.spark, f"{root}/landing", f"{root}/store", f"{root}/checkpoint", "R1",
+                      files_per_trigger=8).awaitTermination()
+    bad = d.spark.read.schema("document string, file string").parquet(f"{root}/store/rejects")
+    kept = tables.read_table(d.spark, f"{root}/store/checklists", tables.CHECKLISTS)
+    return (bad.select("document").distinct().withColumn("stored", F.lit(False))
+            .unionByName(kept.select(F.col("sub_id").alias("document"), F.lit(True).alias("stored"))))
+
+
 @query
 def model_wide(d: Domain) -> DataFrame:
     """The wide model table, one 0/1 column per qualifying species."""

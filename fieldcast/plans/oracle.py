@@ -37,20 +37,21 @@ EFFORT = "b_dur * ln({d}::DOUBLE) + b_dist * ln(2.0::DOUBLE) + b_obs + b_trav"
 SIG = "(1 / (1 + exp(-({}))))"
 
 
-def _drivers() -> str:
+def _drivers(rows_of: str = "best", keys: str = "species_code, loc_id", effort: str = EFFORT,
+             duration: str = "1.0") -> str:
     fixed = "b0 + week_term + site_effect"
     wx = "b_wind * {w} + b_temp * temp_mean + b_rain * precip_sum + b_cloud * cloud_mean"
     now_h, ref_h = "coalesce(hour_term, 0)", "coalesce(ref_term, 0)"
 
-    def at(h: str, d: float, w: str) -> str:
-        return SIG.format(" + ".join([fixed, h, EFFORT.format(d=d), wx.format(w=w)]))
+    def at(h: str, d: float | str, w: str) -> str:
+        return SIG.format(" + ".join([fixed, h, effort.format(d=d), wx.format(w=w)]))
 
     base = at(ref_h, 0.5, "12")
-    rows = {"time of day": f"{at(now_h, 0.5, '12')} - {base}", "how long": f"{at(ref_h, 1.0, '12')} - {base}",
-            "weather": f"{at(ref_h, 0.5, 'wind_max')} - {base}", "total": at(now_h, 1.0, "wind_max")}
+    rows = {"time of day": f"{at(now_h, 0.5, '12')} - {base}", "how long": f"{at(ref_h, duration, '12')} - {base}",
+            "weather": f"{at(ref_h, 0.5, 'wind_max')} - {base}", "total": at(now_h, duration, "wind_max")}
     return " UNION ALL ".join(
-        f"SELECT species_code, loc_id, CAST(day AS VARCHAR) AS day, hour, '{k}' AS label, "
-        f"CAST(floor(({v}) * 100 + 0.5) AS INTEGER) AS points FROM best" for k, v in rows.items())
+        f"SELECT {keys}, CAST(day AS VARCHAR) AS day, hour, '{k}' AS label, "
+        f"CAST(floor(({v}) * 100 + 0.5) AS INTEGER) AS points FROM {rows_of}" for k, v in rows.items())
 
 
 _WEEKS = """(SELECT species_code, CAST(substr(term, 6, 2) AS INTEGER) AS w FROM coefs WHERE term LIKE 'week_%')"""
@@ -76,6 +77,13 @@ _FEED = """(SELECT c.okey, c.obs_date, c.observer, l.loc_id, l.lat + (okey % 3)
  CASE WHEN okey % 5 <> 0 THEN is_hotspot ELSE false END AS is_hotspot FROM checklists c JOIN locations l USING (loc_id))"""
 _BINOMIAL = r"array_to_string(list_slice(string_split(trim(regexp_replace(nm, '\s+', ' ', 'g')), ' '), 1, 2), ' ')"
 
+EXTREMES = f"""SELECT year(date) AS year, month(date) AS month, {day('date')}, {r('wind_max', 'precip', 'temp_mean')},
+ CASE WHEN month(date) % 2 = 1 THEN 'windy' ELSE 'calm' END AS kind FROM (SELECT *, row_number() OVER
+ (PARTITION BY year(date), month(date) ORDER BY CASE WHEN month(date) % 2 = 1 THEN -wind_max ELSE wind_max END, date) AS rn
+ FROM (SELECT CAST(o_orderdate AS DATE) AS date, CASE WHEN count(*) % 5 <> 0 THEN round(max(o_totalprice) / 1000, 3) END AS wind_max,
+  round(sum(o_totalprice) / 10000, 3) AS precip, round(avg(o_totalprice) / 10000, 3) AS temp_mean FROM orders GROUP BY 1)
+ WHERE wind_max IS NOT NULL) WHERE rn = 1"""
+
 BODIES: dict[str, str] = {
     "eligible_outings": f"""SELECT sub_id, loc_id, {day('obs_date')}, obs_time, {r('duration_hrs', 'distance_km')},
  n_observers, protocol_id, {r('lat', 'lon')}, is_hotspot FROM eligible""",
@@ -144,7 +152,7 @@ BODIES: dict[str, str] = {
  FROM model m LEFT JOIN observations o USING (sub_id) GROUP BY ALL""",
     "flatten_checklists": f"""SELECT sub_id, loc_id, 'R1' AS region, concat_ws(' ', CAST(obs_date AS VARCHAR), obs_time) AS obs_dt,
  {day('obs_date')}, obs_time, {r('duration_hrs', 'distance_km')}, n_observers, protocol_id, all_reported,
- coalesce(n, 0) AS richness, observer FROM checklists
+ coalesce(n, 0) AS richness, observer, '2024-02-05 06:00:00' AS scraped_at FROM checklists
  LEFT JOIN (SELECT sub_id, count(*) AS n FROM observations GROUP BY 1) USING (sub_id)""",
     "flatten_observations": "SELECT sub_id, species_code, how_many FROM observations SEMI JOIN checklists USING (sub_id)",
     "feed_locations": f"""SELECT loc_id, {r('lat', 'lon')}, is_hotspot FROM (SELECT *, row_number() OVER
@@ -153,6 +161,19 @@ BODIES: dict[str, str] = {
     "natural_key_merge": BATCHES,
     "merge_report": """SELECT 'checklists' AS table_name, count(*) AS n_seen, count(*) FILTER (status = 'P') AS n_added,
  count(*) FILTER (status = 'F') AS n_known FROM checklists WHERE status <> 'O'""",
+    "store_merge": """SELECT 'checklists' AS table_name, sub_id AS key, round(duration_hrs, 6) AS value FROM checklists
+ UNION ALL SELECT 'locations', loc_id, round(lat, 6) FROM locations
+ UNION ALL SELECT 'observations', sub_id||'/'||species_code, CAST(how_many AS DOUBLE) FROM observations""",
+    "store_merge_report": """SELECT 'checklists' AS table_name, count(*) AS n_seen, count(*) FILTER (status = 'P') AS n_added,
+ count(*) FILTER (status = 'F') AS n_known FROM checklists WHERE status <> 'O'
+ UNION ALL SELECT 'locations', count(*), count(*) FILTER (k = 0), count(*) FILTER (k = 2)
+  FROM (SELECT CAST(substr(loc_id, 2) AS BIGINT) % 3 AS k FROM locations) WHERE k <> 1
+ UNION ALL SELECT 'observations', count(*), count(*) FILTER (k = 0), count(*) FILTER (k = 2)
+  FROM (SELECT CAST(substr(sub_id, 2) AS BIGINT) % 3 AS k FROM observations) WHERE k <> 1""",
+    "insert_sites": f"""SELECT 'locations' AS table_name, count(*) AS n_seen, count(*) FILTER (NOT is_hotspot) AS n_added,
+ count(*) FILTER (is_hotspot) AS n_known, (SELECT count(*) FROM locations WHERE is_hotspot)
+  + count(*) FILTER (NOT is_hotspot) AS n_stored FROM (SELECT DISTINCT loc_id, l.is_hotspot FROM {_FEED} f
+   JOIN locations l USING (loc_id))""",
     "unresolved_days": f"SELECT DISTINCT {day('obs_date')} FROM checklists WHERE loc_id NOT IN (SELECT loc_id FROM locations)",
     "site_census": f"""SELECT n_sites, n_hotspots, {r('lat_min', 'lat_max', 'lon_min', 'lon_max')}, n_needed, n_missing,
  round(n_hotspots / n_sites, 6) AS hotspot_share, round((lat_max - lat_min) * 111, 6) AS span_km,
@@ -172,12 +193,8 @@ BODIES: dict[str, str] = {
  SELECT 'observations', count(*) FROM observations UNION ALL
  SELECT 'species', count(DISTINCT species_code) FROM observations UNION ALL
  SELECT 'locations', count(DISTINCT loc_id) FROM checklists""",
-    "extreme_days": f"""SELECT year(date) AS year, month(date) AS month, {day('date')}, {r('wind_max', 'precip', 'temp_mean')},
- CASE WHEN month(date) % 2 = 1 THEN 'windy' ELSE 'calm' END AS kind FROM (SELECT *, row_number() OVER
- (PARTITION BY year(date), month(date) ORDER BY CASE WHEN month(date) % 2 = 1 THEN -wind_max ELSE wind_max END, date) AS rn
- FROM (SELECT CAST(o_orderdate AS DATE) AS date, CASE WHEN count(*) % 5 <> 0 THEN round(max(o_totalprice) / 1000, 3) END AS wind_max,
-  round(sum(o_totalprice) / 10000, 3) AS precip, round(avg(o_totalprice) / 10000, 3) AS temp_mean FROM orders GROUP BY 1)
- WHERE wind_max IS NOT NULL) WHERE rn = 1""",
+    "extreme_days": EXTREMES,
+    "extreme_days_documents": EXTREMES,
     "coef_long": f"SELECT species_code, term, {r('value')} FROM coefs",
     "coef_replace": f"""SELECT species_code, term, {r('value')} FROM refit UNION ALL
  SELECT species_code, term, {r('value')} FROM coefs WHERE species_code NOT IN (SELECT species_code FROM refit)""",
@@ -198,7 +215,8 @@ BODIES: dict[str, str] = {
     "model_meta": """SELECT (SELECT count(DISTINCT species_code) FROM coefs) AS species,
  (SELECT array_to_string(list_sort(list(DISTINCT CAST(substr(term, 6) AS INTEGER))), ',') FROM coefs WHERE term LIKE 'week_%') AS modelled_weeks,
  (SELECT array_to_string(list_sort(list(DISTINCT CAST(substr(term, 6) AS INTEGER))), ',') FROM coefs WHERE term LIKE 'hour_%') AS modelled_hours,
- (SELECT count(*) FROM site_names) AS hotspots, 40.19::DOUBLE AS lat_min, 40.68::DOUBLE AS lat_max,
+ (SELECT count(*) FROM site_names WHERE 'site_'||loc_id IN (SELECT term FROM coefs)) AS hotspots,
+ '2024-02-05 06:00:00' AS fitted_at, 'R1' AS region, 'Region one' AS region_name, 40.19::DOUBLE AS lat_min, 40.68::DOUBLE AS lat_max,
  -80.34::DOUBLE AS lon_min, -79.69::DOUBLE AS lon_max""",
     "forecast_span": f"""SELECT clat, clon, {day('day')}, hour, {r('wind_max', 'temp_mean', 'precip_sum', 'cloud_mean', digits=9)},
  n_hours FROM spans3""",
@@ -219,6 +237,20 @@ BODIES: dict[str, str] = {
  round((probability - at_median) * 100, 6) + 0.0 AS points FROM (SELECT *, {SIG.format(
  f"b0 + coalesce(hour_term, 0) + week_term + site_effect + {EFFORT.format(d=1.0)} + b_wind * 12 + b_temp * 18 + b_cloud * 60")}
  AS at_median FROM ranked_sites WHERE rank = 1)""",
+    "forecast_request": f"""SELECT request_id, species_code, loc_id, has_site_effect, {day('day')}, hour, reason,
+ {r('probability')} FROM asked_grid""",
+    "request_summary": f"""SELECT g.request_id, g.species_code, {day('b.day')[:-len(' AS b.day')]} AS day, b.hour, b.hour + 1 AS until_hour,
+ round(b.probability, 6) + 0.0 AS probability, n_slots, n_scored, w.weeks AS modelled_weeks,
+ CASE WHEN n_week > 0 AND n_scored = 0 THEN (SELECT string_agg(x.w, ',' ORDER BY least(abs(x.w - week), 53 - abs(x.w - week)), x.w)
+  FROM (SELECT w FROM {_WEEKS} y WHERE y.species_code = g.species_code
+   ORDER BY least(abs(w - week), 53 - abs(w - week)), w LIMIT 3) x) END AS nearest_weeks
+ FROM (SELECT request_id, species_code, count(day) AS n_slots, count(probability) AS n_scored,
+  count(*) FILTER (reason = 'week') AS n_week, dayofyear(min(day)) // 7 AS week FROM asked_grid GROUP BY 1, 2) g
+ LEFT JOIN asked_best b USING (request_id)
+ LEFT JOIN (SELECT species_code, string_agg(w, ',' ORDER BY w) AS weeks FROM {_WEEKS} GROUP BY 1) w ON w.species_code = g.species_code""",
+    "request_drivers": _drivers("asked_best", "request_id, species_code",
+                                "b_dur * ln({d}::DOUBLE) + b_dist * ln(1 + distance_km) + b_obs * n_observers + b_trav * traveling",
+                                "duration_hrs"),
     "week_coverage": f"""SELECT s.species_code, week, x.w IS NOT NULL AS fitted, week = 2 AS is_current FROM species s
  CROSS JOIN (SELECT unnest(range(0, 53)) AS week) LEFT JOIN {_WEEKS} x ON x.species_code = s.species_code AND x.w = week""",
     "nearest_weeks": f"""SELECT * FROM (SELECT species_code, week, row_number() OVER (PARTITION BY species_code, week
@@ -241,6 +273,15 @@ BODIES: dict[str, str] = {
  SELECT h.hr, h.a / h.b / (q.a / q.b) AS odds_ratio, sqrt(1 / h.a + 1 / h.b + 1 / q.a + 1 / q.b) AS std_error,
   2 * count(*) OVER () - 2 * sum(h.a * ln(h.a / (h.a + h.b)) + h.b * ln(h.b / (h.a + h.b))) OVER () AS aic
  FROM hour_counts h CROSS JOIN hour_counts q WHERE q.hr = 8) h WHERE h.hr <> 8""",
+    "refit_publish": f"""SELECT species_code, term, {r('value')} FROM published
+ UNION ALL SELECT b.species_code, 'slots_'||CASE WHEN coalesce(n_hours, 0) = 0 OR wind_max IS NULL OR temp_mean IS NULL
+   OR precip_sum IS NULL OR cloud_mean IS NULL THEN 'forecast' WHEN coalesce(su.value, 0) < 50 THEN 'hour'
+   WHEN wk.term IS NULL THEN 'week' ELSE 'scored' END, CAST(count(*) AS DOUBLE)
+ FROM (SELECT DISTINCT species_code FROM published) b CROSS JOIN hotspots s
+ LEFT JOIN spans p ON p.clat = s.clat AND p.clon = s.clon
+ LEFT JOIN published su ON su.species_code = b.species_code AND su.term = 'support_'||lpad(CAST(p.hour AS VARCHAR), 2, '0')
+ LEFT JOIN published wk ON wk.species_code = b.species_code AND wk.term = 'week_'||lpad(CAST(dayofyear(p.day) // 7 AS VARCHAR), 2, '0')
+ GROUP BY 1, 2""",
     "group_holdout": "SELECT loc_id, is_test FROM site_test",
     "eval_metrics": f"SELECT split, species_code, n, n_pos, {r('brier', 'auc', 'avg_precision', 'cal_mae', digits=9)} FROM metrics",
     "calibration_table": f"""SELECT split, species_code, bin, round(pred, 9) AS pred, round(obs, 9) AS obs, n, round(obs - pred, 9) + 0.0 AS gap
@@ -292,6 +333,8 @@ BODIES: dict[str, str] = {
   SELECT p_name||' '||p_brand, p_partkey FROM part WHERE p_type = 'SMALL') GROUP BY 1) f ON f.nm = n.nm
  LEFT JOIN (SELECT nm, min(k) AS taxon_id FROM (SELECT p_name AS nm, p_partkey AS k FROM part UNION ALL
   SELECT p_name||' '||p_brand, p_partkey FROM part WHERE p_type = 'SMALL') GROUP BY 1) b ON b.nm = n.bi""",
+    "ingest_rejects": """SELECT CASE okey % 20 WHEN 0 THEN '{"subId":"'||sub_id||'","loc' WHEN 1 THEN '{"locId":"'||sub_id||'"}'
+ ELSE sub_id END AS document, okey % 20 > 1 AS stored FROM checklists""",
     "stream_ingest": f"""SELECT sub_id, loc_id, {day('obs_date')}, coalesce(n, 0) AS richness, coalesce(n, 0) AS n_obs FROM checklists
  LEFT JOIN (SELECT sub_id, count(*) AS n FROM observations GROUP BY 1) USING (sub_id)""",
 }

@@ -50,9 +50,11 @@ def _or_null(text: Column) -> Column:
     return F.when(text != "", text)
 
 
-def checklist_rows(docs: DataFrame, region: str) -> DataFrame:
+def checklist_rows(docs: DataFrame, region: str, scraped_at: Column | None = None) -> DataFrame:
     """One row per document (column ``doc``), text before the first space of
-    the date-time being the date. Richness counts every record, coded or not."""
+    the date-time being the date. Richness counts every record, coded or not.
+    ``scraped_at`` is when the document was fetched, null when not known."""
+    scraped_at = F.lit(None) if scraped_at is None else scraped_at
     dt = F.coalesce("doc.obsDt", F.lit(""))
     at = F.locate(" ", dt)
     date = F.when(at > 0, F.substring(dt, F.lit(1), at - 1)).otherwise(dt)
@@ -67,7 +69,8 @@ def checklist_rows(docs: DataFrame, region: str) -> DataFrame:
         F.col("doc.protocolId").alias("protocol_id"),
         F.col("doc.allObsReported").alias("all_reported"),
         F.greatest(F.size("doc.obs"), F.lit(0)).alias("richness"),
-        F.col("doc.userDisplayName").alias("observer"))
+        F.col("doc.userDisplayName").alias("observer"),
+        scraped_at.cast("timestamp").alias("scraped_at"))
 
 
 def observation_rows(docs: DataFrame) -> DataFrame:

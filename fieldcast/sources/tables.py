@@ -19,6 +19,7 @@ CHECKLISTS = T.StructType([
     T.StructField("distance_km", _D), T.StructField("n_observers", T.IntegerType()),
     T.StructField("protocol_id", _S), T.StructField("all_reported", T.BooleanType()),
     T.StructField("richness", T.IntegerType()), T.StructField("observer", _S),
+    T.StructField("scraped_at", T.TimestampType()),
 ])
 OBSERVATIONS = T.StructType([
     T.StructField("sub_id", _S), T.StructField("species_code", _S),

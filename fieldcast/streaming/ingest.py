@@ -54,7 +54,8 @@ def ingest(spark: SparkSession, landing: str, store: str, checkpoint: str, regio
             # observations first: a stored outing always has its observations
             append_new(observation_rows(docs), f"{store}/observations",
                        ["sub_id", "species_code"])
-            append_new(checklist_rows(docs, region), f"{store}/checklists", ["sub_id"])
+            append_new(checklist_rows(docs, region, F.col("landed")), f"{store}/checklists",
+                       ["sub_id"])
         finally:
             docs.unpersist()
 
