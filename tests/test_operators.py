@@ -182,6 +182,28 @@ def test_merge_by_name_and_key(spark):
         stores.merge_by_key(a, b.withColumnRenamed("v", "w"), ["k"])
 
 
+def test_whole_stores_merge_by_their_own_keys(spark):
+    obs = "sub_id string, species_code string, how_many int"
+    local = {"observations": spark.createDataFrame([("s1", "a", 1), ("s1", "b", 2)], obs),
+             "locations": spark.createDataFrame([("L", 1.0, 2.0, True)], tables.LOCATIONS)}
+    other = {"observations": spark.createDataFrame([("s1", "b", 9), ("s1", "c", 3), ("s2", "a", 4)], obs)}
+    other["observations"] = other["observations"].select("how_many", "species_code", "sub_id")
+    merged = stores.merge_stores(local, other)
+    assert rows(merged["observations"], "sub_id", "species_code") == [
+        ("s1", "a", 1), ("s1", "b", 2), ("s1", "c", 3), ("s2", "a", 4)]
+    assert rows(merged["locations"]) == [("L", 1.0, 2.0, True)]
+    assert rows(stores.merge_stores_report(local, other)) == [("observations", 3, 2, 1)]
+
+
+def test_sites_are_inserted_once(spark):
+    path = scratch_path(spark, "sites")
+    found = spark.createDataFrame([("A", 1.0, 1.0, True), ("B", 2.0, 2.0, False)], tables.LOCATIONS)
+    assert rows(stores.insert_sites(found.where("loc_id = 'A'"), path)) == [("locations", 1, 1, 0)]
+    assert rows(stores.insert_sites(found, path)) == [("locations", 2, 1, 1)]
+    assert rows(stores.insert_sites(found, path)) == [("locations", 2, 0, 2)]
+    assert rows(spark.read.parquet(path), "loc_id") == rows(found, "loc_id")
+
+
 def test_hot_key_keeps_one_row_per_task_before_the_shuffle(spark):
     df = spark.createDataFrame([(1, i) for i in range(1000)], "k int, id long")
     got = keep_first(df, ["k"], [F.col("id").desc()])

@@ -44,7 +44,7 @@ def test_every_statement_has_its_query():
     assert set(QUERIES) <= set(contract.queries()) and set(SQL) <= set(contract.oracle_sql())
     assert set(contract.oracle_sql()) <= set(contract.queries())
     assert set(SQL) <= set(QUERIES)
-    assert ROWS_ONLY == ["calibrate_models", "evaluate_models", "fit_ridge", "hour_coding",
+    assert ROWS_ONLY == ["calibrate_metrics", "calibrate_models", "evaluate_models", "fit_ridge", "hour_coding",
                          "odds_ratios", "worked_example"]
 
 
