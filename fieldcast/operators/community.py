@@ -48,14 +48,14 @@ def user_summary(checklists: DataFrame, observations: DataFrame) -> DataFrame:
 
 
 def expected_species(table: DataFrame, coefs: DataFrame, min_support: float = P.MIN_PER_HOUR,
-                     salts: int = 8) -> DataFrame:
+                     salts: int | None = None) -> DataFrame:
     """One row per outing and species: seen (``y``) and expected (``p``) at its own effort.
 
     ``p`` is null where the model gives a reason instead of a number, and
     ``first`` marks one row of each outing. The effects of a site with its own
     are packed into one array and joined by site; all other outings take the
-    pooled array, which the species list bounds. The join is salted, since the
-    pooled site holds about half of all outings. The outings x species rows come
+    pooled array, which the species list bounds. The join salts the
+    pooled site, which holds about half of all outings. The outings x species rows come
     from an explode afterwards and meet only lookups bounded by the species
     list; callers sum them before anything moves.
     """
@@ -67,7 +67,8 @@ def expected_species(table: DataFrame, coefs: DataFrame, min_support: float = P.
     keep = ["sub_id", "observer", "obs_date", "duration_hrs", "distance_km", "n_observers",
             "traveling", "hr", "week", "site", "seen", "wind_max", "temp_mean", "precip_sum",
             "cloud_mean"]
-    wide = salted_join(table.select(*keep), packed, ["site"], "left", F.col("sub_id"), salts)
+    wide = salted_join(table.select(*keep), packed, ["site"], "left", F.col("sub_id"),
+                       F.col("site") == P.POOLED_SITE, salts)
     long = wide.select(*[c for c in keep if c != "site"],
                        F.posexplode(F.coalesce("own", pooled)).alias("at", "e"))
     long = long.select("*", "e.species_code", "e.site_effect").drop("e")

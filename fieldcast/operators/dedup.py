@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fieldcast.session import shuffle_width
+
 
 def top_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int = 1,
            rank_col: str | None = None) -> DataFrame:
@@ -40,12 +42,17 @@ def new_rows(existing: DataFrame, incoming: DataFrame, keys: Sequence[str],
 
 
 def salted_join(fact: DataFrame, dim: DataFrame, on: Sequence[str], how: str,
-                spread: Column, salts: int = 16) -> DataFrame:
-    """Join a fact to a dimension whose key is unique, over ``salts`` sub-keys.
+                spread: Column, hot: Column, salts: int | None = None) -> DataFrame:
+    """Join a fact to a dimension whose key is unique, its hot keys over sub-keys.
 
     For keys known to be hot by construction, such as one pooled site that
-    stands for half of all outings. ``spread`` should vary within a key.
+    stands for half of all outings. ``hot`` tells them by the join columns;
+    only their dimension rows are repeated. ``spread`` should vary within a key.
+    There is a sub-key per shuffle partition unless ``salts`` says otherwise, so
+    a hot key spreads as wide as its shuffle.
     """
-    left = fact.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    right = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    n = F.lit(salts or shuffle_width(fact.sparkSession))
+    left = fact.withColumn("_salt", F.when(hot, F.pmod(F.xxhash64(spread), n)).otherwise(0).cast("int"))
+    right = dim.withColumn("_salt", F.explode(F.when(hot, F.sequence(F.lit(0), n - 1))
+                                              .otherwise(F.array(F.lit(0)))))
     return left.join(right, [*on, "_salt"], how).drop("_salt")

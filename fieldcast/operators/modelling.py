@@ -202,7 +202,7 @@ def support_terms(species: DataFrame, support: DataFrame) -> DataFrame:
     return species.select("species_code", F.inline(packed))
 
 
-def predict(rows: DataFrame, coefs: DataFrame, design: Design = Design(), salts: int = 8,
+def predict(rows: DataFrame, coefs: DataFrame, design: Design = Design(), salts: int | None = None,
             keep: Sequence[str] = ()) -> DataFrame:
     """(species_code, p, y) of every model on every row, from long coefficients.
 
@@ -210,7 +210,7 @@ def predict(rows: DataFrame, coefs: DataFrame, design: Design = Design(), salts:
 
     A level without a term adds nothing, as an unknown level should. Site
     effects of all species come as one map per site, joined at the size of the
-    rows and salted, since the pooled site holds about half of them. The rows x
+    rows, the pooled site salted, since it holds about half of them. The rows x
     species product is an in-stage explode; all other terms come by species.
     """
     total = F.col("b_intercept")
@@ -220,7 +220,8 @@ def predict(rows: DataFrame, coefs: DataFrame, design: Design = Design(), salts:
         effects = (term_block(coefs, "site", "site", "e").groupBy("site")
                    .agg(F.map_from_entries(F.collect_list(F.struct("species_code", "e")))
                         .alias("site_effects")))
-        rows = salted_join(rows, effects, ["site"], "left", F.col("sub_id"), salts)
+        rows = salted_join(rows, effects, ["site"], "left", F.col("sub_id"),
+                           F.col("site") == P.POOLED_SITE, salts)
         total = total + F.coalesce(F.try_element_at("site_effects", F.col("species_code")),
                                    F.lit(0.0))
     extra = [c for c in design.numeric if c not in P.NUMERIC]

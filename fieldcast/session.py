@@ -7,13 +7,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+SHUFFLE = "spark.sql.shuffle.partitions"
+
 
 def build_session(app: str = "fieldcast", master: str | None = None,
-                  shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
+                  shuffle_partitions: int | None = None, initial_partitions: int | None = None,
+                  **conf: str) -> SparkSession:
     """A session with adaptive execution set up for skewed joins.
 
-    ``shuffle_partitions`` is for local runs; on a cluster leave it unset and
-    let adaptive execution coalesce from the cluster's own initial number.
+    ``shuffle_partitions`` is for local runs. On a cluster ``initial_partitions``
+    is the number adaptive execution coalesces from, about the largest shuffle
+    over the memory a task may use; Spark's own 200 would mean huge partitions
+    there, so a cluster session without either number is refused.
     """
     b = (SparkSession.builder.appName(app)
          .config("spark.sql.session.timeZone", "UTC")
@@ -30,9 +36,20 @@ def build_session(app: str = "fieldcast", master: str | None = None,
         b = b.master(master)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if initial_partitions:
+        b = b.config(INITIAL, str(initial_partitions))
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    named = spark.conf.get(INITIAL, None) or spark.sparkContext.getConf().get(SHUFFLE, None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("give initial_partitions: the largest shuffle over a task's memory")
+    return spark
+
+
+def shuffle_width(spark: SparkSession) -> int:
+    """The number of partitions a shuffle starts with."""
+    return int(spark.conf.get(INITIAL, None) or spark.conf.get(SHUFFLE))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -217,8 +217,10 @@ def test_salted_join_equals_join(spark):
                                    .alias("k"), "id")
     dim = spark.range(0, 500, 2).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     for how in ("inner", "left"):
-        assert rows(salted_join(fact, dim, ["k"], how, F.col("id"), 4), "id") == rows(
-            fact.join(dim, "k", how), "id")
+        for hot in (F.col("k") == 0, F.col("k") == 3, F.col("k").isNull()):
+            for salts in (1, 4, None):
+                assert rows(salted_join(fact, dim, ["k"], how, F.col("id"), hot, salts), "id") == rows(
+                    fact.join(dim, "k", how), "id")
 
 
 def test_new_rows_ignores_repeats(spark):
