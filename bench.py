@@ -17,7 +17,7 @@ HEADLINE = [
     "idempotent_append", "natural_key_merge", "flatten_observations", "coef_long", "score_grid",
     "best_hotspots", "species_shortlist", "eval_metrics", "leaderboard", "nearby_ranked",
     "photo_top", "fit_ridge", "hour_coding", "stream_ingest", "evaluate_models",
-    "calibrate_models",
+    "calibrate_models", "forecast_request",
 ]
 
 
