@@ -2,31 +2,36 @@
 
 Counts of words and of word pairs are quantised to levels that grow by about a
 fifth; an n-gram of level q is put into one Bloom filter as (n-gram, 1) to
-(n-gram, q). A worker finds a count by probing level after level until one is
-missing, so errors only ever raise a count. The filter has at most ``max_bits``
-bits, built in shards by key and broadcast; n-grams below the least count for
-which the filter has eight bits per insert are left out.
+(n-gram, q). A count is found by probing level after level until one is missing,
+so errors only ever raise a count. The filter has at least twelve bits per
+insert at every size of the corpus. It is a written table of shards by key, of
+at most 2**25 bits each however large it gets, and is never in one place: the
+distinct n-grams of about a mebibyte of text go to their shards, and a byte with
+the level of each comes back.
 
 The model is a bigram with absolute discounting: ``(c(v,w) - D) / c(v)`` of the
 pair plus the mass that the kept pairs of ``v`` leave over times the word's own
-smoothed probability. Pairs are counted between words that make up at least one
-in 2**17 training tokens, so there are at most 2**17 of them, and kept from a
-count of two.
+smoothed probability. Pairs of all words are counted, and kept from a count of
+two.
 
 ``base_score`` is exact: words that make up at least one in 2**20 tokens (so
 2**20 of them at most) are looked up in a broadcast table, all others join the
 table of all counts.
 
-Words are told apart by 64-bit hashes. Null and empty texts have the end token
-only. A null doc_id counts as training. One row per input row; an empty table
-gives none, and a table without training rows has N = V = 0 and uniform scores.
+Words are told apart by 64-bit hashes, keys of the filter by 48 bits. Null and
+empty texts have the end token only. A null doc_id counts as training. One row per input row; an
+empty table gives none, and a table without training rows has N = V = 0 and
+uniform scores.
 """
 
 from __future__ import annotations
 
+import gc
 import math
+from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import pairwise
+from itertools import groupby, pairwise
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +43,12 @@ from fieldcast.llm._bytes import U64, mix, text_chunks, word_hashes
 from fieldcast.llm._ship import shipped
 from fieldcast.session import stored
 
-PAIR_BITS, HEAVY_BITS = 17, 20
-MAX_BITS = 1 << 28
+HEAVY_BITS = 20
 DISCOUNT = 0.8
 END = U64(0x51AB7E0F0D3C2B19)
-_WORD, _CONTEXT = U64(0x1357), U64(0x2468)
+_WORD = U64(0x1357)
+#: a key of the filter has 48 bits at the top; the lowest marks what a word leaves over
+_TOP, _CONTEXT = U64(0xFFFFFFFFFFFF0000), U64(1)
 #: distinct keys a task holds before it passes them on
 HELD = 1 << 21
 
@@ -115,56 +121,137 @@ class Table:
         return np.where(self.keys[at] == h, self.values[at], missing)
 
 
-def pair_keys(col: pa.Array, vocabulary: Table) -> np.ndarray:
-    """Pairs of neighbouring tokens of one row, both in the vocabulary."""
-    flat, rows = tokens(col)
-    own, back = np.unique(flat, return_inverse=True)
-    at = vocabulary.get(own, -1)[back]
-    first, second = at[:-1], at[1:]
-    ok = (first >= 0) & (second >= 0)
+def pair_hashes(own: np.ndarray, back: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the pairs of neighbouring tokens of one row, and the place of
+    each pair's second token."""
+    ok = np.ones(max(len(back) - 1, 0), bool)
     ok[rows[1:-1] - 1] = False
-    return (first[ok] << PAIR_BITS) | second[ok]
+    where = np.flatnonzero(ok) + 1
+    return mix(own[back[where - 1]] * U64(3) + own[back[where]]) & _TOP, where
+
+
+def word_keys(h: np.ndarray) -> np.ndarray:
+    return mix(h ^ _WORD) & _TOP
+
+
+def packed(x: np.ndarray) -> bytes:
+    """The upper 48 bits of each number, byte by byte: what is small compresses."""
+    return x.view(np.uint8).reshape(-1, 8)[:, 2:].T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(data, np.uint8).reshape(6, -1).T
+    return out.view(U64).ravel()
+
+
+#: pairs that a task merges at once, about forty bytes each
+SHARE_BITS = 20
+
+
+def _pairs(docs: DataFrame, n: int) -> DataFrame:
+    """``pair, v, c``: pairs met twice or more with their first word's key.
+
+    Tasks sum what they hold and pass it on in blocks by the high bits of the
+    pair; there are as many shares of pairs as ``n`` tokens ask for.
+    """
+    shares = max(6, math.ceil(math.log2(n + 1)) - SHARE_BITS)
+
+    def block(k: np.ndarray, v: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+        share = k >> U64(64 - shares)
+        c = c.astype(np.uint32)  # keys are in order, and so are their shares
+        at = np.append(np.flatnonzero(np.diff(share, prepend=U64(1 << 63))), len(k))
+        cut = lambda x, f: pa.array([f(x[i:j]) for i, j in pairwise(at.tolist())], pa.binary())
+        gaps = lambda x: packed(np.diff(x, prepend=U64(0)))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(share[at[:-1]].astype(np.int32)), cut(k, gaps), cut(v, packed),
+             cut(c, np.ndarray.tobytes)],
+            names=["share", "pair", "v", "c"])
+
+    def merged(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        k, v, c = (np.concatenate(x) for x in zip(*held))
+        k, first, at = np.unique(k, return_index=True, return_inverse=True)
+        return k, v[first], np.bincount(at, c).astype(np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        for part in text_chunks(batches):
+            flat, rows = tokens(part.column("text"))
+            k, where = pair_hashes(flat, np.arange(len(flat)), rows)
+            k, first, c = np.unique(k, return_index=True, return_counts=True)
+            held.append((k, word_keys(flat[where[first] - 1]), c))
+            if sum(len(x[0]) for x in held) > HELD:
+                held = [merged(held)]
+                if len(held[0][0]) > HELD // 2:
+                    yield block(*held[0])
+                    held = []
+        if held and len((last := merged(held))[0]):
+            yield block(*last)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        for b in batches:
+            for k, v, c in zip(*(b.column(x).to_pylist() for x in ("pair", "v", "c"))):
+                held.append((np.cumsum(unpacked(k), dtype=U64), unpacked(v), np.frombuffer(c, np.uint32)))
+        if not held:
+            return
+        k, v, c = merged(held)
+        k, v, c = k[c > 1], v[c > 1], c[c > 1]
+        for i in range(0, len(k), 1 << 16):
+            part = slice(i, i + (1 << 16))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(k[part].view(np.int64)), pa.array(v[part].view(np.int64)), pa.array(c[part])],
+                names=["pair", "v", "c"])
+
+    return stored(docs.select("text").mapInArrow(count, "share int, pair binary, v binary, c binary")
+                  .repartitionById(1 << shares, F.col("share"))
+                  .mapInArrow(total, "pair bigint, v bigint, c bigint"), "pair-counts")
+
+
+def shard_bits(size: int) -> int:
+    return max(6, size.bit_length() - 1 - 25)
 
 
 class Filter:
-    """The log-frequency Bloom filter."""
+    """The log-frequency Bloom filter, or the part of it from bit ``start`` on."""
 
-    def __init__(self, bits: np.ndarray):
-        self.bits, self.size = bits, len(bits) * 8
+    def __init__(self, bits: np.ndarray, size: int, start: int = 0):
+        self.bits, self.size, self.start = bits, size, start
 
     @staticmethod
     def places(keys: np.ndarray, at_level: np.ndarray | int, size: int) -> tuple[np.ndarray, ...]:
         """Two bits in the key's shard-ordered range: the high bits of the key
         choose the place's, so that a shard's n-grams share a part of the filter."""
         h = mix(keys + U64(0x9E3779B97F4A7C15) * np.asarray(at_level).astype(U64))
-        part = U64(size // SHARDS)
-        base = (keys >> U64(64 - SHARD_BITS)) * part
+        part = U64(size >> shard_bits(size))
+        base = (keys >> U64(64 - shard_bits(size))) * part
         return base + (h & U64(0xFFFFFFFF)) % part, base + (h >> U64(32)) % part
 
     def has(self, keys: np.ndarray, at_level: int) -> np.ndarray:
-        a, b = self.places(keys, at_level, self.size)
+        a, b = (p - U64(self.start) for p in self.places(keys, at_level, self.size))
         look = lambda p: (self.bits[p >> U64(3)] >> (p & U64(7)).astype(np.uint8)) & 1
         return (look(a) & look(b)).astype(bool)
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """The count each key stands for: probed until a level is missing."""
-        found = np.zeros(len(keys), np.int64)
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """The level of each key: probed until one is missing."""
+        found = np.zeros(len(keys), np.uint8)
         live = np.arange(len(keys))
         for q in range(1, len(LEVELS) + 1):
             live = live[self.has(keys[live], q)]
             if not len(live):
                 break
             found[live] = q
-        return MEANS[found]
-
+        return found
 
-SHARD_BITS = 6
-SHARDS = 1 << SHARD_BITS
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        """The count each key stands for."""
+        return MEANS[self.levels(keys)]
 
 
-def build_filter(entries: DataFrame, size: int) -> Filter:
-    """From ``key, c``: every shard is filled by one task, which only holds its bits."""
-    part = size // SHARDS
+def filter_shards(entries: DataFrame, size: int) -> DataFrame:
+    """``shard, bits`` from ``key, c``: every shard is filled by one task, which
+    only holds its bits. A shard without n-grams has no row."""
+    part, high = size >> shard_bits(size), shard_bits(size)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(part, bool)
@@ -185,13 +272,18 @@ def build_filter(entries: DataFrame, size: int) -> Filter:
                  pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())],
                 names=["shard", "bits"])
 
-    shard = F.shiftrightunsigned("key", 64 - SHARD_BITS).cast("int")
-    rows = (entries.repartitionById(SHARDS, shard)
-            .mapInArrow(fill, "shard int, bits binary").toArrow())
+    shard = F.shiftrightunsigned("key", 64 - high).cast("int")
+    return entries.repartitionById(1 << high, shard).mapInArrow(fill, "shard int, bits binary")
+
+
+def build_filter(entries: DataFrame, size: int) -> Filter:
+    """The shards of a small filter side by side."""
+    part = size >> shard_bits(size)
+    rows = filter_shards(entries, size).toArrow()
     out = np.zeros(size // 8, np.uint8)
     for s, b in zip(rows["shard"].to_pylist(), rows["bits"].to_pylist()):
         out[s * part // 8:(s + 1) * part // 8] = np.frombuffer(b, np.uint8)
-    return Filter(out)
+    return Filter(out, size)
 
 
 def _mixed(df: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
@@ -204,110 +296,212 @@ def _mixed(df: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray]) -> DataF
     return df.mapInArrow(run, "key bigint, c bigint")
 
 
-class Model:
-    """What scoring needs on a worker; bounded by the filter and two vocabularies."""
-
-    def __init__(self, lfbf: Filter, vocabulary: Table, heavy: Table, n: int, v: int,
-                 heavy_from: int, discount: float):
-        self.filter, self.vocabulary, self.heavy = lfbf, vocabulary, heavy
-        self.n, self.v, self.heavy_from, self.discount = n, v, heavy_from, discount
-
-    def score(self, col: pa.Array) -> dict[str, np.ndarray]:
-        flat, rows = tokens(col)
-        own, back = np.unique(flat, return_inverse=True)
-        heavy = self.heavy.get(own, 0)
-        total = self.n + self.v + 1
-        word = (self.filter.counts(mix(own ^ _WORD)) + 1) / total
-        p = word[back]
-        at = self.vocabulary.get(own, -1)[back]
-        pair = (at[:-1] >= 0) & (at[1:] >= 0)
-        pair[rows[1:-1] - 1] = False
-        where = np.flatnonzero(pair) + 1
-        if len(where):
-            key = ((at[where - 1] << PAIR_BITS) | at[where]).astype(U64)
-            c = self.filter.counts(mix(key))
-            place = np.zeros(len(own), bool)
-            place[back[where - 1]] = True
-            ids = np.flatnonzero(place)
-            of_word, rest = np.ones(len(own)), np.ones(len(own))
-            of_word[ids] = np.maximum(self.filter.counts(mix(own[ids] ^ _WORD)), 1)
-            rest[ids] = np.maximum(self.filter.counts(mix(own[ids] ^ _CONTEXT)), 1)
-            before = back[where - 1]
-            seen = np.minimum(np.maximum(c - self.discount, 0) / of_word[before], 1)
-            left = np.minimum(rest[before] / of_word[before], 1)
-            p[where] = np.minimum(seen + left * p[where], 1)
-        known = heavy[back] > 0
-        logs = np.where(heavy > 0, np.log10(heavy + 1.0), 0)[back]
-        n = np.diff(rows)
-        sums = lambda x: np.add.reduceat(x, rows[:-1])  # noqa: E731  every row has its end token
-        rare = ~known
-        return {"n": n, "known": sums(known.astype(np.int64)),
-                "base": sums(logs) - n * math.log10(total), "score": sums(np.log10(p)),
-                "rare": flat[rare], "rare_at": np.concatenate([[0], np.cumsum(sums(rare.astype(np.int64)))])}
-
-
-def train(docs: DataFrame, max_bits: int = MAX_BITS, discount: float = DISCOUNT) -> tuple[Model, DataFrame]:
-    """The model of the rows of ``docs``, and the exact counts ``h, c`` of all words."""
+class Shards(NamedTuple):
+    """A filter as a written table ``shard, bits``."""
+
+    table: DataFrame
+    size: int
+
+
+class Model(NamedTuple):
+    filter: Shards
+    heavy: Table
+    n: int
+    v: int
+    heavy_from: int
+    discount: float
+
+
+def _released(df: DataFrame) -> DataFrame:
+    """``df``, a written table; shuffle files behind it go once the JVM notices
+    that nothing refers to them."""
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return df
+
+
+def _per_level(df: DataFrame) -> dict[int, int]:
+    """How many rows have a count of each level."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            q, k = np.unique(level(b.column("c").to_numpy()), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(k)], names=["q", "k"])
+
+    rows = df.select("c").mapInArrow(run, "q bigint, k bigint").groupBy("q").agg(F.sum("k").alias("k"))
+    return {r["q"]: r["k"] for r in rows.collect()}
+
+
+def train(docs: DataFrame, max_bits: int | None = None,
+          discount: float = DISCOUNT) -> tuple[Model, DataFrame]:
+    """The model of the rows of ``docs``, and the exact counts ``h, c`` of all words.
+
+    Only a caller that asks for a filter of at most ``max_bits`` bits gets a
+    model without the n-grams below the least count for which it has eight bits
+    per insert.
+    """
     counts = stored(_tally(docs, lambda col: tokens(col)[0], "h"), "word-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     heavy_from = max(1, -(-n >> HEAVY_BITS))
     rows = counts.where(F.col("c") >= heavy_from).toArrow()  # 2**20 at most
-    h, c = rows["h"].to_numpy().view(U64), rows["c"].to_numpy()
-    heavy = Table(h, c)
-    often = np.sort(h[c >= max(1, -(-n >> PAIR_BITS))])  # 2**17 at most
-    vocabulary = Table(often, np.arange(len(often)))
-    of_word = heavy.get(often, 0)
-    sc = docs.sparkSession.sparkContext
-    sent = sc.broadcast(vocabulary)
-    pairs = stored(_tally(docs, lambda col: pair_keys(col, sent.value), "pair").where("c > 1"),
-                   "pair-counts")
-    kept = np.zeros(len(often))
-    for r in pairs.groupBy(F.shiftright("pair", PAIR_BITS).alias("v")).agg(
-            F.sum(F.col("c") - discount).alias("s")).toArrow().to_pylist():
-        kept[r["v"]] = r["s"]
+    heavy = Table(rows["h"].to_numpy().view(U64), rows["c"].to_numpy())
+    pairs = _released(_pairs(docs, n))
     # what is left over for words beyond the kept pairs
-    rest = np.maximum(np.rint(of_word - kept), 1).astype(np.int64)
-    bounds = F.array(*[F.lit(int(x)) for x in LEVELS[:120]])
-    q = F.size(F.filter(bounds, lambda b: b <= F.least("c", F.lit(int(LEVELS[119])))))
-    per = {}
-    for df in (counts, pairs):
-        for r in df.groupBy(q.alias("q")).count().collect():
-            per[r["q"]] = per.get(r["q"], 0) + r["count"]
-    inserts = sum(k * x for k, x in per.items()) + int(level(rest).sum())
-    size = min(max_bits, max(1 << 16, 1 << math.ceil(math.log2(12 * inserts + 1))))
+    kept = pairs.groupBy(F.col("v").alias("key")).agg(F.sum(F.col("c") - discount).alias("s"))
+    keyed = stored(_mixed(counts, lambda b: word_keys(b.column("h").to_numpy().view(U64))), "word-keys")
+    rest = stored(keyed.join(kept, "key", "left").select("key", F.greatest(
+        F.rint(F.col("c") - F.coalesce("s", F.lit(0.0))), F.lit(1.0)).cast("long").alias("c")), "rests")
+    per = Counter(_per_level(counts)) + Counter(_per_level(pairs))
+    inserts = sum(k * x for k, x in (per + Counter(_per_level(rest))).items())
+    size = max(1 << 16, 1 << math.ceil(math.log2(12 * inserts + 1)))
     least = 1
-    for k in sorted(per):  # drop the rarest until eight bits are left per insert
-        if inserts * 8 <= size:
-            break
-        inserts -= k * per[k]
-        least = int(LEVELS[k])
-    entries = _mixed(counts.where(F.col("c") >= least),
-                     lambda b: mix(b.column("h").to_numpy().view(U64) ^ _WORD)).unionByName(
-        _mixed(pairs.where(F.col("c") >= least),
-               lambda b: mix(b.column("pair").to_numpy().astype(U64))))
-    if len(often):
-        own = pa.table({"key": mix(often ^ _CONTEXT).view(np.int64), "c": rest})
-        entries = entries.unionByName(docs.sparkSession.createDataFrame(own))
-    return Model(build_filter(entries, size), vocabulary, heavy, int(n), int(v), heavy_from,
-                 discount), counts
+    if max_bits and size > max_bits:
+        size = max_bits
+        for k in sorted(per):  # drop the rarest until eight bits are left per insert
+            if inserts * 8 <= size:
+                break
+            inserts -= k * per[k]
+            least = int(LEVELS[k])
+    entries = (keyed.where(F.col("c") >= least)
+               .unionByName(rest.select(F.col("key").bitwiseOR(F.lit(int(_CONTEXT))).alias("key"), "c"))
+               .unionByName(pairs.where(F.col("c") >= least).select(F.col("pair").alias("key"), "c")))
+    table = _released(stored(filter_shards(entries, size), "filter"))
+    return Model(Shards(table, size), heavy, int(n), int(v), heavy_from, discount), counts
+
+
+def _encoded(docs: DataFrame) -> DataFrame:
+    """A row per chunk of texts: its rows' ids and starts, its distinct words
+    and the place of each token's word among them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 33
+        for i, part in enumerate(text_chunks(batches)):
+            flat, rows = tokens(part.column("text"))
+            own, back = np.unique(flat, return_inverse=True)
+            back = back.astype(np.uint16 if len(own) <= 1 << 16 else np.uint32)
+            ids = part.column("doc_id")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([first + i]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+                 pa.array([rows.astype(np.int64).tobytes()], pa.binary()),
+                 pa.array([own.tobytes()], pa.binary()), pa.array([back.tobytes()], pa.binary())],
+                names=["chunk", "ids", "rows", "own", "back"])
+
+    return stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+        run, "chunk bigint, ids array<bigint>, rows binary, own binary, back binary"), "encoded")
+
+
+def _decoded(rows: bytes, own: bytes, back: bytes) -> tuple[np.ndarray, ...]:
+    words = np.frombuffer(own, U64)
+    kind = np.uint16 if len(words) <= 1 << 16 else np.uint32
+    return words, np.frombuffer(back, kind).astype(np.int64), np.frombuffer(rows, np.int64)
+
+
+def _keys(own: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    return np.concatenate([word_keys(own), pairs])
+
+
+def _answers(encoded: DataFrame, lfbf: Shards) -> DataFrame:
+    """``chunk, shard, levels``: the levels of a chunk's keys of one shard, in the
+    keys' order, and those of what the keys leave over."""
+    size, high = lfbf.size, shard_bits(lfbf.size)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                own, back, rows = _decoded(*(b.column(c)[i].as_py() for c in ("rows", "own", "back")))
+                keys = np.unique(_keys(own, pair_hashes(own, back, rows)[0]))
+                shard = keys >> U64(64 - high)
+                at = np.append(np.flatnonzero(np.diff(shard, prepend=U64(1 << 63))), len(keys))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(shard[at[:-1]].astype(np.int32)),
+                     pa.array(np.full(len(at) - 1, b.column("chunk")[i].as_py(), np.int64)),
+                     pa.array([packed(np.diff(keys[x:y], prepend=U64(0)))
+                               for x, y in pairwise(at.tolist())], pa.binary())],
+                    names=["shard", "chunk", "bits"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, part = None, None  # the shard's own row comes before its keys
+
+        def found(shard: int, chunks: list[int], keys: list[np.ndarray]) -> pa.RecordBatch:
+            ends = np.cumsum([len(k) for k in keys])
+            flat = np.concatenate(keys)
+            both = ((part.levels(flat), part.levels(flat | _CONTEXT)) if of == shard
+                    else np.zeros((2, len(flat)), np.uint8))
+            cuts = [np.split(x, ends[:-1]) for x in both]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(chunks, pa.int64()), pa.array(np.full(len(chunks), shard, np.int32)),
+                 *(pa.array([x.tobytes() for x in c], pa.binary()) for c in cuts)],
+                names=["chunk", "shard", "levels", "rests"])
+
+        for b in batches:
+            rows = zip(*(b.column(c).to_pylist() for c in ("shard", "chunk", "bits")))
+            for shard, group in groupby(rows, lambda r: r[0]):
+                chunks, keys = [], []
+                for _, chunk, data in group:
+                    if chunk < 0:
+                        of, part = shard, Filter(np.frombuffer(data, np.uint8), size,
+                                                 shard * (size >> high))
+                    else:
+                        chunks.append(chunk)
+                        keys.append(np.cumsum(unpacked(data), dtype=U64))
+                if chunks:
+                    yield found(shard, chunks, keys)
+
+    keys = encoded.select("chunk", "rows", "own", "back").mapInArrow(
+        ask, "shard int, chunk bigint, bits binary")
+    return (lfbf.table.select("shard", F.lit(-1).cast("long").alias("chunk"), "bits").unionByName(keys)
+            .repartitionById(1 << high, F.col("shard")).sortWithinPartitions("shard", "chunk")
+            .mapInArrow(answer, "chunk bigint, shard int, levels binary, rests binary"))
+
+
+def _score(own: np.ndarray, back: np.ndarray, rows: np.ndarray, levels: np.ndarray,
+           rests: np.ndarray, total: int, discount: float) -> np.ndarray:
+    """The logarithms of each row's token probabilities, summed."""
+    pairs, where = pair_hashes(own, back, rows)
+    at = np.unique(_keys(own, pairs), return_inverse=True)[1]
+    word, c = np.split(MEANS[levels[at]], [len(own)])
+    rest = MEANS[rests[at[:len(own)]]]
+    p = ((word + 1) / total)[back]
+    before = back[where - 1]
+    of_word = np.maximum(word, 1)[before]
+    seen = np.minimum(np.maximum(c - discount, 0) / of_word, 1)
+    # a word that was never met has no pairs and leaves all
+    left = np.where(word[before] > 0, np.minimum(np.maximum(rest[before], 1) / of_word, 1), 1)
+    p[where] = np.minimum(seen + left * p[where], 1)
+    return np.add.reduceat(np.log10(p), rows[:-1])  # every row has its end token
 
 
 def scored(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model.heavy)
+    total, discount = model.n + model.v + 1, model.discount
+    encoded = _encoded(docs)
+    answers = _answers(encoded, model.filter).groupBy("chunk").agg(
+        F.sort_array(F.collect_list(F.struct("shard", "levels", "rests"))).alias("answers"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_chunks(batches):
-            s = sent.value.score(part.column("text"))
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(s["n"]), pa.array(s["known"]), pa.array(s["base"]),
-                 pa.array(s["score"]), pa.ListArray.from_arrays(
-                     pa.array(s["rare_at"].astype(np.int32)), pa.array(s["rare"].view(np.int64)))],
-                names=["doc_id", "n", "known", "base", "score", "rare"])
-
-    rows = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id bigint, n bigint, known bigint, base double, score double, rare array<bigint>")
-        .withColumn("row", F.monotonically_increasing_id()), "scores")
+        for b in batches:
+            for i in range(b.num_rows):
+                own, back, rows = _decoded(*(b.column(c)[i].as_py() for c in ("rows", "own", "back")))
+                levels, rests = (np.frombuffer(b"".join(b.column(c)[i].as_py()), np.uint8)
+                                 for c in ("levels", "rests"))
+                sums = lambda x: np.add.reduceat(x, rows[:-1])  # noqa: E731  every row has its end token
+                heavy = sent.value.get(own, 0)
+                known = (heavy > 0)[back]
+                logs = np.where(heavy > 0, np.log10(heavy + 1.0), 0)[back]
+                n = np.diff(rows)
+                rare_at = np.concatenate([[0], np.cumsum(sums((~known).astype(np.int64)))])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("ids")[i].values, pa.array(n), pa.array(sums(known.astype(np.int64))),
+                     pa.array(sums(logs) - n * math.log10(total)),
+                     pa.array(_score(own, back, rows, levels, rests, total, discount)),
+                     pa.ListArray.from_arrays(pa.array(rare_at.astype(np.int32)),
+                                              pa.array(own[back[~known]].view(np.int64)))],
+                    names=["doc_id", "n", "known", "base", "score", "rare"])
+
+    rows = stored(encoded.join(answers, "chunk")
+                  .select("ids", "rows", "own", "back", "answers.levels", "answers.rests")
+                  .mapInArrow(run, "doc_id bigint, n bigint, known bigint, base double, "
+                                   "score double, rare array<bigint>")
+                  .withColumn("row", F.monotonically_increasing_id()), "scores")
     rare = (rows.select("row", F.explode("rare").alias("h"))
             .join(counts.where(F.col("c") < model.heavy_from), "h")
             .groupBy("row").agg(F.sum(F.log10(F.col("c") + 1.0)).alias("more"),

@@ -148,6 +148,52 @@ def test_small_filter_drops_the_rarest(spark):
     assert lm_scoring.scored(docs, *lm_scoring.train(docs, max_bits=1 << 14)).count() == docs.count()
 
 
+def test_scores_follow_the_formula(spark):
+    rows = [r for r in odd_documents() if r[0] is not None]
+    got = lm_scoring.report(documents(spark, rows)).collect()
+    one, two = Counter(), Counter()
+    for d, t, *_ in rows:
+        if zlib.crc32(str(d).encode()) % 7 != 2:
+            w = words(t) + [None]
+            one.update(w)
+            two.update(zip(w, w[1:]))
+    two = {k: c for k, c in two.items() if c > 1}
+    kept = Counter()
+    for (v, _), c in two.items():
+        kept[v] += c - lm_scoring.DISCOUNT
+    mean = lambda c: lm_scoring.MEANS[lm_scoring.level(np.int64(c))]
+
+    def logs(w):
+        for v, x in zip([None, *w], w):
+            p = (mean(one[x]) + 1) / (one.total() + len(one) + 1)
+            if v is not None and one[v]:
+                rest = mean(max(round(one[v] - kept[v]), 1))
+                p = min(min(max(mean(two.get((v, x), 0)) - lm_scoring.DISCOUNT, 0) / mean(one[v]), 1)
+                        + min(rest / mean(one[v]), 1) * p, 1)
+            yield math.log10(p)
+
+    want = defaultdict(list)
+    for d, t, *_ in rows:
+        w = words(t) + [None]
+        want[d].append((len(w), sum(logs(w))))
+    near = [min(abs(r.score - s) / n for n, s in want[r.doc_id]) for r in got]
+    # a token's logarithm; the filter only errs upwards, and seldom
+    assert np.median(near) < 0.01 and np.mean(near) < 0.05
+
+
+def test_rare_pairs_count_in_a_large_corpus(spark):
+    # 600,000 tokens: four would be under one in 2**17
+    filler = [(i, " ".join(f"w{(i * 7 + j) % 500}" for j in range(1200)), "en", "s", 1) for i in range(500)]
+    pairs = [(1000 + i, f"alpha{i // 4} beta{i // 4}", "en", "s", 1) for i in range(160)]
+    asked = [(2000 + i, f"alpha{i} beta{i}", "en", "s", 1) for i in range(40)]
+    asked += [(3000 + i, f"beta{i} alpha{i}", "en", "s", 1) for i in range(40)]
+    docs = documents(spark, filler + pairs)
+    got = {r.doc_id: r.score for r in lm_scoring.scored(
+        documents(spark, asked), *lm_scoring.train(docs)).collect()}
+    # each pair was met four times, in this order only
+    assert sum(got[2000 + i] > got[3000 + i] + 1 for i in range(40)) >= 36
+
+
 # -- op6 and op10 -------------------------------------------------------------
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_pieces_are_encoded_like_the_text(name):
