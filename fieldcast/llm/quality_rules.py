@@ -23,8 +23,9 @@ from fieldcast.llm._text import has_word, let, words
 from fieldcast.session import stored
 
 SPAN = 8
-#: rate -> the least spread, per mille, that counts as ordinary
-RATES = {"symbol_rate": 4, "upper_rate": 40, "dup_line_rate": 60, "repeat_rate": 50}
+#: rate -> the least spread, per mille, that counts as ordinary; REACH times that of
+#: repeat_rate is half the base cut-off of 300, so a group that repeats little has its own
+RATES = {"symbol_rate": 4, "upper_rate": 40, "dup_line_rate": 60, "repeat_rate": 25}
 REACH, LEAST = 6, 100
 
 

@@ -46,6 +46,23 @@ def test_fence_follows_the_group(spark):
     assert all(got[i] for i in range(150)) and all(got[1000 + i] for i in range(150))
 
 
+def test_each_fence_rejects_what_the_base_keeps(spark):
+    plain = lambda i: [f"word{i}x{j}" for j in range(100)]
+    rows = [(i, " ".join(plain(i)), "en", "s1", 1) for i in range(150)]
+    again = plain(901)[:12]
+    odd = {"symbol_rate": " ".join(w + "#" for w in plain(900)),
+           "repeat_rate": " ".join(again + plain(902)[:76] + again),
+           "upper_rate": " ".join(plain(903)).upper(),
+           "dup_line_rate": "\n".join(["one line"] * 4 + plain(904)[:3]) + " " + " ".join(plain(905))}
+    rows += [(500 + i, t, "en", "s1", 1) for i, t in enumerate(odd.values())]
+    got = {r.doc_id: r for r in quality_rules.apply_rules(documents(spark, rows)).collect()}
+    assert all(got[i].kept for i in range(150))
+    for i, name in enumerate(odd):
+        r = got[500 + i]
+        over = [x for x in quality_rules.RATES if r[x] > r[f"{x}_fence"]]
+        assert over == [name] and not r.base_failed and not r.kept
+
+
 def test_sketches_merge(spark):
     docs = quality_rules.features(documents(spark))
     rates = list(quality_rules.RATES)
