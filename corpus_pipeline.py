@@ -46,7 +46,8 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: a classifier and a tokenizer are beyond SQL; tests compare with brute force
+#: a classifier and a tokenizer are beyond SQL; tests check columns, row counts that do
+#: not rise and the fill of sequences, not which rows go on
 ORACLE_SQL = None
 
 
