@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldcast.llm import (chat_rotation, classifier, decontaminate, line_dedup, lm_scoring,
-                           near_dedup, packing, quality_rules, suffix_dedup, token_output)
+                           near_dedup, packing, periodic_runs, quality_rules, source_mixing,
+                           spelling_variants, suffix_dedup, token_output)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,5 +58,17 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(_documents(spark, sf_dir))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(_documents(spark, sf_dir), typos=True)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.report(_documents(spark, sf_dir))
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.report(_documents(spark, sf_dir))
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}

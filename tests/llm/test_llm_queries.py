@@ -27,7 +27,7 @@ def test_same_rows(spark, sf, name):
 
 def test_every_query_is_registered():
     numbers = sorted(int(k[2:].split("_")[0]) for k in queries.registered())
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
 
 
 def test_pipeline_stages(spark, sf, tmp_path):
