@@ -1,29 +1,24 @@
-"""One ridge logistic model per species with MLlib.
+"""Ridge logistic models of all species, fitted together.
 
-All species share one feature frame, written once and read by every fit. The
-label of a species is a membership test on the outing's set of seen species,
-so no frame of outings x species exists. The solver spreads each pass over the
-executors; fits of several species run at once from driver threads.
+All species share one stored table of outings, packed by site, and every pass of
+the solver (``operators/solver.py``) reads it once for all of them. The label of
+a species is a membership test on the outing's set of seen species, so no frame
+of outings x species exists.
 """
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Callable, Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+import math
+from collections.abc import Sequence
+from dataclasses import dataclass
 from itertools import batched
 
-from pyspark import inheritable_thread_target
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler, VectorSlicer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldcast import params as P
 from fieldcast.functions import sigmoid
+from fieldcast.operators import solver
 from fieldcast.operators.coefficients import term_block
 from fieldcast.operators.dedup import salted_join
 from fieldcast.operators.evaluation import eval_metrics, group_holdout
@@ -48,16 +43,32 @@ TERMS = "species_code string, term string, value double"
 # and the first level of each category as the baseline.
 CALIBRATION_DESIGN = Design(("hr", "week"), (*P.NUMERIC, "lat", "lon"), drop_first=True)
 
+#: outings of one block, and of a site that still is one block, at most
+BLOCK_ROWS, SITE_ROWS = 4096, 1 << 18
+
 
 @dataclass
 class Prepared:
-    """A fitted encoding: column names of the vector and numeric scales."""
+    """A fitted encoding: levels of the calendar columns, scales of the numeric
+    ones, and the sites of several blocks with their number of blocks."""
 
     design: Design
-    encoder: PipelineModel
-    names: list[tuple[str, str]] = field(default_factory=list)
-    mean: dict[str, float] = field(default_factory=dict)
-    scale: dict[str, float] = field(default_factory=dict)
+    n: int
+    levels: dict[str, list[str]]
+    mean: dict[str, float]
+    scale: dict[str, float]
+    hot: dict[str, int]
+
+    @property
+    def layout(self) -> solver.Layout:
+        return solver.Layout(tuple(map(len, self.levels.values())), len(self.mean), len(self.hot),
+                             1.0 / self.design.c)
+
+    @property
+    def terms(self) -> list[str]:
+        """What stands in a coefficient vector behind the intercept."""
+        return [*(_term(c, x) for c, levels in self.levels.items() for x in levels),
+                *self.design.numeric, *(_term("site", s) for s in self.hot)]
 
 
 def _level(column: str) -> Column:
@@ -66,132 +77,88 @@ def _level(column: str) -> Column:
     return F.format_string("%02d", c) if column in ("hr", "week") else c.cast("string")
 
 
+def _several_blocks(n: int) -> int:
+    """Outings from which on a site is split: more than a task should hold, or, in a
+    small table, more than a sixty-fourth of all."""
+    return min(SITE_ROWS, max(BLOCK_ROWS, n // 64))
+
+
 def prepare(train: DataFrame, design: Design = Design()) -> Prepared:
     """Fit the encoding on training rows.
 
-    Unknown levels at scoring time become all zeros: the indexer gives them a
-    last slot, and the encoder drops that slot. Level lists live on the driver,
-    as do MLlib's coefficient vectors; both grow with sites, not with outings.
+    Unknown levels add nothing at scoring time. Hours and weeks are a calendar's,
+    so their levels are few; sites stay in tables, but for those of several blocks,
+    of which there are no more than outings over the block limit.
     """
-    levels = train.select(*[_level(c).alias(f"{c}_s") for c in design.categorical])
-    order = "alphabetDesc" if design.drop_first else "alphabetAsc"
-    idx = StringIndexer(inputCols=[f"{c}_s" for c in design.categorical],
-                        outputCols=[f"{c}_i" for c in design.categorical],
-                        handleInvalid="keep", stringOrderType=order)
-    enc = OneHotEncoder(inputCols=[f"{c}_i" for c in design.categorical],
-                        outputCols=[f"{c}_v" for c in design.categorical], dropLast=True)
-    index_model = idx.fit(levels)
-    stages = [index_model, enc]
-    names: list[tuple[str, str]] = []
-    vectors = []
-    for c, labels in zip(design.categorical, index_model.labelsArray):
-        if design.drop_first:
-            # descending order puts the first level last
-            labels = labels[:-1]
-            stages.append(VectorSlicer(inputCol=f"{c}_v", outputCol=f"{c}_w",
-                                       indices=list(range(len(labels)))))
-        vectors.append((f"{c}_w" if design.drop_first else f"{c}_v", len(labels)))
-        names += [(c, x) for x in labels]
+    dense = [c for c in design.categorical if c != "site"]
     stats = train.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.array_sort(F.collect_set(_level(c))).alias(f"l_{c}") for c in dense],
         *[F.avg(c).alias(f"m_{c}") for c in design.numeric],
         *[F.stddev_pop(c).alias(f"s_{c}") for c in design.numeric]).first()
-    mean = {c: float(stats[f"m_{c}"]) for c in design.numeric}
+    n = stats["n"]
+    hot = {}
+    if "site" in design.categorical:
+        counts = train.where(F.col("site").isNotNull()).groupBy("site").agg(F.count(F.lit(1)).alias("c"))
+        hot = {r["site"]: math.ceil(r["c"] / BLOCK_ROWS) for r in
+               counts.where(F.col("c") > _several_blocks(n)).orderBy("site").collect()}
     # a constant column keeps scale 1
-    scale = {c: float(stats[f"s_{c}"]) or 1.0 for c in design.numeric}
-    names += [("num", c) for c in design.numeric]
-    stages.append(VectorAssembler(
-        inputCols=[v for v, size in vectors if size] + [f"{c}_z" for c in design.numeric],
-        outputCol="features"))
-    head = _scaled(train.limit(0), design, mean, scale)
-    return Prepared(design, Pipeline(stages=stages).fit(head), names, mean, scale)
-
+    return Prepared(design, n, {c: stats[f"l_{c}"][1 if design.drop_first else 0:] for c in dense},
+                    {c: stats[f"m_{c}"] or 0.0 for c in design.numeric},
+                    {c: stats[f"s_{c}"] or 1.0 for c in design.numeric}, hot)
 
-def _scaled(df: DataFrame, design: Design, mean: dict, scale: dict) -> DataFrame:
-    return df.select(
-        "*", *[_level(c).alias(f"{c}_s") for c in design.categorical],
-        *[((F.col(c) - F.lit(mean[c])) / F.lit(scale[c])).alias(f"{c}_z") for c in design.numeric])
 
+def pack(train: DataFrame, prep: Prepared, species: Sequence[str]) -> DataFrame:
+    """site, hot, own, rows: the training rows as blocks, stored.
 
-def encode(df: DataFrame, prep: Prepared, keep: Sequence[str]) -> DataFrame:
-    """``features`` plus the columns to keep."""
-    scaled = _scaled(df, prep.design, prep.mean, prep.scale)
-    return prep.encoder.transform(scaled).select(*keep, "features")
-
-
-MAX_ITER = 1000
-TOLERANCE = 1e-9
-
-
-def _ridge(n: int, c: float) -> LogisticRegression:
-    """Ridge with inverse strength ``c``: MLlib averages the loss over rows, so
-    its penalty is 1 / (c n). The intercept is free."""
-    return LogisticRegression(featuresCol="features", labelCol="label", regParam=1.0 / (c * n),
-                              elasticNetParam=0.0, standardization=False, fitIntercept=True,
-                              maxIter=MAX_ITER, tol=TOLERANCE)
-
-
-def fit_each(features: DataFrame, species: Sequence[str], n: int, c: float = P.RIDGE_C,
-             parallel: int = 8) -> Iterator[tuple[str, LogisticRegressionModel]]:
-    """One fit per species over the same stored features, in the order given.
-
-    ``features`` has the vector and ``seen``; it should be a stored table. The
-    solver caches its own blocks of it, so ``parallel`` copies exist at a time.
-    At most twice that many models wait to be taken.
-    """
-    spark = features.sparkSession
-
-    def fit(code: str) -> LogisticRegressionModel:
-        labelled = features.select(
-            "features", F.array_contains("seen", code).cast("double").alias("label"))
-        model = _ridge(n, c).fit(labelled)
-        if model.summary.totalIterations >= MAX_ITER:
-            raise RuntimeError(f"the fit of {code} did not converge in {MAX_ITER} steps")
-        return model
-
-    # a thread per fit only submits Spark jobs; each gets its own job group
-    run: Callable = inheritable_thread_target(spark)(fit)
-    waiting: deque = deque()
-    with ThreadPoolExecutor(max_workers=parallel) as pool:
-        for code in species:
-            waiting.append((code, pool.submit(run, code)))
-            if len(waiting) == 2 * parallel:
-                done, model = waiting.popleft()
-                yield done, model.result()
-        while waiting:
-            done, model = waiting.popleft()
-            yield done, model.result()
-
-
-def coefficient_frame(spark, models: dict[str, LogisticRegressionModel], prep: Prepared
-                      ) -> DataFrame:
-    """Raw-unit coefficients as (species_code, term, value).
-
-    Each model travels as one vector row, as the solver left it on the driver;
-    naming and un-scaling are joins on the executors.
+    A site of one block is whole (``own``); a split site goes by its number in
+    ``hot``, rows without a site belong to none. Values are those of the solver:
+    numbers of levels, standardised numerics, numbers of the species seen.
     """
-    vectors = spark.createDataFrame(
-        [(s, float(m.intercept), m.coefficients) for s, m in models.items()],
-        ["species_code", "intercept", "beta"])
+    spark = train.sparkSession
+    number = lambda names, c: (F.coalesce(F.array_position(
+        F.array(*map(F.lit, names)), c), F.lit(0)) - 1 if names else F.lit(-1)).cast("int")
+    codes = F.array(*map(F.lit, species)) if species else F.array().cast("array<string>")
+    fields = [*[number(levels, _level(c)).alias(c) for c, levels in prep.levels.items()],
+              F.array(*[(F.col(c) - F.lit(prep.mean[c])) / F.lit(prep.scale[c])
+                        for c in prep.design.numeric]).cast("array<double>").alias("num"),
+              F.transform(F.array_intersect("seen", codes),
+                          lambda s: (F.array_position(codes, s) - 1).cast("int")).alias("seen")]
+    rows = train.select(F.struct(*fields).alias("row"), F.xxhash64("sub_id").alias("spread"),
+                        *(["site"] if "site" in prep.design.categorical else
+                          [F.lit(None).cast("string").alias("site")]))
+    split = spark.createDataFrame([(s, i, b) for i, (s, b) in enumerate(prep.hot.items())],
+                                  "site string, hot int, blocks int")
+    slices = math.ceil(max(prep.n, 1) / BLOCK_ROWS)
+    rows = rows.join(split, "site", "left").withColumn(
+        "salt", F.when(F.col("site").isNull(), F.pmod("spread", F.lit(slices)))
+        .otherwise(F.pmod("spread", F.coalesce("blocks", F.lit(1)))))
+    packed = rows.groupBy("site", "hot", "salt").agg(F.collect_list("row").alias("rows")).select(
+        "site", F.coalesce("hot", F.lit(-1)).alias("hot"),
+        (F.col("site").isNotNull() & F.col("hot").isNull()).alias("own"), "rows")
+    # a pass is as wide as its work, not as the bytes it reads
+    width = max(spark.sparkContext.defaultParallelism, prep.n // (16 * BLOCK_ROWS))
+    return stored(packed.repartition(width), "packed")
+
+
+def coefficient_frame(spark, theta, species: Sequence[str], prep: Prepared) -> DataFrame:
+    """Raw-unit coefficients as (species_code, term, value), from the solver's rows."""
+    vectors = spark.createDataFrame([(s, row.tolist()) for s, row in zip(species, theta)],
+                                    "species_code string, beta array<double>")
     terms = spark.createDataFrame(
-        [(i, _term(kind, level), prep.mean.get(level) if kind == "num" else None,
-          prep.scale.get(level) if kind == "num" else None)
-         for i, (kind, level) in enumerate(prep.names)],
+        [(0, "intercept", 0.0, 1.0)] +
+        [(i, t, prep.mean.get(t, 0.0), prep.scale.get(t, 1.0)) for i, t in enumerate(prep.terms, 1)],
         "i int, term string, mean double, scale double")
-    long = (vectors.select("species_code", "intercept",
-                           F.posexplode(vector_to_array("beta")).alias("i", "b"))
-            .join(terms, "i", "inner"))
-    raw = long.select("species_code", "term",
-                      (F.col("b") / F.coalesce("scale", F.lit(1.0))).alias("value"))
-    shift = (long.groupBy("species_code").agg(
-        (F.max("intercept") - F.coalesce(F.sum(F.col("b") * F.col("mean") / F.col("scale")),
-                                         F.lit(0.0))).alias("value"))
-        .select("species_code", F.lit("intercept").alias("term"), "value"))
-    return raw.unionByName(shift)
+    long = vectors.select("species_code", F.posexplode("beta").alias("i", "b")).join(terms, "i")
+    raw = long.select("species_code", "term", (F.col("b") / F.col("scale")).alias("value"), "mean")
+    shift = raw.groupBy("species_code").agg(F.sum(F.col("value") * F.col("mean")).alias("shift"))
+    return raw.join(shift, "species_code").select("species_code", "term", F.when(
+        F.col("term") == "intercept", F.col("value") - F.col("shift")).otherwise(F.col("value"))
+        .alias("value"))
 
 
 def _term(kind: str, level: str) -> str:
-    return {"hr": f"hour_{level}", "week": f"week_{level}", "site": f"site_{level}",
-            "num": level}[kind]
+    return {"hr": f"hour_{level}", "week": f"week_{level}", "site": f"site_{level}"}[kind]
 
 
 def support_terms(species: DataFrame, support: DataFrame) -> DataFrame:
@@ -239,48 +206,63 @@ def holdout_split(table: DataFrame, group: str, share: float = P.TEST_SHARE,
 
 
 def holdout_scores(table: DataFrame, species: Sequence[str], group: str,
-                   design: Design = Design(), share: float = P.TEST_SHARE, seed: int = P.SEED,
-                   parallel: int = 8) -> DataFrame:
+                   design: Design = Design(), share: float = P.TEST_SHARE, seed: int = P.SEED) -> DataFrame:
     """Out-of-sample (species_code, p, y): whole groups held out."""
     split = holdout_split(table, group, share, seed)
-    coefs = fit_coefficients(split.where(~F.col("is_test")), species, design, parallel)
+    coefs = fit_coefficients(split.where(~F.col("is_test")), species, design)
     return predict(split.where("is_test"), coefs, design)
 
 
-def fit_coefficients(table: DataFrame, species: Sequence[str], design: Design = Design(),
-                     parallel: int = 8, partitions: int | None = None) -> DataFrame:
+def fit_coefficients(table: DataFrame, species: Sequence[str], design: Design = Design()
+                     ) -> DataFrame:
     """Fit every species on the table; long coefficients without support.
 
-    Each solver step is one job over all partitions: the table's own unless
-    ``partitions`` says fewer. Terms are written ``parallel`` models at a time
-    while later fits go on, so the driver holds a few times ``parallel``
-    coefficient vectors however many species there are.
+    A pass of the solver serves all species, up to ``solver.SPECIES`` together; the
+    terms of one such group are written before the next is fitted. A species seen
+    on all outings or on none has no finite fit: its coefficients are zero and its
+    intercept is infinite.
     """
     spark = table.sparkSession
     prep = prepare(table, design)
-    encoded = encode(table, prep, ["seen"])
-    encoded = stored(encoded.coalesce(partitions) if partitions else encoded, "encoded")
-    n = encoded.count()
-    path = scratch_path(spark, "terms")
-    for done in batched(fit_each(encoded, species, n, design.c, parallel), parallel):
-        coefficient_frame(spark, dict(done), prep).write.mode("append").parquet(path)
+    packed = pack(table, prep, species)
+    seen = {r["k"]: r["n"] for r in packed.select(F.explode("rows.seen").alias("s")).select(
+        F.explode("s").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}
+    layout, path = prep.layout, scratch_path(spark, "terms")
+    spark.createDataFrame([], TERMS).write.parquet(path)
+    both = [i for i in range(len(species)) if 0 < seen.get(i, 0) < prep.n]
+    one = [i for i in range(len(species)) if i not in set(both)]
+    if one:
+        never = [[math.inf if seen.get(i, 0) else -math.inf] + [0.0] * len(prep.terms) for i in one]
+        frame = [(species[i], t, v) for i, row in zip(one, never)
+                 for t, v in zip(["intercept", *prep.terms], row)]
+        spark.createDataFrame(frame, TERMS).write.mode("append").parquet(path)
+    for group in batched(both, solver.SPECIES):
+        theta = solver.solve(packed, layout, group, len(species), [seen[i] / prep.n for i in group])
+        coefs = coefficient_frame(spark, theta, [species[i] for i in group], prep)
+        if "site" in design.categorical:
+            names = spark.createDataFrame([(i, species[i]) for i in group], "species int, species_code string")
+            sites = solver.fitted_sites(packed, layout, group, len(species), theta)
+            coefs = coefs.unionByName(sites.join(names, "species").select(
+                "species_code", F.concat(F.lit("site_"), "site").alias("term"),
+                F.col("effect").alias("value")))
+        coefs.write.mode("append").parquet(path)
     return spark.read.schema(TERMS).parquet(path)
 
 
 def fit_ridge(table: DataFrame, species: Sequence[str], support: DataFrame,
-              design: Design = Design(), parallel: int = 8) -> DataFrame:
+              design: Design = Design()) -> DataFrame:
     """All species on the whole table, as long coefficients with support terms."""
-    coefs = fit_coefficients(table, species, design, parallel)
+    coefs = fit_coefficients(table, species, design)
     codes = table.sparkSession.createDataFrame([(s,) for s in species], "species_code string")
     return coefs.unionByName(support_terms(codes, support))
 
 
 def evaluate(table: DataFrame, species: Sequence[str], by: str, design: Design = Design(),
-             seed: int = P.SEED, parallel: int = 8) -> DataFrame:
+             seed: int = P.SEED) -> DataFrame:
     """Hold-out metrics per species; ``by`` picks the groups that are held out:
     "site" for places, "date" for days."""
     group = {"site": "loc_id", "date": "obs_date"}[by]
-    scored = holdout_scores(table, species, group, design, seed=seed, parallel=parallel)
+    scored = holdout_scores(table, species, group, design, seed=seed)
     return (eval_metrics(stored(scored, "scores"), ["species_code"])
             .withColumn("split", F.lit(f"by_{by}")))
 
@@ -321,8 +303,8 @@ def balance(table: DataFrame, coefs: DataFrame, design: Design = Design()) -> Da
 
 
 def holdout_balance(table: DataFrame, species: Sequence[str], group: str,
-                    design: Design = Design(), share: float = P.TEST_SHARE, seed: int = P.SEED,
-                    parallel: int = 8) -> DataFrame:
+                    design: Design = Design(), share: float = P.TEST_SHARE, seed: int = P.SEED
+                    ) -> DataFrame:
     """Both sides of a hold-out per species: rows and detections held out, and
     what the fit gives back of the rows it was trained on.
 
@@ -330,7 +312,7 @@ def holdout_balance(table: DataFrame, species: Sequence[str], group: str,
     """
     split = holdout_split(table, group, share, seed)
     train = split.where(~F.col("is_test"))
-    scored = predict(split, fit_coefficients(train, species, design, parallel), design,
+    scored = predict(split, fit_coefficients(train, species, design), design,
                      keep=["is_test"])
     held = F.col("is_test")
     return scored.groupBy("species_code").agg(
@@ -347,17 +329,16 @@ def verdicts(metrics: DataFrame, good: float = P.CAL_GOOD, bad: float = P.CAL_BA
                         .when(F.col("cal_mae").isNotNull(), "fair")))
 
 
-def refit(table: DataFrame, species: Sequence[str], support: DataFrame, parallel: int = 8
-          ) -> DataFrame:
+def refit(table: DataFrame, species: Sequence[str], support: DataFrame) -> DataFrame:
     """All terms a refit publishes: the fits, hour support, detections, and the
     metrics of both hold-outs."""
-    metrics = evaluate(table, species, "site", parallel=parallel).unionByName(
-        evaluate(table, species, "date", parallel=parallel))
+    metrics = evaluate(table, species, "site").unionByName(
+        evaluate(table, species, "date"))
     found = (table.select(F.explode("seen").alias("species_code"))
              .where(F.col("species_code").isin(list(species))).groupBy("species_code")
              .agg(F.count(F.lit(1)).cast("double").alias("value"))
              .select("species_code", F.lit("meta_detections").alias("term"), "value"))
-    return (fit_ridge(table, species, support, parallel=parallel)
+    return (fit_ridge(table, species, support)
             .unionByName(metric_terms(metrics)).unionByName(found))
 
 

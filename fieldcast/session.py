@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -84,3 +86,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shipped(df: DataFrame) -> DataFrame:
+    """``df``, once its session's executors can import this package.
+
+    Functions that run in tasks refer to their modules. The sources go out once per
+    application, as a zip file over Spark's own file server.
+    """
+    sc = df.sparkSession.sparkContext
+    name = "fieldcast-sources.zip"
+    if not any(f.endswith(name) for f in sc.listFiles):
+        top = os.path.dirname(os.path.abspath(__file__))
+        path = os.path.join(tempfile.mkdtemp(prefix="fieldcast-"), name)
+        with zipfile.ZipFile(path, "w") as z:
+            for folder, _, files in os.walk(top):
+                for f in files:
+                    if f.endswith(".py"):
+                        full = os.path.join(folder, f)
+                        z.write(full, os.path.relpath(full, os.path.dirname(top)))
+        sc.addPyFile(path)
+    return df

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldcast import params as P
 from fieldcast.functions.splines import inner_probabilities
-from fieldcast.operators import evaluation, hourcoding, labels, modelling, ranks
+from fieldcast.operators import evaluation, hourcoding, labels, modelling, ranks, solver
 from tests.test_expressions import brute_basis
 
 N = 900
@@ -96,6 +96,48 @@ def test_ridge_equals_newton(spark, frame, table):
         assert all(have[k] == v for k, v in sup.items())
 
 
+def test_split_sites_give_the_same_fit(spark, frame, table, monkeypatch):
+    # sites of several blocks keep a number between steps, others are solved in their task
+    monkeypatch.setattr(modelling, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(solver, "CHUNK", 100)
+    sparse = table.withColumn("site", F.when(F.col("site") == "PERSONAL", F.col("loc_id"))
+                              .otherwise(F.col("site")))
+    prep = modelling.prepare(sparse)
+    assert set(prep.hot) == {"H1", "H2"} and min(prep.hot.values()) > 1
+    got = {r["term"]: r["value"] for r in modelling.fit_coefficients(sparse, ["spb"]).collect()}
+    want = raw_terms(frame.assign(site=np.where(frame.site == "PERSONAL", frame.loc_id, frame.site)), "spb")
+    assert set(got) == set(want) and max(abs(got[k] - v) for k, v in want.items()) < 1e-8
+
+
+def test_passes_do_not_grow_with_species(table, monkeypatch):
+    passes = []
+    one_pass = solver._sums
+    monkeypatch.setattr(solver, "_sums", lambda *a: passes.append(len(a[2])) or one_pass(*a))
+    modelling.fit_coefficients(table, ["spa"]).count()
+    alone = len(passes)
+    modelling.fit_coefficients(table, ["spa", "spb", "absent"]).count()
+    assert alone <= 12 and len(passes) - alone <= alone + 2 and max(passes) == 2
+
+
+def test_species_of_one_class(table):
+    got = {(r["species_code"], r["term"]): r["value"] for r in
+           modelling.fit_coefficients(table, ["spa", "absent"]).collect()}
+    assert got["absent", "intercept"] == -math.inf and got["absent", "log_dur"] == 0.0
+    coefs = modelling.fit_coefficients(table, ["absent"])
+    assert modelling.predict(table, coefs).agg(F.max("p")).first()[0] == 0.0
+
+
+def test_site_effects_solve_their_equation():
+    rng = np.random.default_rng(2)
+    z = rng.normal(0, 30, (500, 4))
+    y = (rng.uniform(0, 1, z.shape) < 0.3).astype(float)
+    starts = np.array([0, 1, 5, 300])
+    a = solver.site_effects(z, y, starts, 0.01)
+    site = np.repeat(np.arange(4), [1, 4, 295, 200])
+    p = 1 / (1 + np.exp(-(z + a[site])))
+    assert np.abs(np.add.reduceat(p - y, starts, axis=0) + 0.01 * a).max() < 1e-8
+
+
 def test_calibration_variant_drops_first_levels(spark, frame, table):
     d = modelling.CALIBRATION_DESIGN
     got = dict((r["term"], r["value"]) for r in
