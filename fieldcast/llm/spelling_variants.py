@@ -1,8 +1,8 @@
 """Spelling variants by pivotal grams.
 
 Two words are near if one inserted, deleted or replaced code point turns one
-into the other. The bigrams of all words are ranked, rare ones first. A word's
-prefix are its bigrams up to the third-rarest; of any three bigrams two do not
+into the other. The bigrams of all words are ranked, rare ones first, and the
+first ``PREFIX`` of a word are its prefix. Of any three bigrams two do not
 overlap, and a single edit spoils only one of these two, the pivots. So of two
 near words the one whose prefix ends earlier in the ranking has a pivot that
 stands in the other's prefix.
@@ -13,9 +13,10 @@ then they are equal from that pivot on. These position limits go into the join
 key: an index row is a prefix bigram together with all that stands on one side
 of it, and a word asks for two keys only. Among the pairs of bigrams of the
 prefix that do not overlap, dynamic programming over the positions chooses the
-pair that the fewest words have at these distances from their start and end.
-What meets is verified by edit distance within the join; no pair is written
-that is not near.
+pair whose keys the fewest words share, as estimated from how often each bigram
+follows the letters before or after it at that distance from the start or end.
+What meets is verified by edit distance within the join, after a look at which
+letters occur an odd number of times; no pair is written that is not near.
 
 A word's form is its near word of most occurrences, if that has ``ratio`` times
 as many; following forms from word to word ends at its root. Occurrences rise
@@ -50,6 +51,9 @@ LEAST, OCCURS, RATIO = 7, 2, 10
 TYPO = 31
 #: distinct words that a task holds before it passes them on
 HELD = 1 << 19
+#: rarest bigrams of a word that others may ask for: three are enough to be right,
+#: more give the choice of pivots that fewer words share
+PREFIX = 4
 #: distances from a word's start or end that are counted one by one
 NEAR = 16
 #: code points from which on a word's text does not go with each of its keys
@@ -182,9 +186,10 @@ def _slots(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum(at, NEAR), np.minimum(n - 2 - at, NEAR)
 
 
-def gram_tables(words: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rank of each bigram, rare first, and how many words have it at each distance
-    from the start and from the end."""
+def gram_tables(words: DataFrame) -> tuple[np.ndarray, ...]:
+    """Rank of each bigram, rare first; how many words have it first, or last; and the
+    share that has it among those with its inner letter at that distance from the
+    start, or from the end."""
     kinds, slots = _LETTERS * _LETTERS, NEAR + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,25 +209,30 @@ def gram_tables(words: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             .groupBy("k").agg(F.sum("c").alias("c")).toArrow())  # 2 * 90 * 90 * 17 at most
     both = np.zeros(2 * kinds * slots, np.int64)
     both[rows["k"].to_numpy()] = rows["c"].to_numpy()
-    left, right = both.reshape(2, kinds, slots)
+    left, right = both.reshape(2, _LETTERS, _LETTERS, slots).astype(float)
     rank = np.empty(kinds, np.int64)
-    rank[np.lexsort((np.arange(kinds), left.sum(1)))] = np.arange(kinds)
-    return rank, left, right
+    rank[np.lexsort((np.arange(kinds), left.reshape(kinds, slots).sum(1)))] = np.arange(kinds)
+    return rank, _chain(left, left.sum(1, keepdims=True)), _chain(right, right.sum(0, keepdims=True))
+
+
+def _chain(count: np.ndarray, of_letter: np.ndarray) -> np.ndarray:
+    """Counts at distance 0, further in the share of the letter that goes on."""
+    out = np.divide(count, of_letter, where=of_letter > 0, out=np.zeros(count.shape))
+    out[:, :, 0] = count[:, :, 0]
+    return out.reshape(_LETTERS * _LETTERS, -1)
 
 
 def pivots(prefix: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Per row the two places of ``prefix`` that do not overlap and cost least, the
     left one by ``first`` and the right one by ``second``."""
-    high = np.iinfo(np.int64).max // 4
-    rows = np.arange(len(prefix))
-    best = np.full(len(prefix), high)   # cheapest first pivot so far, and its place
+    best = np.full(len(prefix), np.inf)  # cheapest first pivot so far, and its place
     place = np.zeros(len(prefix), np.int64)
-    cost, a, b = np.full(len(prefix), 2 * high), place.copy(), place.copy()
+    cost, a, b = best.copy(), place.copy(), place.copy()
     for j in range(2, prefix.shape[1]):
         i = j - 2
-        better = prefix[:, i] & (first[rows, i] < best)
+        better = prefix[:, i] & (first[:, i] < best)
         best, place = np.where(better, first[:, i], best), np.where(better, i, place)
-        total = np.where(prefix[:, j], best + second[:, j], 2 * high)
+        total = np.where(prefix[:, j], best + second[:, j], np.inf)
         better = total < cost
         cost, a, b = np.where(better, total, cost), np.where(better, place, a), np.where(better, j, b)
     return a, b
@@ -239,8 +249,9 @@ def _sides(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def index_rows(words: DataFrame, tables: tuple[np.ndarray, ...]) -> DataFrame:
-    """key, asks, last, name, size, n: two keys a word asks for, and two of each bigram
-    of its prefix, whose last bigram's rank is ``last``."""
+    """key, asks, last, odd, name, size, n: two keys a word asks for, and two of each
+    bigram of its prefix, whose last bigram's rank is ``last``; ``odd`` has a bit per
+    letter (64 of them, shared) that occurs an odd number of times."""
     sent = words.sparkSession.sparkContext.broadcast(tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,24 +264,32 @@ def index_rows(words: DataFrame, tables: tuple[np.ndarray, ...]) -> DataFrame:
                 at, x = letters.of_length(n)
                 gram = x[:, :-1] * _LETTERS + x[:, 1:]
                 r = rank[gram]
-                last = np.partition(r, 2, axis=1)[:, 2]
+                k = min(PREFIX, n - 1)
+                last = np.partition(r, k - 1, axis=1)[:, k - 1]
                 prefix = r <= last[:, None]
                 from_start, from_end = _slots(n)
-                p1, p2 = pivots(prefix, left[gram, from_start], right[gram, from_end])
+                alike = (np.cumprod(left[gram, from_start], axis=1),
+                         np.cumprod(right[gram, from_end][:, ::-1], axis=1)[:, ::-1])
+                p1, p2 = pivots(prefix, *alike)
                 up_to, on = _sides(x)
+                odd = np.bitwise_xor.reduce(np.int64(1) << (x % 64), axis=1)
                 rows = np.arange(len(at))
                 of, place = np.nonzero(prefix)
                 key = np.concatenate([up_to[rows, p1], on[rows, p2], up_to[of, place], on[of, place]])
                 who = np.concatenate([rows, rows, of, of])
                 asks = np.arange(len(who)) < 2 * len(rows)
+                if k == n - 1:  # all bigrams are there, none can be missed
+                    last = np.where(asks, last[who], _LETTERS * _LETTERS)
+                else:
+                    last = last[who]
                 take = pa.array(at[who])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(asks), pa.array(last[who].astype(np.int32)),
-                     b.column("name").take(take), pa.array(np.full(len(who), n, np.int32)),
-                     b.column("n").take(take)], names=["key", "asks", "last", "name", "size", "n"])
+                    [pa.array(key.view(np.int64)), pa.array(asks), pa.array(last.astype(np.int32)),
+                     pa.array(odd[who]), b.column("name").take(take), pa.array(np.full(len(who), n, np.int32)),
+                     b.column("n").take(take)], names=["key", "asks", "last", "odd", "name", "size", "n"])
 
     return shipped(words).mapInArrow(
-        run, "key bigint, asks boolean, last int, name string, size int, n bigint")
+        run, "key bigint, asks boolean, last int, odd bigint, name string, size int, n bigint")
 
 
 def _named(words: DataFrame) -> DataFrame:
@@ -284,12 +303,15 @@ def near_words(words: DataFrame) -> DataFrame:
     """a, na, b, nb: every two words with one edit between them, both ways round."""
     named = _named(words)
     rows = stored(index_rows(named, gram_tables(words)), "pivots")
-    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("last", "name", "size", "n")]
+    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("last", "odd", "name", "size", "n")]
     is_long = (F.col("name_a").startswith("#") | F.col("name_b").startswith("#"))
     met = (rows.where("asks").select("key", *side("a"))
            .join(rows.where("not asks").select("key", *side("b")), "key")
-           .where("last_a <= last_b and name_a <> name_b and abs(size_a - size_b) <= 1")
-           .where(is_long | (F.levenshtein("name_a", "name_b", 1) == 1))
+           # an edit changes whether a letter stands an odd number of times for two at most
+           .where((F.bit_count(F.col("odd_a").bitwiseXOR(F.col("odd_b"))) <= 2)
+                  & (F.col("last_a") <= F.col("last_b"))
+                  & (F.abs(F.col("size_a") - F.col("size_b")) <= 1) & (F.col("name_a") != F.col("name_b"))
+                  & (is_long | (F.levenshtein("name_a", "name_b", 1) == 1)))
            .select(F.least("name_a", "name_b").alias("a"), F.greatest("name_a", "name_b").alias("b"),
                    F.when(F.col("name_a") < F.col("name_b"), F.col("n_a")).otherwise(F.col("n_b")).alias("na"),
                    F.when(F.col("name_a") < F.col("name_b"), F.col("n_b")).otherwise(F.col("n_a")).alias("nb"))
