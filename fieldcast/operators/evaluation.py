@@ -33,9 +33,8 @@ def score_counts(scored: DataFrame, group: Sequence[str]) -> DataFrame:
     return value_counts(scored, group, "p", {"pos": F.sum(F.col("y").cast("long"))})
 
 
-def _ranked(scored: DataFrame, group: Sequence[str]) -> DataFrame:
-    return ranked_counts(score_counts(scored, group), group, "p",
-                         logit_bucket(F.col("p")), {"pos": "cum_pos"})
+def _ranked(counts: DataFrame, group: Sequence[str]) -> DataFrame:
+    return ranked_counts(counts, group, "p", logit_bucket(F.col("p")), {"pos": "cum_pos"})
 
 
 def roc_auc() -> Column:
@@ -73,7 +72,7 @@ def _calibration(ranked: DataFrame, group: Sequence[str], bins: int) -> DataFram
 
 def calibration_table(scored: DataFrame, group: Sequence[str], bins: int = 10) -> DataFrame:
     """Mean predicted and observed rate per quantile bin of the score."""
-    return _calibration(_ranked(scored, group), group, bins)
+    return _calibration(_ranked(score_counts(scored, group), group), group, bins)
 
 
 def calibration_mae(table: DataFrame, group: Sequence[str], good: float = P.CAL_GOOD,
@@ -90,8 +89,13 @@ def eval_metrics(scored: DataFrame, group: Sequence[str], bins: int = 10) -> Dat
     All are null where the test rows hold one class only: there is nothing to
     evaluate. Scores enter as counts per distinct value, ranked once.
     """
+    return count_metrics(score_counts(scored, group), group, bins)
+
+
+def count_metrics(counts: DataFrame, group: Sequence[str], bins: int = 10) -> DataFrame:
+    """``eval_metrics`` from score counts alone: all that they need of the rows."""
     group = list(group)
-    ranked = _ranked(scored, group)
+    ranked = _ranked(counts, group)
     base = ranked.groupBy(*group).agg(
         F.sum("n").alias("n"), F.sum("pos").alias("n_pos"), brier().alias("brier"),
         roc_auc().alias("auc"), average_precision().alias("avg_precision"))

@@ -21,7 +21,7 @@ from fieldcast.functions import sigmoid
 from fieldcast.operators import solver
 from fieldcast.operators.coefficients import term_block
 from fieldcast.operators.dedup import salted_join
-from fieldcast.operators.evaluation import eval_metrics, group_holdout
+from fieldcast.operators.evaluation import count_metrics, group_holdout, score_counts
 from fieldcast.operators.labels import species_array
 from fieldcast.operators.scoring import with_terms
 from fieldcast.session import scratch_path, stored
@@ -257,14 +257,28 @@ def fit_ridge(table: DataFrame, species: Sequence[str], support: DataFrame,
     return coefs.unionByName(support_terms(codes, support))
 
 
-def evaluate(table: DataFrame, species: Sequence[str], by: str, design: Design = Design(),
-             seed: int = P.SEED) -> DataFrame:
-    """Hold-out metrics per species; ``by`` picks the groups that are held out:
-    "site" for places, "date" for days."""
+def holdout_counts(table: DataFrame, species: Sequence[str], by: str, design: Design = Design(),
+                   seed: int = P.SEED) -> DataFrame:
+    """species_code, p, n, pos, split: how many held-out outings got each score, and
+    how many of them had the species. All metrics follow from these, so they are
+    what is stored; ``by`` picks the groups that are held out: "site" for places,
+    "date" for days. Scores are told apart at nine digits, beyond which they hang on
+    the order of sums."""
     group = {"site": "loc_id", "date": "obs_date"}[by]
     scored = holdout_scores(table, species, group, design, seed=seed)
-    return (eval_metrics(stored(scored, "scores"), ["species_code"])
-            .withColumn("split", F.lit(f"by_{by}")))
+    counts = score_counts(scored.withColumn("p", F.round("p", 9)), ["species_code"])
+    return stored(counts.withColumn("split", F.lit(f"by_{by}")), "score-counts")
+
+
+def evaluate(table: DataFrame, species: Sequence[str], by: str, design: Design = Design(),
+             seed: int = P.SEED) -> DataFrame:
+    """Hold-out metrics per species and split."""
+    return count_metrics(holdout_counts(table, species, by, design, seed), ["split", "species_code"])
+
+
+#: one column per hour and hardly a penalty: a fitted probability is then the share of
+#: detections at that hour, and a level not met in training counts as the first
+LEVEL_DESIGN = Design(("hr",), (), drop_first=True, c=1e12)
 
 
 def balance(table: DataFrame, coefs: DataFrame, design: Design = Design()) -> DataFrame:

@@ -203,17 +203,22 @@ def _added(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return ids, out
 
 
-def _steps(sums: DataFrame, layout: Layout, active: np.ndarray, theta: np.ndarray) -> DataFrame:
-    """species, loss, decrement, step: the Newton step of each species."""
-    kind = "slice int, species int, hot int, v array<double>"
-    sent = sums.sparkSession.sparkContext.broadcast((active, theta))
-
+def _by_slice(sums: DataFrame) -> DataFrame:
+    """The sums of the tasks of one slice, added up."""
     def add(table: pa.Table) -> pa.Table:
         ids, total = _added(table.combine_chunks())
         return pa.table({"slice": pa.array(np.full(len(ids), table["slice"][0].as_py(), np.int32)),
                          "species": pa.array(np.full(len(ids), table["species"][0].as_py(), np.int32)),
                          "hot": pa.array(ids), "v": pa.array(total, pa.list_(pa.float64()))})
 
+    return sums.groupBy("species", "slice").applyInArrow(
+        add, "slice int, species int, hot int, v array<double>")
+
+
+def _steps(sums: DataFrame, layout: Layout, active: np.ndarray, theta: np.ndarray) -> DataFrame:
+    """species, loss, decrement, step: the Newton step of each species."""
+    sent = sums.sparkSession.sparkContext.broadcast((active, theta))
+
     def solve(table: pa.Table) -> pa.Table:
         active, theta = sent.value
         j = table["species"][0].as_py()
@@ -236,16 +241,19 @@ def _steps(sums: DataFrame, layout: Layout, active: np.ndarray, theta: np.ndarra
             gh[i] += v[0]
             hh[i] += v[1]
             cross[i] = v[2:]
-        step = -np.linalg.solve(h - cross.T @ (cross / hh[:, None]), g - cross.T @ (gh / hh))
+        left = h - cross.T @ (cross / hh[:, None]) if len(hot) else h
+        # without a penalty columns may say the same twice: the shortest step then
+        inverse = np.linalg.pinv(left, hermitian=True) if not pen else None
+        rest = g - cross.T @ (gh / hh) if len(hot) else g
+        step = -(inverse @ rest if inverse is not None else np.linalg.solve(left, rest))
         own = -(gh + cross @ step) / hh
         decrement = -float(g @ step + gh @ own)
         return pa.table({"species": pa.array([j], pa.int32()), "loss": pa.array([loss]),
                          "decrement": pa.array([decrement]),
                          "step": pa.array([np.concatenate([step, own])], pa.list_(pa.float64()))})
 
-    return (sums.groupBy("species", "slice").applyInArrow(add, kind)
-            .groupBy("species").applyInArrow(
-                solve, "species int, loss double, decrement double, step array<double>"))
+    return _by_slice(sums).groupBy("species").applyInArrow(
+        solve, "species int, loss double, decrement double, step array<double>")
 
 
 def solve(packed: DataFrame, layout: Layout, species: Sequence[int], all_species: int,
@@ -297,3 +305,17 @@ def fitted_sites(packed: DataFrame, layout: Layout, species: Sequence[int], all_
                      pa.array(effect[free].ravel())], names=["site", "species", "effect"])
 
     return shipped(packed.where("own")).mapInArrow(run, "site string, species int, effect double")
+
+
+def information(packed: DataFrame, layout: Layout, theta: np.ndarray) -> tuple[float, np.ndarray]:
+    """Negative log-likelihood and Fisher information of one species' coefficients:
+    the weighted cross products of all columns, summed in one pass."""
+    if layout.hot or layout.penalty:
+        raise ValueError("the information is that of a fit without a penalty")
+    total = None
+    for r in _by_slice(_sums(shipped(packed), layout, np.array([0]), theta[None], 1)).select("v").collect():
+        total = np.array(r["v"]) + (0.0 if total is None else total)  # SLICES rows at most
+    k = layout.width
+    out = np.zeros((k, k))
+    out[np.triu_indices(k)] = total[1 + k:]
+    return float(total[0]), out + out.T - np.diag(np.diag(out))

@@ -303,6 +303,19 @@ class Domain:
             F.when(k % 12 != 0, (k % 55).cast("int")).alias("party_size"))
 
 
+def spline_sql(x: str, knots: list[str]) -> list[str]:
+    """SQL of the cubic basis of ``x`` on named knots, without the first function."""
+    last = max(i for i in range(len(knots) - 1) if knots[i] != knots[i + 1])
+    level = ["0" if a == b else f"CASE WHEN {x} >= {a} AND {x} {'<=' if i == last else '<'} {b} THEN 1.0::DOUBLE ELSE 0 END"
+             for i, (a, b) in enumerate(zip(knots, knots[1:]))]
+    for d in range(1, 4):
+        level = [" + ".join(
+            ([f"({x} - {knots[i]}) / ({knots[i + d]} - {knots[i]}) * ({level[i]})"] if knots[i] != knots[i + d] else [])
+            + ([f"({knots[i + d + 1]} - {x}) / ({knots[i + d + 1]} - {knots[i + 1]}) * ({level[i + 1]})"]
+               if knots[i + 1] != knots[i + d + 1] else [])) or "0" for i in range(len(level) - 1)]
+    return level[1:]
+
+
 # The same definitions for the checks. Names in a body pull in what they need.
 SQL = {
     "checklists": """
@@ -491,6 +504,48 @@ SQL = {
   WHERE species_code NOT LIKE 'y00%' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)""",
     "hour_counts": """
  SELECT hr, CAST(sum(y) AS DOUBLE) AS a, CAST(sum(1 - y) AS DOUBLE) AS b FROM hour_labels GROUP BY 1""",
+    "hour_seen": """
+ SELECT m.*, CAST(o.sub_id IS NOT NULL AS INTEGER) AS y FROM whole m
+ LEFT JOIN observations o ON o.sub_id = m.sub_id AND o.species_code = (
+  SELECT species_code FROM observations JOIN whole USING (sub_id)
+  WHERE species_code NOT LIKE 'y00%' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)""",
+    "hour_fits": """
+ SELECT 'day' AS rows_of, * FROM hour_seen WHERE hr IN (
+  SELECT hr FROM hour_seen WHERE hr BETWEEN 5 AND 20 GROUP BY hr HAVING count(*) >= 50)
+ UNION ALL SELECT 'example', * FROM hour_seen WHERE hr IN (SELECT hr FROM hour_seen GROUP BY hr HAVING count(*) >= 50)""",
+    "hour_knots": """
+ SELECT rows_of, CAST(min(doy) AS DOUBLE) AS d_lo, CAST(max(doy) AS DOUBLE) AS d_hi, min(hour) AS t_lo,
+  quantile_cont(hour, 0.5) AS t_mid, max(hour) AS t_hi, list_sort(list(DISTINCT hr)) AS hours
+ FROM hour_fits GROUP BY 1""",
+    "glm_rows": f"""
+ SELECT fit, CAST(y AS DOUBLE) AS y, [1.0::DOUBLE, log_dur, log_dist, {", ".join(spline_sql("doy", ["d_lo"] * 4 + ["d_hi"] * 4))},
+  wind_max, temp_mean, precip_sum] || CASE WHEN fit = 'spline'
+  THEN [{", ".join(spline_sql("hour", ["t_lo"] * 4 + ["t_mid"] + ["t_hi"] * 4))}]
+  ELSE list_transform(list_filter(hours, lambda h: h <> 8), lambda h: CAST(h = hr AS INTEGER)::DOUBLE) END AS v
+ FROM hour_fits JOIN hour_knots USING (rows_of)
+ JOIN (VALUES ('dummy', 'day'), ('spline', 'day'), ('example', 'example')) f(fit, rows_of) USING (rows_of)""",
+    # Newton's method: each round sums the weighted cross products and eliminates
+    "glm": """
+ WITH RECURSIVE step(it, fit, b, var, ll) AS (
+  SELECT 0, fit, list_transform(range(0, any_value(len(v))), lambda i: 0.0::DOUBLE), NULL::DOUBLE[], NULL::DOUBLE
+  FROM glm_rows GROUP BY fit
+  UNION ALL
+  SELECT it + 1, fit, list_transform(b, lambda x, i: x + m[i][len(b) + 1]),
+   list_transform(b, lambda x, i: m[i][len(b) + 1 + i]), ll
+  FROM (SELECT it, fit, any_value(b) AS b, any_value(ll) AS ll,
+    list_reduce([{'k': 0, 'm': list(line ORDER BY i)}] || list_transform(range(1, any_value(len(b)) + 1),
+     lambda k: {'k': k, 'm': [[0.0::DOUBLE]]}), lambda a, x: {'k': x.k, 'm': list_transform(a.m, lambda r, i:
+      CASE WHEN i = x.k THEN list_transform(r, lambda c: c / r[x.k])
+       ELSE list_transform(r, lambda c, j: c - r[x.k] * a.m[x.k][j] / a.m[x.k][x.k]) END)}).m AS m
+   FROM (SELECT it, fit, i, any_value(b) AS b, any_value(ll) AS ll, list(h ORDER BY j) || [any_value(g)]
+      || list_transform(range(1, any_value(len(b)) + 1), lambda k: CASE WHEN k = i THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS line
+    FROM (SELECT it, fit, i, j, any_value(b) AS b, sum(p * (1 - p) * v[i] * v[j]) AS h, sum((y - p) * v[i]) AS g,
+      sum(CASE WHEN y = 1 THEN ln(p) ELSE ln(1 - p) END) AS ll
+     FROM (SELECT s.it, s.fit, s.b, d.v, d.y, 1 / (1 + exp(-list_dot_product(d.v, s.b))) AS p
+       FROM step s JOIN glm_rows d ON d.fit = s.fit WHERE s.it < 9) r,
+      (SELECT unnest(range(1, 40)) AS i) x, (SELECT unnest(range(1, 40)) AS j) z
+     WHERE i <= len(v) AND j <= len(v) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3) GROUP BY 1, 2))
+ SELECT fit, b, var, ll FROM step WHERE it = 9""",
     "scored": """
  SELECT split, species_code, y, (CAST((okey * 37 + CAST(substr(species_code, 3) AS INTEGER) * 101) % 1000 AS DOUBLE)
    + 0.5::DOUBLE) / 1000.0::DOUBLE AS p
@@ -626,6 +681,20 @@ SQL = {
 }
 
 
+# the same metrics of models with one level per hour, whose scores are shares
+SQL["level_scored"] = " UNION ALL ".join(f"""
+ SELECT 'by_{split}' AS split, t.species_code, t.y, round(coalesce(m.p, f.p), 9) AS p
+ FROM (SELECT * FROM fit_labels JOIN fit_{split}_test USING ({key}) WHERE is_test) t
+ LEFT JOIN (SELECT species_code, hr, avg(y) AS p FROM fit_labels JOIN fit_{split}_test USING ({key})
+  WHERE NOT is_test GROUP BY 1, 2) m USING (species_code, hr)
+ JOIN (SELECT species_code, avg(y) AS p FROM fit_labels JOIN fit_{split}_test USING ({key})
+  WHERE NOT is_test AND hr = (SELECT min(hr) FROM fit_labels JOIN fit_{split}_test USING ({key}) WHERE NOT is_test)
+  GROUP BY 1) f ON f.species_code = t.species_code""" for split, key in (("site", "loc_id"), ("date", "obs_date")))
+for _name in ("edges", "calibration", "cal_mae", "auc", "ap", "metrics"):
+    SQL[f"level_{_name}"] = re.sub(r"\b(FROM|JOIN) (scored|edges|calibration|cal_mae|auc|ap)\b", r"\1 level_\2",
+                                   SQL[_name])
+
+
 def with_tables(body: str) -> str:
     """``body`` with the definitions it names, and those they name."""
     need: list[str] = []

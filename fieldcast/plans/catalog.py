@@ -23,8 +23,6 @@ DIGITS = 6
 # means of short decimals can end in a tie at six digits
 FINER = dict.fromkeys(("calibration_table", "calibration_mae", "eval_metrics", "eval_summary",
                        "weather_span", "weather_dedup", "weather_unzip", "forecast_span"), 9)
-# sums over all rows of a fit, right to the solver's tolerance
-FINER |= dict.fromkeys(("fit_ridge_check", "holdout_check", "hour_coding_check"), 3)
 
 
 def query(fn: Callable[[Domain], DataFrame]) -> Callable[[Domain], DataFrame]:
@@ -597,6 +595,16 @@ def evaluate_models(d: Domain) -> DataFrame:
     return by_site.unionByName(modelling.evaluate(table, codes, "date"))
 
 
+@query
+def holdout_metrics_check(d: Domain) -> DataFrame:
+    """Metrics of both hold-outs where the fitted scores have a closed form."""
+    table, _, codes = _fit_inputs(d)
+    if not codes:
+        return evaluation.eval_metrics(d.scored.limit(0), GROUP)
+    return modelling.evaluate(table, codes, "site", modelling.LEVEL_DESIGN).unionByName(
+        modelling.evaluate(table, codes, "date", modelling.LEVEL_DESIGN))
+
+
 @query
 def calibrate_models(d: Domain) -> DataFrame:
     """Calibration of the site-free variant at held-out sites."""
@@ -706,6 +714,13 @@ def worked_example(d: Domain) -> DataFrame:
     return hourcoding.worked_example(*_hour_table(d))
 
 
+@query
+def spline_values(d: Domain) -> DataFrame:
+    """The published spline basis at every day and hour of the fitted outings."""
+    values = hourcoding.spline_values(_hour_table(d)[0])
+    return values.where("round(value, 9) <> 0")
+
+
 # -- places and people --------------------------------------------------------
 def _places(d: Domain) -> DataFrame:
     return d.hotspots.select("loc_id", F.col("lat").alias("latitude"),

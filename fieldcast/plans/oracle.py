@@ -6,7 +6,7 @@ dates and lists turned to text as the registered queries do.
 
 from __future__ import annotations
 
-from fieldcast.plans.bindings import with_tables
+from fieldcast.plans.bindings import spline_sql, with_tables
 
 
 def r(*names: str, digits: int = 6) -> str:
@@ -84,6 +84,12 @@ EXTREMES = f"""SELECT year(date) AS year, month(date) AS month, {day('date')}, {
   round(sum(o_totalprice) / 10000, 3) AS precip, round(avg(o_totalprice) / 10000, 3) AS temp_mean FROM orders GROUP BY 1)
  WHERE wind_max IS NOT NULL) WHERE rn = 1"""
 
+# the share of a normal distribution beyond both ends, from the series of the error function
+NORMAL_TAILS = ("(1 - exp(-{0} * {0} / 2) * list_sum(list_transform(range(0, 200), "
+                "lambda n: exp((2 * n + 1) * ln({0} / sqrt(2.0::DOUBLE)) - lgamma(n + 1.5::DOUBLE)))))")
+HOUR_TERMS = """SELECT unnest(list_filter(hours, lambda h: h <> 8)) AS hr, unnest(b[10:]) AS beta, unnest(var[10:]) AS var
+ FROM glm JOIN hour_knots ON rows_of = '{1}' WHERE fit = '{0}'"""
+
 BODIES: dict[str, str] = {
     "eligible_outings": f"""SELECT sub_id, loc_id, {day('obs_date')}, obs_time, {r('duration_hrs', 'distance_km')},
  n_observers, protocol_id, {r('lat', 'lon')}, is_hotspot FROM eligible""",
@@ -269,6 +275,25 @@ BODIES: dict[str, str] = {
         ("by_site", "loc_id", "fit_site_test"), ("by_date", "obs_date", "fit_date_test"),
         ("calibration", "loc_id", "fit_site_test"))),
     "hour_coding_check": """SELECT hr, count(*) AS n, CAST(sum(y) AS DOUBLE) AS fitted FROM hour_labels GROUP BY 1""",
+    "hour_coding": f"""SELECT fit AS coding, n, CAST(len(b) - 1 AS INTEGER) AS params, {r('aic', 'pseudo_r2')} FROM (
+ SELECT *, 2 * len(b) - 2 * ll AS aic, 1 - ll / (pos * ln(pos / n) + (n - pos) * ln((n - pos) / n)) AS pseudo_r2 FROM glm
+ JOIN (SELECT fit, count(*) AS n, sum(y) AS pos FROM glm_rows GROUP BY 1) USING (fit)) WHERE fit <> 'example'""",
+    "odds_ratios": f"""SELECT hr, n, {r('odds_ratio', 'p_value')}, coalesce(p_value < 0.05, false) AS significant FROM (
+ SELECT hr, coalesce(exp(beta), 1.0::DOUBLE) AS odds_ratio, {NORMAL_TAILS.format('abs(beta / sqrt(var))')} AS p_value
+ FROM (SELECT unnest(hours) AS hr FROM hour_knots WHERE rows_of = 'day') LEFT JOIN ({HOUR_TERMS.format('dummy', 'day')}) USING (hr))
+ JOIN (SELECT hr, count(*) AS n FROM hour_fits WHERE rows_of = 'day' GROUP BY 1) USING (hr)""",
+    "worked_example": f"""SELECT hr, {r('hour_term', 'total')}, round({SIG.format('total')}, 6) + 0.0 AS probability, hr = 8 AS is_reference
+ FROM (SELECT hr, hour_term, hour_term + list_dot_product(b[1:9], [1.0::DOUBLE, 0, ln(2.0::DOUBLE), 3 * u * (1 - u) * (1 - u),
+   3 * u * u * (1 - u), u * u * u, 12, 18, 0]) AS total
+  FROM (SELECT hr, coalesce(beta, 0) AS hour_term, g.b, (least(greatest(134, d_lo), d_hi) - d_lo) / (d_hi - d_lo) AS u
+   FROM (SELECT unnest([6, 7, 8, 10, 12, 14, 19]) AS hr) JOIN hour_knots k ON k.rows_of = 'example' AND list_contains(k.hours, hr)
+   LEFT JOIN ({HOUR_TERMS.format('example', 'example')}) USING (hr) CROSS JOIN (SELECT b FROM glm WHERE fit = 'example') g))""",
+    "spline_values": f"""SELECT variable, x, variable||'_'||fn AS term, round(value, 6) + 0.0 AS value FROM (
+ SELECT variable, x, unnest([1, 2, 3]) AS fn, unnest([{", ".join(spline_sql("x", ["d_lo"] * 4 + ["d_hi"] * 4))}]) AS value
+ FROM (SELECT DISTINCT 'doy' AS variable, CAST(doy AS DOUBLE) AS x FROM hour_fits WHERE rows_of = 'day') JOIN hour_knots ON rows_of = 'day'
+ UNION ALL SELECT variable, x, unnest([1, 2, 3, 4]), unnest([{", ".join(spline_sql("x", ["t_lo"] * 4 + ["t_mid"] + ["t_hi"] * 4))}])
+ FROM (SELECT DISTINCT 'hour' AS variable, hour AS x FROM hour_fits WHERE rows_of = 'day') JOIN hour_knots ON rows_of = 'day')
+ WHERE round(value, 9) <> 0""",
     "hour_contrasts": f"""SELECT h.hr, {r('odds_ratio', 'std_error', 'aic')} FROM (
  SELECT h.hr, h.a / h.b / (q.a / q.b) AS odds_ratio, sqrt(1 / h.a + 1 / h.b + 1 / q.a + 1 / q.b) AS std_error,
   2 * count(*) OVER () - 2 * sum(h.a * ln(h.a / (h.a + h.b)) + h.b * ln(h.b / (h.a + h.b))) OVER () AS aic
@@ -284,6 +309,7 @@ BODIES: dict[str, str] = {
  GROUP BY 1, 2""",
     "group_holdout": "SELECT loc_id, is_test FROM site_test",
     "eval_metrics": f"SELECT split, species_code, n, n_pos, {r('brier', 'auc', 'avg_precision', 'cal_mae', digits=9)} FROM metrics",
+    "holdout_metrics_check": f"SELECT split, species_code, n, n_pos, {r('brier', 'auc', 'avg_precision', 'cal_mae')} FROM level_metrics",
     "calibration_table": f"""SELECT split, species_code, bin, round(pred, 9) AS pred, round(obs, 9) AS obs, n, round(obs - pred, 9) + 0.0 AS gap
  FROM calibration""",
     "calibration_mae": f"""SELECT split, species_code, {r('cal_mae', digits=9)}, CASE WHEN cal_mae < 0.03 THEN 'good'

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldcast.functions import (clock_hour, haversine_km, hour_bucket, in_box, logit_bucket,
                                  round_half_up_int, snap, span_hours, week_of)
+from fieldcast.functions import splines
 from fieldcast.functions.splines import bspline, inner_probabilities
 from fieldcast.operators.ranks import value_bucket
 
@@ -113,3 +114,18 @@ def test_knot_places():
     assert inner_probabilities(3) == [] and inner_probabilities(4) == [0.5]
     with pytest.raises(ValueError):
         inner_probabilities(2)
+
+
+@pytest.mark.parametrize("knots", [[1.0] * 4 + [29.0] * 4, [5.0] * 4 + [9.3] + [20.0] * 4,
+                                   [0.0] * 4 + [1.0, 1.0, 2.0] + [4.0] * 4])
+def test_published_basis_equals_the_recursion(spark, knots):
+    x = np.linspace(knots[0], knots[-1], 31)
+    want = brute_basis(x, knots)
+    points = spark.createDataFrame([(i, "v", float(v)) for i, v in enumerate(x)], "i int, variable string, x double")
+    outside = spark.createDataFrame([(99, "v", knots[-1] + 7)], "i int, variable string, x double")
+    got = splines.basis_values(points.unionByName(outside), splines.basis_table(spark, {"v": knots})).collect()
+    table = np.zeros((100, want.shape[1]))
+    for r in got:
+        table[r["i"], int(r["term"][2:])] += r["value"]
+    assert np.abs(table[:len(x), 1:] - want[:, 1:]).max() < 1e-12
+    assert np.abs(table[99, 1:] - want[-1, 1:]).max() < 1e-12

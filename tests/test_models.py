@@ -218,7 +218,7 @@ def test_one_class_gives_nulls(spark):
 def test_repeated_edges_merge(spark):
     p = [.1, .1, .1, .1, .2, .3]
     df = spark.createDataFrame(pd.DataFrame({"g": 1, "p": p, "y": 0}))
-    ranked = evaluation._ranked(df, ["g"])
+    ranked = evaluation._ranked(evaluation.score_counts(df, ["g"]), ["g"])
     got = {r["p"]: r["bin"] for r in ranks.quantile_bins(ranked, ["g"], "p", 3).collect()}
     assert got == {.1: 0, .2: 1, .3: 1}
 
