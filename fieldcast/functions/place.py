@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,3 +35,28 @@ def cube(lat: Column, lon: Column, side_km: float) -> Column:
     y = r * F.cos(F.radians(lat)) * F.sin(F.radians(lon))
     z = r * F.sin(F.radians(lat))
     return F.struct(F.floor(x).alias("x"), F.floor(y).alias("y"), F.floor(z).alias("z"))
+
+
+def chord_km(arc_km: float) -> float:
+    """The straight line under an arc on the sphere; both order distances alike."""
+    return 2.0 * EARTH_KM * math.sin(min(arc_km / (2.0 * EARTH_KM), math.pi / 2))
+
+
+def position(lat: Column, lon: Column) -> Column:
+    """A point on the sphere in kilometres from its centre."""
+    r = F.lit(EARTH_KM)
+    return F.struct((r * F.cos(F.radians(lat)) * F.cos(F.radians(lon))).alias("x"),
+                    (r * F.cos(F.radians(lat)) * F.sin(F.radians(lon))).alias("y"),
+                    (r * F.sin(F.radians(lat))).alias("z"))
+
+
+def cube_distances(at: Column, c: Column, side_km: float) -> tuple[Column, Column]:
+    """Shortest and longest straight line from a position to a point of a cube."""
+    side, zero = F.lit(side_km), F.lit(0.0)
+    near, far = zero, zero
+    for axis in ("x", "y", "z"):
+        lo = c[axis] * side
+        before, behind = lo - at[axis], at[axis] - lo - side
+        near = near + F.pow(F.greatest(before, behind, zero), 2)
+        far = far + F.pow(F.greatest(F.abs(before), F.abs(behind)), 2)
+    return F.sqrt(near), F.sqrt(far)

@@ -41,3 +41,5 @@ WEEKS_IN_YEAR = 53
 EARTH_KM = 6371.0088
 SITE_SNAP_KM = 0.2
 NEARBY_KM = 25.0
+# how long a shared answer about a place holds
+ANSWER_DAYS = 3

@@ -681,6 +681,38 @@ SQL = {
 }
 
 
+SQL |= {
+    "asked_places": """
+ SELECT point_id, CAST(regexp_extract(point_id, '(\\d+)$', 1) AS BIGINT) AS k,
+  round_even(lat * 10, 0) / 10 AS blat, round_even(lon * 10, 0) / 10 AS blon FROM pins""",
+    # an answer of the 20th still holds on the 23rd, not on the 24th
+    "place_answers": """
+ SELECT blat, blon, CASE WHEN bool_or(k % 50 < 30) AND NOT bool_or(k % 50 < 15) THEN DATE '2024-01-23'
+  ELSE DATE '2024-01-24' END AS answered_on FROM asked_places GROUP BY 1, 2""",
+    "seen_around": """
+ SELECT blat, blon, answered_on, species_code, max(obs_date) AS last_seen, CAST(count(*) AS BIGINT) AS n_lists
+ FROM place_answers JOIN sightings s ON s.obs_date BETWEEN answered_on - 14 AND answered_on
+ WHERE 2 * 6371.0088::DOUBLE * asin(sqrt(pow(sin(radians(s.lat - blat) / 2), 2)
+   + cos(radians(blat)) * cos(radians(s.lat)) * pow(sin(radians(s.lon - blon) / 2), 2))) <= 25 GROUP BY 1, 2, 3, 4""",
+    "filed": """
+ SELECT okey, obs_date, unnest(CASE WHEN okey % 13 = 0 THEN [w, w + 1] ELSE [w] END) AS wave
+ FROM (SELECT okey, obs_date, (dayofmonth(obs_date) - 1) // 10
+  + CASE WHEN okey % 11 = 0 THEN 2 WHEN okey % 7 = 0 THEN 1 ELSE 0 END AS w FROM checklists)""",
+    # where the watermark stands once a wave has been read
+    "marks": """
+ SELECT wave, max(max(obs_date)) OVER (ORDER BY wave) - 7 AS mark FROM filed GROUP BY 1""",
+    "rolled_weather": """
+ SELECT clat, clon, ts, wind + CASE WHEN (dayofmonth(ts) + hour(ts)) % 9 = 0 THEN 3 ELSE 0 END AS wind,
+  precip, temp, cloud, humid FROM weather WHERE ts >= TIMESTAMP '2024-01-03'""",
+}
+# the grid of the second snapshot, computed as a whole
+for _name, _new in (("fdays", "rolled_days"), ("spans", "rolled_spans"), ("cells", "rolled_cells"), ("grid", "rolled_grid")):
+    _body = SQL[_name]
+    for _old, _to in (("weather", "rolled_weather"), ("fdays", "rolled_days"), ("spans", "rolled_spans"),
+                      ("cells", "rolled_cells")):
+        _body = re.sub(rf"\b(FROM|JOIN) {_old}\b", rf"\1 {_to}", _body)
+    SQL[_new] = _body
+
 # the same metrics of models with one level per hour, whose scores are shares
 SQL["level_scored"] = " UNION ALL ".join(f"""
  SELECT 'by_{split}' AS split, t.species_code, t.y, round(coalesce(m.p, f.p), 9) AS p

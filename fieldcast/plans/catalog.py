@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 
 from fieldcast import params as P
 from fieldcast.functions import clock_hour, hour_bucket, snap, week_of
-from fieldcast.operators import (best, coefficients, community, evaluation, hourcoding, labels, modelling,
-                                 outings, photos, requests, scoring, spatial, stores, weather)
+from fieldcast.operators import (answers, best, coefficients, community, evaluation, hourcoding, labels, modelling,
+                                 outings, photos, requests, rolling, scoring, spatial, stores, weather)
 from fieldcast.plans.bindings import Domain
 from fieldcast.plans.features import fit_table, model_table, outing_features
 from fieldcast.session import scratch_path, stored
@@ -475,6 +475,34 @@ def _asked(d: Domain) -> tuple:
     return d.coefs, d.spans(), d.hotspots, ["clat", "clon"]
 
 
+def _snapshots(d: Domain) -> tuple[DataFrame, DataFrame]:
+    """Two forecasts: the second starts two days later and has more wind at times."""
+    first = stored(d.weather, "weather")
+    gust = F.when((F.dayofmonth("ts") + F.hour("ts")) % 9 == 0, 3).otherwise(0)
+    second = first.where("ts >= timestamp_ntz'2024-01-03 00:00:00'").withColumn("wind", F.col("wind") + gust)
+    return tuple(stored(scoring.forecast_span(w, ["clat", "clon"], 1.0), "snapshot") for w in (first, second))
+
+
+def _rolled(d: Domain) -> tuple[str, DataFrame]:
+    area, root = ["clat", "clon"], rolling.new_store(d.spark)
+    first, second = _snapshots(d)
+    rolling.roll(root, 1, d.coefs, None, first, d.hotspots, area)
+    return root, rolling.roll(root, 2, d.coefs, first, second, d.hotspots, area)
+
+
+@query
+def rolling_forecast(d: Domain) -> DataFrame:
+    """The grid after a second snapshot, of which only changed slots were scored."""
+    return rolling.current(d.spark, _rolled(d)[0], 2, ["clat", "clon"]).select(
+        "species_code", "loc_id", "day", "hour", "probability", "reason")
+
+
+@query
+def rolling_slots(d: Domain) -> DataFrame:
+    """Slots per area and day, and how many of them the second snapshot scored."""
+    return _rolled(d)[1]
+
+
 @query
 def drivers(d: Domain) -> DataFrame:
     return scoring.drivers(d.coefs, best.best_window(
@@ -747,6 +775,18 @@ def recent_radius(d: Domain) -> DataFrame:
     return spatial.recent_around(d.sightings, d.pins.select("point_id", "lat", "lon"), "2024-01-29")
 
 
+@query
+def shared_answers(d: Domain) -> DataFrame:
+    """Three rounds of questions: answers hold three days and are shared by place."""
+    root = scratch_path(d.spark, "answers")
+    points = d.pins.select("point_id", "lat", "lon")
+    number = F.try_to_number(F.regexp_extract("point_id", r"(\d+)$", 1), F.lit("9" * 12))
+    seen = stored(d.sightings, "sightings")
+    answers.ask_recent(points.where(number % 50 < 15), seen, root, "2024-01-20")
+    answers.ask_recent(points.where(number % 50 < 30), seen, root, "2024-01-23")
+    return answers.ask_recent(points, seen, root, "2024-01-24")
+
+
 @query
 def user_lists(d: Domain) -> DataFrame:
     return community.user_lists(d.checklists, d.observations)
@@ -834,6 +874,24 @@ def stream_ingest(d: Domain) -> DataFrame:
                     F.coalesce("n_obs", F.lit(0)).alias("n_obs")))
 
 
+@query
+def settled_counts(d: Domain) -> DataFrame:
+    """Settled days of a stream: outings land in waves of ten days, some a wave or
+    two late, some again."""
+    root = scratch_path(d.spark, "settled")
+    k = F.substring(F.get_json_object("json", "$.subId"), 2, 20).try_cast("long")
+    day = F.dayofmonth(F.to_date(F.substring(F.get_json_object("json", "$.obsDt"), 1, 10)))
+    late = F.when(k % 11 == 0, 2).when(k % 7 == 0, 1).otherwise(0)
+    wave = F.floor((day - 1) / 10) + late
+    waves = F.when(k % 13 == 0, F.array(wave, wave + 1)).otherwise(F.array(wave))
+    docs = stored(_checklist_docs(d).select("json", F.explode(waves).alias("wave")), "docs")
+    for w in range(6):
+        docs.where(F.col("wave") == w).select("json").write.mode("append").text(f"{root}/landing")
+        ingest.settle(d.spark, f"{root}/landing", f"{root}/settled", f"{root}/checkpoint", "R1",
+                      files_per_trigger=100_000).awaitTermination()
+    return d.spark.read.schema("obs_date date, n bigint").parquet(f"{root}/settled")
+
+
 @query
 def ingest_rejects(d: Domain) -> DataFrame:
     """Documents cut short or without an outing land among whole ones, twice."""

@@ -232,6 +232,12 @@ BODIES: dict[str, str] = {
  LEFT JOIN coefs su ON su.species_code = b.species_code AND su.term = 'support_'||lpad(CAST(hour AS VARCHAR), 2, '0')
  LEFT JOIN coefs wk ON wk.species_code = b.species_code AND wk.term = 'week_'||lpad(CAST(dayofyear(day) // 7 AS VARCHAR), 2, '0')""",
     "score_grid": f"""SELECT species_code, loc_id, {day('day')}, hour, {r('probability')}, reason, has_site_effect FROM grid""",
+    "rolling_forecast": f"""SELECT species_code, loc_id, {day('day')}, hour, {r('probability')}, reason FROM rolled_grid""",
+    "rolling_slots": f"""SELECT b.clat, b.clon, {day('b.day')[:-len(' AS b.day')]} AS day, count(*) AS n_slots,
+ count(*) FILTER (a.clat IS NULL OR a.n_hours <> b.n_hours OR
+  [round(x, 9) FOR x IN [a.wind_max, a.temp_mean, a.precip_sum, a.cloud_mean]] IS DISTINCT FROM
+  [round(x, 9) FOR x IN [b.wind_max, b.temp_mean, b.precip_sum, b.cloud_mean]]) AS n_scored
+ FROM rolled_spans b LEFT JOIN spans a USING (clat, clon, day, hour) GROUP BY 1, 2, 3""",
     "drivers": _drivers(),
     "best_window": f"""SELECT species_code, loc_id, {day('day')}, hour, hour + 1 AS until_hour, {r('probability')} FROM best""",
     "best_hotspots": f"""SELECT species_code, {day('day')}, hour, rank, loc_id, {r('probability', 'lo', 'hi')}, n_scored,
@@ -336,6 +342,9 @@ BODIES: dict[str, str] = {
   CROSS JOIN (SELECT lat, lon, species_code, max(obs_date) AS last_seen, count(*) AS n FROM sightings
    WHERE obs_date BETWEEN DATE '2024-01-15' AND DATE '2024-01-29' GROUP BY 1, 2, 3) s) WHERE d <= 25
   GROUP BY 1, 2, 3) USING (blat, blon)""",
+    "shared_answers": """SELECT point_id, species_code, CAST(last_seen AS VARCHAR) AS last_seen, n_lists,
+ CAST(answered_on AS VARCHAR) AS answered_on FROM asked_places JOIN place_answers USING (blat, blon)
+ JOIN seen_around USING (blat, blon, answered_on)""",
     "user_lists": f"""SELECT observer, sub_id, loc_id, {day('obs_date')}, obs_time, {r('duration_hrs')}, coalesce(n, 0) AS n_species,
  row_number() OVER (PARTITION BY observer ORDER BY c.obs_date DESC, obs_time DESC NULLS LAST, sub_id) AS position
  FROM checklists c LEFT JOIN (SELECT sub_id, count(DISTINCT species_code) AS n FROM observations GROUP BY 1) USING (sub_id)""",
@@ -359,6 +368,9 @@ BODIES: dict[str, str] = {
   SELECT p_name||' '||p_brand, p_partkey FROM part WHERE p_type = 'SMALL') GROUP BY 1) f ON f.nm = n.nm
  LEFT JOIN (SELECT nm, min(k) AS taxon_id FROM (SELECT p_name AS nm, p_partkey AS k FROM part UNION ALL
   SELECT p_name||' '||p_brand, p_partkey FROM part WHERE p_type = 'SMALL') GROUP BY 1) b ON b.nm = n.bi""",
+    "settled_counts": """SELECT CAST(obs_date AS VARCHAR) AS obs_date, count(DISTINCT okey) AS n FROM filed f
+ LEFT JOIN marks m ON m.wave = f.wave - 1
+ WHERE (m.mark IS NULL OR obs_date > m.mark) AND obs_date < (SELECT max(mark) FROM marks) GROUP BY 1""",
     "ingest_rejects": """SELECT CASE okey % 20 WHEN 0 THEN '{"subId":"'||sub_id||'","loc' WHEN 1 THEN '{"locId":"'||sub_id||'"}'
  ELSE sub_id END AS document, okey % 20 > 1 AS stored FROM checklists""",
     "stream_ingest": f"""SELECT sub_id, loc_id, {day('obs_date')}, coalesce(n, 0) AS richness, coalesce(n, 0) AS n_obs FROM checklists

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from fieldcast import params as P
 from fieldcast.operators.dedup import keep_first
 from fieldcast.sources.documents import CHECKLIST_DOC, checklist_rows, observation_rows
-from fieldcast.sources.tables import CHECKLISTS, append_new, read_table
+from fieldcast.sources.tables import IDS, append, append_new, known_keys
 
 
 def document_stream(spark: SparkSession, landing: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -38,26 +38,29 @@ def rejects(batch: DataFrame) -> DataFrame:
 
 
 def ingest(spark: SparkSession, landing: str, store: str, checkpoint: str, region: str,
-           files_per_trigger: int = 1000) -> StreamingQuery:
+           files_per_trigger: int = 1000, ids: int = IDS) -> StreamingQuery:
     """Run all landed files into ``store``, then stop. Call again to resume.
 
     Overlapping days are read again freely: a stored outing is skipped with all
     its observations, however it was filed again. Broken documents go to
-    ``store/rejects``. A batch replayed after a failure therefore adds nothing twice, and
+    ``store/rejects``. Of the stored keys only the id ranges of a batch are read, once
+    per table (``sources/tables.py``). A batch replayed after a failure therefore adds nothing twice, and
     the stream's checkpoint makes a long backfill resumable per batch.
     """
     def sink(batch: DataFrame, _epoch: int) -> None:
-        known = read_table(spark, f"{store}/checklists", CHECKLISTS).select("sub_id")
-        docs = usable(batch).join(known, "sub_id", "left_anti").persist()
+        landed = usable(batch).persist()
+        known = known_keys(f"{store}/checklists", landed, ["sub_id"], ids)
+        docs = landed.join(known, "sub_id", "left_anti").persist()
         try:
-            append_new(rejects(batch), f"{store}/rejects", ["document", "file"])
+            append_new(rejects(batch), f"{store}/rejects", ["file", "document"])
             # observations first: a stored outing always has its observations
             append_new(observation_rows(docs), f"{store}/observations",
-                       ["sub_id", "species_code"])
-            append_new(checklist_rows(docs, region, F.col("landed")), f"{store}/checklists",
-                       ["sub_id"])
+                       ["sub_id", "species_code"], ids=ids)
+            # no document of these is stored, and there is one per outing
+            append(checklist_rows(docs, region, F.col("landed")), f"{store}/checklists", ["sub_id"], ids=ids)
         finally:
             docs.unpersist()
+            landed.unpersist()
 
     return (document_stream(spark, landing, files_per_trigger).writeStream
             .foreachBatch(sink).option("checkpointLocation", checkpoint)
@@ -68,10 +71,29 @@ def settled_stream(docs: DataFrame, region: str, lag_days: int = P.LAG_DAYS) ->
     """Outings per day as a stream, given out once the day has settled.
 
     The watermark trails the newest outing by ``lag_days``; a day's count
-    appears when the watermark passes it, and later filings are dropped. The
-    batch rule in ``settled_window`` never reads unsettled days instead.
+    appears when the watermark passes its end. An outing filed again counts once:
+    its id stays in the state store until the watermark has passed it by the lag,
+    and what is filed for a day the watermark has reached is dropped. Both states
+    are bounded by the lag, whatever the stream's age. The batch rule in
+    ``settled_window`` never reads unsettled days instead.
     """
-    rows = checklist_rows(docs, region).withColumn("obs_ts", F.col("obs_date").cast("timestamp"))
-    return (rows.withWatermark("obs_ts", f"{lag_days} days")
+    rows = checklist_rows(docs.where("raw is null and doc.subId is not null"), region).withColumn(
+        "obs_ts", F.col("obs_date").cast("timestamp"))
+    return (rows.select("sub_id", "obs_ts").withWatermark("obs_ts", f"{lag_days} days")
+            .dropDuplicatesWithinWatermark(["sub_id"])
             .groupBy(F.window("obs_ts", "1 day")).agg(F.count(F.lit(1)).alias("n"))
             .select(F.col("window.start").cast("date").alias("obs_date"), "n"))
+
+
+def settle(spark: SparkSession, landing: str, settled: str, checkpoint: str, region: str,
+           lag_days: int = P.LAG_DAYS, files_per_trigger: int = 1000) -> StreamingQuery:
+    """Take in what has landed, append the days that settled, then stop.
+
+    Called again after the next filing wave it goes on where it stopped: watermark
+    and open days come from the checkpoint. A replayed batch gives the same days,
+    and the file sink's log lets each of them appear once.
+    """
+    docs = document_stream(spark, landing, files_per_trigger)
+    return (settled_stream(docs, region, lag_days).writeStream.format("parquet").outputMode("append")
+            .option("path", settled).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())

@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldcast import params as P
-from fieldcast.operators import (best, coefficients, labels, outings, photos, scoring, spatial, stores,
-                                 weather)
+from fieldcast.operators import (answers, best, coefficients, labels, outings, photos, rolling, scoring,
+                                 spatial, stores, weather)
 from fieldcast.operators.dedup import keep_first, new_rows, salted_join
 from fieldcast.session import scratch_path
 from fieldcast.sources import documents, tables
@@ -169,7 +169,7 @@ def test_append_twice_is_append_once(spark):
     a = spark.createDataFrame([("a", 1), ("b", 2), ("b", 2)], "k string, v int")
     for batch in (a, a, spark.createDataFrame([("b", 9), ("c", 3)], "k string, v int")):
         tables.append_new(batch, path, ["k"])
-    assert rows(spark.read.parquet(path), "k") == [("a", 1), ("b", 2), ("c", 3)]
+    assert rows(tables.read_table(spark, path, a.schema), "k") == [("a", 1), ("b", 2), ("c", 3)]
 
 
 def test_merge_by_name_and_key(spark):
@@ -201,7 +201,7 @@ def test_sites_are_inserted_once(spark):
     assert rows(stores.insert_sites(found.where("loc_id = 'A'"), path)) == [("locations", 1, 1, 0)]
     assert rows(stores.insert_sites(found, path)) == [("locations", 2, 1, 1)]
     assert rows(stores.insert_sites(found, path)) == [("locations", 2, 0, 2)]
-    assert rows(spark.read.parquet(path), "loc_id") == rows(found, "loc_id")
+    assert rows(tables.read_table(spark, path, tables.LOCATIONS), "loc_id") == rows(found, "loc_id")
 
 
 def test_hot_key_keeps_one_row_per_task_before_the_shuffle(spark):
@@ -494,6 +494,89 @@ def test_nearest_sites_equals_brute_force(spark):
         assert got == want
 
 
+def test_a_lone_place_meets_the_edge_of_a_town(spark):
+    rng = random.Random(8)
+    town = [(f"H{i:05d}", 40.5 + rng.random() / 100, -80.0 + rng.random() / 100) for i in range(20000)]
+    s = spark.createDataFrame(town, "loc_id string, latitude double, longitude double")
+    lone = spark.createDataFrame([(40.45, -80.0), (40.3, -80.0)], "lat double, lon double")
+    met = spatial.candidates(lone, s, 3, 25.0).groupBy("lat").count().collect()
+    assert len(met) == 2 and all(3 <= r["count"] < 500 for r in met)
+    # a spot that many sites share counts as k of them
+    one = spark.createDataFrame([(f"S{i}", 40.0, -80.0) for i in range(500)],
+                                "loc_id string, latitude double, longitude double")
+    got = spatial.nearest_sites(lone.withColumn("point_id", F.col("lat").cast("string")), one, 2, 80.0)
+    assert sorted(r["loc_id"] for r in got.collect()) == ["S0", "S0", "S1", "S1"]
+
+
+def test_appends_read_only_touched_ranges(spark):
+    path = scratch_path(spark, "ranges")
+    made = lambda ids, day: spark.createDataFrame(
+        [(f"S{i}", D(2024, 1, day)) for i in ids], "sub_id string, obs_date date")
+    for batch in (made(range(100), 1), made(range(100, 200), 2)):
+        tables.append_new(batch, path, ["sub_id"], ["obs_date"], ids=50)
+    # an outing of the first day is filed again under another date, with two new ones
+    again = made([7, 210, 211], 9)
+    known = tables.known_keys(path, again, ["sub_id"], ids=50)
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    filters = plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert "key_range" in filters and known.count() == 50
+    tables.append_new(again, path, ["sub_id"], ["obs_date"], ids=50)
+    got = spark.read.parquet(path)
+    assert got.count() == 202 and got.where("sub_id = 'S7'").first()["obs_date"] == D(2024, 1, 1)
+    # ids without a number have ranges of their own, below zero
+    odd = spark.createDataFrame([("x",), ("S9",), ("S99999999999999999999999",)], "k string")
+    assert [r[0] < 0 for r in odd.select(tables.key_range(F.col("k"))).collect()] == [True, False, True]
+
+
+def test_answers_are_shared_until_they_expire(spark):
+    seen = spark.createDataFrame(
+        [("s1", "a", 40.0, -80.0, D(2024, 1, 18)), ("s2", "b", 40.02, -80.0, D(2024, 1, 22)),
+         ("s3", "a", 10.0, 10.0, D(2024, 1, 22))],
+        "sub_id string, species_code string, lat double, lon double, obs_date date")
+    points = spark.createDataFrame([("p", 40.01, -80.01), ("q", 39.99, -80.04), ("far", -10.0, 0.0),
+                                    ("none", None, 0.0)], "point_id string, lat double, lon double")
+    root = scratch_path(spark, "answers")
+    ask = lambda who, day: {(r["point_id"], r["species_code"]): str(r["answered_on"]) for r in
+                            answers.ask_recent(points.where(who), seen, root, day).collect()}
+    assert ask("point_id = 'p'", "2024-01-20") == {("p", "a"): "2024-01-20"}
+    # q rounds to the same place and shares the answer, also what it does not know yet
+    assert ask("true", "2024-01-23") == {("p", "a"): "2024-01-20", ("q", "a"): "2024-01-20"}
+    headers = spark.read.parquet(f"{root}/headers")
+    assert headers.count() == 2  # the place where nothing was seen is answered too
+    late = {(p, s): "2024-01-24" for p in "pq" for s in "ab"}
+    assert ask("true", "2024-01-24") == late
+    assert ask("true", "2024-01-24") == late and spark.read.parquet(f"{root}/headers").count() == 3
+
+
+def test_rolling_grid_equals_a_recompute(spark):
+    coefs = spark.createDataFrame(
+        [(s, t, v) for s in ("a", "b") for t, v in [
+            ("intercept", -0.4), ("log_dur", .75), ("wind_max", -.02), ("temp_mean", .01), ("hour_08", .3),
+            ("support_08", 60.0), ("support_09", 70.0), ("week_00", .1), ("site_H1", .2), ("site_PERSONAL", 0.0)]],
+        "species_code string, term string, value double")
+    sites = spark.createDataFrame([("H1", 1), ("H2", 1), ("H3", 2), ("H4", 3)], "loc_id string, area int")
+    def snapshot(rows):
+        return spark.createDataFrame([(a, D(2024, 1, d), h, w, 9.0, 0.0, None if w is None else 50.0, int(w is not None))
+                                      for a, d, h, w in rows],
+                                     "area int, day date, hour int, wind_max double, temp_mean double, "
+                                     "precip_sum double, cloud_mean double, n_hours bigint")
+    first = snapshot([(1, 1, 8, 5.0), (1, 1, 9, 6.0), (1, 2, 8, None), (1, 2, 9, 7.0), (2, 1, 8, 5.0)])
+    # a day goes, one comes, an hour changes, an hour vanishes, one area loses and one gains its forecast
+    second = snapshot([(1, 2, 8, None), (1, 2, 9, 8.0), (1, 3, 8, 1.0), (3, 3, 8, 2.0), (3, 3, 9, 2.0)])
+    third = snapshot([(1, 2, 9, 8.0), (1, 3, 8, 1.0), (3, 3, 8, 2.0), (3, 3, 9, 3.0)])
+    root, before, cost = rolling.new_store(spark), None, []
+    for v, snap in enumerate((first, second, third), 1):
+        took = rolling.roll(root, v, coefs, before, snap, sites, ["area"])
+        cost.append({(r["area"], r["day"].day): (r["n_slots"], r["n_scored"]) for r in took.collect()})
+        names = ["species_code", "loc_id", "area", "day", "hour", "reason", "probability", "has_site_effect"]
+        got = rolling.current(spark, root, v, ["area"]).select(*names)
+        want = rolling.recomputed(coefs, snap, sites, ["area"]).select(*names)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        before = snap
+    assert cost[1] == {(1, 2): (2, 1), (1, 3): (1, 1), (3, 3): (2, 2)}
+    assert cost[2] == {(1, 2): (1, 0), (1, 3): (1, 0), (3, 3): (2, 1)}
+
+
 def test_photos(spark):
     schema = ("taxon_id int, photo_id int, url string, licence string, attribution string, "
               "is_curated boolean, position int, quality_grade string, votes double, month int, "

@@ -56,6 +56,22 @@ def test_settled_days_come_out_once_the_watermark_passes(spark):
     assert got == {"2024-01-01": 2, "2024-01-02": 1}
 
 
+def test_settled_days_over_several_waves(spark):
+    root = scratch_path(spark, "w")
+    waves = [[doc(1, 1), doc(2, 1), doc(3, 9)],           # watermark: the 2nd
+             [doc(2, 1), doc(4, 2), doc(5, 3), doc(3, 9)],  # too late, too late, in time, again
+             ["{broken", doc(6, 20)],                        # the 13th
+             [doc(7, 9), doc(8, 13), doc(9, 14)]]            # settled, reached, in time
+    seen = []
+    for wave in waves:
+        land(spark, f"{root}/in", wave)
+        ingest.settle(spark, f"{root}/in", f"{root}/out", f"{root}/cp", "R").awaitTermination()
+        out = spark.read.schema("obs_date date, n bigint").parquet(f"{root}/out").collect()
+        seen.append({r["obs_date"].day: r["n"] for r in out})
+        assert len(seen[-1]) == len(out)
+    assert seen == [{1: 2}, {1: 2}, {1: 2, 3: 1, 9: 1}, {1: 2, 3: 1, 9: 1}]
+
+
 def test_refiled_and_broken_documents(spark, tmp_path):
     root = str(tmp_path)
     os.makedirs(f"{root}/in")
