@@ -1,41 +1,43 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 Counts of words and of word pairs are quantised to levels that grow by about a
-fifth; an n-gram of level q is put into one Bloom filter as (n-gram, 1) to
+fifth; an n-gram of level q is put into a Bloom filter as (n-gram, 1) to
 (n-gram, q). A count is found by probing level after level until one is missing,
-so errors only ever raise a count. The filter has at least twelve bits per
-insert at every size of the corpus. It is a written table of shards by key, of
-at most 2**25 bits each however large it gets, and is never in one place: the
-distinct n-grams of about a mebibyte of text go to their shards, and a byte with
-the level of each comes back.
+so errors only ever raise a count. The filter consists of parts by the top bits
+of the key, each with twelve bits per insert of its own, at every size of the
+corpus. If all parts together take at most ``bound`` bytes, which is measured,
+they are broadcast and probed where the text is. Beyond, the distinct n-grams of
+each block of texts are sent to their parts and levels come back; both ways give
+the same levels.
 
 The model is a bigram with absolute discounting: ``(c(v,w) - D) / c(v)`` of the
 pair plus the mass that the kept pairs of ``v`` leave over times the word's own
-smoothed probability. Pairs of all words are counted, and kept from a count of
-two.
-
-``base_score`` is exact: words that make up at least one in 2**20 tokens (so
-2**20 of them at most) are looked up in a broadcast table, all others join the
-table of all counts.
-
-Words are told apart by 64-bit hashes, keys of the filter by 48 bits. Null and
-empty texts have the end token only. A null doc_id counts as training. One row per input row; an
-empty table gives none, and a table without training rows has N = V = 0 and
-uniform scores.
+smoothed probability. Pairs of all words are counted and kept, also those met
+once, unless the caller asks for ``least`` occurrences.
+
+Words and pairs are counted by share of their hashes, in as many shares as the
+text asks for; a task sums what it holds and passes it on as one compressed value
+per share. The task that sums a share also builds its part of the filter, so
+counts of pairs are written nowhere. Words that make up at least one in 2**20
+tokens (so 2**20 of them at most) are looked up in a broadcast table; the exact
+counts of all others lie beside their part of the filter and are asked for
+together with it. ``base_score`` is exact.
+
+Words are told apart by 64-bit hashes, pairs and keys of the filter by 48 bits.
+Null and empty texts have the end token only. A null doc_id counts as training.
+One row per input row; an empty table gives none, and a table without training
+rows has N = V = 0 and uniform scores.
 """
 
 from __future__ import annotations
 
-import gc
 import math
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import groupby, pairwise
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,13 +46,21 @@ from fieldcast.llm._ship import shipped
 from fieldcast.session import stored
 
 HEAVY_BITS = 20
-DISCOUNT = 0.8
+DISCOUNT, LEAST = 0.8, 1
+#: bytes of a filter that is broadcast
+BOUND = 64 << 20
+#: bits of the filter per insert
+ROOM = 12
 END = U64(0x51AB7E0F0D3C2B19)
 _WORD = U64(0x1357)
 #: a key of the filter has 48 bits at the top; the lowest marks what a word leaves over
 _TOP, _CONTEXT = U64(0xFFFFFFFFFFFF0000), U64(1)
 #: distinct keys a task holds before it passes them on
 HELD = 1 << 21
+#: distinct keys a task merges at once, about forty bytes each
+SHARE_BITS = 20
+#: bytes of text whose questions are asked together
+BLOCK = 16 << 20
 
 
 def _levels() -> np.ndarray:
@@ -79,441 +89,506 @@ def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(words, rows[1:], END), rows + np.arange(len(rows))
 
 
-def _tally(docs: DataFrame, keys: Callable[[pa.Array], np.ndarray], name: str) -> DataFrame:
-    """How often each key occurs: summed within tasks, then over all."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            k, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
-            return k, np.bincount(at, np.concatenate([c for _, c in held])).astype(np.int64)
-
-        def batch(k: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for i in range(0, len(k), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(k[i:i + (1 << 16)].view(np.int64)),
-                                                  pa.array(c[i:i + (1 << 16)])], names=[name, "c"])
-
-        for part in text_chunks(batches):
-            held.append(np.unique(keys(part.column("text")), return_counts=True))
-            if sum(len(k) for k, _ in held) > HELD:
-                held = [merged()]
-                if len(held[0][0]) > HELD // 2:
-                    yield from batch(*held[0])
-                    held = []
-        if held:
-            yield from batch(*merged())
-
-    return (docs.select("text").mapInArrow(count, f"{name} bigint, c bigint")
-            .groupBy(name).agg(F.sum("c").alias("c")))
-
-
-class Table:
-    """Sorted hashes with a value each."""
-
-    def __init__(self, hashes: np.ndarray, values: np.ndarray):
-        order = np.argsort(hashes)
-        self.keys, self.values = hashes[order], values[order]
-
-    def get(self, h: np.ndarray, missing: int) -> np.ndarray:
-        if not len(self.keys):
-            return np.full(len(h), missing, np.int64)
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return np.where(self.keys[at] == h, self.values[at], missing)
-
-
-def pair_hashes(own: np.ndarray, back: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def pair_keys(flat: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the pairs of neighbouring tokens of one row, and the place of
     each pair's second token."""
-    ok = np.ones(max(len(back) - 1, 0), bool)
+    ok = np.ones(max(len(flat) - 1, 0), bool)
     ok[rows[1:-1] - 1] = False
     where = np.flatnonzero(ok) + 1
-    return mix(own[back[where - 1]] * U64(3) + own[back[where]]) & _TOP, where
+    return mix(flat[where - 1] * U64(3) + flat[where]) & _TOP, where
 
 
 def word_keys(h: np.ndarray) -> np.ndarray:
     return mix(h ^ _WORD) & _TOP
 
 
+# -- numbers as compressed values ---------------------------------------------
 def packed(x: np.ndarray) -> bytes:
-    """The upper 48 bits of each number, byte by byte: what is small compresses."""
-    return x.view(np.uint8).reshape(-1, 8)[:, 2:].T.tobytes()
+    """Numbers byte by byte, so that what is alike stands together, compressed."""
+    raw = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+    return len(x).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def unpacked(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, 2:] = np.frombuffer(data, np.uint8).reshape(6, -1).T
-    return out.view(U64).ravel()
+def unpacked(data: bytes, kind) -> np.ndarray:
+    n, size = int.from_bytes(data[:4], "little"), np.dtype(kind).itemsize
+    if not n:
+        return np.empty(0, kind)
+    raw = pa.decompress(data[4:], decompressed_size=n * size, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).view(kind).ravel()
 
 
-#: pairs that a task merges at once, about forty bytes each
-SHARE_BITS = 20
+def gaps(x: np.ndarray) -> bytes:
+    """Rising numbers."""
+    return packed(np.diff(x, prepend=U64(0)))
 
 
-def _pairs(docs: DataFrame, n: int) -> DataFrame:
-    """``pair, v, c``: pairs met twice or more with their first word's key.
+def rising(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data, U64), dtype=U64)
 
-    Tasks sum what they hold and pass it on in blocks by the high bits of the
-    pair; there are as many shares of pairs as ``n`` tokens ask for.
-    """
-    shares = max(6, math.ceil(math.log2(n + 1)) - SHARE_BITS)
 
-    def block(k: np.ndarray, v: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-        share = k >> U64(64 - shares)
-        c = c.astype(np.uint32)  # keys are in order, and so are their shares
-        at = np.append(np.flatnonzero(np.diff(share, prepend=U64(1 << 63))), len(k))
-        cut = lambda x, f: pa.array([f(x[i:j]) for i, j in pairwise(at.tolist())], pa.binary())
-        gaps = lambda x: packed(np.diff(x, prepend=U64(0)))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(share[at[:-1]].astype(np.int32)), cut(k, gaps), cut(v, packed),
-             cut(c, np.ndarray.tobytes)],
-            names=["share", "pair", "v", "c"])
+def _cuts(share: np.ndarray) -> np.ndarray:
+    """Where the runs of equal shares start, and the end."""
+    return np.append(np.flatnonzero(np.diff(share, prepend=-1)), len(share))
 
-    def merged(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-        k, v, c = (np.concatenate(x) for x in zip(*held))
-        k, first, at = np.unique(k, return_index=True, return_inverse=True)
-        return k, v[first], np.bincount(at, c).astype(np.int64)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        for part in text_chunks(batches):
-            flat, rows = tokens(part.column("text"))
-            k, where = pair_hashes(flat, np.arange(len(flat)), rows)
-            k, first, c = np.unique(k, return_index=True, return_counts=True)
-            held.append((k, word_keys(flat[where[first] - 1]), c))
-            if sum(len(x[0]) for x in held) > HELD:
-                held = [merged(held)]
-                if len(held[0][0]) > HELD // 2:
-                    yield block(*held[0])
-                    held = []
-        if held and len((last := merged(held))[0]):
-            yield block(*last)
-
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        for b in batches:
-            for k, v, c in zip(*(b.column(x).to_pylist() for x in ("pair", "v", "c"))):
-                held.append((np.cumsum(unpacked(k), dtype=U64), unpacked(v), np.frombuffer(c, np.uint32)))
-        if not held:
-            return
-        k, v, c = merged(held)
-        k, v, c = k[c > 1], v[c > 1], c[c > 1]
-        for i in range(0, len(k), 1 << 16):
-            part = slice(i, i + (1 << 16))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(k[part].view(np.int64)), pa.array(v[part].view(np.int64)), pa.array(c[part])],
-                names=["pair", "v", "c"])
-
-    return stored(docs.select("text").mapInArrow(count, "share int, pair binary, v binary, c binary")
-                  .repartitionById(1 << shares, F.col("share"))
-                  .mapInArrow(total, "pair bigint, v bigint, c bigint"), "pair-counts")
-
-
-def shard_bits(size: int) -> int:
-    return max(6, size.bit_length() - 1 - 25)
 
+# -- the filter ---------------------------------------------------------------
+class Part:
+    """One part of the log-frequency Bloom filter: two bits per (key, level)."""
 
-class Filter:
-    """The log-frequency Bloom filter, or the part of it from bit ``start`` on."""
-
-    def __init__(self, bits: np.ndarray, size: int, start: int = 0):
-        self.bits, self.size, self.start = bits, size, start
+    def __init__(self, bits: np.ndarray):
+        self.bits, self.size = bits, U64(8 * len(bits))
 
     @staticmethod
-    def places(keys: np.ndarray, at_level: np.ndarray | int, size: int) -> tuple[np.ndarray, ...]:
-        """Two bits in the key's shard-ordered range: the high bits of the key
-        choose the place's, so that a shard's n-grams share a part of the filter."""
-        h = mix(keys + U64(0x9E3779B97F4A7C15) * np.asarray(at_level).astype(U64))
-        part = U64(size >> shard_bits(size))
-        base = (keys >> U64(64 - shard_bits(size))) * part
-        return base + (h & U64(0xFFFFFFFF)) % part, base + (h >> U64(32)) % part
-
-    def has(self, keys: np.ndarray, at_level: int) -> np.ndarray:
-        a, b = (p - U64(self.start) for p in self.places(keys, at_level, self.size))
-        look = lambda p: (self.bits[p >> U64(3)] >> (p & U64(7)).astype(np.uint8)) & 1
-        return (look(a) & look(b)).astype(bool)
+    def _places(keys: np.ndarray, at_level: int, size: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        h = mix(keys + U64(0x9E3779B97F4A7C15 * at_level & (1 << 64) - 1))
+        return (h & U64(0xFFFFFFFF)) % size, (h >> U64(32)) % size
+
+    @classmethod
+    def of(cls, keys: np.ndarray, counts: np.ndarray) -> Part:
+        q = level(counts)
+        size = U64(max(64, -(-ROOM * int(q.sum()) // 64) * 64))
+        bits = np.zeros(int(size), bool)
+        for k in range(1, int(q.max(initial=0)) + 1):
+            keys, q = keys[q >= k], q[q >= k]
+            for p in cls._places(keys, k, size):
+                bits[p.astype(np.int64)] = True
+        return cls(np.packbits(bits, bitorder="little"))
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The level of each key: probed until one is missing."""
         found = np.zeros(len(keys), np.uint8)
         live = np.arange(len(keys))
+        look = lambda p: (self.bits[p >> U64(3)] >> (p & U64(7)).astype(np.uint8)) & 1
         for q in range(1, len(LEVELS) + 1):
-            live = live[self.has(keys[live], q)]
+            a, b = self._places(keys[live], q, self.size)
+            live = live[(look(a) & look(b)).astype(bool)]
             if not len(live):
                 break
             found[live] = q
         return found
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """The count each key stands for."""
-        return MEANS[self.levels(keys)]
-
-
-def filter_shards(entries: DataFrame, size: int) -> DataFrame:
-    """``shard, bits`` from ``key, c``: every shard is filled by one task, which
-    only holds its bits. A shard without n-grams has no row."""
-    part, high = size >> shard_bits(size), shard_bits(size)
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(part, bool)
-        some = False
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            some = True
-            keys = batch.column("key").to_numpy().view(U64)
-            q = level(batch.column("c").to_numpy())
-            for k in range(1, int(q.max()) + 1):
-                keys, q = keys[q >= k], q[q >= k]
-                for p in Filter.places(keys, k, size):
-                    bits[(p % U64(part)).astype(np.int64)] = True
-        if some:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([TaskContext.get().partitionId()], pa.int32()),
-                 pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())],
-                names=["shard", "bits"])
 
-    shard = F.shiftrightunsigned("key", 64 - high).cast("int")
-    return entries.repartitionById(1 << high, shard).mapInArrow(fill, "shard int, bits binary")
+class Parts:
+    """All parts of one kind, by the top ``bits`` bits of what they are looked up by."""
 
+    def __init__(self, bits: int, parts: dict[int, bytes]):
+        self.bits = bits
+        self.parts = {s: Part(np.frombuffer(b, np.uint8)) for s, b in parts.items()}
 
-def build_filter(entries: DataFrame, size: int) -> Filter:
-    """The shards of a small filter side by side."""
-    part = size >> shard_bits(size)
-    rows = filter_shards(entries, size).toArrow()
-    out = np.zeros(size // 8, np.uint8)
-    for s, b in zip(rows["shard"].to_pylist(), rows["bits"].to_pylist()):
-        out[s * part // 8:(s + 1) * part // 8] = np.frombuffer(b, np.uint8)
-    return Filter(out, size)
+    def levels(self, by: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Levels of ``keys``, whose parts follow from the rising ``by``."""
+        out = np.zeros(len(keys), np.uint8)
+        share = (by >> U64(64 - self.bits)).astype(np.int64)
+        for a, b in pairwise(_cuts(share).tolist()):
+            if share[a] in self.parts:
+                out[a:b] = self.parts[share[a]].levels(keys[a:b])
+        return out
 
 
-def _mixed(df: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
-    """``key, c`` with the filter's key of each row."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(keys(b).view(np.int64)), b.column("c")],
-                                             names=["key", "c"])
+# -- counting -----------------------------------------------------------------
+class Table:
+    """Sorted hashes with a value each."""
 
-    return df.mapInArrow(run, "key bigint, c bigint")
+    def __init__(self, hashes: np.ndarray, values: np.ndarray):
+        order = np.argsort(hashes)
+        self.keys, self.values = hashes[order], values[order]
 
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each hash, and whether it is there."""
+        if not len(self.keys):
+            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        return at, self.keys[at] == h
 
-class Shards(NamedTuple):
-    """A filter as a written table ``shard, bits``."""
+    def get(self, h: np.ndarray) -> np.ndarray:
+        """The value of each hash, 0 if it is not there."""
+        at, there = self.find(h)
+        return np.where(there, self.values[at], 0) if len(self.keys) else np.zeros(len(h), np.int64)
 
-    table: DataFrame
-    size: int
 
+def _merged(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Keys in order, what goes with each, and the sums of counts, which come last."""
+    keys, *more, counts = (np.concatenate(x) for x in zip(*held))
+    keys, first, at = np.unique(keys, return_index=True, return_inverse=True)
+    return keys, *(m[first] for m in more), np.bincount(at, counts).astype(np.int64)
 
-class Model(NamedTuple):
-    filter: Shards
-    heavy: Table
-    n: int
-    v: int
-    heavy_from: int
-    discount: float
+
+def _small(c: np.ndarray) -> list[bytes]:
+    """Counts in a byte each; those of 255 and more follow."""
+    return [packed(np.minimum(c, 255).astype(np.uint8)), packed(c[c >= 255])]
 
 
-def _released(df: DataFrame) -> DataFrame:
-    """``df``, a written table; shuffle files behind it go once the JVM notices
-    that nothing refers to them."""
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
-    return df
+def _counts(small: bytes, large: bytes) -> np.ndarray:
+    out = unpacked(small, np.uint8).astype(np.int64)
+    out[out == 255] = unpacked(large, np.int64)
+    return out
 
 
-def _per_level(df: DataFrame) -> dict[int, int]:
-    """How many rows have a count of each level."""
+def _word_shares(docs: DataFrame, bits: int) -> DataFrame:
+    """share, h, c: all words with their counts, a row per share."""
+    def block(h: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+        share = (h >> U64(64 - bits)).astype(np.int64)
+        at = list(pairwise(_cuts(share).tolist()))
+        cs = [_small(c[a:b]) for a, b in at]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([share[a] for a, _ in at], pa.int32()), pa.array([gaps(h[a:b]) for a, b in at], pa.binary()),
+             pa.array([x for x, _ in cs], pa.binary()), pa.array([x for _, x in cs], pa.binary())],
+            names=["share", "h", "c", "more"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        for part in text_chunks(batches):
+            held.append(np.unique(tokens(part.column("text"))[0], return_counts=True))
+            if sum(len(x[0]) for x in held) > HELD:
+                held = [_merged(held)]
+                if len(held[0][0]) > HELD // 2:
+                    yield block(*held[0])
+                    held = []
+        if held:
+            yield block(*_merged(held))
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(rising(h), _counts(c, more)) for b in batches for h, c, more in zip(
+            *(b.column(x).to_pylist() for x in ("h", "c", "more")))]
+        if held:
+            yield block(*_merged(held))
+
+    kind = "share int, h binary, c binary, more binary"
+    return stored(docs.select("text").mapInArrow(count, kind)
+                  .repartitionById(1 << bits, F.col("share")).mapInArrow(total, kind), "word-counts")
+
+
+def _heavy(shares: DataFrame, least: int) -> Table:
+    """The words of ``least`` occurrences or more; the caller bounds their number."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            q, k = np.unique(level(b.column("c").to_numpy()), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(k)], names=["q", "k"])
-
-    rows = df.select("c").mapInArrow(run, "q bigint, k bigint").groupBy("q").agg(F.sum("k").alias("k"))
-    return {r["q"]: r["k"] for r in rows.collect()}
-
-
-def train(docs: DataFrame, max_bits: int | None = None,
-          discount: float = DISCOUNT) -> tuple[Model, DataFrame]:
-    """The model of the rows of ``docs``, and the exact counts ``h, c`` of all words.
-
-    Only a caller that asks for a filter of at most ``max_bits`` bits gets a
-    model without the n-grams below the least count for which it has eight bits
-    per insert.
-    """
-    counts = stored(_tally(docs, lambda col: tokens(col)[0], "h"), "word-counts")
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    heavy_from = max(1, -(-n >> HEAVY_BITS))
-    rows = counts.where(F.col("c") >= heavy_from).toArrow()  # 2**20 at most
-    heavy = Table(rows["h"].to_numpy().view(U64), rows["c"].to_numpy())
-    pairs = _released(_pairs(docs, n))
-    # what is left over for words beyond the kept pairs
-    kept = pairs.groupBy(F.col("v").alias("key")).agg(F.sum(F.col("c") - discount).alias("s"))
-    keyed = stored(_mixed(counts, lambda b: word_keys(b.column("h").to_numpy().view(U64))), "word-keys")
-    rest = stored(keyed.join(kept, "key", "left").select("key", F.greatest(
-        F.rint(F.col("c") - F.coalesce("s", F.lit(0.0))), F.lit(1.0)).cast("long").alias("c")), "rests")
-    per = Counter(_per_level(counts)) + Counter(_per_level(pairs))
-    inserts = sum(k * x for k, x in (per + Counter(_per_level(rest))).items())
-    size = max(1 << 16, 1 << math.ceil(math.log2(12 * inserts + 1)))
-    least = 1
-    if max_bits and size > max_bits:
-        size = max_bits
-        for k in sorted(per):  # drop the rarest until eight bits are left per insert
-            if inserts * 8 <= size:
-                break
-            inserts -= k * per[k]
-            least = int(LEVELS[k])
-    entries = (keyed.where(F.col("c") >= least)
-               .unionByName(rest.select(F.col("key").bitwiseOR(F.lit(int(_CONTEXT))).alias("key"), "c"))
-               .unionByName(pairs.where(F.col("c") >= least).select(F.col("pair").alias("key"), "c")))
-    table = _released(stored(filter_shards(entries, size), "filter"))
-    return Model(Shards(table, size), heavy, int(n), int(v), heavy_from, discount), counts
-
-
-def _encoded(docs: DataFrame) -> DataFrame:
-    """A row per chunk of texts: its rows' ids and starts, its distinct words
-    and the place of each token's word among them."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = TaskContext.get().partitionId() << 33
-        for i, part in enumerate(text_chunks(batches)):
+            for h, c, more in zip(*(b.column(x).to_pylist() for x in ("h", "c", "more"))):
+                keys, counts = rising(h), _counts(c, more)
+                top = counts >= least
+                yield pa.RecordBatch.from_arrays([pa.array(keys[top].view(np.int64)), pa.array(counts[top])],
+                                                 names=["h", "c"])
+
+    rows = shares.mapInArrow(run, "h bigint, c bigint").toArrow()
+    return Table(rows["h"].to_numpy().view(U64), rows["c"].to_numpy())
+
+
+def _pair_parts(docs: DataFrame, bits: int, word_bits: int, sent, least: int) -> DataFrame:
+    """kind 0: the filter's part of each share of pairs; kind 1: by share of words, how
+    many kept pairs a first word has in it, and their counts' sum."""
+    def block(k: np.ndarray, v: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+        share = (k >> U64(64 - bits)).astype(np.int64)
+        cols: list[list] = [[], [], [], [], [], []]
+        for a, b in pairwise(_cuts(share).tolist()):
+            # a frequent first word goes by its number in the table of such words
+            at, there = sent.value.find(v[a:b])
+            row = [int(share[a]), gaps(k[a:b]), packed(np.where(there, at + 1, 0).astype(np.uint32)),
+                   packed(v[a:b][~there]), *_small(c[a:b])]
+            for x, y in zip(cols, row):
+                x.append(y)
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(x, pa.binary()) for x in cols[1:])],
+                                          names=["share", "pair", "known", "v", "c", "more"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        for part in text_chunks(batches):
             flat, rows = tokens(part.column("text"))
-            own, back = np.unique(flat, return_inverse=True)
-            back = back.astype(np.uint16 if len(own) <= 1 << 16 else np.uint32)
-            ids = part.column("doc_id")
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([first + i]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
-                 pa.array([rows.astype(np.int64).tobytes()], pa.binary()),
-                 pa.array([own.tobytes()], pa.binary()), pa.array([back.tobytes()], pa.binary())],
-                names=["chunk", "ids", "rows", "own", "back"])
+            k, where = pair_keys(flat, rows)
+            k, first, c = np.unique(k, return_index=True, return_counts=True)
+            held.append((k, flat[where[first] - 1], c))
+            if sum(len(x[0]) for x in held) > HELD:
+                held = [_merged(held)]
+                if len(held[0][0]) > HELD // 2:
+                    yield block(*held[0])
+                    held = []
+        if held and len((last := _merged(held))[0]):
+            yield block(*last)
 
-    return stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "chunk bigint, ids array<bigint>, rows binary, own binary, back binary"), "encoded")
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, share = [], -1
+        for b in batches:
+            for s, k, known, v, c, more in zip(*(b.column(x).to_pylist() for x in b.schema.names)):
+                share, at = s, unpacked(known, np.uint32).astype(np.int64)
+                first = np.empty(len(at), U64)
+                first[at > 0] = sent.value.keys[at[at > 0] - 1]
+                first[at == 0] = unpacked(v, U64)
+                held.append((rising(k), first, _counts(c, more)))
+        if not held:
+            return
+        k, v, c = _merged(held)
+        k, v, c = k[c >= least], v[c >= least], c[c >= least]
+        v, at, n = np.unique(v, return_inverse=True, return_counts=True)
+        total = np.bincount(at, c, len(v)).astype(np.int64)
+        of = (v >> U64(64 - word_bits)).astype(np.int64)
+        cuts = list(pairwise(_cuts(of).tolist()))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([0, *[1] * len(cuts)], pa.int32()),
+             pa.array([share, *(int(of[a]) for a, _ in cuts)], pa.int32()),
+             pa.array([Part.of(k, c).bits.tobytes(), *(gaps(v[a:b]) for a, b in cuts)], pa.binary()),
+             pa.array([b"", *(packed(n[a:b]) for a, b in cuts)], pa.binary()),
+             pa.array([b"", *(packed(total[a:b]) for a, b in cuts)], pa.binary())],
+            names=["kind", "share", "data", "n", "total"])
+
+    return stored(docs.select("text").mapInArrow(
+        count, "share int, pair binary, known binary, v binary, c binary, more binary")
+        .repartitionById(1 << bits, F.col("share")).mapInArrow(
+            total, "kind int, share int, data binary, n binary, total binary"), "pair-parts")
+
+
+def _word_parts(shares: DataFrame, sums: DataFrame, bits: int, discount: float) -> DataFrame:
+    """share, data, h, c, more: the filter's part of each share of words, for what they
+    count and for what their kept pairs leave over, and their exact counts."""
+    none = F.lit(None).cast("binary")
+    rows = (shares.select("share", F.lit(0).alias("turn"), "h", "c", "more", none.alias("n"), none.alias("total"))
+            .unionByName(sums.select("share", F.lit(1).alias("turn"), F.col("data").alias("h"), none.alias("c"),
+                                     none.alias("more"), "n", "total")))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, held = None, []
+        for b in batches:
+            for share, turn, h, c, more, n, total in zip(*(b.column(x).to_pylist() for x in b.schema.names)):
+                if turn == 0:
+                    own = (share, h, c, more)
+                else:
+                    held.append((rising(h), unpacked(total, np.int64) - discount * unpacked(n, np.int64)))
+        if own is None:
+            return
+        keys, counts = rising(own[1]), _counts(*own[2:])
+        taken = np.zeros(len(keys))
+        for v, s in held:
+            taken[np.searchsorted(keys, v)] += s
+        rest = np.maximum(np.rint(counts - taken), 1).astype(np.int64)
+        k = word_keys(keys)
+        part = Part.of(np.concatenate([k, k | _CONTEXT]), np.concatenate([counts, rest]))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([own[0]], pa.int32()), pa.array([part.bits.tobytes()], pa.binary()),
+             *(pa.array([x], pa.binary()) for x in own[1:])], names=["share", "data", "h", "c", "more"])
 
+    return stored(rows.repartitionById(1 << bits, F.col("share")).sortWithinPartitions("share", "turn")
+                  .mapInArrow(build, "share int, data binary, h binary, c binary, more binary"), "word-parts")
 
-def _decoded(rows: bytes, own: bytes, back: bytes) -> tuple[np.ndarray, ...]:
-    words = np.frombuffer(own, U64)
-    kind = np.uint16 if len(words) <= 1 << 16 else np.uint32
-    return words, np.frombuffer(back, kind).astype(np.int64), np.frombuffer(rows, np.int64)
 
+class Model(NamedTuple):
+    """Parts of the filter as written tables, and what all tasks may hold."""
 
-def _keys(own: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    return np.concatenate([word_keys(own), pairs])
+    pairs: DataFrame
+    words: DataFrame
+    bits: int
+    word_bits: int
+    heavy: Table
+    n: int
+    v: int
+    discount: float
+    bytes: int
 
 
-def _answers(encoded: DataFrame, lfbf: Shards) -> DataFrame:
-    """``chunk, shard, levels``: the levels of a chunk's keys of one shard, in the
-    keys' order, and those of what the keys leave over."""
-    size, high = lfbf.size, shard_bits(lfbf.size)
+def train(docs: DataFrame, discount: float = DISCOUNT, least: int = LEAST) -> Model:
+    """The model of the rows of ``docs``."""
+    shipped(docs)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
+    guess = size[0] // 6 + size[1] + 1  # tokens, about; shares need not be exact
+    bits = max(6, math.ceil(math.log2(guess)) - SHARE_BITS)
+    word_bits = max(5, bits - 2)
+    shares = _word_shares(docs, word_bits)
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                own, back, rows = _decoded(*(b.column(c)[i].as_py() for c in ("rows", "own", "back")))
-                keys = np.unique(_keys(own, pair_hashes(own, back, rows)[0]))
-                shard = keys >> U64(64 - high)
-                at = np.append(np.flatnonzero(np.diff(shard, prepend=U64(1 << 63))), len(keys))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard[at[:-1]].astype(np.int32)),
-                     pa.array(np.full(len(at) - 1, b.column("chunk")[i].as_py(), np.int64)),
-                     pa.array([packed(np.diff(keys[x:y], prepend=U64(0)))
-                               for x, y in pairwise(at.tolist())], pa.binary())],
-                    names=["shard", "chunk", "bits"])
+            c = [_counts(*x) for x in zip(b.column("c").to_pylist(), b.column("more").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array([int(x.sum()) for x in c], pa.int64()),
+                                              pa.array([len(x) for x in c], pa.int64())], names=["n", "v"])
+
+    n, v = shares.select("c", "more").mapInArrow(sums, "n bigint, v bigint").agg(
+        F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    heavy = _heavy(shares, max(1, -(-n >> HEAVY_BITS)))
+    sent = docs.sparkSession.sparkContext.broadcast(heavy)
+    pairs = _pair_parts(docs, bits, word_bits, sent, least)
+    words = _word_parts(shares, pairs.where("kind = 1"), word_bits, discount)
+    pairs = pairs.where("kind = 0").select("share", "data")
+    total = sum(t.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0] for t in (pairs, words))
+    return Model(pairs, words, bits, word_bits, heavy, int(n), int(v), discount, int(total))
+
+
+# -- scoring ------------------------------------------------------------------
+class Asked:
+    """What a block of texts has to know: its distinct words and pairs, in order."""
+
+    def __init__(self, texts: pa.Array):
+        flat, self.rows = tokens(texts)
+        self.words, self.word_at = np.unique(flat, return_inverse=True)
+        pairs, self.where = pair_keys(flat, self.rows)
+        self.pairs, self.pair_at = np.unique(pairs, return_inverse=True)
+
+
+def _answers(blocks: DataFrame, model: Model, sent, local: bool) -> DataFrame:
+    """block, kind, share, levels, rests, counts: what the parts tell about the keys of
+    each block, in the keys' order: of pairs (kind 0, unless ``local``) their levels, of
+    words (kind 1; if ``local``, only those not in the broadcast table) theirs, those of
+    what they leave over, and exact counts."""
+    n_pairs, kinds = 1 << model.bits, ((1 << model.bits, model.word_bits), (0, model.bits))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for part in text_chunks(batches):
+            block = part.column("block").to_numpy()
+            for b in np.unique(block).tolist():
+                a = Asked(part.column("text").filter(pa.array(block == b)))
+                words = a.words[~sent.value[0].find(a.words)[1]] if local else a.words
+                of.setdefault(b, []).append((words, a.pairs[:0] if local else a.pairs))
+        for b, held in of.items():
+            rows = []
+            for (first, bits), keys in zip(kinds, zip(*held)):
+                keys = np.unique(np.concatenate(keys))
+                share = (keys >> U64(64 - bits)).astype(np.int64)
+                rows += [(first + int(share[x]), gaps(keys[x:y])) for x, y in pairwise(_cuts(share).tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([s for s, _ in rows], pa.int32()), pa.array([b] * len(rows), pa.int32()),
+                 *(pa.array([x] * len(rows), pa.binary()) for x in (None, None, None)),
+                 pa.array([k for _, k in rows], pa.binary())],
+                names=["share", "block", "h", "c", "more", "data"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, part = None, None  # the shard's own row comes before its keys
-
-        def found(shard: int, chunks: list[int], keys: list[np.ndarray]) -> pa.RecordBatch:
-            ends = np.cumsum([len(k) for k in keys])
-            flat = np.concatenate(keys)
-            both = ((part.levels(flat), part.levels(flat | _CONTEXT)) if of == shard
-                    else np.zeros((2, len(flat)), np.uint8))
-            cuts = [np.split(x, ends[:-1]) for x in both]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(chunks, pa.int64()), pa.array(np.full(len(chunks), shard, np.int32)),
-                 *(pa.array([x.tobytes() for x in c], pa.binary()) for c in cuts)],
-                names=["chunk", "shard", "levels", "rests"])
+        of, part, exact = None, None, None  # a share's own row comes before its questions
+
+        def reply(share: int, block: int, keys: np.ndarray) -> tuple:
+            known = of == share
+            if share < n_pairs:
+                got = part.levels(keys) if known else np.zeros(len(keys), np.uint8)
+                return block, 0, share, packed(got), None, None
+            k = word_keys(keys)
+            got = [part.levels(x) if known else np.zeros(len(keys), np.uint8) for x in (k, k | _CONTEXT)]
+            c = exact.get(keys) if known else np.zeros(len(keys), np.int64)
+            return block, 1, share, *map(packed, got), packed(c)
 
         for b in batches:
-            rows = zip(*(b.column(c).to_pylist() for c in ("shard", "chunk", "bits")))
-            for shard, group in groupby(rows, lambda r: r[0]):
-                chunks, keys = [], []
-                for _, chunk, data in group:
-                    if chunk < 0:
-                        of, part = shard, Filter(np.frombuffer(data, np.uint8), size,
-                                                 shard * (size >> high))
-                    else:
-                        chunks.append(chunk)
-                        keys.append(np.cumsum(unpacked(data), dtype=U64))
-                if chunks:
-                    yield found(shard, chunks, keys)
-
-    keys = encoded.select("chunk", "rows", "own", "back").mapInArrow(
-        ask, "shard int, chunk bigint, bits binary")
-    return (lfbf.table.select("shard", F.lit(-1).cast("long").alias("chunk"), "bits").unionByName(keys)
-            .repartitionById(1 << high, F.col("shard")).sortWithinPartitions("shard", "chunk")
-            .mapInArrow(answer, "chunk bigint, shard int, levels binary, rests binary"))
-
-
-def _score(own: np.ndarray, back: np.ndarray, rows: np.ndarray, levels: np.ndarray,
-           rests: np.ndarray, total: int, discount: float) -> np.ndarray:
-    """The logarithms of each row's token probabilities, summed."""
-    pairs, where = pair_hashes(own, back, rows)
-    at = np.unique(_keys(own, pairs), return_inverse=True)[1]
-    word, c = np.split(MEANS[levels[at]], [len(own)])
-    rest = MEANS[rests[at[:len(own)]]]
-    p = ((word + 1) / total)[back]
-    before = back[where - 1]
+            out = []
+            for share, block, h, c, more, data in zip(*(b.column(x).to_pylist() for x in b.schema.names)):
+                if block < 0:
+                    of, part = share, Part(np.frombuffer(data, np.uint8))
+                    exact = None if h is None else Table(rising(h), _counts(c, more))
+                else:
+                    out.append(reply(share, block, rising(data)))
+            if out:
+                cols = list(zip(*out))
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(x, pa.int32()) for x in cols[:3]), *(pa.array(x, pa.binary()) for x in cols[3:])],
+                    names=["block", "kind", "share", "levels", "rests", "counts"])
+
+    none = F.lit(None).cast("binary")
+    own = [model.words.select((F.col("share") + n_pairs).alias("share"), F.lit(-1).alias("block"), "h", "c", "more", "data")]
+    if not local:
+        own.append(model.pairs.select("share", F.lit(-1).alias("block"), none.alias("h"), none.alias("c"),
+                                      none.alias("more"), "data"))
+    rows = blocks.mapInArrow(ask, "share int, block int, h binary, c binary, more binary, data binary")
+    for x in own:
+        rows = x.unionByName(rows)
+    return (rows.repartitionById(n_pairs + (1 << model.word_bits), F.col("share"))
+            .sortWithinPartitions("share", "block").mapInArrow(
+                answer, "block int, kind int, share int, levels binary, rests binary, counts binary"))
+
+
+def _log_sums(a: Asked, word: np.ndarray, rest: np.ndarray, pair: np.ndarray, total: int,
+              discount: float) -> np.ndarray:
+    """The logarithms of each row's token probabilities, summed, from the levels of the
+    distinct words, of what they leave over, and of the distinct pairs."""
+    word, rest, pair = MEANS[word], MEANS[rest], MEANS[pair][a.pair_at]
+    p = ((word + 1) / total)[a.word_at]
+    before = a.word_at[a.where - 1]
     of_word = np.maximum(word, 1)[before]
-    seen = np.minimum(np.maximum(c - discount, 0) / of_word, 1)
+    seen = np.minimum(np.maximum(pair - discount, 0) / of_word, 1)
     # a word that was never met has no pairs and leaves all
     left = np.where(word[before] > 0, np.minimum(np.maximum(rest[before], 1) / of_word, 1), 1)
-    p[where] = np.minimum(seen + left * p[where], 1)
-    return np.add.reduceat(np.log10(p), rows[:-1])  # every row has its end token
+    p[a.where] = np.minimum(seen + left * p[a.where], 1)
+    return np.add.reduceat(np.log10(p), a.rows[:-1])  # every row has its end token
 
 
-def scored(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(model.heavy)
+def scored(docs: DataFrame, model: Model, bound: int = BOUND) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every
+    row. The filter is broadcast if it has ``bound`` bytes at most."""
+    local = model.bytes <= bound
     total, discount = model.n + model.v + 1, model.discount
-    encoded = _encoded(docs)
-    answers = _answers(encoded, model.filter).groupBy("chunk").agg(
-        F.sort_array(F.collect_list(F.struct("shard", "levels", "rests"))).alias("answers"))
-
+    parts = None
+    if local:
+        rows = [{r["share"]: bytes(r["data"]) for r in t.select("share", "data").collect()}
+                for t in (model.pairs, model.words)]
+        parts = (Parts(model.bits, rows[0]), Parts(model.word_bits, rows[1]))
+    sent = docs.sparkSession.sparkContext.broadcast((model.heavy, parts))
+    rows = shipped(docs).select(F.col("doc_id").cast("long"), "text")
+    # every word is in the table: nothing has to be asked
+    if local and len(model.heavy.keys) == model.v:
+        return _scored_rows(rows.mapInArrow(_local_scores(sent, total, discount), _SCORES), model.n)
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = int(size // BLOCK) + 1
+    # one exchange serves the questions and the texts that wait for the answers
+    blocks = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")).repartition(n, "block")
+    answers = _answers(blocks, model, sent, local)
+
+    def run(texts: pa.Table, told: pa.Table) -> pa.Table:
+        told = told.sort_by([("kind", "ascending"), ("share", "ascending")])
+        kind = told["kind"].to_numpy()
+        got = [{c: np.concatenate([unpacked(x, t) for x in told[c].filter(pa.array(kind == k)).to_pylist()])
+                for c, t in cols if (kind == k).any()}
+               for k, cols in ((0, [("levels", np.uint8)]),
+                               (1, [("levels", np.uint8), ("rests", np.uint8), ("counts", np.int64)]))]
+        out = []
+        heavy = sent.value[0]
+        pieces = list(text_chunks(texts.combine_chunks().to_batches()))
+        asked = [Asked(p.column("text")) for p in pieces]
+        words = np.unique(np.concatenate([a.words for a in asked]))
+        rare = words[~heavy.find(words)[1]] if local else words
+        pairs = np.unique(np.concatenate([a.pairs for a in asked]))
+        for p, a in zip(pieces, asked):
+            at = np.searchsorted(rare, a.words)
+            there = np.append(rare, U64(0))[at] == a.words
+            there &= at < len(rare)
+            exact = heavy.get(a.words)
+            if there.any():
+                exact[there] = got[1]["counts"][at[there]]
+            if local:
+                levels = _probed(a, sent.value[1])
+            else:
+                of_pair = got[0]["levels"] if len(pairs) else np.zeros(0, np.uint8)
+                levels = got[1]["levels"][at], got[1]["rests"][at], of_pair[np.searchsorted(pairs, a.pairs)]
+            out.append(_rows(p, a, exact, levels, total, discount))
+        return pa.Table.from_batches(out)
+
+    # a block without a word that has to be asked has no answers
+    met = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, _SCORES)
+    return _scored_rows(met, model.n)
+
+
+_SCORES = "doc_id bigint, n bigint, known bigint, base double, score double"
+
+
+def _probed(a: Asked, parts: tuple[Parts, Parts]) -> tuple[np.ndarray, ...]:
+    """Levels of the words, of what they leave over, and of the pairs, from the
+    broadcast filter."""
+    k = word_keys(a.words)
+    return (parts[1].levels(a.words, k), parts[1].levels(a.words, k | _CONTEXT), parts[0].levels(a.pairs, a.pairs))
+
+
+def _rows(part: pa.RecordBatch, a: Asked, exact: np.ndarray, levels: tuple[np.ndarray, ...], total: int,
+          discount: float) -> pa.RecordBatch:
+    sums = lambda x: np.add.reduceat(x, a.rows[:-1])  # noqa: E731  every row has its end token
+    return pa.RecordBatch.from_arrays(
+        [part.column("doc_id"), pa.array(np.diff(a.rows)), pa.array(sums((exact > 0).astype(np.int64)[a.word_at])),
+         pa.array(sums(np.log10((exact + 1) / total)[a.word_at])),
+         pa.array(_log_sums(a, *levels, total, discount))], names=["doc_id", "n", "known", "base", "score"])
+
+
+def _local_scores(sent, total: int, discount: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                own, back, rows = _decoded(*(b.column(c)[i].as_py() for c in ("rows", "own", "back")))
-                levels, rests = (np.frombuffer(b"".join(b.column(c)[i].as_py()), np.uint8)
-                                 for c in ("levels", "rests"))
-                sums = lambda x: np.add.reduceat(x, rows[:-1])  # noqa: E731  every row has its end token
-                heavy = sent.value.get(own, 0)
-                known = (heavy > 0)[back]
-                logs = np.where(heavy > 0, np.log10(heavy + 1.0), 0)[back]
-                n = np.diff(rows)
-                rare_at = np.concatenate([[0], np.cumsum(sums((~known).astype(np.int64)))])
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("ids")[i].values, pa.array(n), pa.array(sums(known.astype(np.int64))),
-                     pa.array(sums(logs) - n * math.log10(total)),
-                     pa.array(_score(own, back, rows, levels, rests, total, discount)),
-                     pa.ListArray.from_arrays(pa.array(rare_at.astype(np.int32)),
-                                              pa.array(own[back[~known]].view(np.int64)))],
-                    names=["doc_id", "n", "known", "base", "score", "rare"])
-
-    rows = stored(encoded.join(answers, "chunk")
-                  .select("ids", "rows", "own", "back", "answers.levels", "answers.rests")
-                  .mapInArrow(run, "doc_id bigint, n bigint, known bigint, base double, "
-                                   "score double, rare array<bigint>")
-                  .withColumn("row", F.monotonically_increasing_id()), "scores")
-    rare = (rows.select("row", F.explode("rare").alias("h"))
-            .join(counts.where(F.col("c") < model.heavy_from), "h")
-            .groupBy("row").agg(F.sum(F.log10(F.col("c") + 1.0)).alias("more"),
-                                F.count(F.lit(1)).alias("also")))
-    return rows.drop("rare").join(rare, "row", "left").select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("n").alias("n_tokens"),
-        (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"),
-        F.lit(model.n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
-
-
-def report(docs: DataFrame, **options) -> DataFrame:
+        for part in text_chunks(batches):
+            a = Asked(part.column("text"))
+            yield _rows(part, a, sent.value[0].get(a.words), _probed(a, sent.value[1]), total, discount)
+
+    return run
+
+
+def _scored_rows(rows: DataFrame, n: int) -> DataFrame:
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("n").alias("n_tokens"),
+                       F.col("known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+                       F.col("base").alias("base_score"), "score")
+
+
+def report(docs: DataFrame, bound: int = BOUND, **options) -> DataFrame:
     """Trains on the rows that are not held out and scores all."""
-    shipped(docs)
-    return scored(docs, *train(docs.where(~held_out(F.col("doc_id"))), **options))
+    return scored(docs, train(docs.where(~held_out(F.col("doc_id"))), **options), bound)
