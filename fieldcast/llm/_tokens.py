@@ -12,6 +12,8 @@ from fieldcast.llm._bytes import BASE, U64, byte_values, mix, powers, text_bytes
 
 #: distinct pieces a worker remembers, about 60 bytes each
 REMEMBERED = 1_500_000
+#: words encoded in one call
+JOINED = 256
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _WIDE = np.zeros(256, bool)
@@ -59,6 +61,7 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
+        self.separator: tuple[str, int] | None = None
         self._forget()
 
     def _forget(self) -> None:
@@ -66,11 +69,60 @@ class Encoder:
         self.slot = np.empty(0, np.int64)
         self.ids, self.at = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
-    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _each(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         lists = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         n = np.fromiter(map(len, lists), np.int64, len(lists))
         return np.fromiter(chain.from_iterable(lists), np.uint32, int(n.sum())), n
 
+    def _separator(self) -> tuple[str, int]:
+        """A text of one id that no word before or after it changes, and that id."""
+        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        samples = ["a", " b", " 1", ".", " (", "'s", " \u00e9", "\u65e5"]
+        for sep in ("\n", " \x01 "):
+            own = ids(sep)
+            if len(own) == 1 and ids(sep.join(samples)) == [
+                    i for k, t in enumerate(samples) for i in [*(own if k else []), *ids(t)]]:
+                return sep, own[0]
+        return "", -1
+
+    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces in a row, and how many each has.
+
+        Single words are joined by a separator, many to a text: a call costs more
+        than a word's merges. Where a word has the separator's id itself, the whole
+        text is done word by word, as are pieces of several words.
+        """
+        if self.separator is None:
+            self.separator = self._separator()
+        sep, mark = self.separator
+        single = [bool(sep) and len(p) < 256 and "<|" not in p and p.split() == [p.removeprefix(" ")] for p in pieces]
+        words = [p for p, ok in zip(pieces, single) if ok]
+        groups = [words[i:i + JOINED] for i in range(0, len(words), JOINED)]
+        found, sizes = [], []
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast(
+                [sep.join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            cut = np.flatnonzero(ids == mark)
+            if len(cut) == len(group) - 1:
+                n = np.diff(cut, prepend=-1, append=len(ids)) - 1
+                ids = ids[ids != mark]
+            else:
+                ids, n = self._each(group)
+            found.append(ids)
+            sizes.append(n)
+        if len(words) == len(pieces) and words:
+            return np.concatenate(found), np.concatenate(sizes)
+        ids, n = self._each([p for p, ok in zip(pieces, single) if not ok])
+        ids = np.concatenate([*found, ids])
+        n = np.concatenate([*sizes, n])
+        # back into the order of the pieces
+        is_word = np.array(single, bool)
+        place = np.concatenate([np.flatnonzero(is_word), np.flatnonzero(~is_word)])
+        order = np.argsort(place)
+        starts = (np.cumsum(n) - n)[order]
+        n = n[order]
+        return ids[np.arange(len(ids)) - np.repeat(np.cumsum(n) - n - starts, n)], n
+
     def _learn(self, keys: np.ndarray, checks: np.ndarray, pieces: list[str]) -> None:
         ids, n = self._encode(pieces)
         slot = len(self.at) - 1 + np.arange(len(n))
