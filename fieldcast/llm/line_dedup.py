@@ -9,12 +9,13 @@ follow the order of the (hashed) line ids, so they are the suffix array's
 positions, with gaps; the suffixes that share a rank in round ``h`` are an
 interval of the array whose common prefix is ``h`` or longer. Rounds go on
 until no interval has two members, so the longest runs are met whatever they
-measure.
+measure. Binary descent through the ranks then gives each suffix its exact longest
+common prefix with an earlier one.
 
-In each interval the earliest member, by (doc_id, line), stays. A later one is
-deleted if its window has two lines or more, or is one line of at least
-``min_words`` words. Longer windows only repeat what windows of two lines
-already delete; they tell how long the shared runs are.
+In each interval the earliest member, by (doc_id, line), stays. Where a later
+suffix starts a maximal run, that is an interval that does not only carry on the
+one a line before, the run's lines are deleted if there are two or more, or if it
+is one line of at least ``min_words`` words.
 
 A suffix has no order among rows that share a doc_id: such rows never delete
 each other's lines. Null texts and blank lines have nothing to delete and stay.
@@ -74,19 +75,67 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> list[DataFrame]:
     return found
 
 
+def run_lengths(levels: list[DataFrame]) -> DataFrame:
+    """_d, _t, ln, lcp: for every suffix with an earlier twin, how many lines it has in
+    common with the earlier suffix that shares most.
+
+    The doubling leaves each such suffix in the interval of its longest window
+    ``2**k`` that has an earlier copy. Binary descent makes it exact: an interval is
+    parted by the rank of the next ``2**s`` lines, and the suffix goes on in its part
+    if that holds an earlier one. An interval's members stay at hand, whether they
+    still search or not, as long as one of them searches there; suffixes of all
+    intervals take a step together.
+    """
+    pos = ["_d", "_t", "ln"]
+    later = [x.where("later").select(*pos) for x in levels]
+    top = len(levels) - 2  # the last level is empty
+    if top < 0:
+        return later[0].withColumn("lcp", F.lit(1))
+    # longer windows have no earlier copy: the search starts here
+    start = [x.join(later[k + 1], pos, "left_anti") for k, x in enumerate(later[:top + 1])]
+    rows = None
+    for s in range(top - 1, -1, -1):
+        level = levels[s + 1].select(*pos, "rank")
+        asking = start[s + 1].withColumn("asks", F.lit(True))
+        ranks = level.join(start[s + 1], pos, "left_semi").select("rank").distinct()
+        fresh = (level.join(ranks, "rank", "left_semi").join(asking, pos, "left").select(
+            *pos, F.xxhash64(F.lit(s), "rank").alias("state"), F.lit(2 ** (s + 1)).alias("lcp"),
+            F.coalesce("asks", F.lit(False)).alias("asks")))
+        rows = fresh if rows is None else rows.unionByName(fresh)
+        further = levels[s].select("_d", "_t", F.col("ln").alias("at"), F.col("rank").alias("r"))
+        rows = stored(rows.withColumn("at", F.col("ln") + F.col("lcp"))
+                      .join(further, ["_d", "_t", "at"], "left").drop("at"), "descent")
+        parts = (rows.where("r is not null").groupBy("state", "r")
+                 .agg(F.min(_here()).alias("first"), F.max(F.when(F.col("asks"), _here())).alias("last"))
+                 .where("last > first").select("state", "r", "first"))
+        met = rows.join(parts, ["state", "r"], "left").withColumn(
+            "moves", F.col("asks") & F.coalesce(_here() > F.col("first"), F.lit(False)))
+        met = stored(met, "descent")
+        gone_on = met.where("first is not null").select(
+            *pos, F.xxhash64("state", "r").alias("state"), (F.col("lcp") + 2 ** s).alias("lcp"),
+            F.col("moves").alias("asks"))
+        staying = met.where("asks and not moves").select("state").distinct()
+        left = met.join(staying, "state", "left_semi").select(
+            *pos, "state", "lcp", (F.col("asks") & ~F.col("moves")).alias("asks"))
+        rows = stored(gone_on.unionByName(left), "descent")
+    out = start[0].withColumn("lcp", F.lit(1))
+    return out if rows is None else out.unionByName(rows.where("asks").select(*pos, "lcp"))
+
+
 def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """_d, _t, gone (sorted numbers of deleted lines among those with a word),
-    shared (longest doubling window that is a later copy)."""
+    shared (lines of the longest run that is a later copy)."""
     levels = repeats(docs, min_words)
-    marks = levels[0].where("later and long").select(*_KEY, F.array("ln").alias("at"),
-                                                     F.lit(1).alias("h"))
-    for k, level in enumerate(levels[1:], 1):
-        at = F.array("ln", F.col("ln") + 1) if k == 1 else F.array().cast("array<int>")
-        marks = marks.unionByName(level.where("later").select(
-            *_KEY, at.alias("at"), F.lit(2**k).alias("h")))
-    return marks.groupBy(*_KEY).agg(
+    lengths = run_lengths(levels)
+    # the head of an interval reaches further than the line before it
+    before = Window.partitionBy(*_KEY).orderBy("ln").rangeBetween(-1, -1)
+    heads = (lengths.withColumn("_b", F.max("lcp").over(before))
+             .where("lcp > 1 and (_b is null or lcp > _b - 1)"))
+    runs = heads.select(*_KEY, F.sequence("ln", F.col("ln") + F.col("lcp") - 1).alias("at"), "lcp")
+    single = levels[0].where("later and long").select(*_KEY, F.array("ln").alias("at"), F.lit(1).alias("lcp"))
+    return runs.unionByName(single).groupBy(*_KEY).agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("gone"),
-        F.max("h").alias("shared"))
+        F.max("lcp").alias("shared"))
 
 
 def _kept_text(text: Column, gone: Column) -> Column:
@@ -123,7 +172,7 @@ def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFram
 
 def report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Per document: lines with a word, deleted lines, maximal deleted runs, the
-    longest of them, the longest shared doubling window and the kept text's digest."""
+    longest of them, the longest run that is a later copy and the kept text's digest."""
     gone = F.coalesce("gone", F.array().cast("array<int>"))
     runs = let(gone, lambda g: let(
         F.transform(F.filter(F.transform(g, lambda v, k: F.struct(v.alias("v"), k.alias("k"))),

@@ -74,26 +74,21 @@ def _line_dedup() -> str:
 with s as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
 nb as (select doc_id, lines, list_filter(lines, lambda x: trim(x, {_TRIM}) <> '') as l,
          list_filter(generate_series(1, len(lines)), lambda i: trim(lines[i], {_TRIM}) <> '') as pos from s),
-spans as (select doc_id, h, i, array_to_string(l[i:i + h - 1], chr(10)) as g
-          from (select doc_id, l, h, unnest(generate_series(1, len(l) - h + 1)) as i
-                from (select doc_id, l, unnest(list_transform(generate_series(0, 20),
-                        lambda k: cast(2 ** k as bigint))) as h from nb) where h <= len(l))),
-later as (select doc_id, h, i, g from (
-            select *, row_number() over (partition by h, g order by doc_id, i) as k from spans)
-          where k > 1),
-gone as (select distinct doc_id, unnest([i, i + 1]) as i from later where h = 2
-         union select doc_id, i from later where h = 1
-         and len(list_filter(regexp_split_to_array(g, '{_WS}'), lambda x: x <> '')) >= {MIN_WORDS}),
+lines as (select doc_id, unnest(l) as g, unnest(generate_series(1, len(l))) as i from nb),
+met as (select a.doc_id, a.i, a.g, b.doc_id as other, a.i - b.i as shift
+        from lines a join lines b on a.g = b.g and (b.doc_id < a.doc_id or (b.doc_id = a.doc_id and b.i < a.i))),
+spans as (select doc_id, min(i) as i, count(*) as h, min(g) as g from (
+            select *, i - row_number() over (partition by doc_id, other, shift order by i) as run from met)
+          group by doc_id, other, shift, run),
+later as (select * from spans where h > 1
+          or len(list_filter(regexp_split_to_array(g, '{_WS}'), lambda x: x <> '')) >= {MIN_WORDS}),
+gone as (select distinct doc_id, unnest(generate_series(i, i + h - 1)) as i from later),
 runs as (select doc_id, count(*) as n from (
            select doc_id, i - row_number() over (partition by doc_id order by i) as run from gone)
          group by doc_id, run),
 per as (select doc_id, sum(n) as n_removed, count(*) as n_runs, max(n) as longest_run
         from runs group by doc_id),
-shared as (select doc_id, max(h) as h from (
-             select doc_id, h from later where h > 1
-             union all select doc_id, 1 from later where h = 1
-             and len(list_filter(regexp_split_to_array(g, '{_WS}'), lambda x: x <> '')) >= {MIN_WORDS})
-           group by doc_id),
+shared as (select doc_id, max(h) as h from later group by doc_id),
 drops as (select doc_id, list(i) as g from gone group by doc_id)
 select nb.doc_id, len(l) as n_lines, cast(coalesce(n_removed, 0) as bigint) as n_removed,
   coalesce(n_runs, 0) as n_runs, coalesce(longest_run, 0) as longest_run,
