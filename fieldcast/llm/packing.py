@@ -3,10 +3,10 @@
 Documents become token ids with an end id and only those longer than a sequence
 are cut. Every partition packs its own pieces, longest first, each into the
 fullest bin that still takes it. Bins that are nearly full are final; the
-underfull ones become items, ``fan`` partitions at a time meet in one task and
-are packed again, and so on until one group is left. A task passes on at most
-``carry`` bins, the emptiest; with more, the fullest ones become final as they
-are, so no task grows with the input.
+underfull ones become items, those of ``fan`` partitions meet in one task and
+are packed again, and so on until one group is left. A task takes about ``carry``
+bins; more are dealt to more tasks, round after round, so no task grows with the
+input and no bin is closed before it met others.
 
 One row per piece, every piece packed. A null text is empty and so is only its
 end id. Rows that share a doc_id are packed each for itself. An empty table
@@ -15,6 +15,7 @@ gives no rows.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -94,16 +95,7 @@ def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np
     return bins, offsets, np.array(fills, np.int64)
 
 
-def _closed(fills: np.ndarray, size: int, slack: int, carry: int) -> np.ndarray:
-    """Which bins are final: nearly full, or beyond the emptiest ``carry``."""
-    done = fills >= size - slack
-    rest = np.flatnonzero(~done)
-    if len(rest) > carry:
-        done[rest[np.argsort(fills[rest], kind="stable")[carry:]]] = True
-    return done
-
-
-def _level(rows: DataFrame, size: int, slack: int, carry: int, level: int) -> DataFrame:
+def _level(rows: DataFrame, size: int, slack: int, level: int) -> DataFrame:
     """Packs the items of each partition: item columns with bin, shift, fill, open."""
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -111,7 +103,7 @@ def _level(rows: DataFrame, size: int, slack: int, carry: int, level: int) -> Da
             return
         table = pa.Table.from_batches(held)
         bins, offsets, fills = best_fit(table["length"].to_numpy(), size)
-        done = _closed(fills, size, slack, carry)
+        done = fills >= size - slack
         first = ((level << 24) + TaskContext.get().partitionId()) << 33
         table = (table.append_column("bin", pa.array(bins + first))
                  .append_column("shift", pa.array(offsets))
@@ -126,26 +118,35 @@ def _level(rows: DataFrame, size: int, slack: int, carry: int, level: int) -> Da
 
 def packed(items: DataFrame, size: int = SIZE, slack: int | None = None, fan: int = FAN,
            carry: int = CARRY) -> DataFrame:
-    """``items`` (column ``length``, at most ``size``) with sequence_id and offset."""
+    """``items`` (column ``length``, at most ``size``) with sequence_id and offset.
+
+    A task takes about ``carry`` underfull bins at most: where more are left, they
+    are dealt to more tasks in place of being closed, and dealt anew in the next
+    round. Rounds end with one task, or when dealing anew no longer joins bins;
+    in each last group one bin at most is then half empty or more.
+    """
     slack = size // 128 if slack is None else slack
     shipped(items)
-    placed = stored(_level(items, size, slack, carry, 0), "packed")
+    placed = stored(_level(items, size, slack, 0), "packed")
     # where each open bin goes: bin -> (sequence, shift), a chain of levels
     moves = placed.where("open").groupBy("bin").agg(F.max("fill").alias("length"))
-    # the partition that made a bin is in its number; groups of them meet
-    moves = moves.select(F.col("bin").alias("own"), "length", F.shiftright("bin", 33).alias("part"))
-    high = moves.agg(F.max("part")).first()[0]
-    chains, level = [], 1
+    moves = stored(moves.select(F.col("bin").alias("own"), "length"), "open-bins")
+    # the partition that made a bin is in its number
+    high = moves.agg(F.max(F.shiftright("own", 33))).first()[0]
+    chains, level, before = [], 1, math.inf
     groups = 0 if high is None else int(high) + 1
     while groups > 1:
-        groups = -(-groups // fan)
-        met = moves.select("own", "length", F.expr(f"cast(part div {fan} as int)").alias("part"))
-        met = stored(_level(met.repartitionById(groups, F.col("part")), size, slack, carry, level),
-                     "packed")
+        left = moves.count()
+        wanted = max(-(-groups // fan), -(-left // carry))
+        if wanted >= groups and left > 0.98 * before:
+            break
+        groups, before = wanted, left
+        dealt = moves.withColumn("part", F.pmod(F.xxhash64("own", F.lit(level)), F.lit(groups)).cast("int"))
+        met = stored(_level(dealt.repartitionById(groups, F.col("part")), size, slack, level), "packed")
         chains.append(met.select(F.col("own"), F.col("bin").alias("up"),
                                  F.col("shift").alias("by")))
-        moves = (met.where("open").groupBy("bin", "part").agg(F.max("fill").alias("length"))
-                 .select(F.col("bin").alias("own"), "length", "part"))
+        moves = (met.where("open").groupBy("bin").agg(F.max("fill").alias("length"))
+                 .select(F.col("bin").alias("own"), "length"))
         level += 1
     out = placed.select(*items.columns, F.col("bin").alias("sequence_id"),
                         F.col("shift").alias("offset"))
