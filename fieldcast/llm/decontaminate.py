@@ -9,12 +9,12 @@ must cover ``overlap`` tokens, or the whole item where that is shorter.
 
 Tokens are runs of ASCII letters, digits and non-ASCII characters, A-Z in lower
 case. Items are sent to the workers in blocks of about ``block`` tokens, each
-scanned against all rows, so no broadcast grows with the benchmark. Items
-shorter than the widest mask are left out: they are too short to tell a leak
-from common speech.
+scanned against all rows, so no broadcast grows with the benchmark. Items shorter
+than a mask, down to ``SHORT`` tokens, are hashed whole and found word for word;
+still shorter ones are left out, since they are common speech.
 
 Rows: one per training row, with all its columns and ``hits``. Null or empty
-texts have no hits; a repeated item is a hit of its own; an empty benchmark or
+texts have no hits; an item without an id is a hit without one; a repeated item is a hit of its own; an empty benchmark or
 table gives no hits or no rows.
 """
 
@@ -32,7 +32,7 @@ from fieldcast.llm._ship import shipped
 from fieldcast.llm._text import free_name
 
 MASKS = ("111010010111", "110110101011", "101111000111", "111100110101")
-OVERLAP = 13
+OVERLAP, SHORT = 13, 6
 BLOCK = 1 << 20
 HITS = "array<struct<item_id:bigint,doc_start:int,item_start:int,length:int,matched:int>>"
 _HIT = pa.list_(pa.struct([("item_id", pa.int64()), ("doc_start", pa.int32()),
@@ -60,12 +60,18 @@ def windows(words: np.ndarray, rows: np.ndarray, mask: str) -> tuple[np.ndarray,
 class ItemBlock:
     """Token hashes of some test items and their sorted masked windows."""
 
-    def __init__(self, ids: list[int], texts: pa.Array, masks: tuple[str, ...]):
-        self.masks, self.ids = masks, np.array(ids, np.int64)
+    def __init__(self, ids: list[int | None], texts: pa.Array, masks: tuple[str, ...]):
+        self.ids = ids
         self.words, self.rows = word_hashes(texts, letters_only=True)
+        size = np.diff(self.rows)
+        whole = sorted({n for n in size.tolist() if SHORT <= n < min(map(len, masks))})
+        self.masks = (*masks, *("1" * n for n in whole))
         self.seeds = []
-        for m in masks:
+        for m in self.masks:
             at, h = windows(self.words, self.rows, m)
+            if m not in masks:  # items of just this length
+                fits = np.isin(at, self.rows[:-1][size == len(m)])
+                at, h = at[fits], h[fits]
             order = np.argsort(h, kind="stable")
             seen = np.zeros(1 << _BITS, bool)
             seen[h >> U64(64 - _BITS)] = True
@@ -101,7 +107,7 @@ class ItemBlock:
             end = int(np.argmax(run - least))
             start = int(np.argmin(run[:end + 1]))
             if end - start >= min(overlap, b - a):
-                hit = {"item_id": int(self.ids[item]), "doc_start": lo + shift + start - int(rows[row]),
+                hit = {"item_id": self.ids[item], "doc_start": lo + shift + start - int(rows[row]),
                        "item_start": lo + start - a, "length": end - start,
                        "matched": int(same[start:end].sum())}
                 best = out.setdefault(row, {}).get(item)
