@@ -30,7 +30,8 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.deduplicated(_documents(spark, sf_dir)).drop("spans")
+    return (suffix_dedup.deduplicated(_documents(spark, sf_dir)).drop("spans")
+            .withColumn("shortened", F.col("n_removed") > 0))
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

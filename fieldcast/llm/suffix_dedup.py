@@ -77,7 +77,7 @@ def anchored(raw: np.ndarray, at: np.ndarray, length: int, gram: int):
     if len(raw) < length:
         return none, none, none, np.empty(0, U64), np.empty(0, U64)
     h = _rolled(raw, gram, 31)
-    bits = U64(24 if len(raw) < 1 << 24 else 34)
+    bits = U64(34)  # 30 of a hash, at every size, then the position
     least = _least((h >> bits) << bits | np.arange(len(h), dtype=U64), length - gram + 1)
     anchor = (least & U64((1 << int(bits)) - 1)).astype(np.int64)
     first = np.arange(len(anchor))
