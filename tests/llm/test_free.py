@@ -60,6 +60,17 @@ def test_decontaminate(spark):
     assert decontaminate.clean_only(docs, none).count() == len(rows)
 
 
+def test_short_items_and_items_without_an_id(spark):
+    short = "who wrote the old green book"
+    long = " ".join(f"Tok{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, f"they ask: {short.upper()}? yes"), (2, "who wrote the new green book"),
+                                  (3, "a b c d e"), (4, long), (5, short)], "doc_id int, text string")
+    bench = spark.createDataFrame([(10, short), (None, long), (11, "a b c d e"), (None, None)],
+                                  "item_id int, text string")
+    got = {r.doc_id: [h.item_id for h in r.hits] for r in decontaminate.report(docs, bench).collect()}
+    assert got == {1: [10], 2: [], 3: [], 4: [None], 5: [10]}
+
+
 # -- op4 ----------------------------------------------------------------------
 def repeats(texts, length):
     at = defaultdict(int)
@@ -128,24 +139,48 @@ def test_lm_scoring(spark):
     assert all(r.score <= 0 for r in got)
 
 
-def test_filter_holds_every_count(spark):
+def test_filter_holds_every_count():
     keys = _bytes.mix(np.arange(3000, dtype=np.uint64))
     counts = np.random.default_rng(1).integers(1, 10**6, 3000)
-    entries = spark.createDataFrame(pa.table({"key": keys.view(np.int64), "c": counts}))
-    f = lm_scoring.build_filter(entries, 1 << 21)  # ten bits per insert
-    want = lm_scoring.MEANS[lm_scoring.level(counts)]
-    got = f.counts(keys)
+    f = lm_scoring.Part.of(keys, counts)
+    assert f.size >= lm_scoring.ROOM * lm_scoring.level(counts).sum()
+    want, got = (lm_scoring.MEANS[x] for x in (lm_scoring.level(counts), f.levels(keys)))
     assert (got >= want).all() and (got == want).mean() > 0.9  # errors only raise a count
-    assert (f.counts(_bytes.mix(np.arange(10**6, 10**6 + 2000, dtype=np.uint64))) == 0).mean() > 0.9
+    assert (f.levels(_bytes.mix(np.arange(10**6, 10**6 + 2000, dtype=np.uint64))) == 0).mean() > 0.9
     assert abs(want / counts - 1).max() < 0.25
+    empty_part = lm_scoring.Part.of(keys[:0], counts[:0])
+    assert not empty_part.levels(keys).any()
+
+
+def test_numbers_survive_packing():
+    for x in (np.array([], np.uint64), np.array([5, 9, 2**63, 2**64 - 1], np.uint64)):
+        assert np.array_equal(lm_scoring.rising(lm_scoring.gaps(x)), x)
+    for c in (np.array([], np.int64), np.array([1, 254, 255, 256, 10**12])):
+        assert np.array_equal(lm_scoring._counts(*lm_scoring._small(c)), c)
 
 
-def test_small_filter_drops_the_rarest(spark):
+def test_broadcast_and_shards_give_the_same_levels(spark, monkeypatch):
     docs = documents(spark)
-    full, _ = lm_scoring.train(docs)
-    small, _ = lm_scoring.train(docs, max_bits=1 << 14)
-    assert small.filter.size == 1 << 14 < full.filter.size
-    assert lm_scoring.scored(docs, *lm_scoring.train(docs, max_bits=1 << 14)).count() == docs.count()
+    model = lm_scoring.train(docs)
+    # as in a large corpus: most words are not in the broadcast table
+    top = model.heavy.values >= 40
+    few = model._replace(heavy=lm_scoring.Table(model.heavy.keys[top], model.heavy.values[top]))
+    monkeypatch.setattr(lm_scoring, "BLOCK", 1 << 13)  # many blocks
+    want = Counter(map(tuple, lm_scoring.scored(docs, model).collect()))
+    for m, bound in ((model, 0), (few, lm_scoring.BOUND), (few, 0)):
+        got = lm_scoring.scored(docs, m, bound)
+        assert Counter(map(tuple, got.collect())) == want
+        # the texts moved once, for the questions and for the scores
+        assert "ReusedExchange" in got._jdf.queryExecution().executedPlan().toString()
+    # many shares, passed on in small pieces
+    monkeypatch.setattr(lm_scoring, "SHARE_BITS", 4)
+    monkeypatch.setattr(lm_scoring, "HELD", 64)
+    again = lm_scoring.train(docs)
+    assert again.bits > model.bits and (again.n, again.v) == (model.n, model.v)
+    rows = lambda m, b: {(r.doc_id, r.n_tokens): (r.n_known, round(r.base_score, 9), r.score)
+                         for r in lm_scoring.scored(docs, m, b).collect()}
+    one, two = rows(again, 0), rows(again, lm_scoring.BOUND)
+    assert one == two and {k: v[:2] for k, v in one.items()} == {k: v[:2] for k, v in rows(model, 0).items()}
 
 
 def test_scores_follow_the_formula(spark):
@@ -157,7 +192,6 @@ def test_scores_follow_the_formula(spark):
             w = words(t) + [None]
             one.update(w)
             two.update(zip(w, w[1:]))
-    two = {k: c for k, c in two.items() if c > 1}
     kept = Counter()
     for (v, _), c in two.items():
         kept[v] += c - lm_scoring.DISCOUNT
@@ -189,7 +223,7 @@ def test_rare_pairs_count_in_a_large_corpus(spark):
     asked += [(3000 + i, f"beta{i} alpha{i}", "en", "s", 1) for i in range(40)]
     docs = documents(spark, filler + pairs)
     got = {r.doc_id: r.score for r in lm_scoring.scored(
-        documents(spark, asked), *lm_scoring.train(docs)).collect()}
+        documents(spark, asked), lm_scoring.train(docs)).collect()}
     # each pair was met four times, in this order only
     assert sum(got[2000 + i] > got[3000 + i] + 1 for i in range(40)) >= 36
 
@@ -278,6 +312,17 @@ def test_packing(spark, size, carry):
         assert len(bins) <= 1.05 * sum(r.length for r in got) / size + 2
 
 
+def test_more_bins_than_a_task_takes(spark):
+    rng = np.random.default_rng(4)
+    items = spark.createDataFrame([(int(x),) for x in rng.integers(1, 40, 3000)], "length long").repartition(12)
+    got = packing.packed(items, size=64, slack=0, fan=2, carry=20).collect()
+    bins = Counter()
+    for r in got:
+        bins[r.sequence_id] += r.length
+    total = sum(r.length for r in got)
+    assert max(bins.values()) <= 64 and len(bins) <= 1.03 * total / 64 + 2
+
+
 # -- op7 ----------------------------------------------------------------------
 @pytest.mark.parametrize("k,percent", [(3, 85), (5, 80)])
 def test_near_dedup(spark, k, percent):

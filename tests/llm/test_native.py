@@ -1,5 +1,6 @@
 """Quality rules, line dedup and chat rotation against plain Python."""
 
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -103,6 +104,30 @@ def test_line_dedup(spark, min_words):
     assert any(gone.values())
 
 
+def test_runs_have_their_exact_length(spark):
+    rng = random.Random(6)
+    block = [f"line {i}" for i in range(23)]
+    texts = []
+    for _ in range(30):
+        a = rng.randrange(23)
+        texts.append([*(f"own {rng.random()}" for _ in range(rng.randrange(3))), *block[a:a + rng.randrange(1, 20)],
+                      *(rng.choice(["x", "y"]) for _ in range(rng.randrange(6)))])
+    texts += [["z"] * 37, block, block, ["x", "y"] * 9]
+    docs = spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {(r._d, r.ln): r.lcp for r in line_dedup.run_lengths(line_dedup.repeats(docs)).collect()}
+    at = [(d, i) for d, t in enumerate(texts) for i in range(len(t))]
+
+    def common(p, q):
+        x, y = texts[p[0]][p[1]:], texts[q[0]][q[1]:]
+        return next((k for k, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y)))
+
+    want = {p: max(common(p, q) for q in at[:k]) for k, p in enumerate(at) if k}
+    assert got == {p: n for p, n in want.items() if n}
+    longest = {r.doc_id: r.shared_lines for r in line_dedup.report(docs).collect()}
+    assert longest == {d: max([want.get((d, i), 0) for i in range(len(t)) if want.get((d, i), 0) > 1], default=0)
+                       for d, t in enumerate(texts)}
+
+
 def test_line_dedup_keeps_columns(spark):
     docs = clashing(documents(spark))
     out = line_dedup.drop_repeated_lines(docs)
