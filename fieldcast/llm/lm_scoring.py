@@ -60,7 +60,7 @@ HELD = 1 << 21
 #: distinct keys a task merges at once, about forty bytes each
 SHARE_BITS = 20
 #: bytes of text whose questions are asked together
-BLOCK = 16 << 20
+BLOCK = 24 << 20
 
 
 def _levels() -> np.ndarray:
@@ -408,11 +408,20 @@ def train(docs: DataFrame, discount: float = DISCOUNT, least: int = LEAST) -> Mo
 
 
 # -- scoring ------------------------------------------------------------------
+def _tokens_of(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words and end tokens of some texts, hashed part by part, and the
+    starts of the rows."""
+    got = [tokens(p.column("text")) for p in parts]
+    before = np.cumsum([0, *(len(f) for f, _ in got)])
+    rows = [r[:-1] + b for (_, r), b in zip(got, before.tolist())]
+    return np.concatenate([f for f, _ in got]), np.append(np.concatenate(rows), before[-1])
+
+
 class Asked:
-    """What a block of texts has to know: its distinct words and pairs, in order."""
+    """What some texts have to know: their distinct words and pairs, in order."""
 
-    def __init__(self, texts: pa.Array):
-        flat, self.rows = tokens(texts)
+    def __init__(self, parts: list[pa.RecordBatch]):
+        flat, self.rows = _tokens_of(parts)
         self.words, self.word_at = np.unique(flat, return_inverse=True)
         pairs, self.where = pair_keys(flat, self.rows)
         self.pairs, self.pair_at = np.unique(pairs, return_inverse=True)
@@ -430,9 +439,11 @@ def _answers(blocks: DataFrame, model: Model, sent, local: bool) -> DataFrame:
         for part in text_chunks(batches):
             block = part.column("block").to_numpy()
             for b in np.unique(block).tolist():
-                a = Asked(part.column("text").filter(pa.array(block == b)))
-                words = a.words[~sent.value[0].find(a.words)[1]] if local else a.words
-                of.setdefault(b, []).append((words, a.pairs[:0] if local else a.pairs))
+                flat, rows = _tokens_of([part.filter(pa.array(block == b))])
+                words = np.unique(flat)
+                if local:
+                    words = words[~sent.value[0].find(words)[1]]
+                of.setdefault(b, []).append((words, words[:0] if local else np.unique(pair_keys(flat, rows)[0])))
         for b, held in of.items():
             rows = []
             for (first, bits), keys in zip(kinds, zip(*held)):
@@ -516,7 +527,7 @@ def scored(docs: DataFrame, model: Model, bound: int = BOUND) -> DataFrame:
     if local and len(model.heavy.keys) == model.v:
         return _scored_rows(rows.mapInArrow(_local_scores(sent, total, discount), _SCORES), model.n)
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = int(size // BLOCK) + 1
+    n = max(int(size // BLOCK) + 1, docs.sparkSession.sparkContext.defaultParallelism)
     # one exchange serves the questions and the texts that wait for the answers
     blocks = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")).repartition(n, "block")
     answers = _answers(blocks, model, sent, local)
@@ -528,27 +539,16 @@ def scored(docs: DataFrame, model: Model, bound: int = BOUND) -> DataFrame:
                 for c, t in cols if (kind == k).any()}
                for k, cols in ((0, [("levels", np.uint8)]),
                                (1, [("levels", np.uint8), ("rests", np.uint8), ("counts", np.int64)]))]
-        out = []
-        heavy = sent.value[0]
         pieces = list(text_chunks(texts.combine_chunks().to_batches()))
-        asked = [Asked(p.column("text")) for p in pieces]
-        words = np.unique(np.concatenate([a.words for a in asked]))
-        rare = words[~heavy.find(words)[1]] if local else words
-        pairs = np.unique(np.concatenate([a.pairs for a in asked]))
-        for p, a in zip(pieces, asked):
-            at = np.searchsorted(rare, a.words)
-            there = np.append(rare, U64(0))[at] == a.words
-            there &= at < len(rare)
-            exact = heavy.get(a.words)
-            if there.any():
-                exact[there] = got[1]["counts"][at[there]]
-            if local:
-                levels = _probed(a, sent.value[1])
-            else:
-                of_pair = got[0]["levels"] if len(pairs) else np.zeros(0, np.uint8)
-                levels = got[1]["levels"][at], got[1]["rests"][at], of_pair[np.searchsorted(pairs, a.pairs)]
-            out.append(_rows(p, a, exact, levels, total, discount))
-        return pa.Table.from_batches(out)
+        a, heavy = Asked(pieces), sent.value[0]
+        exact = heavy.get(a.words)
+        asked = ~heavy.find(a.words)[1] if local else np.ones(len(a.words), bool)
+        if asked.any():
+            exact[asked] = got[1]["counts"]
+        levels = _probed(a, sent.value[1]) if local else (
+            got[1]["levels"], got[1]["rests"], got[0]["levels"] if len(a.pairs) else np.zeros(0, np.uint8))
+        ids = pa.chunked_array([p.column("doc_id") for p in pieces]).combine_chunks()
+        return pa.Table.from_batches([_rows(ids, a, exact, levels, total, discount)])
 
     # a block without a word that has to be asked has no answers
     met = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, _SCORES)
@@ -565,11 +565,11 @@ def _probed(a: Asked, parts: tuple[Parts, Parts]) -> tuple[np.ndarray, ...]:
     return (parts[1].levels(a.words, k), parts[1].levels(a.words, k | _CONTEXT), parts[0].levels(a.pairs, a.pairs))
 
 
-def _rows(part: pa.RecordBatch, a: Asked, exact: np.ndarray, levels: tuple[np.ndarray, ...], total: int,
+def _rows(ids: pa.Array, a: Asked, exact: np.ndarray, levels: tuple[np.ndarray, ...], total: int,
           discount: float) -> pa.RecordBatch:
     sums = lambda x: np.add.reduceat(x, a.rows[:-1])  # noqa: E731  every row has its end token
     return pa.RecordBatch.from_arrays(
-        [part.column("doc_id"), pa.array(np.diff(a.rows)), pa.array(sums((exact > 0).astype(np.int64)[a.word_at])),
+        [ids, pa.array(np.diff(a.rows)), pa.array(sums((exact > 0).astype(np.int64)[a.word_at])),
          pa.array(sums(np.log10((exact + 1) / total)[a.word_at])),
          pa.array(_log_sums(a, *levels, total, discount))], names=["doc_id", "n", "known", "base", "score"])
 
@@ -577,8 +577,8 @@ def _rows(part: pa.RecordBatch, a: Asked, exact: np.ndarray, levels: tuple[np.nd
 def _local_scores(sent, total: int, discount: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_chunks(batches):
-            a = Asked(part.column("text"))
-            yield _rows(part, a, sent.value[0].get(a.words), _probed(a, sent.value[1]), total, discount)
+            a = Asked([part])
+            yield _rows(part.column("doc_id"), a, sent.value[0].get(a.words), _probed(a, sent.value[1]), total, discount)
 
     return run
 
