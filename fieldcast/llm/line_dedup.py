@@ -87,20 +87,22 @@ def run_lengths(levels: list[DataFrame]) -> DataFrame:
     intervals take a step together.
     """
     pos = ["_d", "_t", "ln"]
-    later = [x.where("later").select(*pos) for x in levels]
     top = len(levels) - 2  # the last level is empty
+
+    def starting(k: int) -> DataFrame:
+        """The level, and whose search starts there: longer windows have no earlier copy."""
+        more = levels[k + 1].where("later").select(*pos, F.lit(True).alias("more"))
+        return levels[k].select(*pos, "rank", "later").join(more, pos, "left").select(
+            *pos, "rank", (F.col("later") & F.col("more").isNull()).alias("asks"))
+
     if top < 0:
-        return later[0].withColumn("lcp", F.lit(1))
-    # longer windows have no earlier copy: the search starts here
-    start = [x.join(later[k + 1], pos, "left_anti") for k, x in enumerate(later[:top + 1])]
+        return levels[0].select(*pos, F.lit(1).alias("lcp"))
     rows = None
     for s in range(top - 1, -1, -1):
-        level = levels[s + 1].select(*pos, "rank")
-        asking = start[s + 1].withColumn("asks", F.lit(True))
-        ranks = level.join(start[s + 1], pos, "left_semi").select("rank").distinct()
-        fresh = (level.join(ranks, "rank", "left_semi").join(asking, pos, "left").select(
-            *pos, F.xxhash64(F.lit(s), "rank").alias("state"), F.lit(2 ** (s + 1)).alias("lcp"),
-            F.coalesce("asks", F.lit(False)).alias("asks")))
+        level = stored(starting(s + 1), "starting")
+        ranks = level.where("asks").select("rank").distinct()
+        fresh = level.join(ranks, "rank", "left_semi").select(
+            *pos, F.xxhash64(F.lit(s), "rank").alias("state"), F.lit(2 ** (s + 1)).alias("lcp"), "asks")
         rows = fresh if rows is None else rows.unionByName(fresh)
         further = levels[s].select("_d", "_t", F.col("ln").alias("at"), F.col("rank").alias("r"))
         rows = stored(rows.withColumn("at", F.col("ln") + F.col("lcp"))
@@ -117,8 +119,8 @@ def run_lengths(levels: list[DataFrame]) -> DataFrame:
         staying = met.where("asks and not moves").select("state").distinct()
         left = met.join(staying, "state", "left_semi").select(
             *pos, "state", "lcp", (F.col("asks") & ~F.col("moves")).alias("asks"))
-        rows = stored(gone_on.unionByName(left), "descent")
-    out = start[0].withColumn("lcp", F.lit(1))
+        rows = gone_on.unionByName(left)  # read once, by the next step
+    out = starting(0).where("asks").select(*pos, F.lit(1).alias("lcp"))
     return out if rows is None else out.unionByName(rows.where("asks").select(*pos, "lcp"))
 
 
