@@ -226,15 +226,15 @@ def worked_example(table: DataFrame, species: str, hours: Sequence[int] = EXAMPL
     spark = table.sparkSession
     outing = EXAMPLE if outing is None else outing
     coefs, basis, fitted = example_model(table, species, min_per_hour)
-    spine = spark.createDataFrame([(h,) for h in hours if h in fitted], "hr int")
+    spine = spark.createDataFrame([(h, "doy", float(outing["doy"])) for h in hours if h in fitted],
+                                  "hr int, variable string, x double")
     one = F.lit(1.0).alias("value")
     plain = F.inline(F.array(*[F.struct(F.lit(k).alias("term"), F.lit(float(v)).alias("value"))
                                for k, v in outing.items() if k != "doy"],
                              F.struct(F.lit("intercept").alias("term"), one)))
-    days = spine.select("hr", F.lit("doy").alias("variable"), F.lit(float(outing["doy"])).alias("x"))
     terms = (spine.select("hr", plain)
              .unionByName(spine.select("hr", F.format_string("hr_%02d", "hr").alias("term"), one))
-             .unionByName(basis_values(days, basis).select("hr", "term", "value")))
+             .unionByName(basis_values(spine, basis).select("hr", "term", "value")))
     part = F.col("value") * F.col("beta")
     total = F.sum(part)
     return (terms.join(coefs.withColumnRenamed("value", "beta"), "term").groupBy("hr").agg(
