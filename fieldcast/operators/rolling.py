@@ -67,6 +67,7 @@ def roll(root: str, version: int, coefs: DataFrame, before: DataFrame | None, af
     every live (area, day).
     """
     spark = coefs.sparkSession
+    sites = sites.where("loc_id is not null")
     pair, slot = [*area, "day"], [*area, "day", "hour"]
     diff = stored(changes(before, after, area), "slot-changes")
     moved = F.col("state").isin("new", "changed")
@@ -77,8 +78,7 @@ def roll(root: str, version: int, coefs: DataFrame, before: DataFrame | None, af
                      .join(live.select(*pair), pair, "left_semi"), "touched")
     fresh = after.join(diff.where(moved).select(*slot), slot, "left_semi")
     near = sites.join(fresh.select(*area).distinct(), list(area), "left_semi")
-    place = sites.select("loc_id", *area)
-    rows = score_grid(coefs, fresh, near, area, outing, min_support).join(place, "loc_id")
+    rows = score_grid(coefs, fresh, near, area, outing, min_support, keep=area)
     # an area without any forecast keeps a row per species and site that says so
     bare = sites.join(after.select(*area).distinct(), list(area), "left_anti")
     if before is not None:
@@ -86,9 +86,9 @@ def roll(root: str, version: int, coefs: DataFrame, before: DataFrame | None, af
         same = diff.where("state = 'same'").select(*slot).join(touched, pair, "left_semi")
         rows = rows.unionByName(old.join(same, slot, "left_semi"))
         bare = bare.join(before.select(*area).distinct(), list(area), "left_semi")
-    lacking = score_grid(coefs, after.limit(0), bare, area, outing, min_support).join(place, "loc_id")
-    (rows.unionByName(lacking).repartition(*area, "day").write
-     .parquet(f"{root}/grid/version={version}"))
+    lacking = score_grid(coefs, after.limit(0), bare, area, outing, min_support, keep=area)
+    # as the tasks make them: a reader takes whole versions, and a day of an area may be large
+    rows.unionByName(lacking).write.parquet(f"{root}/grid/version={version}")
     held = F.lit(version).alias("held")
     index = touched.select(*pair, held).unionByName(
         bare.select(*area, F.lit(None).cast("date").alias("day"), held).distinct())
@@ -105,7 +105,7 @@ def roll(root: str, version: int, coefs: DataFrame, before: DataFrame | None, af
 def recomputed(coefs: DataFrame, after: DataFrame, sites: DataFrame, area: Sequence[str],
                outing: Outing = Outing()) -> DataFrame:
     """What the store should hold: the whole grid of one snapshot."""
-    return score_grid(coefs, after, sites, area, outing).join(sites.select("loc_id", *area), "loc_id")
+    return score_grid(coefs, after, sites.where("loc_id is not null"), area, outing, keep=area)
 
 
 def new_store(spark: SparkSession) -> str:

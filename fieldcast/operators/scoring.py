@@ -21,6 +21,7 @@ from fieldcast.functions import round_half_up_int, sigmoid, week_of
 from fieldcast.operators.coefficients import heads, term_block
 from fieldcast.operators.dedup import top_by
 from fieldcast.operators.labels import species_array
+from fieldcast.session import stored
 
 WEATHER = ("wind_max", "temp_mean", "precip_sum", "cloud_mean")
 
@@ -189,18 +190,30 @@ def area_slots(coefs: DataFrame, spans: DataFrame, area: Sequence[str], outing:
             .groupBy("species_code", *area).agg(F.collect_list(slot).alias("slots")))
 
 
+def spread(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` dealt over the cores by ``keys``, for a stage that makes many rows of each.
+
+    Adaptive execution sizes tasks by the bytes they read, and an area's slots or a
+    species' sites share one key: either leaves a week's slots of all sites to a few
+    tasks. The number is given, so it is not coalesced.
+    """
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def score_grid(coefs: DataFrame, spans: DataFrame, sites: DataFrame, area: Sequence[str],
-               outing: Outing = Outing(), min_support: float = P.MIN_PER_HOUR) -> DataFrame:
+               outing: Outing = Outing(), min_support: float = P.MIN_PER_HOUR,
+               keep: Sequence[str] = ()) -> DataFrame:
     """Probability or reason for every species, site, day and hour.
 
     ``spans`` is the output of :func:`forecast_span`; ``sites`` has loc_id and
-    the area columns. A site in an area without any forecast has one row per
-    species, with the reason and no day or hour.
+    the area columns, of which ``keep`` are carried along. A site in an area without
+    any forecast has one row per species, with the reason and no day or hour. The
+    slots are stored, so that they go to the sites and not the sites to them.
     """
-    slots = area_slots(coefs, spans, area, outing, min_support)
-    pairs = site_effects(coefs, sites.select("loc_id", *area))
+    slots = stored(area_slots(coefs, spans, area, outing, min_support), "slots")
+    pairs = spread(site_effects(coefs, sites.select("loc_id", *area)), ["species_code", "loc_id"])
     grid = pairs.join(slots, ["species_code", *area], "left").select(
-        "species_code", "loc_id", "has_site_effect", "site_effect", F.inline_outer("slots"))
+        "species_code", "loc_id", *keep, "has_site_effect", "site_effect", F.inline_outer("slots"))
     return (grid.withColumn("reason", F.when(F.col("day").isNull(), "forecast")
                             .otherwise(F.col("reason")))
             .withColumn("probability", sigmoid(F.col("part") + F.col("site_effect")))

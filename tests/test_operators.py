@@ -607,3 +607,28 @@ def test_validation_keeps_incomplete_lists(spark):
     got = {r["id"]: list(r["problems"]) for r in outings.validate_outings(df).collect()}
     assert got == {"a": [], "b": ["distance_km"], "c": [],
                    "d": ["protocol", "duration_min", "party_size"]}
+
+
+def one_area(spark):
+    """Terms, a day's slots and 64 sites, all in one area."""
+    terms = spark.createDataFrame(
+        [(s, t, v) for s in ("a", "b") for t, v in [
+            ("intercept", -0.4), ("support_08", 60.0), ("support_09", 70.0), ("week_00", .1),
+            *((x, 0.0) for x in P.SCALAR_TERMS[1:]), ("site_PERSONAL", 0.0)]],
+        "species_code string, term string, value double")
+    slots = spark.createDataFrame([(1, D(2024, 1, 1), h, 5.0, 9.0, 0.0, 50.0, 1) for h in (8, 9)],
+                                  "area int, day date, hour int, wind_max double, temp_mean double, "
+                                  "precip_sum double, cloud_mean double, n_hours bigint")
+    return terms, slots, spark.createDataFrame([(f"H{i}", 1) for i in range(64)], "loc_id string, area int")
+
+
+def test_a_day_of_an_area_is_not_one_task(spark):
+    terms, slots, sites = one_area(spark)
+    root = rolling.new_store(spark)
+    rolling.roll(root, 1, terms, None, slots, sites, ["area"])
+    rolling.roll(root, 2, terms, slots, slots.withColumn("wind_max", F.lit(6.0)), sites, ["area"])
+    for v in (1, 2):
+        wrote = spark.read.parquet(f"{root}/grid/version={v}")
+        assert wrote.count() == 64 * 2 * 2
+        assert wrote.select(F.input_file_name()).distinct().count() > 1
+    assert rolling.current(spark, root, 2, ["area"]).count() == 64 * 2 * 2
