@@ -17,7 +17,8 @@ from fieldcast import params as P
 from fieldcast.functions import sigmoid
 from fieldcast.operators.dedup import top_by
 from fieldcast.operators.scoring import (Outing, WEATHER, area_slots, by_probability, intensity,
-                                         site_effects, site_free_sums)
+                                         site_effects, site_free_sums, spread)
+from fieldcast.session import stored
 
 
 def best_window(coefs: DataFrame, spans: DataFrame, sites: DataFrame, area: Sequence[str],
@@ -28,9 +29,9 @@ def best_window(coefs: DataFrame, spans: DataFrame, sites: DataFrame, area: Sequ
     Each site meets its area's array of slots and keeps one of them in-row.
     ``carry`` may name ``site_effect`` and weather columns.
     """
-    slots = area_slots(coefs, spans, area, outing, min_support).withColumn(
-        "slots", F.filter("slots", lambda s: s["part"].isNotNull()))
-    pairs = site_effects(coefs, sites.select("loc_id", *area)).join(
+    slots = stored(area_slots(coefs, spans, area, outing, min_support).withColumn(
+        "slots", F.filter("slots", lambda s: s["part"].isNotNull())), "slots")
+    pairs = spread(site_effects(coefs, sites.select("loc_id", *area)), ["species_code", "loc_id"]).join(
         slots, ["species_code", *area], "inner")
 
     def order(s: Column) -> Column:

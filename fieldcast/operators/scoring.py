@@ -312,13 +312,14 @@ def species_shortlist(coefs: DataFrame, spans: DataFrame, sites: DataFrame, area
     sites x slots is never shuffled.
     """
     area = list(area)
-    parts = (site_free_sums(coefs, spans, outing, min_support)
-             .groupBy(*area, "day", "hour")
-             .agg(F.sort_array(F.collect_list(F.struct("species_code", "part"))).alias("parts")))
+    parts = stored(site_free_sums(coefs, spans, outing, min_support)
+                   .groupBy(*area, "day", "hour")
+                   .agg(F.sort_array(F.collect_list(F.struct("species_code", "part"))).alias("parts")),
+                   "parts")
     effects = (site_effects(coefs, sites.select("loc_id", *area)).groupBy("loc_id", *area)
                .agg(F.sort_array(F.collect_list(F.struct("species_code", "site_effect")))
                     .alias("effects")))
-    rows = effects.join(parts, area, "inner")
+    rows = spread(effects, ["loc_id"]).join(parts, area, "inner")
 
     def scored(x: Column, e: Column) -> Column:
         p = sigmoid(x["part"] + e["site_effect"])

@@ -632,3 +632,11 @@ def test_a_day_of_an_area_is_not_one_task(spark):
         assert wrote.count() == 64 * 2 * 2
         assert wrote.select(F.input_file_name()).distinct().count() > 1
     assert rolling.current(spark, root, 2, ["area"]).count() == 64 * 2 * 2
+
+
+def test_sites_of_an_area_are_ranked_by_several_tasks(spark):
+    terms, slots, sites = one_area(spark)
+    for made, n in ((scoring.species_shortlist(terms, slots, sites, ["area"]), 64 * 2 * 2),
+                    (best.best_window(terms, slots, sites, ["area"]), 64 * 2)):
+        assert made.count() == n
+        assert made.select(F.spark_partition_id()).distinct().count() > 1
