@@ -24,11 +24,19 @@ def document_stream(spark: SparkSession, landing: str, files_per_trigger: int =
                     F.col("_metadata.file_path").alias("file")))
 
 
-def usable(batch: DataFrame) -> DataFrame:
-    """One document per outing, the first that landed."""
+def whole(batch: DataFrame) -> DataFrame:
+    """Documents that name an outing, with its id."""
     good = batch.where(F.col("raw").isNull() & F.col("doc.subId").isNotNull())
-    order = [F.col("landed"), F.col("file"), F.to_json("doc")]
-    return keep_first(good.withColumn("sub_id", F.col("doc.subId")), ["sub_id"], order)
+    return good.withColumn("sub_id", F.col("doc.subId"))
+
+
+def usable(batch: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """One document per outing that is not ``known``, the first that landed. What is known
+    goes first: only new documents are compared with each other."""
+    good = whole(batch)
+    if known is not None:
+        good = good.join(known, "sub_id", "left_anti")
+    return keep_first(good, ["sub_id"], [F.col("landed"), F.col("file"), F.to_json("doc")])
 
 
 def rejects(batch: DataFrame) -> DataFrame:
@@ -48,11 +56,12 @@ def ingest(spark: SparkSession, landing: str, store: str, checkpoint: str, regio
     the stream's checkpoint makes a long backfill resumable per batch.
     """
     def sink(batch: DataFrame, _epoch: int) -> None:
-        landed = usable(batch).persist()
-        known = known_keys(f"{store}/checklists", landed, ["sub_id"], ids)
-        docs = landed.join(known, "sub_id", "left_anti").persist()
+        # parsed once
+        landed = batch.persist()
+        known = known_keys(f"{store}/checklists", whole(landed), ["sub_id"], ids)
+        docs = usable(landed, known).persist()
         try:
-            append_new(rejects(batch), f"{store}/rejects", ["file", "document"])
+            append_new(rejects(landed), f"{store}/rejects", ["file", "document"])
             # observations first: a stored outing always has its observations
             append_new(observation_rows(docs), f"{store}/observations",
                        ["sub_id", "species_code"], ids=ids)

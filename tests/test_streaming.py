@@ -92,3 +92,14 @@ def test_refiled_and_broken_documents(spark, tmp_path):
     assert {(r.sub_id, r.species_code) for r in rows("observations").collect()} == {
         ("s1", "a"), ("s2", "c")}
     assert rows("rejects").count() == 3
+
+
+def test_known_outings_go_before_documents_are_compared(spark):
+    rows = [(doc(1, n=1), "2024-01-02"), (doc(1, n=2), "2024-01-01"), (doc(2), "2024-01-01"),
+            (doc(2, n=1), "2024-01-03"), ('{"locId":"L"}', "2024-01-01")]
+    raw = spark.createDataFrame(rows, "json string, at string").selectExpr(
+        "json", "timestamp(at) as landed", "'f' as file", "cast(null as string) as raw")
+    batch = documents.parse(raw, "json", documents.CHECKLIST_DOC)
+    known = spark.createDataFrame([("s2",)], "sub_id string")
+    assert [(r["sub_id"], len(r["doc"]["obs"])) for r in ingest.usable(batch, known).collect()] == [("s1", 2)]
+    assert sorted(r["sub_id"] for r in ingest.usable(batch).collect()) == ["s1", "s2"]
