@@ -884,7 +884,10 @@ def settled_counts(d: Domain) -> DataFrame:
     late = F.when(k % 11 == 0, 2).when(k % 7 == 0, 1).otherwise(0)
     wave = F.floor((day - 1) / 10) + late
     waves = F.when(k % 13 == 0, F.array(wave, wave + 1)).otherwise(F.array(wave))
-    docs = stored(_checklist_docs(d).select("json", F.explode(waves).alias("wave")), "docs")
+    # a folder per wave, so each is read once
+    (_checklist_docs(d).select("json", F.explode(waves).alias("wave"))
+     .write.partitionBy("wave").parquet(f"{root}/filed"))
+    docs = d.spark.read.schema("json string, wave bigint").parquet(f"{root}/filed")
     for w in range(6):
         docs.where(F.col("wave") == w).select("json").write.mode("append").text(f"{root}/landing")
         ingest.settle(d.spark, f"{root}/landing", f"{root}/settled", f"{root}/checkpoint", "R1",
