@@ -23,7 +23,7 @@ from fieldcast.operators.coefficients import term_block
 from fieldcast.operators.dedup import salted_join
 from fieldcast.operators.evaluation import count_metrics, group_holdout, score_counts
 from fieldcast.operators.labels import species_array
-from fieldcast.operators.scoring import with_terms
+from fieldcast.operators.scoring import spread, with_terms
 from fieldcast.session import scratch_path, stored
 
 
@@ -178,8 +178,11 @@ def predict(rows: DataFrame, coefs: DataFrame, design: Design = Design(), salts:
     A level without a term adds nothing, as an unknown level should. Site
     effects of all species come as one map per site, joined at the size of the
     rows, the pooled site salted, since it holds about half of them. The rows x
-    species product is an in-stage explode; all other terms come by species.
+    species product is an in-stage explode; all other terms come by species. Rows are
+    dealt over the cores before it: a table of outings is few bytes, so its scan has few
+    tasks.
     """
+    rows = spread(rows, ["sub_id"])
     total = F.col("b_intercept")
     for c in design.numeric:
         total = total + F.col(f"b_{c}") * F.col(c)

@@ -283,3 +283,11 @@ def test_worked_example_adds_up(spark, table):
     for r in got.values():
         assert r["total"] - r["hour_term"] == pytest.approx(got[8]["total"])
         assert r["probability"] == pytest.approx(1 / (1 + math.exp(-r["total"])))
+
+
+def test_few_stored_files_are_scored_by_several_tasks(spark, table):
+    one = spark.createDataFrame([(s, t, 0.1) for s in ("spa", "spb") for t in P.SCALAR_TERMS],
+                                "species_code string, term string, value double")
+    p = modelling.predict(table.coalesce(1), one, modelling.Design(("hr", "week")))
+    assert p.count() == 2 * N
+    assert p.select(F.spark_partition_id()).distinct().count() > 1
