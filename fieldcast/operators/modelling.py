@@ -44,7 +44,7 @@ TERMS = "species_code string, term string, value double"
 CALIBRATION_DESIGN = Design(("hr", "week"), (*P.NUMERIC, "lat", "lon"), drop_first=True)
 
 #: outings of one block, and of a site that still is one block, at most
-BLOCK_ROWS, SITE_ROWS = 4096, 1 << 18
+BLOCK_ROWS, SITE_ROWS = 4096, 1 << 16
 
 
 @dataclass

@@ -291,3 +291,8 @@ def test_few_stored_files_are_scored_by_several_tasks(spark, table):
     p = modelling.predict(table.coalesce(1), one, modelling.Design(("hr", "week")))
     assert p.count() == 2 * N
     assert p.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_a_site_of_one_block_is_small_in_a_large_table():
+    assert modelling._several_blocks(1 << 30) <= 1 << 16
+    assert modelling._several_blocks(1000) == modelling.BLOCK_ROWS
