@@ -102,6 +102,12 @@ def word_keys(h: np.ndarray) -> np.ndarray:
     return mix(h ^ _WORD) & _TOP
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct numbers, rising: by a sort, as ``np.unique`` holds a hash table of them."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 # -- numbers as compressed values ---------------------------------------------
 def packed(x: np.ndarray) -> bytes:
     """Numbers byte by byte, so that what is alike stands together, compressed."""
@@ -408,25 +414,42 @@ def train(docs: DataFrame, discount: float = DISCOUNT, least: int = LEAST) -> Mo
 
 
 # -- scoring ------------------------------------------------------------------
-def _tokens_of(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words and end tokens of some texts, hashed part by part, and the
-    starts of the rows."""
-    got = [tokens(p.column("text")) for p in parts]
-    before = np.cumsum([0, *(len(f) for f, _ in got)])
-    rows = [r[:-1] + b for (_, r), b in zip(got, before.tolist())]
-    return np.concatenate([f for f, _ in got]), np.append(np.concatenate(rows), before[-1])
-
-
 class Asked:
     """What some texts have to know: their distinct words and pairs, in order."""
 
-    def __init__(self, parts: list[pa.RecordBatch]):
-        flat, self.rows = _tokens_of(parts)
+    def __init__(self, part: pa.RecordBatch):
+        flat, self.rows = tokens(part.column("text"))
         self.words, self.word_at = np.unique(flat, return_inverse=True)
         pairs, self.where = pair_keys(flat, self.rows)
         self.pairs, self.pair_at = np.unique(pairs, return_inverse=True)
 
 
+def _keys_of(part: pa.RecordBatch, known: Table | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words and pairs of a part; with ``known`` only the words it lacks, no pairs."""
+    flat, rows = tokens(part.column("text"))
+    words = distinct(flat)
+    if known is not None:
+        return words[~known.find(words)[1]], words[:0]
+    return words, distinct(pair_keys(flat, rows)[0])
+
+
+def _joined(held: list[np.ndarray], keys: np.ndarray) -> None:
+    """Adds distinct keys to ``held``, whose lists are joined when they are of like
+    length, so that the keys of many parts are held about once."""
+    while held and len(held[-1]) < 2 * len(keys):
+        keys = distinct(np.concatenate([held.pop(), keys]))
+    held.append(keys)
+
+
+def _all_asked(parts: list[pa.RecordBatch], known: Table | None) -> list[np.ndarray]:
+    """The keys that a block asks for: what ``_answers`` tells is in their order."""
+    held: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+    for part in parts:
+        for h, keys in zip(held, _keys_of(part, known)):
+            _joined(h, keys)
+    return [distinct(np.concatenate(h)) if h else np.empty(0, U64) for h in held]
+
+
 def _answers(blocks: DataFrame, model: Model, sent, local: bool) -> DataFrame:
     """block, kind, share, levels, rests, counts: what the parts tell about the keys of
     each block, in the keys' order: of pairs (kind 0, unless ``local``) their levels, of
@@ -435,19 +458,17 @@ def _answers(blocks: DataFrame, model: Model, sent, local: bool) -> DataFrame:
     n_pairs, kinds = 1 << model.bits, ((1 << model.bits, model.word_bits), (0, model.bits))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        of: dict[int, tuple[list[np.ndarray], list[np.ndarray]]] = {}
         for part in text_chunks(batches):
             block = part.column("block").to_numpy()
             for b in np.unique(block).tolist():
-                flat, rows = _tokens_of([part.filter(pa.array(block == b))])
-                words = np.unique(flat)
-                if local:
-                    words = words[~sent.value[0].find(words)[1]]
-                of.setdefault(b, []).append((words, words[:0] if local else np.unique(pair_keys(flat, rows)[0])))
-        for b, held in of.items():
+                held = of.setdefault(b, ([], []))
+                for h, keys in zip(held, _keys_of(part.filter(pa.array(block == b)), sent.value[0] if local else None)):
+                    _joined(h, keys)
+        for b in list(of):
             rows = []
-            for (first, bits), keys in zip(kinds, zip(*held)):
-                keys = np.unique(np.concatenate(keys))
+            for (first, bits), held in zip(kinds, of.pop(b)):
+                keys = distinct(np.concatenate(held))
                 share = (keys >> U64(64 - bits)).astype(np.int64)
                 rows += [(first + int(share[x]), gaps(keys[x:y])) for x, y in pairwise(_cuts(share).tolist())]
             yield pa.RecordBatch.from_arrays(
@@ -496,6 +517,34 @@ def _answers(blocks: DataFrame, model: Model, sent, local: bool) -> DataFrame:
                 answer, "block int, kind int, share int, levels binary, rests binary, counts binary"))
 
 
+def _block_scores(texts: pa.Table, told: pa.Table, heavy: Table, probed: tuple[Parts, Parts] | None, total: int,
+                  discount: float) -> pa.Table:
+    """The sums of a block's rows from what was told about its keys. Of the whole block
+    only the texts, the distinct keys and a level each are held; what goes by the token
+    is made for one part at a time."""
+    told = told.sort_by([("kind", "ascending"), ("share", "ascending")])
+    kind = told["kind"].to_numpy()
+    got = [{c: np.concatenate([unpacked(x, t) for x in told[c].filter(pa.array(kind == k)).to_pylist()])
+            for c, t in cols if (kind == k).any()}
+           for k, cols in ((0, [("levels", np.uint8)]),
+                           (1, [("levels", np.uint8), ("rests", np.uint8), ("counts", np.int64)]))]
+    parts = list(text_chunks(texts.combine_chunks().to_batches()))
+    words, pairs = _all_asked(parts, heavy if probed else None)
+    out = []
+    for part in parts:
+        a = Asked(part)
+        exact = heavy.get(a.words)
+        asked = ~heavy.find(a.words)[1] if probed else np.ones(len(a.words), bool)
+        at = np.searchsorted(words, a.words[asked])
+        if len(at):
+            exact[asked] = got[1]["counts"][at]
+        levels = _probed(a, probed) if probed else (
+            got[1]["levels"][at], got[1]["rests"][at],
+            got[0]["levels"][np.searchsorted(pairs, a.pairs)] if len(a.pairs) else np.zeros(0, np.uint8))
+        out.append(_rows(part.column("doc_id"), a, exact, levels, total, discount))
+    return pa.Table.from_batches(out)
+
+
 def _log_sums(a: Asked, word: np.ndarray, rest: np.ndarray, pair: np.ndarray, total: int,
               discount: float) -> np.ndarray:
     """The logarithms of each row's token probabilities, summed, from the levels of the
@@ -533,22 +582,7 @@ def scored(docs: DataFrame, model: Model, bound: int = BOUND) -> DataFrame:
     answers = _answers(blocks, model, sent, local)
 
     def run(texts: pa.Table, told: pa.Table) -> pa.Table:
-        told = told.sort_by([("kind", "ascending"), ("share", "ascending")])
-        kind = told["kind"].to_numpy()
-        got = [{c: np.concatenate([unpacked(x, t) for x in told[c].filter(pa.array(kind == k)).to_pylist()])
-                for c, t in cols if (kind == k).any()}
-               for k, cols in ((0, [("levels", np.uint8)]),
-                               (1, [("levels", np.uint8), ("rests", np.uint8), ("counts", np.int64)]))]
-        pieces = list(text_chunks(texts.combine_chunks().to_batches()))
-        a, heavy = Asked(pieces), sent.value[0]
-        exact = heavy.get(a.words)
-        asked = ~heavy.find(a.words)[1] if local else np.ones(len(a.words), bool)
-        if asked.any():
-            exact[asked] = got[1]["counts"]
-        levels = _probed(a, sent.value[1]) if local else (
-            got[1]["levels"], got[1]["rests"], got[0]["levels"] if len(a.pairs) else np.zeros(0, np.uint8))
-        ids = pa.chunked_array([p.column("doc_id") for p in pieces]).combine_chunks()
-        return pa.Table.from_batches([_rows(ids, a, exact, levels, total, discount)])
+        return _block_scores(texts, told, *sent.value, total, discount)
 
     # a block without a word that has to be asked has no answers
     met = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, _SCORES)
@@ -577,7 +611,7 @@ def _rows(ids: pa.Array, a: Asked, exact: np.ndarray, levels: tuple[np.ndarray,
 def _local_scores(sent, total: int, discount: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_chunks(batches):
-            a = Asked([part])
+            a = Asked(part)
             yield _rows(part.column("doc_id"), a, sent.value[0].get(a.words), _probed(a, sent.value[1]), total, discount)
 
     return run

@@ -139,6 +139,30 @@ def test_lm_scoring(spark):
     assert all(r.score <= 0 for r in got)
 
 
+def test_lm_scoring_of_a_block_holds_little_by_the_token():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 400) % 100_000) for _ in range(4000)]
+    part = pa.record_batch({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts)})
+    flat, rows = lm_scoring.tokens(part.column("text"))
+    n_words, n_pairs = len(np.unique(flat)), len(np.unique(lm_scoring.pair_keys(flat, rows)[0]))
+    ones = lambda n, kind=np.uint8: lm_scoring.packed(np.ones(n, kind))
+    told = pa.table({"kind": pa.array([0, 1], pa.int32()), "share": pa.array([0, 0], pa.int32()),
+                     "levels": [ones(n_pairs), ones(n_words)], "rests": [None, ones(n_words)],
+                     "counts": [None, ones(n_words, np.int64)]})
+    none = lm_scoring.Table(np.empty(0, np.uint64), np.empty(0, np.int64))
+    tracemalloc.start()
+    got = lm_scoring._block_scores(pa.Table.from_batches([part]), told, none, None, 1000, 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got["doc_id"].to_pylist() == list(range(len(texts)))
+    assert got["known"].to_pylist() == got["n"].to_pylist() == np.diff(rows).tolist()
+    assert peak < 12 * sum(map(len, texts))
+
+
 def test_filter_holds_every_count():
     keys = _bytes.mix(np.arange(3000, dtype=np.uint64))
     counts = np.random.default_rng(1).integers(1, 10**6, 3000)
