@@ -90,7 +90,7 @@ def train(texts: list[str | None], labels: list[int], buckets: int = BUCKETS, di
     docs = []
     for t in texts:
         ids, n = np.unique(feature_ids(pa.array([t], pa.string()), buckets)[0], return_counts=True)
-        docs.append((ids.astype(np.int64), (n / max(n.sum(), 1)).astype(np.float32)))
+        docs.append((ids.astype(np.int32), (n / max(n.sum(), 1)).astype(np.float32)))
     weight = len(y) / (2 * np.bincount(y, minlength=2))  # classes count alike
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
@@ -122,9 +122,22 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, **option
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.where("_y = 0").orderBy(*order).limit(per_class).unionByName(
         known.where("_y = 1").orderBy(*order).limit(per_class))
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "_y").toArrow()
-    rows = rows.sort_by([("doc_id", "ascending"), ("_y", "ascending")])
-    return train(rows["text"].to_pylist(), rows["_y"].to_pylist(), **options)
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "_y")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        sample = pa.Table.from_batches(held).sort_by([("doc_id", "ascending"), ("_y", "ascending")])
+        model = train(sample["text"].to_pylist(), sample["_y"].to_pylist(), **options)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.astype(np.float32).tobytes()]), pa.array([model.bias])],
+                                         names=["weights", "bias"])
+
+    # the sample is bounded, so a task holds it; the driver gets the numbers only
+    got = shipped(rows).repartition(1).mapInArrow(learn, "weights binary, bias double").first()
+    if got is None:
+        return train([], [], **options)
+    return Model(np.frombuffer(got["weights"], np.float32), got["bias"])
 
 
 def with_scores(docs: DataFrame, model: Model, name: str) -> DataFrame:

@@ -139,6 +139,19 @@ def test_lm_scoring(spark):
     assert all(r.score <= 0 for r in got)
 
 
+def test_classifier_learns_in_a_task(spark, monkeypatch):
+    import os
+
+    monkeypatch.setattr(classifier, "train", lambda texts, labels, **_: classifier.Model(
+        np.array([os.getpid() % 2**20, len(texts)], np.float32), 0.5))
+    docs = documents(spark, [(i, f"text {i}", None, None, None) for i in range(40)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, quality int")
+    model = classifier.fit(docs, labels)
+    assert model.weights[0] != os.getpid() % 2**20 and model.weights[1] > 20 and model.bias == 0.5
+    none = classifier.fit(docs.where("doc_id < 0"), labels)
+    assert none.weights[1] == 0
+
+
 def test_lm_scoring_of_a_block_holds_little_by_the_token():
     import tracemalloc
 
