@@ -34,11 +34,17 @@ def new_rows(existing: DataFrame, incoming: DataFrame, keys: Sequence[str],
     """Rows of ``incoming`` whose key ``existing`` lacks, one per key.
 
     The anti-join comes first: it only drops rows, and what is already stored
-    is usually most of a batch, so less reaches the deduplication.
+    is usually most of a batch, so less reaches the deduplication. Without an
+    ``order`` the row of the least hash stays. That is an aggregate over rows
+    which the join has sorted by key: a task holds one of them, where a window
+    would sort and hold all of its rows once more.
     """
     fresh = incoming.join(existing.select(*keys), list(keys), "left_anti")
-    order = list(order) or [F.xxhash64(*incoming.columns)]
-    return keep_first(fresh, keys, order)
+    if order:
+        return keep_first(fresh, keys, order)
+    row = F.struct(*incoming.columns)
+    return (fresh.groupBy(*keys).agg(F.min_by(row, F.xxhash64(*incoming.columns)).alias("_row"))
+            .select("_row.*"))
 
 
 def salted_join(fact: DataFrame, dim: DataFrame, on: Sequence[str], how: str,

@@ -283,10 +283,15 @@ def merge_report(d: Domain) -> DataFrame:
 
 
 def _two_stores(d: Domain) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
-    """Two stores that share a third of their rows, columns in another order."""
+    """Two stores that share a third of their rows, columns in another order.
+
+    The observations are written first: otherwise both sides of the merge would
+    aggregate them in the tasks that also sort and join them.
+    """
     loc, obs = [F.substring(c, 2, 20).try_cast("long") % 3 for c in ("loc_id", "sub_id")]
     a, b = _two_batches(d)
-    locations, seen = d.locations, d.observations.select("sub_id", "species_code", "how_many")
+    locations = d.locations
+    seen = stored(d.observations.select("sub_id", "species_code", "how_many"), "observations")
     local = {"checklists": a, "locations": locations.where(loc != 0), "observations": seen.where(obs != 0)}
     other = {"checklists": b, "locations": locations.where(loc != 1), "observations": seen.where(obs != 1)}
     return local, {k: v.select(*reversed(v.columns)) for k, v in other.items()}

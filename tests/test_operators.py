@@ -228,6 +228,27 @@ def test_new_rows_ignores_repeats(spark):
     assert rows(new_rows(old, spark.createDataFrame([(1,), (2,), (2,)], "k int"), ["k"])) == [(2,)]
 
 
+def test_new_rows_sort_nothing_behind_their_join(spark):
+    kind = "k string, j int, v int"
+    old = spark.createDataFrame([("a", 1, 1), (None, 1, 2)], kind)
+    more = spark.createDataFrame([("a", 1, 9), ("a", 2, 3), ("a", 2, 3), ("b", None, 4), ("b", None, 5),
+                                  (None, 1, 6), (None, None, 7)], kind)
+    with_hints = new_rows(old.hint("merge"), more, ["k", "j"])
+    plan = with_hints._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Window" not in plan and plan.count(" Sort [") == 2
+    got = sorted(map(tuple, with_hints.collect()), key=str)
+    assert [r[:2] for r in got] == sorted([("a", 2), ("b", None), (None, 1), (None, None)], key=str)
+    assert all(r in [tuple(x) for x in more.collect()] for r in got) and with_hints.columns == ["k", "j", "v"]
+
+
+def test_merged_stores_do_not_aggregate_again(spark, sf):
+    from fieldcast.plans import bindings, catalog
+
+    for store in catalog._two_stores(bindings.Domain(spark, sf)):
+        plan = store["observations"]._jdf.queryExecution().executedPlan().toString()
+        assert "Aggregate" not in plan
+
+
 def test_labels_are_verified_zeros(spark):
     t = spark.createDataFrame([("a", ["x"]), ("b", [])], "sub_id string, seen array<string>")
     sp = spark.createDataFrame([("x",), ("y",)], "species_code string")
