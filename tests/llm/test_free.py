@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -280,6 +281,44 @@ def test_pieces_are_encoded_like_the_text(name):
                 t or "", add_special_tokens=False).ids, t
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_are_cut_at_marks_only_where_the_tokenizer_does(name):
+    rng = random.Random(5)
+    signs = [*"abZ'.,-!_1 \n\t", "\x1c", "\x7f", "é", "×", "ÿ", "ñ", "’", "—", "日", "İ", "Σ", "\u0301", "\u00ad",
+             "'s", "'re", "'ll", "<", "|", "'S"]
+    texts = ["".join(rng.choices(signs, k=rng.randrange(1, 14))) for _ in range(6000)]
+    enc = _tokens.Encoder(name)
+    for _ in range(2):
+        ids, rows = enc.encode(pa.array(texts))
+        for i, t in enumerate(texts):
+            assert ids[rows[i]:rows[i + 1]].tolist() == enc.tokenizer.encode(
+                t, add_special_tokens=False).ids, repr(t)
+
+
+def test_a_word_beside_marks_is_encoded_once():
+    class Spy:
+        seen = []
+
+        def __init__(self, tokenizer):
+            self.own = tokenizer
+
+        def encode(self, *args, **kw):
+            return self.own.encode(*args, **kw)
+
+        def encode_batch_fast(self, texts, **kw):
+            self.seen += texts
+            return self.own.encode_batch_fast(texts, **kw)
+
+    enc = _tokens.Encoder("byte_bpe_50k.json")
+    enc.tokenizer = Spy(enc.tokenizer)
+    texts = ["x zéphyrous, x zéphyrous.\nzéphyrous! x", "(zéphyrous) y zéphyrous...", "y zéphyrous,\ty"]
+    ids, rows = enc.encode(pa.array(texts))
+    # once with a blank and once without
+    assert sum(t.count("zéphyrous") for t in Spy.seen) == 2
+    for i, t in enumerate(texts):
+        assert ids[rows[i]:rows[i + 1]].tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("limit", [6, 9, 18])
 def test_code_lengths(limit):
     counts = np.array([0, 900, 1, 1, 2, 3, 5, 8, 13, 21, 34, 55, 0, 89] + [1] * 40)
