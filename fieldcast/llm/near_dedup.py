@@ -140,8 +140,8 @@ def _named(rows: DataFrame, side: str, *more: str) -> DataFrame:
                        F.col("m").alias(f"m{side}"))
 
 
-def links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links between classes, enough to connect every component."""
+def class_roots(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """id, root of the classes that are linked with another."""
     keys = _keys(classes.where("n > 0"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     met = stored(keys.join(shared, "key"), "met")
@@ -151,27 +151,31 @@ def links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFram
     sets = stored(shingle_sets(texts, k), "sets")
     met = stored(met.join(_shareable(sets), "id").where(100 * F.col("m") >= percent * F.col("n")),
                  "met")
-    sizes = _named(met.select("id", "n", "m").distinct(), "b")
     # the class with the least of its own is nearest to what the others share
-    low = (met.groupBy("key").agg(F.min(F.struct(1 - F.col("m") / F.col("n"), "id")).alias("x"),
+    low = (met.groupBy("key").agg(F.min(F.struct(1 - F.col("m") / F.col("n"), "id", "n", "m")).alias("x"),
                                   F.count(F.lit(1)).alias("c"))
-           .where("c > 1").select("key", F.col("x.id").alias("b")))
-    star = _named(met, "a", "key").join(low, "key").drop("key").distinct().join(sizes, "b")
-    found = stored(linked(_possible(star, percent), sets, percent), "found")
-    seen, main = _split_keys(met, found)
+           .where("c > 1").select("key", "x.*"))
+    star = _named(met, "a", "key").join(_named(low, "b", "key"), "key")
+    roots = components(linked(_possible(star, percent), sets, percent))
+    seen, main = _split_keys(met, roots)
     pairs = (_named(seen.join(main, "key").where("root <> main"), "a", "key")
-             .join(main.select("key", F.col("top").alias("b")), "key").join(sizes, "b"))
-    found = stored(found.unionByName(linked(_possible(pairs, percent), sets, percent)), "found")
-    seen, main = _split_keys(met, found)
-    return stored(found.unionByName(_family_links(seen, main, sets, percent)), "found")
+             .join(_named(main.select("key", "top.*"), "b", "key"), "key"))
+    # what is known goes on as the root of each class, so only new links are joined up
+    roots = components(_hung(roots).unionByName(linked(_possible(pairs, percent), sets, percent)))
+    seen, main = _split_keys(met, roots)
+    return components(_hung(roots).unionByName(_family_links(seen, main, sets, percent)))
 
 
-def _split_keys(met: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _hung(roots: DataFrame) -> DataFrame:
+    return roots.select(F.col("id").alias("a"), F.col("root").alias("b"))
+
+
+def _split_keys(met: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``met`` with each class's root so far; of the keys that meet several roots,
-    the root with most classes there and one of its classes."""
-    seen = stored(met.join(components(found), "id", "left").select(
+    the root with most classes there and one of its classes with its sizes."""
+    seen = stored(met.join(known, "id", "left").select(
         "key", "id", "n", "m", F.coalesce("root", "id").alias("root")), "seen")
-    roots = seen.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"), F.max("id").alias("top"))
+    roots = seen.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct("id", "n", "m")).alias("top"))
     main = (roots.groupBy("key").agg(F.count(F.lit(1)).alias("roots"),
                                      F.max(F.struct("c", "root", "top")).alias("x"))
             .where("roots > 1").select("key", F.col("x.root").alias("main"), "x.top"))
@@ -181,7 +185,7 @@ def _split_keys(met: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]
 def _family_links(seen: DataFrame, main: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """A link for every two roots of a family that have one."""
     edges = seen.join(main, "key").where("root <> main").select(
-        F.col("root").alias("a"), F.col("main").alias("b")).distinct()
+        F.col("root").alias("a"), F.col("main").alias("b"))
     family = components(edges).select(F.col("id").alias("root"), F.col("root").alias("family"))
     members = stored(seen.select("id", "root").distinct().join(family, "root"), "members")
     size = members.groupBy("family", "root").agg(F.count(F.lit(1)).alias("c"))
@@ -238,7 +242,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, s
     classes = stored(worded.where("doc_id is not null").groupBy("s1", "s2").agg(
         F.min("doc_id").alias("id"), F.max("n").alias("n"), F.any_value("left").alias("left"),
         F.any_value("right").alias("right")), "classes")
-    root = components(links(docs, classes, k, percent))
+    root = class_roots(docs, classes, k, percent)
     of_set = classes.select("s1", "s2", "id").join(root, "id", "left").select(
         "s1", "s2", F.coalesce("root", "id").alias("component_id"))
     same = F.col("doc_id").eqNullSafe(F.col("component_id"))

@@ -11,9 +11,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from fieldcast.llm import (_bytes, _tokens, classifier, decontaminate, lm_scoring, near_dedup, packing,
+from fieldcast.llm import (_bytes, _graph, _tokens, classifier, decontaminate, lm_scoring, near_dedup, packing,
                            suffix_dedup, token_output)
 from fieldcast.llm._graph import components
+from fieldcast.session import stored
 from tests.llm.frames import clashing, documents, empty, odd_documents
 
 WS = r"[^\x20\x09-\x0D]+"
@@ -445,6 +446,36 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 9: 1, 7: 7, 8: 7} | {100 + i: 100 for i in range(41)}
 
 
+def test_components_take_no_rounds_that_a_task_can_save(spark, monkeypatch):
+    names = []
+    monkeypatch.setattr(_graph, "stored", lambda df, name: names.append(name) or stored(df, name))
+    rng = np.random.default_rng(5)
+    order = rng.permutation(400).tolist()
+    links = spark.createDataFrame([*zip(order[:299], order[1:300]), *zip(order[300:399], order[301:])], "a bigint, b bigint")
+    want = {i: min(part) for part in (order[:300], order[300:]) for i in part}
+    # a path across many tasks took several rounds of twelve stages
+    assert {r.id: r.root for r in _graph.components(links.repartition(16)).collect()} == want
+    assert names == ["links", "links", "nodes"]
+    # with more links than a task takes, the stars end what is open
+    names.clear()
+    monkeypatch.setattr(_graph, "HELD", 8)
+    assert {r.id: r.root for r in _graph.components(links.repartition(16)).collect()} == want
+    assert names.count("nodes") > 1
+
+
+def test_joined_up():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 9, 60):
+        a, b = rng.integers(-n, n + 1, (2, n))
+        a, b = a[a != b], b[a != b]
+        root = {i: i for i in [*a.tolist(), *b.tolist()]}
+        for _ in root:
+            for x, y in zip(a.tolist(), b.tolist()):
+                root[x] = root[y] = min(root[x], root[y])
+        ids, roots = _graph.joined_up(a, b)
+        assert dict(zip(ids.tolist(), roots.tolist())) == {i: r for i, r in root.items() if i != r}
+
+
 # -- op8 ----------------------------------------------------------------------
 def test_classifier_on_held_out_rows(spark, sf):
     docs = spark.read.parquet(sf.replace("sf0.001", "sf0.01") + "/documents.parquet")
