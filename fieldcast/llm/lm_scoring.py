@@ -103,8 +103,9 @@ def word_keys(h: np.ndarray) -> np.ndarray:
 
 
 def distinct(x: np.ndarray) -> np.ndarray:
-    """The distinct numbers, rising: by a sort, as ``np.unique`` holds a hash table of them."""
-    x = np.sort(x)
+    """The distinct numbers, rising: by a sort in place, as ``np.unique`` holds a hash table
+    of them."""
+    x.sort()
     return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
 
 
@@ -213,10 +214,22 @@ class Table:
 
 
 def _merged(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """Keys in order, what goes with each, and the sums of counts, which come last."""
-    keys, *more, counts = (np.concatenate(x) for x in zip(*held))
-    keys, first, at = np.unique(keys, return_index=True, return_inverse=True)
-    return keys, *(m[first] for m in more), np.bincount(at, counts).astype(np.int64)
+    """Keys in order, what goes with each, and the sums of counts, which come last.
+    Empties ``held``: a column's pieces go once they are joined."""
+    cols = [list(x) for x in zip(*held)]
+    held.clear()
+
+    def column() -> np.ndarray:
+        return np.concatenate(cols.pop(0))
+
+    keys = column()
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else order
+    keys, at = keys[first], order[first]
+    more = [column()[at] for _ in cols[:-1]]
+    counts = column()[order].astype(np.int64)
+    return keys, *more, np.add.reduceat(counts, first) if len(first) else counts
 
 
 def _small(c: np.ndarray) -> list[bytes]:
@@ -427,7 +440,7 @@ class Asked:
 def _keys_of(part: pa.RecordBatch, known: Table | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct words and pairs of a part; with ``known`` only the words it lacks, no pairs."""
     flat, rows = tokens(part.column("text"))
-    words = distinct(flat)
+    words = distinct(flat.copy())
     if known is not None:
         return words[~known.find(words)[1]], words[:0]
     return words, distinct(pair_keys(flat, rows)[0])

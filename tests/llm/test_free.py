@@ -178,6 +178,26 @@ def test_lm_scoring_of_a_block_holds_little_by_the_token():
     assert peak < 12 * sum(map(len, texts))
 
 
+def test_merging_counts_holds_little():
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    keys = [np.unique(rng.integers(0, 1 << 18, 1 << 16).astype(np.uint64)) for _ in range(4)]
+    tracemalloc.start()
+    held = [(k.copy(), k * np.uint64(3), np.arange(len(k))) for k in keys]
+    size = sum(x.nbytes for t in held for x in t)
+    k, v, c = lm_scoring._merged(held)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = Counter()
+    for x in keys:
+        want.update(dict(zip(x.tolist(), range(len(x)))))
+    assert dict(zip(k.tolist(), c.tolist())) == want and (np.diff(k.astype(np.int64)) > 0).all()
+    assert (v == k * np.uint64(3)).all() and peak < 3 * size
+    none = np.empty(0, np.uint64)
+    assert [len(x) for x in lm_scoring._merged([(none, none, none.astype(np.int64))])] == [0, 0, 0]
+
+
 def test_filter_holds_every_count():
     keys = _bytes.mix(np.arange(3000, dtype=np.uint64))
     counts = np.random.default_rng(1).integers(1, 10**6, 3000)
